@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ebbtide.config import PanelConfig
 from ebbtide.functions import scalars as S
 from ebbtide.operators.history import prior_median
-from ebbtide.operators.series import by_entity, clamped, last_at_or_before, usable, value_at
+from ebbtide.operators.series import by_entity, clamped, last_at_or_before, value_at
 
 EARLY_COLUMNS = [
     "n_early_observations", "first_observed_at_hours",
@@ -44,15 +44,11 @@ def early_features(readings: DataFrame, cfg: PanelConfig = PanelConfig(),
     """
     limit = cfg.feature_cutoff if cutoff is None else cutoff
     m = cfg.early_marks
-    early = usable(early_window(readings, limit))
-    v = value_at(early, list(m))
-    all_entities = readings.select("entity").distinct()
-    d = all_entities.join(v, "entity", "left")
+    d = value_at(readings, list(m), until=limit)
     v1, v2, v3 = F.col("v0"), F.col("v1"), F.col("v2")
     vel12, vel23 = (v2 - v1) / (m[1] - m[0]), (v3 - v2) / (m[2] - m[1])
     return d.select(
-        "entity",
-        F.coalesce("n_readings", F.lit(0)).cast("bigint").alias("n_early_observations"),
+        "entity", "n_values", F.col("n_readings").alias("n_early_observations"),
         F.col("first_age").alias("first_observed_at_hours"),
         v1.alias("value_at_m1"), v2.alias("value_at_m2"), v3.alias("value_at_m3"),
         *[(x / t).alias(f"velocity_to_m{i}") for i, (x, t) in enumerate(zip((v1, v2, v3), m), 1)],
@@ -75,7 +71,8 @@ def metadata_features(entities: DataFrame) -> DataFrame:
 def build_features(readings: DataFrame, entities: DataFrame, cfg: PanelConfig = PanelConfig(),
                    cutoff: float | None = None) -> DataFrame:
     """Feature table: known entities with readings."""
-    return early_features(readings, cfg, cutoff).join(metadata_features(entities), "entity")
+    early = early_features(readings, cfg, cutoff).drop("n_values")
+    return early.join(metadata_features(entities), "entity")
 
 
 def owner_relative(frame: DataFrame, cfg: PanelConfig = PanelConfig(), velocity: str = "velocity_to_m3",

@@ -87,38 +87,45 @@ def velocity_summary(readings: DataFrame, max_rows: int | None = None) -> DataFr
 
 
 def value_at(readings: DataFrame, targets: list[float], value: str = "value",
-             max_gap: float | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
+             max_gap: float | None = None, extra: tuple[str, ...] = (),
+             until: float | None = None) -> DataFrame:
     """Linear interpolation of `value` at each target age, one row per entity.
 
     Two readings must bracket the target; nothing is extrapolated. The brackets
     are aggregates, so a long entity combines map-side and needs no ordered pass.
-    `extra` names further columns to interpolate between the same two readings.
-    Columns: entity, n_readings, first_age and, per target i, v{i} (and v{i}_{extra}).
+    `extra` names further columns to interpolate between the same two readings;
+    readings older than `until` are left out. Columns: entity, n_rows, n_values,
+    n_readings (usable ones), first_age, last_age and, per target i, v{i} (and
+    v{i}_{extra}).
     """
-    r = usable(readings, value)
+    ok = lambda x: F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))
+    use = ok("age_hours") & ok(value)
+    if until is not None:
+        use = use & (F.col("age_hours") <= until)
     cols = [value, *extra]
-    aggs = [F.count(F.lit(1)).alias("n_readings"), F.min("age_hours").alias("first_age"),
-            F.max("age_hours").alias("last_age")]
+    r = readings.select("entity", ok(value).alias("_has"), F.when(use, F.col("age_hours").cast("double")).alias("_a"),
+                        *[F.col(x).cast("double").alias(x) for x in cols])
+    a = F.col("_a")
+    aggs = [F.count(F.lit(1)).alias("n_rows"), F.count_if("_has").alias("n_values"),
+            F.count(a).alias("n_readings"), F.min(a).alias("first_age"), F.max(a).alias("last_age")]
     for i, t in enumerate(targets):
-        lo = F.when(F.col("age_hours") < t, F.col("age_hours"))
-        hi = F.when(F.col("age_hours") >= t, F.col("age_hours"))
+        lo, hi = F.when(a < t, a), F.when(a >= t, a)
         aggs += [F.max(lo).alias(f"_a{i}"), F.min(hi).alias(f"_b{i}")]
-        for col in cols:
-            aggs += [F.max_by(F.col(col).cast("double"), lo).alias(f"_a{i}_{col}"),
-                     F.min_by(F.col(col).cast("double"), hi).alias(f"_b{i}_{col}")]
+        for x in cols:
+            aggs += [F.max_by(x, lo).alias(f"_a{i}_{x}"), F.min_by(x, hi).alias(f"_b{i}_{x}")]
     d = r.groupBy("entity").agg(*aggs)
-    out = ["entity", "n_readings", "first_age", "last_age"]
-    sel = [F.col(x) for x in out]
+    sel = [F.col(x) for x in ("entity", "n_rows", "n_values", "n_readings", "first_age", "last_age")]
     for i, t in enumerate(targets):
-        a, b = F.col(f"_a{i}"), F.col(f"_b{i}")
-        near = F.lit(True) if max_gap is None else (b - a <= max_gap)
-        for col in cols:
-            va, vb = F.col(f"_a{i}_{col}"), F.col(f"_b{i}_{col}")
-            on = F.when((b == t) & (F.col("n_readings") >= 2), vb)
-            between = F.when((b > t) & a.isNotNull(), va + (F.lit(t) - a) / (b - a) * (vb - va))
-            got = F.coalesce(on, between) if max_gap is None else F.when(
-                a.isNotNull() & b.isNotNull() & near, va + (F.lit(t) - a) / (b - a) * (vb - va))
-            sel.append(got.alias(f"v{i}" if col == value else f"v{i}_{col}"))
+        lo, hi = F.col(f"_a{i}"), F.col(f"_b{i}")
+        for x in cols:
+            va, vb = F.col(f"_a{i}_{x}"), F.col(f"_b{i}_{x}")
+            line = va + (F.lit(t) - lo) / (hi - lo) * (vb - va)
+            if max_gap is None:
+                got = F.when((hi == t) & (F.col("n_readings") >= 2), vb).when(
+                    (hi > t) & lo.isNotNull(), line)
+            else:
+                got = F.when(hi - lo <= max_gap, line)
+            sel.append(got.alias(f"v{i}" if x == value else f"v{i}_{x}"))
     return d.select(*sel)
 
 

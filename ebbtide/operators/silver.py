@@ -140,9 +140,9 @@ def owner_daily_cap(entities: DataFrame, caps: Mapping[str, int]) -> DataFrame:
         return entities.withColumn("over_daily_cap", F.lit(False))
     most = max(n for n in caps.values())
     limit = S.ladder(limits)
-    capped = entities.select("entity", "owner", "source", "published_at").filter(limit.isNotNull())
     w = Window.partitionBy("owner", "_day").orderBy("published_at", "entity")
-    first = (capped.withColumn("_day", F.to_date("published_at"))
+    first = (entities.select("entity", "owner", "source", "published_at")
+             .withColumn("_day", F.to_date("published_at"))
              .withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= most)
              .filter(F.col("_rn") <= limit).select("entity", F.lit(True).alias("_within")))
     return (entities.join(first, "entity", "left")

@@ -6,12 +6,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 STAMPS = "_cycle_id string, _ingested_at string, _platform string"
 
 # Identifiers are read as text, whatever JSON type they arrive in.
-POSTS_SCHEMA = T._parse_datatype_string(
+POSTS_SCHEMA = (
     "post_id string, creator_id string, creator_title string, creator_handle string, "
     "queried_handle string, owned_by_queried_account boolean, published_at string, "
     "discovered_at string, title string, description_len int, caption_len int, tag_count int, "
@@ -19,7 +18,7 @@ POSTS_SCHEMA = T._parse_datatype_string(
     "duration_iso string, media_type string, stratum_tier string, stratum_category string, "
     "views bigint, likes bigint, comments bigint, follower_count bigint, counts_hidden boolean, "
     "comments_disabled boolean, is_video boolean, is_pinned boolean, raw string, " + STAMPS)
-READINGS_SCHEMA = T._parse_datatype_string(
+READINGS_SCHEMA = (
     "post_id string, creator_id string, snapshot_ts string, published_at string, "
     "age_hours double, views bigint, likes bigint, comments bigint, at_discovery boolean, "
     "media_type string, " + STAMPS)
@@ -30,7 +29,7 @@ NATURAL_KEYS = {"posts": ("post_id",), "snapshots": ("post_id", "snapshot_ts")}
 
 
 def read_bronze(spark: SparkSession, root: str, kind: str, platform: str | None = None,
-                schema: T.StructType | None = None) -> DataFrame:
+                schema: str | None = None) -> DataFrame:
     """All records of one kind. `platform` prunes partitions; `_file` orders replays."""
     df = (spark.read.schema(schema or SCHEMAS[kind])
           .option("basePath", root).option("pathGlobFilter", f"{kind}-*.json*")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CYCLE_SCHEMA = T._parse_datatype_string(
+CYCLE_SCHEMA = (
     "cycle_id string, started_at string, finished_at string, dry_run boolean, "
     "panel_before struct<posts_total: bigint, posts_active: bigint, posts_due: bigint, "
     "snapshots_total: bigint, snapshots_per_post_mean: double>, "
