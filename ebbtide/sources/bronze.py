@@ -79,27 +79,30 @@ def merge_bronze(existing: DataFrame, incoming: DataFrame, keys: tuple[str, ...]
     return kept.unionByName(both.filter(~whole)).drop("_arrival")
 
 
-def write_bronze(df: DataFrame, root: str, kind: str, staging: str) -> None:
-    """Merge records into the partitions they touch.
+def merge_partitions(df: DataFrame, target: str, staging: str, keys: tuple[str, ...] | None,
+                     parts: tuple[str, ...], fmt: str = "parquet", ingested: str = "_ingested_at") -> None:
+    """Merge records into the partitions of `target` they touch; the others stay as they are.
 
     Spark cannot overwrite files it is reading, so the merged partitions are
     first written to `staging` (the shared folder) and read back from there
-    before they replace their originals. Only touched partitions are rewritten.
+    before they replace their originals. Repeating a merge changes nothing.
     """
     spark = df.sparkSession
-    target = f"{root}/{kind}"
-    stage = f"{staging}/{kind}-{uuid.uuid4().hex}"
-    touched = df.select("platform", "dt").distinct()          # one row per partition
+    stage = f"{staging}/{uuid.uuid4().hex}"
+    touched = F.broadcast(df.select(*parts).distinct())       # one row per partition
     try:
-        now = spark.read.schema(df.schema).json(target)
-        existing = now.join(F.broadcast(touched), ["platform", "dt"], "left_semi").select(df.columns)
+        now = spark.read.schema(df.schema).format(fmt).load(target)
+        existing = now.join(touched, list(parts), "left_semi").select(df.columns)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         existing = df.limit(0)
-    keys = NATURAL_KEYS.get(kind)
-    merged = merge_bronze(existing, df, None if keys is None else ("platform", "dt", *keys))
-    merged.write.mode("overwrite").json(stage)
-    (spark.read.schema(df.schema).json(stage).write
-     .option("partitionOverwriteMode", "dynamic").mode("overwrite")
-     .partitionBy("platform", "dt").json(target))
+    merged = merge_bronze(existing, df, None if keys is None else tuple(dict.fromkeys((*parts, *keys))), ingested)
+    merged.write.mode("overwrite").format(fmt).save(stage)
+    (spark.read.schema(df.schema).format(fmt).load(stage).write.format(fmt)
+     .option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(*parts).save(target))
+
+
+def write_bronze(df: DataFrame, root: str, kind: str, staging: str) -> None:
+    """Merge records of one kind into platform=<p>/dt=<d> as JSON lines."""
+    merge_partitions(df, f"{root}/{kind}", staging, NATURAL_KEYS.get(kind), ("platform", "dt"), "json")
