@@ -117,6 +117,13 @@ def feature_coverage(spark, sf):
     return feat.coverage_table(feat.early_features(weekly_panel(spark, sf), PANEL), COVER)
 
 
+@query("varying_features", f"WITH {WEEKLY_PANEL}, {early_ctes()}, fo AS (SELECT *, CAST(split_part(entity, '_', 1) AS INT) % 3 AS fold FROM ef) " + " UNION ALL ".join(
+    f"""SELECT CAST(fold AS BIGINT) AS fold, '{c}' AS feature, count({c}) AS n_values, count({c}) >= 10 AND coalesce(min({c}) < max({c}), false) AS kept FROM fo GROUP BY fold""" for c in COVER))
+def varying_features(spark, sf):
+    d = feat.early_features(weekly_panel(spark, sf), PANEL).withColumn("fold", F.split("entity", "_")[0].cast("int") % 3)
+    return feat.varying_table(d, COVER, ["fold"]).drop("median")
+
+
 @query("owner_daily_cap", f"""WITH {ORDER_ENTITIES}, {cap_ctes('oe', {'video': 1, 'photo': 0})}
   SELECT entity, owner, over_daily_cap FROM capped""")
 def owner_daily_cap(spark, sf):

@@ -9,9 +9,11 @@ from ebbtide.operators import survival as V
 from ebbtide.operators.concordance import concordance
 from ebbtide.operators.labels import decay_label
 from ebbtide.operators.pairs import decided_pairs, early_share_facts, keep_patterns, pair_counts, pair_share
-from ebbtide.operators.resample import bootstrap_ci, flag_bootstrap, owner_bootstrap, paired_delta_bootstrap
+from ebbtide.operators.resample import (bootstrap_ci, concordance_draws, flag_bootstrap, owner_bootstrap,
+                                        paired_delta_bootstrap, score_models)
 from ebbtide.operators.skew import average_ranks, exact_quantiles
 from ebbtide.plans.views import PANEL, event_panel, table, weekly_entities, weekly_panel
+from ebbtide.session import cut_lineage
 from ebbtide.sources.tables import stack_models
 
 LIFE = f"""{EVENT_PANEL}, {label_ctes()}, life AS (SELECT entity, split_part(entity, '_', 1) AS owner, split_part(entity, '_', 2) AS tier,
@@ -116,6 +118,12 @@ def concordance_life(spark, sf):
     return concordance(life(spark, sf), predicted="m1")
 
 
+@query("concordance_by_model", f"WITH {STACK} SELECT a.model, " + pairs_sql("stk", "duration", "event", "predicted")[7:]
+       .replace("ON a.event", "ON a.model = b.model AND a.event") + " GROUP BY a.model")
+def concordance_by_model(spark, sf):
+    return concordance(stacked(spark, sf), by=["model"], buckets=7)
+
+
 ORDERS = """o AS (SELECT date_diff('day', TIMESTAMP '1990-01-01', o_orderdate) AS t, o_orderstatus = 'F' AS e,
   floor(o_totalprice / 1000) AS p FROM orders)"""
 
@@ -247,12 +255,14 @@ def owner_boot_total(spark, sf):
 
 @query("bootstrap_ci")
 def boot_ci(spark, sf):
-    return bootstrap_ci(stacked(spark, sf), 100, PANEL.seed)
+    s = cut_lineage(stacked(spark, sf))
+    return bootstrap_ci(score_models(s), concordance_draws(s, 100, PANEL.seed))
 
 
 @query("paired_delta_bootstrap")
 def paired(spark, sf):
-    return paired_delta_bootstrap(stacked(spark, sf), [("m1", "m2")], 100, PANEL.seed)
+    s = cut_lineage(stacked(spark, sf))
+    return paired_delta_bootstrap(score_models(s), cut_lineage(concordance_draws(s, 100, PANEL.seed)), [("m1", "m2")])
 
 
 MARK_CASE = "CASE " + " ".join(f"WHEN {m!r}::DOUBLE <= duration + {PANEL.tolerance} THEN {m!r}::DOUBLE" for m in reversed(PANEL.marks)) + f" ELSE {PANEL.marks[0]!r}::DOUBLE END"

@@ -240,8 +240,8 @@ def percentile_ctes(feature: str) -> str:
   q3 AS (SELECT q2.*, CASE WHEN f.band IS NOT NULL THEN q2.own ELSE 'all' END AS band FROM q2 LEFT JOIN sz f ON f.mark = q2.mark AND f.band = q2.own AND f.n >= 100 AND f.ow >= 5),
   rc AS (SELECT mark, band, x, count(*) AS c FROM rf GROUP BY ALL),
   q4 AS (SELECT q3.id, q3.lo, q3.hi, q3.age, q3.mark, 100.0 * (sum(CASE WHEN rc.x < q3.x THEN c ELSE 0 END) + 0.5 * sum(CASE WHEN rc.x = q3.x THEN c ELSE 0 END)) / sum(c) AS pct, CAST(sum(c) AS BIGINT) AS n
-    FROM q3 JOIN rc ON rc.mark = q3.mark AND rc.band = q3.band GROUP BY ALL),
-  pc AS (SELECT id, arg_min(pct, mark) AS p_lo, arg_max(pct, mark) AS p_hi, max(n) AS n, any_value(lo) AS lo, any_value(hi) AS hi, any_value(age) AS age FROM q4 GROUP BY id)"""
+    FROM q3 LEFT JOIN rc ON rc.mark = q3.mark AND rc.band = q3.band GROUP BY ALL),
+  pc AS (SELECT id, max(CASE WHEN mark = lo THEN pct END) AS p_lo, max(CASE WHEN mark = hi THEN pct END) AS p_hi, max(n) AS n, any_value(lo) AS lo, any_value(hi) AS hi, any_value(age) AS age FROM q4 GROUP BY id)"""
 
 
 @query("midrank_percentile", f"""WITH {TRAIN}, {percentile_ctes('log_views')} SELECT CAST(id AS VARCHAR) AS id, round(CASE WHEN hi > lo THEN

@@ -1,92 +1,102 @@
 """Training helpers shared by the survival models.
 
 A training table has `entity, owner, duration, event` and predictor columns. A
-model offers `fit(train)` and, on the fitted object, `predict(df)`, which adds
-`predicted` (hours, larger = longer life). Nothing is learned from test rows.
+model offers `fit(train, profile)` and, on the fitted object, `predict(df)`,
+which adds `predicted` (hours, larger = longer life). Nothing is learned from
+test rows.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import sqrt
 
 import numpy as np
-from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.operators.features import varying_features
-from ebbtide.operators.skew import exact_quantiles
+from ebbtide.functions.scalars import finite
+from ebbtide.operators.skew import is_small
 
 EPSILON = 1e-3
+MIN_VALUES = 10
 
 
-def median_duration(train: DataFrame) -> float:
-    row = exact_quantiles(train, "duration", [0.5]).first()
-    return float(row["q"][0]) if row and row["q"] else 48.0
+@dataclass(frozen=True)
+class Profile:
+    """What the models need to know about a training table, from one aggregate row."""
 
+    n: int
+    n_events: int
+    median_duration: float
+    stats: dict[str, tuple]            # column -> (values, median, mean, sd) after median imputation
 
-def as_doubles(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Predictors as doubles with NaN read as missing; absent ones become null."""
-    have = set(df.columns)
-    return df.withColumns({
-        c: (F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) if c in have
-            else F.lit(None).cast("double")) for c in cols})
-
-
-@dataclass
+    @classmethod
+    def of(cls, train: DataFrame, columns: list[str]) -> "Profile":
+        """Medians are exact where the table is small, else within 1/10,000 in rank."""
+        cols = [c for c in dict.fromkeys(columns) if c in train.columns]
+        exact = is_small(train)
+        mid = (lambda x: F.percentile(x, 0.5)) if exact else (lambda x: F.percentile_approx(x, 0.5, 10_000))
+        aggs = [F.count(F.lit(1)).alias("n"), F.count_if("event").alias("e"),
+                mid(F.col("duration").cast("double")).alias("d")]
+        for i, c in enumerate(cols):
+            x = finite(c)
+            aggs += [F.count(x).alias(f"c{i}"), mid(x).alias(f"m{i}"), F.avg(x).alias(f"a{i}"),
+                     F.var_pop(x).alias(f"v{i}"), (F.min(x) < F.max(x)).alias(f"w{i}")]
+        r = train.agg(*aggs).first()
+        stats = {}
+        for i, c in enumerate(cols):
+            k, m = r[f"c{i}"], r[f"m{i}"]
+            if k < MIN_VALUES or not r[f"w{i}"]:
+                continue
+            share = k / r["n"]                     # the rest becomes the median
+            mean = share * r[f"a{i}"] + (1 - share) * m
+            var = share * (r[f"v{i}"] + (r[f"a{i}"] - mean) ** 2) + (1 - share) * (m - mean) ** 2
+            if var > 0:
+                stats[c] = (k, float(m), float(mean), sqrt(var))
+        return cls(r["n"], r["e"], float(r["d"]) if r["d"] is not None else 48.0, stats)
+
+
+@dataclass(frozen=True)
 class Design:
-    """Median imputation (from the training rows) and assembly of the kept columns."""
+    """Median imputation and standardisation of the columns that vary in the training rows."""
 
-    columns: list[str]
-    imputer: object
-    centre: list[float]
-    scale: list[float]
+    columns: tuple[str, ...]
+    stats: dict[str, tuple]
 
     @classmethod
-    def fit(cls, train: DataFrame, features: list[str], drop_collinear: bool = False) -> "Design | None":
-        cols = varying_features(train, [c for c in features if c in train.columns])
+    def build(cls, profile: Profile, features: list[str], train: DataFrame | None = None) -> "Design | None":
+        """With `train`, columns the earlier ones explain almost wholly are dropped too."""
+        cols = tuple(c for c in features if c in profile.stats)
         if not cols:
             return None
-        d = as_doubles(train, cols)
-        out = [f"_x_{c}" for c in cols]
-        imputer = Imputer(strategy="median", inputCols=cols, outputCols=out).fit(d)
-        m = imputer.transform(d).agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(out)],
-                                     *[F.stddev(c).alias(f"s{i}") for i, c in enumerate(out)]).first()
-        keep = [i for i in range(len(cols)) if (m[f"s{i}"] or 0) > 0]
-        design = cls([cols[i] for i in keep], imputer, [m[f"m{i}"] for i in keep], [m[f"s{i}"] for i in keep])
-        if drop_collinear and len(keep) > 1:
-            design = design._independent(train)
-        return design if design.columns else None
+        design = cls(cols, profile.stats)
+        return design._independent(train) if train is not None and len(cols) > 1 else design
 
     def _independent(self, train: DataFrame, most: float = 0.999) -> "Design":
-        """Drop columns that the earlier ones explain almost wholly (unpenalised fits need this)."""
         c = Correlation.corr(self.transform(train), "features").first()[0].toArray()
         kept: list[int] = []
         for i in range(len(self.columns)):
             if kept:
                 r = c[np.ix_(kept, [i])]
-                explained = float((r.T @ np.linalg.pinv(c[np.ix_(kept, kept)]) @ r)[0, 0])
-                if explained > most:
+                if float((r.T @ np.linalg.pinv(c[np.ix_(kept, kept)]) @ r)[0, 0]) > most:
                     continue
             kept.append(i)
-        pick = lambda xs: [xs[i] for i in kept]
-        return Design(pick(self.columns), self.imputer, pick(self.centre), pick(self.scale))
+        return Design(tuple(self.columns[i] for i in kept), self.stats)
+
+    def standard(self, c: str, have: bool) -> Column:
+        _, median, mean, sd = self.stats[c]
+        x = F.coalesce(finite(c), F.lit(median)) if have else F.lit(median)
+        return (x - F.lit(mean)) / F.lit(sd)
 
-    def transform(self, df: DataFrame, extra: dict | None = None, out: str = "features") -> DataFrame:
+    def transform(self, df: DataFrame, extra: dict[str, Column] | None = None, out: str = "features") -> DataFrame:
         """Standardised feature vector; `extra` adds named columns to it."""
-        d = self.imputer.transform(as_doubles(df, self.imputer.getInputCols()))
-        names = []
-        cols = {}
-        for c, m, s in zip(self.columns, self.centre, self.scale):
-            cols[f"_z_{c}"] = (F.col(f"_x_{c}") - F.lit(m)) / F.lit(s)
-            names.append(f"_z_{c}")
-        for n, x in (extra or {}).items():
-            cols[n] = x
-            names.append(n)
-        d = VectorAssembler(inputCols=names, outputCol=out).transform(d.withColumns(cols))
-        return d.drop(*[f"_x_{c}" for c in self.imputer.getInputCols()],
-                      *[n for n in names if n.startswith("_z_")])
+        cols = {f"_z_{c}": self.standard(c, c in df.columns) for c in self.columns}
+        cols.update(extra or {})
+        d = VectorAssembler(inputCols=list(cols), outputCol=out).transform(df.withColumns(cols))
+        return d.drop(*cols)
 
 
 @dataclass

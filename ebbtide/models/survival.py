@@ -10,25 +10,22 @@ from pyspark.ml.regression import AFTSurvivalRegression, GBTRegressor, LinearReg
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.models.base import EPSILON, Constant, Design, median_duration
+from ebbtide.models.base import EPSILON, Constant, Design, Profile
 from ebbtide.operators.survival import km_median, rmst
 
 MIN_EVENTS_FOREST = 5
 MIN_EVENTS_REGRESSION = 20
 
 
-def n_events(train: DataFrame) -> int:
-    return train.agg(F.count_if("event")).first()[0]
-
-
 @dataclass
 class ConstantLifetime:
     """Everything ends at the same age."""
 
     hours: float = 48.0
     name: str = "constant_48h"
+    features: tuple = ()
 
-    def fit(self, train: DataFrame) -> Constant:
+    def fit(self, train: DataFrame, profile: Profile | None = None) -> Constant:
         return Constant(self.hours)
 
 
@@ -37,8 +34,9 @@ class KaplanMeierMedian:
     """The cohort's median survival; the largest time where half never end."""
 
     name: str = "km_median"
+    features: tuple = ()
 
-    def fit(self, train: DataFrame) -> Constant:
+    def fit(self, train: DataFrame, profile: Profile | None = None) -> Constant:
         return Constant(float(km_median(train).first()["km_median"]))
 
 
@@ -54,10 +52,11 @@ class WeibullAFT:
     name: str = "weibull_aft"
     max_iter: int = 100
 
-    def fit(self, train: DataFrame):
-        design = Design.fit(train, self.features, drop_collinear=True)
-        if design is None or n_events(train) == 0:
-            return Constant(median_duration(train))
+    def fit(self, train: DataFrame, profile: Profile | None = None):
+        profile = profile or Profile.of(train, self.features)
+        design = Design.build(profile, self.features, train)
+        if design is None or profile.n_events == 0:
+            return Constant(profile.median_duration)
         d = design.transform(train).select(
             "features", F.greatest(F.col("duration").cast("double"), F.lit(EPSILON)).alias("duration"),
             F.col("event").cast("double").alias("event"))
@@ -94,8 +93,8 @@ class LogLinear:
     features: list[str]
     name: str = "loglinear_uncensored"
 
-    def fit(self, train: DataFrame):
-        return _fit_log(self, train, LinearRegression(featuresCol="features", labelCol="_y", predictionCol="_p",
+    def fit(self, train: DataFrame, profile: Profile | None = None):
+        return _fit_log(self, train, profile, LinearRegression(featuresCol="features", labelCol="_y", predictionCol="_p",
                                                       solver="normal"))
 
 
@@ -108,20 +107,19 @@ class GradientBoosted:
     rounds: int = 200
     seed: int = 20260830
 
-    def fit(self, train: DataFrame):
-        return _fit_log(self, train, GBTRegressor(featuresCol="features", labelCol="_y", predictionCol="_p",
+    def fit(self, train: DataFrame, profile: Profile | None = None):
+        return _fit_log(self, train, profile, GBTRegressor(featuresCol="features", labelCol="_y", predictionCol="_p",
                                                   maxDepth=3, maxIter=self.rounds, stepSize=0.06, seed=self.seed))
 
 
-def _fit_log(spec, train: DataFrame, estimator):
-    seen = train.filter("event")
-    if n_events(train) < MIN_EVENTS_REGRESSION:
-        return Constant(median_duration(train))
-    design = Design.fit(train, spec.features)
-    if design is None:
-        return Constant(median_duration(train))
+def _fit_log(spec, train: DataFrame, profile: Profile | None, estimator):
+    profile = profile or Profile.of(train, spec.features)
+    design = Design.build(profile, spec.features)
+    if design is None or profile.n_events < MIN_EVENTS_REGRESSION:
+        return Constant(profile.median_duration)
     y = F.log10(F.greatest(F.col("duration").cast("double"), F.lit(1e-6)))
-    return _FittedLog(design, estimator.fit(design.transform(seen).withColumn("_y", y)))
+    rows = design.transform(train.filter("event")).select("features", y.alias("_y"))
+    return _FittedLog(design, estimator.fit(rows))
 
 
 @dataclass
@@ -148,7 +146,8 @@ def person_periods(df: DataFrame, grid: list[float], time: str = "duration", eve
     at_risk = F.filter(cells, lambda c: (c["start"] < t) | (c["slot"] == 0))
     # A censored interval is only counted when it was lived through to its mark.
     kept = F.filter(at_risk, lambda c: F.col(event) | (c["mark"] <= t))
-    d = df.withColumn("_c", F.explode(kept)).select(*df.columns, "_c.*")
+    own = [x for x in df.columns if x not in ("slot", "start", "mark", "ended")]
+    d = df.withColumn("_c", F.explode(kept)).select(*own, "_c.*")
     inside = F.col(event) & (t <= F.col("mark"))
     return d.withColumn("ended", inside.cast("double")).drop("start")
 
@@ -171,10 +170,11 @@ class HazardForest:
     max_depth: int = 8
     seed: int = 20260830
 
-    def fit(self, train: DataFrame):
-        design = Design.fit(train, self.features)
-        if design is None or n_events(train) < MIN_EVENTS_FOREST:
-            return Constant(median_duration(train))
+    def fit(self, train: DataFrame, profile: Profile | None = None):
+        profile = profile or Profile.of(train, self.features)
+        design = Design.build(profile, self.features)
+        if design is None or profile.n_events < MIN_EVENTS_FOREST:
+            return Constant(profile.median_duration)
         periods = design.transform(person_periods(train, self.grid), {"_mark": F.ln(F.col("mark") + 1)})
         forest = RandomForestClassifier(
             featuresCol="features", labelCol="ended", numTrees=self.trees, minInstancesPerNode=self.min_leaf,

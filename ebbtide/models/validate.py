@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.config import INSTANT_COLUMNS, PanelConfig
 from ebbtide.functions import scalars as S
-from ebbtide.models.base import median_duration
+from ebbtide.models.base import Profile
 from ebbtide.models.survival import HazardForest, blend, fade_by
 from ebbtide.operators.survival import average_curve
 from ebbtide.operators.tables import model_rows
@@ -57,9 +57,10 @@ def grouped_cv(models: list, frame: DataFrame, k: int = 5) -> DataFrame:
     out = None
     for f in folds:
         train, test = folded.filter(F.col("fold") != f), folded.filter(F.col("fold") == f)
-        fallback = median_duration(train)
+        profile = Profile.of(train, [c for m in models for c in m.features])      # shared by all models
+        fallback = profile.median_duration
         for m in models:
-            p = m.fit(train).predict(test)
+            p = m.fit(train, profile).predict(test)
             good = S.finite("predicted")
             p = p.select("fold", "entity", "owner", "duration", "event", F.lit(m.name).alias("model"),
                          F.when(good > 0, good).otherwise(F.lit(fallback)).alias("predicted"))

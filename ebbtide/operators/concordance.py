@@ -20,8 +20,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ebbtide.session import cut_lineage
+
 ROWS_PER_BUCKET = 200_000
 MAX_BUCKETS = 1_024
+MAX_GROUPS = 100
 
 
 class PairCounts:
@@ -68,42 +71,57 @@ class PairCounts:
         return less, equal, float(wj @ before[start])
 
 
-def _edges(df: DataFrame, col: str, n: int) -> list[float]:
-    at = [i / n for i in range(1, n)]
-    if not at:
-        return []
-    got = df.agg(F.percentile_approx(col, at, 10_000)).first()[0] or []
-    return sorted(set(got))
+_STRIDE = 32
+
+
+def _edge_table(d: DataFrame, by: list[str], buckets: int) -> DataFrame:
+    """Bucket edges of both axes per group: one small row each."""
+    at = [i / buckets for i in range(1, buckets)]
+    found = d.groupBy(*by).agg(F.percentile_approx("t", at, 10_000).alias("t"),
+                               F.percentile_approx("p", at, 10_000).alias("p")).collect()
+    rows = []
+    for r in found:
+        te, pe = sorted(set(r["t"] or [])), sorted(set(r["p"] or []))
+        rows.append((*[r[x] for x in by], te, te[_STRIDE - 1::_STRIDE], pe, pe[_STRIDE - 1::_STRIDE]))
+    keys = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in d.select(*by).schema.fields)
+    arrays = ", ".join(f"{n} array<double>" for n in ("_te", "_tc", "_pe", "_pc"))
+    return d.sparkSession.createDataFrame(rows, keys + arrays)
 
 
-def _bucket(col: str, edges: list[float]):
+def _bucket(x: str, edges: str, coarse: str):
     """(number of edges below, sits on an edge): edge values are buckets of their own."""
-    if not edges:
-        return F.lit(0), F.lit(False)
-    arr, stride = F.array(*[F.lit(float(e)) for e in edges]), 32
-    coarse = F.array(*[F.lit(float(e)) for e in edges[stride - 1::stride]]) if len(edges) >= stride else None
-    x = F.col(col)
-    base = F.lit(0) if coarse is None else F.size(F.filter(coarse, lambda e: e < x)) * stride
-    below = base + F.size(F.filter(F.slice(arr, base + 1, stride), lambda e: e < x))
-    return below, F.coalesce(F.get(arr, below) == x, F.lit(False))
+    base = F.size(F.filter(coarse, lambda e: e < F.col(x))) * _STRIDE
+    below = base + F.size(F.filter(F.slice(edges, base + 1, _STRIDE), lambda e: e < F.col(x)))
+    return below, F.coalesce(F.get(edges, below) == F.col(x), F.lit(False))
 
 
 def pair_table(df: DataFrame, time: str, event: str, predicted: str, by: list[str] = (),
-               buckets: int | None = None) -> DataFrame:
-    """Distinct points with their weights and buckets: by, t, c, p, n, e, tb, pb."""
+               weight_by: list[str] = (), buckets: int | None = None) -> DataFrame:
+    """Distinct points with their weights and buckets: by, weight_by, t, c, p, n, e, tb, pb.
+
+    `by` names independent comparisons (at most 100), each with its own edges.
+    """
+    by = list(by)
     d = (df.filter(F.col(time).isNotNull() & F.col(predicted).isNotNull())
-         .groupBy(*by, F.col(time).cast("double").alias("t"),
+         .groupBy(*by, *weight_by, F.col(time).cast("double").alias("t"),
                   (~F.col(event).cast("boolean")).cast("int").alias("c"),
                   F.col(predicted).cast("double").alias("p"))
          .agg(F.count(F.lit(1)).alias("n")))
     if buckets is None:
-        buckets = max(1, min(MAX_BUCKETS, ceil(d.count() / ROWS_PER_BUCKET)))
-    tb, t_on = _bucket("t", _edges(d, "t", buckets))
-    pb, p_on = _bucket("p", _edges(d, "p", buckets))
+        most = d.groupBy(*by).agg(F.count(F.lit(1)).alias("k")).agg(F.max("k"), F.count(F.lit(1))).first()
+        if (most[1] or 0) > MAX_GROUPS:
+            raise ValueError(f"at most {MAX_GROUPS} comparisons at once")
+        buckets = max(1, min(MAX_BUCKETS, ceil((most[0] or 0) / ROWS_PER_BUCKET)))
+    d = d.withColumn("e", F.when(F.col("c") == 0, F.col("n")).otherwise(0))
+    if buckets == 1:
+        return d.withColumns({"tb": F.lit(0), "pb": F.lit(0)})
+    edges = F.broadcast(_edge_table(d, by, buckets))           # at most MAX_GROUPS rows
+    d = d.join(edges, by) if by else d.crossJoin(edges)
+    tb, t_on = _bucket("t", "_te", "_tc")
+    pb, p_on = _bucket("p", "_pe", "_pc")
     # A time on an edge splits into its events, then its censored rows.
     return d.withColumns({"tb": tb * 3 + F.when(t_on, F.col("c") + 1).otherwise(0),
-                          "pb": pb * 2 + p_on.cast("int"),
-                          "e": F.when(F.col("c") == 0, F.col("n")).otherwise(0)})
+                          "pb": pb * 2 + p_on.cast("int")}).drop("_te", "_tc", "_pe", "_pc")
 
 
 _OUT = "pairs double, less double, equal double"
@@ -146,21 +164,33 @@ def _blocks(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def concordance(df: DataFrame, time: str = "duration", event: str = "event", predicted: str = "predicted",
-                buckets: int | None = None) -> DataFrame:
-    """One row: comparable pairs, concordant, tied, and the C-index (null without pairs).
+                by: list[str] = (), buckets: int | None = None) -> DataFrame:
+    """Comparable pairs, concordant, tied, and the C-index (null without pairs), per group.
 
     The cell table has at most (3B)(2B) rows for B <= 1,024 buckets per axis and
-    is the only thing handled in one task.
+    is the only thing of a group handled in one task.
     """
-    d = pair_table(df, time, event, predicted, buckets=buckets)
-    cells = d.groupBy("tb", "pb").agg(F.sum("e").alias("e"), F.sum("n").alias("n"))
-    parts = (cells.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(_blocks, _OUT)
-             .unionByName(d.filter(F.col("tb") % 3 == 0).groupBy("tb").applyInPandas(_within_time, _OUT))
-             .unionByName(d.filter(F.col("pb") % 2 == 0).groupBy("pb").applyInPandas(_within_prediction, _OUT)))
-    s = parts.agg(*[F.coalesce(F.sum(x), F.lit(0.0)).alias(x) for x in ("pairs", "less", "equal")])
-    return s.select(F.col("pairs").cast("bigint").alias("pairs"), F.col("less").cast("bigint").alias("concordant"),
-                    F.col("equal").cast("bigint").alias("tied"),
-                    (F.col("less") + F.col("equal") / 2).__truediv__(F.nullif("pairs", F.lit(0.0))).alias("c_index"))
+    by = list(by)
+    # The points are read once per kind of comparison, so they are written out first.
+    d = cut_lineage(pair_table(df, time, event, predicted, by, buckets=buckets))
+    d = d.withColumn("_g", F.to_json(F.struct(*by)) if by else F.lit(""))
+    cells = d.groupBy("_g", "tb", "pb").agg(F.sum("e").alias("e"), F.sum("n").alias("n"))
+
+    def per(rows: DataFrame, keys: list[str], count) -> DataFrame:
+        return rows.groupBy("_g", *keys).applyInPandas(lambda pdf: count(pdf).assign(_g=pdf["_g"].iloc[0]),
+                                                       "_g string, " + _OUT)
+
+    parts = (per(cells, [], _blocks)
+             .unionByName(per(d.filter(F.col("tb") % 3 == 0), ["tb"], _within_time))
+             .unionByName(per(d.filter(F.col("pb") % 2 == 0), ["pb"], _within_prediction)))
+    s = parts.groupBy("_g").agg(*[F.sum(x).alias(x) for x in ("pairs", "less", "equal")])
+    got = s.select("_g", F.col("pairs").cast("bigint").alias("pairs"), F.col("less").cast("bigint").alias("concordant"),
+                   F.col("equal").cast("bigint").alias("tied"),
+                   ((F.col("less") + F.col("equal") / 2) / F.nullif("pairs", F.lit(0.0))).alias("c_index"))
+    if not by:
+        return got.drop("_g")
+    keys = d.select("_g", *by).distinct()                       # at most MAX_GROUPS rows
+    return keys.join(got, "_g").drop("_g")
 
 
 GRID_SMALL, GRID_LARGE = 1_024, 256
@@ -168,25 +198,24 @@ GRID_SMALL, GRID_LARGE = 1_024, 256
 
 def weighted_grid(df: DataFrame, time: str = "duration", event: str = "event",
                   predicted: str = "predicted") -> DataFrame:
-    """Cells per owner for resampling: owner, tb, pb, e, n.
+    """Cells per model and owner for resampling: model, owner, tb, cb, pb, e, n.
 
     With at most GRID_SMALL distinct times and predictions every cell is one
     point and resampled counts are exact. Beyond that, GRID_LARGE quantile
     buckets per axis are used and pairs inside one prediction bucket count as
     ties; this affects only the spread of resampled values, never the estimate.
     """
-    v = df.agg(F.approx_count_distinct(time).alias("t"), F.approx_count_distinct(predicted).alias("p")).first()
-    if max(v["t"], v["p"]) <= GRID_SMALL:
-        tb, pb = F.col(time).cast("double"), F.col(predicted).cast("double")
-        tau = F.struct(tb.alias("t"), (~F.col(event)).cast("int").alias("c"))
-        d = df.select("owner", tau["t"].alias("tb"), tau["c"].alias("cb"), pb.alias("pb"),
-                      F.col(event).cast("int").alias("e"))
+    v = (df.groupBy("model").agg(F.approx_count_distinct(time).alias("t"), F.approx_count_distinct(predicted).alias("p"))
+         .agg(F.max("t"), F.max("p")).first())
+    if max(v[0] or 0, v[1] or 0) <= GRID_SMALL:
+        d = df.select("model", "owner", F.col(time).cast("double").alias("tb"),
+                      (~F.col(event)).cast("int").alias("cb"), F.col(predicted).cast("double").alias("pb"),
+                      F.col(event).cast("int").alias("e"), F.lit(1).alias("n"))
     else:
-        t = pair_table(df, time, event, predicted, by=["owner"], buckets=GRID_LARGE)
-        d = t.select("owner", F.col("tb").cast("double").alias("tb"), F.lit(0).alias("cb"),
+        t = pair_table(df, time, event, predicted, ["model"], ["owner"], GRID_LARGE)
+        d = t.select("model", "owner", F.col("tb").cast("double").alias("tb"), F.lit(0).alias("cb"),
                      F.col("pb").cast("double").alias("pb"), "e", "n")
-    n = F.sum("n") if "n" in d.columns else F.count(F.lit(1))
-    return d.groupBy("owner", "tb", "cb", "pb").agg(F.sum("e").alias("e"), n.alias("n"))
+    return d.groupBy("model", "owner", "tb", "cb", "pb").agg(F.sum("e").alias("e"), F.sum("n").alias("n"))
 
 
 def c_index_of_draw(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -153,14 +153,19 @@ def coverage_table(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()
         *by, "c.*", ((F.col("c.coverage") >= min_coverage) & F.col("c.varies")).alias("usable"))
 
 
-def varying_features(df: DataFrame, columns: Sequence[str], min_rows: int = 10) -> list[str]:
-    """Columns with at least `min_rows` values and two different ones (rule per training fold)."""
-    cols = [x for x in columns if x in df.columns]
-    if not cols:
-        return []
-    row = df.agg(*[F.count(S.finite(x)).alias(f"{x}__c") for x in cols],
-                 *[(F.min(S.finite(x)) < F.max(S.finite(x))).alias(f"{x}__v") for x in cols]).first()
-    return [x for x in cols if row[f"{x}__c"] >= min_rows and row[f"{x}__v"]]
+def varying_table(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), min_rows: int = 10) -> DataFrame:
+    """Per training fold: which columns have enough values and vary, with their medians."""
+    aggs = []
+    for x in columns:
+        v = S.finite(x)
+        aggs += [F.count(v).alias(f"{x}__c"), F.percentile_approx(v, 0.5, 10_000).alias(f"{x}__m"),
+                 F.coalesce(F.min(v) < F.max(v), F.lit(False)).alias(f"{x}__v")]
+    cells = F.explode(F.array(*[F.struct(F.lit(x).alias("feature"), F.col(f"{x}__c").alias("n_values"),
+                                         F.col(f"{x}__m").alias("median"), F.col(f"{x}__v").alias("varies"))
+                                for x in columns])).alias("c")
+    return df.groupBy(*by).agg(*aggs).select(*by, cells).select(
+        *by, "c.feature", "c.n_values", "c.median",
+        ((F.col("c.n_values") >= min_rows) & F.col("c.varies")).alias("kept"))
 
 
 def _coverage(x: str):

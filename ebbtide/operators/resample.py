@@ -80,16 +80,11 @@ def flag_bootstrap(flagged: DataFrame, fast: str, draws: int, seed: int) -> Data
 
 def concordance_draws(stacked: DataFrame, draws: int, seed: int) -> DataFrame:
     """C-index and MAE of every model in every draw, all models on the same draws."""
-    models = [r[0] for r in stacked.select("model").distinct().orderBy("model").limit(100).collect()]
     w = owner_weights(stacked, draws, seed)
-    c = None
-    for m in models:
-        cells = weighted_grid(stacked.filter(F.col("model") == m))
-        d = (cells.join(w, "owner").groupBy("draw", "tb", "cb", "pb")
-             .agg(F.sum(F.col("e") * F.col("w")).alias("e"), F.sum(F.col("n") * F.col("w")).alias("n"))
-             .withColumn("model", F.lit(m))
-             .groupBy("draw", "model").applyInPandas(c_index_of_draw, "draw int, model string, c_index double"))
-        c = d if c is None else c.unionByName(d)
+    cells = weighted_grid(stacked)
+    c = (cells.join(w, "owner").groupBy("draw", "model", "tb", "cb", "pb")
+         .agg(F.sum(F.col("e") * F.col("w")).alias("e"), F.sum(F.col("n") * F.col("w")).alias("n"))
+         .groupBy("draw", "model").applyInPandas(c_index_of_draw, "draw int, model string, c_index double"))
     per = (stacked.filter("event").groupBy("model", "owner")
            .agg(F.sum(F.abs(log_error())).alias("s"), F.count(F.lit(1)).alias("k")))
     mae = per.join(w, "owner").groupBy("draw", "model").agg(
@@ -97,43 +92,35 @@ def concordance_draws(stacked: DataFrame, draws: int, seed: int) -> DataFrame:
     return c.join(mae, ["draw", "model"], "left")
 
 
-def bootstrap_ci(stacked: DataFrame, draws: int, seed: int, alpha: float = 0.05) -> DataFrame:
-    """Per model: C-index and MAE with owner-resampled intervals."""
-    d = concordance_draws(stacked, draws, seed)
+def score_models(stacked: DataFrame) -> DataFrame:
+    """Exact C-index, MAE and RMSE per model, all models in one pass."""
+    c = concordance(stacked, by=["model"]).select("model", "c_index", "pairs")
+    return c.join(log_errors(stacked, ["model"]), "model", "left")
+
+
+def bootstrap_ci(scores: DataFrame, drawn: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """Per model: C-index and MAE with the intervals of resampled owners."""
     q = [alpha / 2, 1 - alpha / 2]
-    ci = d.groupBy("model").agg(F.percentile("c_index", q).alias("c"), F.percentile("mae_log10", q).alias("m"))
-    points = score_models(stacked)
-    return points.join(ci, "model").select(
+    ci = drawn.groupBy("model").agg(F.percentile("c_index", q).alias("c"), F.percentile("mae_log10", q).alias("m"))
+    return scores.join(ci, "model").select(
         "model", "c_index", F.col("c")[0].alias("c_low"), F.col("c")[1].alias("c_high"),
         "mae_log10", F.col("m")[0].alias("mae_low"), F.col("m")[1].alias("mae_high"), "rmse_log10")
 
 
-def score_models(stacked: DataFrame) -> DataFrame:
-    """Exact C-index, MAE and RMSE per model."""
-    models = [r[0] for r in stacked.select("model").distinct().orderBy("model").limit(100).collect()]
-    c = None
-    for m in models:
-        one = concordance(stacked.filter(F.col("model") == m)).select(F.lit(m).alias("model"), "c_index", "pairs")
-        c = one if c is None else c.unionByName(one)
-    return c.join(log_errors(stacked, ["model"]), "model", "left")
-
-
-def paired_delta_bootstrap(stacked: DataFrame, pairs: list[tuple[str, str]], draws: int, seed: int,
+def paired_delta_bootstrap(scores: DataFrame, drawn: DataFrame, pairs: list[tuple[str, str]],
                            alpha: float = 0.05) -> DataFrame:
     """Model minus baseline on the same draws: differences, intervals, share of draws ahead."""
-    d = concordance_draws(stacked, draws, seed)
-    spark = stacked.sparkSession
-    pt = spark.createDataFrame(pairs, "model string, baseline string")
-    x = d.select("draw", "model", F.col("c_index").alias("ca"), F.col("mae_log10").alias("ma"))
-    y = d.select("draw", F.col("model").alias("baseline"), F.col("c_index").alias("cb"), F.col("mae_log10").alias("mb"))
+    pt = scores.sparkSession.createDataFrame(pairs, "model string, baseline string")
+    x = drawn.select("draw", "model", F.col("c_index").alias("ca"), F.col("mae_log10").alias("ma"))
+    y = drawn.select("draw", F.col("model").alias("baseline"), F.col("c_index").alias("cb"), F.col("mae_log10").alias("mb"))
     j = pt.join(x, "model").join(y, ["draw", "baseline"]).filter(F.col("ca").isNotNull() & F.col("cb").isNotNull())
     q = [alpha / 2, 1 - alpha / 2]
     dc, dm = F.col("ca") - F.col("cb"), F.col("ma") - F.col("mb")
     ci = j.groupBy("model", "baseline").agg(
         F.count(F.lit(1)).alias("draws"), F.percentile(dc, q).alias("c"), F.percentile(dm, q).alias("m"),
         F.avg((dc > 0).cast("double")).alias("share_draws_ahead"))
-    s = score_models(stacked).select("model", "c_index", "mae_log10")
-    b = s.select(F.col("model").alias("baseline"), F.col("c_index").alias("cb"), F.col("mae_log10").alias("mb"))
+    s = scores.select("model", "c_index", "mae_log10")
+    b = scores.select(F.col("model").alias("baseline"), F.col("c_index").alias("cb"), F.col("mae_log10").alias("mb"))
     return (ci.join(s, "model").join(b, "baseline").select(
         "model", "baseline", "draws", (F.col("c_index") - F.col("cb")).alias("delta_c_index"),
         F.col("c")[0].alias("delta_c_low"), F.col("c")[1].alias("delta_c_high"), "share_draws_ahead",

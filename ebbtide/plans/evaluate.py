@@ -15,8 +15,8 @@ from ebbtide.operators import features as feat
 from ebbtide.operators.concordance import concordance
 from ebbtide.operators.metrics import (brier_skill, calibration_deciles, flag_metrics, flagged, fold_scores, h2_table,
                                        known_status, outcome_at, wilcoxon_signed_rank)
-from ebbtide.operators.resample import (bootstrap_ci, flag_bootstrap, owner_bootstrap, paired_delta_bootstrap,
-                                        score_models)
+from ebbtide.operators.resample import (bootstrap_ci, concordance_draws, flag_bootstrap, owner_bootstrap,
+                                        paired_delta_bootstrap, score_models)
 from ebbtide.operators.survival import cohort_counts
 from ebbtide.session import cut_lineage
 from ebbtide.sources.tables import stack_models
@@ -73,13 +73,15 @@ def evaluate(frame: DataFrame, cfg: PanelConfig = PanelConfig(), models: list |
     pairs = [(p, b) for p in PRIMARY if p in names for b in BASELINES if b in names]
     counts = cohort_counts(d).withColumn(
         "underpowered", (F.col("events") < MIN_EVENTS) | (F.col("owners") < MIN_OWNERS))
-    deltas = paired_delta_bootstrap(stacked, pairs, cfg.draws, cfg.seed) if pairs else None
+    drawn = cut_lineage(concordance_draws(stacked, cfg.draws, cfg.seed))
+    scores = cut_lineage(score_models(stacked))
+    deltas = paired_delta_bootstrap(scores, drawn, pairs) if pairs else None
     tests = None
     for p, b in pairs:
         t = wilcoxon_signed_rank(stacked.filter(F.col("model") == p), stacked.filter(F.col("model") == b))
         t = t.select(F.lit(p).alias("model"), F.lit(b).alias("baseline"), "*")
         tests = t if tests is None else tests.unionByName(t)
-    return Evaluation(counts, stacked, bootstrap_ci(stacked, cfg.draws, cfg.seed), fold_scores(stacked), deltas, tests,
+    return Evaluation(counts, stacked, bootstrap_ci(scores, drawn), fold_scores(stacked), deltas, tests,
                       h2_table(deltas, tests) if pairs else None)
 
 
@@ -120,11 +122,13 @@ def practical_eval(train: DataFrame, test: DataFrame, cfg: PanelConfig, landmark
     stacked = cut_lineage(stack_models(by))
     mine = stacked.filter(F.col("model") == "model")
     marked = flagged(mine, share=cfg.flag_share)
-    scores = score_models(stacked).groupBy().pivot("model", ["model", "size", "km"]).agg(
+    scores = cut_lineage(score_models(stacked))
+    drawn = concordance_draws(stacked.filter(F.col("model") != "km"), cfg.draws, cfg.seed)
+    summary = scores.groupBy().pivot("model", ["model", "size", "km"]).agg(
         F.first("c_index").alias("c_index"), F.pow(F.lit(10.0), F.first("mae_log10")).alias("error_factor"))
-    return Practical(scores.withColumn("landmark", F.lit(landmark)), flag_metrics(mine, share=cfg.flag_share),
+    return Practical(summary.withColumn("landmark", F.lit(landmark)), flag_metrics(mine, share=cfg.flag_share),
                      flag_bootstrap(marked, "fast", cfg.draws, cfg.seed),
-                     paired_delta_bootstrap(stacked.filter(F.col("model") != "km"), [("model", "size")], cfg.draws, cfg.seed),
+                     paired_delta_bootstrap(scores, drawn, [("model", "size")]),
                      stacked)
 
 
