@@ -52,7 +52,7 @@ def main() -> None:
     panel = event_panel(spark, sf_dir).select("entity", "age_hours", "value")
     rows: dict[str, int] = {}
     for factor in JOB_FACTORS:
-        data = amplify(panel, factor).cache()
+        data = amplify(panel, factor).repartition(int(cpus)).cache()
         rows[f"velocity_job_x{factor}"] = data.count()
         run_fully(velocity_summary(data))
         times[f"velocity_job_x{factor}"] = round(best(lambda: run_fully(velocity_summary(data)), repeats), 3)

@@ -38,9 +38,10 @@ _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
 def plan_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of `df`, or None where it cannot be read."""
+    """Bytes of the tables `df` reads, by Catalyst's statistics; None where they cannot be read."""
     try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+        return sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
     except Exception:
         return None
 

@@ -25,6 +25,7 @@ def build_session(app: str = "ebbtide", master: str | None = None, **conf: str)
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
         "spark.ui.showConsoleProgress": "false",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",   # no stack capture per expression
         **conf,
     }
     for k, v in settings.items():
