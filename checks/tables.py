@@ -244,7 +244,7 @@ def percentile_ctes(feature: str) -> str:
   pc AS (SELECT id, max(CASE WHEN mark = lo THEN pct END) AS p_lo, max(CASE WHEN mark = hi THEN pct END) AS p_hi, max(n) AS n, any_value(lo) AS lo, any_value(hi) AS hi, any_value(age) AS age FROM q4 GROUP BY id)"""
 
 
-@query("midrank_percentile", f"""WITH {TRAIN}, {percentile_ctes('log_views')} SELECT CAST(id AS VARCHAR) AS id, round(CASE WHEN hi > lo THEN
+@query("midrank_percentile", f"""WITH {TRAIN}, {percentile_ctes('log_views')} SELECT id, round(CASE WHEN hi > lo THEN
   (1 - (ln(greatest(least(age, hi), lo)) - ln(lo)) / (ln(hi) - ln(lo))) * p_lo + (ln(greatest(least(age, hi), lo)) - ln(lo)) / (ln(hi) - ln(lo)) * p_hi ELSE p_lo END, 6) + 0.0 AS percentile, n AS reference_rows FROM pc""")
 def midrank_percentile(spark, sf):
     f = S.instant_features()

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.config import PanelConfig
-from ebbtide.operators.skew import average_ranks, exact_quantiles, running, split_hot
+from ebbtide.operators.skew import average_ranks, exact_quantiles, group_total, running, split_hot
 from ebbtide.operators.survival import km_median
 
 _FLOOR = 1e-6
@@ -96,14 +96,22 @@ def calibration_deciles(df: DataFrame, p: str, y: str, bins: int = 10,
 
 def rank_bins(df: DataFrame, predicted: str = "predicted", bins: int = 10, tie: str = "entity",
               max_rows: int | None = None) -> DataFrame:
-    """Equal-count bins by rank of the prediction, ties by `tie`."""
+    """Equal-count bins by rank of the prediction, ties in the order of a hash of `tie`.
+
+    The rank is the number of rows with a smaller value plus the position among
+    equal ones; a model that says one thing for everything is cut along the hash.
+    """
     d = df.filter(F.col(predicted).isNotNull())
-    g = running(split_hot(d, [], predicted, max_rows), [predicted, tie], {"_r": ("sum", F.lit(1))})
-    total = d.agg(F.count(F.lit(1)).alias("_n"))
-    r, n = F.col("_r"), F.col("_n")
+    values = d.groupBy(predicted).agg(F.count(F.lit(1)).alias("_c"))
+    v = running(split_hot(values, [], predicted, max_rows), [predicted], {"_before": ("sum", "_c")}, inclusive=False)
+    v = group_total(v, {"_n": ("sum", "_c")})
+    base = v.df.select(predicted, F.coalesce("_before", F.lit(0)).alias("_before"), "_n")
+    g = split_hot(d.withColumn("_h", F.xxhash64(tie)), [predicted], "_h", max_rows)
+    g = running(g, ["_h", tie], {"_pos": ("sum", F.lit(1))})
+    r, n = F.col("_before") + F.col("_pos"), F.col("_n")
     edge = F.when(n > 1, F.greatest(F.ceil((r - 1) * bins / (n - 1)) - 1, F.lit(0))).otherwise(0)
-    return (g.result().crossJoin(F.broadcast(total))                          # one row
-            .withColumn("bin", edge.cast("int")).drop("_r", "_n"))
+    return (g.result().join(base, predicted).withColumn("bin", edge.cast("int"))
+            .select(*df.columns, "bin"))
 
 
 def calibration_km(df: DataFrame, bins: int = 10, max_rows: int | None = None) -> DataFrame:

@@ -114,7 +114,8 @@ def midrank_percentile(table: DataFrame, asked: DataFrame, feature: str, cfg: Pa
     `asked`: id, value, age_hours, log_subscribers. The percentile is taken at
     the two marks around the age and interpolated on a log-age scale. A size band
     with too few rows or owners falls back to all sizes. Reference and asked
-    values are scanned once in value order per (mark, band); none are paired.
+    values are scanned once in value order per (mark, band); none are paired. `id`
+    must be unique.
     """
     lo, hi = cfg.marks[0], cfg.marks[-1]
     a = F.greatest(F.least(F.col("age_hours"), F.lit(hi)), F.lit(lo))
@@ -130,26 +131,28 @@ def midrank_percentile(table: DataFrame, asked: DataFrame, feature: str, cfg: Pa
         "mark", F.col("band").alias("own_band"), F.lit(True).alias("_fits"))
     chosen = per_mark.join(fits, ["mark", "own_band"], "left").withColumn(
         "band", F.when(F.col("_fits") & F.col("own_band").isNotNull(), F.col("own_band")).otherwise(F.lit("all")))
+    # Asked values are ranked once per distinct value, so a common one costs one row.
     ref = cells.groupBy("mark", "band", "x").agg(F.count(F.lit(1)).alias("c"))
-    stack = (ref.select("mark", "band", "x", "c", F.lit(0).alias("side"), F.lit(None).cast("string").alias("id"))
-             .unionByName(chosen.select("mark", "band", "x", F.lit(0).cast("bigint").alias("c"),
-                                        F.lit(1).alias("side"), F.col("id").cast("string").alias("id"))))
+    need = chosen.select("mark", "band", "x").distinct()
+    stack = (ref.withColumn("side", F.lit(0))
+             .unionByName(need.select("*", F.lit(0).cast("bigint").alias("c"), F.lit(1).alias("side"))))
     g = running(split_hot(stack, ["mark", "band"], "x", max_rows), ["x", "side"],
                 {"upto": ("sum", "c"),
                  "seen": ("max", F.when(F.col("side") == 0, F.struct(F.col("x"), F.col("c"))))})
     same = F.when(F.col("seen.x") == F.col("x"), F.col("seen.c")).otherwise(0)
     at = (g.df.filter("side = 1").withColumn("_same", same)
           .join(size.select("mark", "band", "n"), ["mark", "band"], "left")
-          .select("id", "mark", "band", "n",
+          .select("mark", "band", "x", "n",
                   (100.0 * (F.col("upto") - F.col("_same") / 2) / F.col("n")).alias("pct")))
-    one = at.groupBy("id").agg(
-        F.min_by("pct", "mark").alias("p_lo"), F.max_by("pct", "mark").alias("p_hi"),
+    one = chosen.join(at, ["mark", "band", "x"]).groupBy("id").agg(
+        F.max(F.when(F.col("mark") == F.col("lo"), F.col("pct"))).alias("p_lo"),
+        F.max(F.when(F.col("mark") == F.col("hi"), F.col("pct"))).alias("p_hi"),
         F.max("n").alias("reference_rows"),
         F.max(F.when(F.col("band") == "all", F.lit("all sizes"))).alias("_all"), F.max("band").alias("_band"))
     w = F.when(F.col("hi") > F.col("lo"),
                (F.ln(F.greatest(F.least(F.col("age"), F.col("hi")), F.col("lo"))) - F.ln("lo"))
                / (F.ln("hi") - F.ln("lo"))).otherwise(F.lit(0.0))
-    return (q.withColumn("id", F.col("id").cast("string")).join(one, "id")
+    return (q.join(one, "id")
             .select("id", ((1 - w) * F.col("p_lo") + w * F.col("p_hi")).alias("percentile"),
                     "reference_rows", F.coalesce("_all", "_band").alias("reference_group"), "lo", "hi"))
 

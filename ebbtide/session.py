@@ -33,6 +33,19 @@ def build_session(app: str = "ebbtide", master: str | None = None, **conf: str)
     return b.getOrCreate()
 
 
+def size_shuffles(spark: SparkSession, *inputs, target: int = 128 << 20, cores: int | None = None) -> int:
+    """Set the number of shuffle partitions from the bytes the inputs read.
+
+    Adaptive execution merges partitions that turn out small but cannot add any,
+    so a large job must start with enough for each to fit a task.
+    """
+    from ebbtide.operators.skew import plan_bytes
+    total = sum(plan_bytes(df) or 0 for df in inputs)
+    n = max(cores or spark.sparkContext.defaultParallelism, -(-total // target))
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    return n
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage and staged tables.
 

@@ -13,7 +13,7 @@ CYCLE_SCHEMA = (
     "discovered bigint, snapshotted bigint, due_count bigint, "
     "errors array<string>, files array<string>, "
     "quota struct<units_spent: bigint, calls: bigint, budget: bigint, by_endpoint: map<string, bigint>>, "
-    "quota_exceeded boolean, _corrupt_record string")
+    "quota_exceeded boolean")
 
 
 def as_panel(df: DataFrame, **names: str) -> DataFrame:
@@ -39,10 +39,11 @@ def read_silver(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_cycle_logs(spark: SparkSession, root: str) -> DataFrame:
-    """One row per collection run. Unreadable files are skipped."""
-    df = spark.read.schema(CYCLE_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE").json(root)
-    return df.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+def read_cycle_logs(spark: SparkSession, root: str, per_line: bool = False) -> DataFrame:
+    """One row per collection run; a file holds one run, or one per line. Unreadable ones are skipped."""
+    text = spark.read.option("wholetext", not per_line).text(root)
+    good = text.filter(F.try_parse_json("value").isNotNull())
+    return good.select(F.from_json("value", CYCLE_SCHEMA).alias("r")).select("r.*")
 
 
 def read_frame(spark: SparkSession, path: str, fmt: str = "json",
