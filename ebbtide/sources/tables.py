@@ -41,7 +41,7 @@ def read_silver(spark: SparkSession, path: str) -> DataFrame:
 
 def read_cycle_logs(spark: SparkSession, root: str, per_line: bool = False) -> DataFrame:
     """One row per collection run; a file holds one run, or one per line. Unreadable ones are skipped."""
-    text = spark.read.option("wholetext", not per_line).text(root)
+    text = spark.read.text(root, wholetext=not per_line)
     good = text.filter(F.try_parse_json("value").isNotNull())
     return good.select(F.from_json("value", CYCLE_SCHEMA).alias("r")).select("r.*")
 
