@@ -250,7 +250,7 @@ def parse_utc(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", S.parse_utc(raw).alias("at"))
 
 
-@query("iso_duration_seconds", """SELECT l_orderkey, l_linenumber, nullif(CAST(l_quantity * 3600 + (l_partkey % 60) * 60 + l_suppkey % 7 AS DOUBLE), 0)
+@query("iso_duration_seconds", """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, nullif(CAST(l_quantity * 3600 + (l_partkey % 60) * 60 + l_suppkey % 7 AS DOUBLE), 0)
   * CASE WHEN l_linenumber = 1 THEN NULL ELSE 1 END AS seconds FROM lineitem""")
 def iso_duration_seconds(spark, sf):
     iso = F.concat(F.when(F.col("l_linenumber") == 1, "P1DT").otherwise("PT"), F.col("l_quantity").cast("int"), F.lit("H"),
@@ -258,7 +258,7 @@ def iso_duration_seconds(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", S.iso_duration_seconds(iso).alias("seconds"))
 
 
-@query("age_hours", f"""SELECT l_orderkey, l_linenumber, round({hours('o_orderdate', 'l_shipdate')}, 6) AS age
+@query("age_hours", f"""SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, round({hours('o_orderdate', 'l_shipdate')}, 6) AS age
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE {hours('o_orderdate', 'l_shipdate')} >= 0""")
 def age_hours(spark, sf):
     j = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
@@ -289,7 +289,7 @@ def extract_video_id(spark, sf):
     return table(spark, sf, "pages").select("page_id", S.video_id(link).alias("id"), S.video_id(bare).alias("bare"))
 
 
-@query("strict_json", """SELECT l_orderkey, l_linenumber, CASE WHEN l_discount > 0 THEN round(l_tax / l_discount, 6) END AS ratio,
+@query("strict_json", """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CASE WHEN l_discount > 0 THEN round(l_tax / l_discount, 6) END AS ratio,
   CASE WHEN l_discount > 0 THEN round(l_tax / l_discount, 6) END AS nested FROM lineitem""")
 def strict_json(spark, sf):
     bad = F.when(F.col("l_discount") > 0, F.col("l_tax") / F.col("l_discount")).when(

@@ -283,7 +283,7 @@ def average_curve(spark, sf):
     return V.average_curve(faded(spark, sf), PANEL).select(F.posexplode("average").alias("ord", "s"))
 
 
-@query("pair_counts", f"""WITH {FADED} SELECT a.owner, round(sum(CASE WHEN b.factor > a.factor THEN 1.0 WHEN b.factor = a.factor THEN 0.5 ELSE 0 END), 6) AS score, count(*) AS pairs
+@query("pair_counts", f"""WITH {FADED} SELECT a.owner, round(CAST(sum(CASE WHEN b.factor > a.factor THEN 1.0 WHEN b.factor = a.factor THEN 0.5 ELSE 0 END) AS DOUBLE), 6) AS score, count(*) AS pairs
   FROM fd a JOIN fd b ON a.owner = b.owner AND a.fade_h < b.fade_h AND a.faded GROUP BY a.owner""")
 def owner_pairs(spark, sf):
     return pair_counts(faded(spark, sf), "factor", cfg=PANEL)
@@ -296,7 +296,7 @@ def owner_pair_share(spark, sf):
     return pair_share(faded(spark, sf), "factor", ["half"], PANEL)
 
 
-@query("pair_counts_hot_owner", f"""WITH {FADED} SELECT a.tier AS owner, round(sum(CASE WHEN b.factor > a.factor THEN 1.0 WHEN b.factor = a.factor THEN 0.5 ELSE 0 END), 6) AS score, count(*) AS pairs
+@query("pair_counts_hot_owner", f"""WITH {FADED} SELECT a.tier AS owner, round(CAST(sum(CASE WHEN b.factor > a.factor THEN 1.0 WHEN b.factor = a.factor THEN 0.5 ELSE 0 END) AS DOUBLE), 6) AS score, count(*) AS pairs
   FROM fd a JOIN fd b ON a.tier = b.tier AND a.fade_h < b.fade_h AND a.faded GROUP BY a.tier""")
 def hot_owner_pairs(spark, sf):
     """Five owners hold everything, and every one is cut along the factor."""
