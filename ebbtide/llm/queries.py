@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbtide.llm import decontaminate, minhash, mixing, pii, sharding
+from ebbtide.llm import decontaminate, minhash, mixing, pii, sharding, toxicity
 from ebbtide.llm.registry import ORACLES, QUERIES, query, table
 from ebbtide.llm.stage import prepare
 
@@ -24,6 +24,15 @@ def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).alias("taken"))
 
 
+@query("op3_toxicity")
+def toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark = prepare(spark)
+    labels = table(spark, sf_dir, "labels").filter(toxicity.remainder("doc_id") != 0)
+    out = toxicity.score(table(spark, sf_dir, "documents"), labels.select("doc_id", "toxic"))
+    return out.select("doc_id", (toxicity.remainder("doc_id") == 0).alias("held_out"), F.col("__score").alias("score"),
+                      (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query("op4_personal_data")
 def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(prepare(spark), sf_dir, "documents")))
