@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbtide.llm import decontaminate, minhash, mixing, pii, sharding, toxicity
+from ebbtide.llm import decontaminate, minhash, mixing, pii, sharding, topk, toxicity
 from ebbtide.llm.registry import ORACLES, QUERIES, query, table
 from ebbtide.llm.stage import prepare
 
@@ -50,3 +50,18 @@ def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark = prepare(spark)
     found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "windows", F.col("of").alias("item_windows"), "slots", F.col("agree").alias("slots_agreeing"))
+
+
+TOP_K_SQL = """
+    WITH v AS (SELECT vec_id, [floor(256 * x::DOUBLE) for x in embedding] AS x FROM embeddings
+               WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+    s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.x, v.x)::BIGINT AS score
+          FROM v q JOIN v ON q.vec_id <> v.vec_id AND q.vec_id % 50 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
+@query("op10_voronoi_top_k", TOP_K_SQL)
+def voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(prepare(spark), sf_dir, "embeddings")
+    return topk.top_k(rows, rows.filter("vec_id % 50 = 0"), k=5)
