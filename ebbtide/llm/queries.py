@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbtide.llm import decontaminate, minhash, mixing, pii, sharding, topk, toxicity
+import corpus_pipeline
+from ebbtide.llm import chat, decontaminate, lm, minhash, mixing, pii, secrets, sharding, topk, toxicity
 from ebbtide.llm.registry import ORACLES, QUERIES, query, table
 from ebbtide.llm.stage import prepare
 
@@ -45,6 +46,13 @@ def extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("__page").alias("page"), F.col("__shard_bytes").alias("shard_bytes"))
 
 
+@query("op6_secrets")
+def secret_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeds of four documents in five teach the forest. The secrets themselves are not shown."""
+    out = secrets.scan(table(prepare(spark), sf_dir, "documents"), train_on=F.crc32(F.col("key").cast("string").cast("binary")) % 5 != 0)
+    return out.select("doc_id", "start", "end", "score", "secret")
+
+
 @query("op7_decontaminate")
 def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark = prepare(spark)
@@ -52,6 +60,20 @@ def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "windows", F.col("of").alias("item_windows"), "slots", F.col("agree").alias("slots_agreeing"))
 
 
+@query("op8_pseudo_likelihood")
+def pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm.score(table(prepare(spark), sf_dir, "documents"))
+    return out.select("doc_id", F.col("__tokens").alias("n_tokens"), F.col("__log_likelihood").alias("log_likelihood"),
+                      F.col("__per_token").alias("per_token"))
+
+
+@query("op9_chat_format")
+def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles of four conversations in five teach the model."""
+    rows = table(prepare(spark), sf_dir, "conversations")
+    return chat.format_chats(rows, train_on=F.crc32(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).cast("binary")) % 5 != 0)
+
+
 TOP_K_SQL = """
     WITH v AS (SELECT vec_id, [floor(256 * x::DOUBLE) for x in embedding] AS x FROM embeddings
                WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
@@ -65,3 +87,8 @@ TOP_K_SQL = """
 def voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(prepare(spark), sf_dir, "embeddings")
     return topk.top_k(rows, rows.filter("vec_id % 50 = 0"), k=5)
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)

@@ -53,11 +53,9 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES):
         i = min(j, n)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, first word of every row): words are runs without `\\x20\\x09-\\x0D`, A-Z lower-cased."""
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of every word: runs without `\\x20\\x09-\\x0D` inside a row."""
     n = len(data)
-    if n == 0:
-        return np.empty(0, U), np.zeros(len(offsets), np.int64)
     solid = ~((data == 32) | ((data >= 9) & (data <= 13)))
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
@@ -65,9 +63,21 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
     first[1:] &= ~solid[:-1] | edge[1:n]
     last = solid.copy()
     last[:-1] &= ~solid[1:] | edge[1:n]
-    s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-    if lower:
-        data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """A-Z as a-z."""
+    return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, A-Z lower-cased; first word of every row)."""
+    n = len(data)
+    if n == 0:
+        return np.empty(0, U), np.zeros(len(offsets), np.int64)
+    s, e = word_spans(data, offsets)
+    data = lowered(data)
     up, down = _power(n)
     sums = np.zeros(n + 1, U)
     np.cumsum((data.astype(U) + U(1)) * up[:n], out=sums[1:])
