@@ -20,10 +20,8 @@ SEED = "mix"
 
 def n_words(text) -> Column:
     """Number of runs of `[^\\x20\\x09-\\x0D]+`; 0 for null."""
-    parts = F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+")
-    edge = lambda i: (F.element_at(parts, i) == "").cast("int")
-    n = F.size(parts) - edge(1) - F.when(F.size(parts) > 1, edge(-1)).otherwise(0)
-    return n.cast("bigint")
+    t = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\u000b\f\r"))
+    return F.when(t == "", 0).otherwise(F.size(F.split(t, r"[\x20\x09-\x0D]+"))).cast("bigint")
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, cap: int = MAX_COPIES) -> DataFrame:
