@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def components(links: DataFrame) -> DataFrame:
     """(id, comp) for every end of `links` (a, b): the smallest id that it is linked with, over any distance.
 
-    Each round hooks a tree to the smallest root next to it and then halves every path, so the
+    Each round hooks a tree to the smallest root next to it and then shortens every path, so the
     number of rounds follows the logarithm of a component's size. Nothing is collected but the
     count of labels that changed. Null ends are ignored; no links give no rows.
     """
@@ -23,10 +23,8 @@ def components(links: DataFrame) -> DataFrame:
         hooks = near.select(F.col("a").alias("id"), "to").unionByName(near.select(F.col("comp").alias("id"), "to"))
         best = hooks.groupBy("id").agg(F.min("to").alias("to"))
         new = label.join(best, "id", "left").select("id", F.col("comp").alias("old"), F.least("comp", "to").alias("comp"))
-        for _ in range(2):
-            new = (new.join(new.select(F.col("id").alias("comp"), F.col("comp").alias("up")), "comp", "left")
-                   .select("id", "old", F.least("comp", "up").alias("comp")))
-        new = new.checkpoint()
+        new = (new.join(new.select(F.col("id").alias("comp"), F.col("comp").alias("up")), "comp", "left")
+               .select("id", "old", F.least("comp", "up").alias("comp"))).checkpoint()
         changed = new.filter("comp <> old").limit(1).count()
         label = new.select("id", "comp")
         if not changed:

@@ -25,7 +25,8 @@ from ebbtide.llm.words import ODD, U, scramble, shingle_sets
 
 POSITIONS, RADIUS = 64, 27
 SIMILAR = (80, 100)             # intersection * 100 >= union * 80
-TILE = 1024                     # rows of a key compared at once
+TILE = 1024                     # rows of a key compared at once, and bytes of their sets
+TILE_BYTES = 64 << 20
 STAR = 256                      # members compared with one centre in one group
 BROADCAST_IDS = 2_000_000       # 8 bytes each; more are joined by a shuffle
 _SLAB = 1024
@@ -82,7 +83,7 @@ def _keys(batches):
                 for p in at:
                     if p != left:
                         k = scramble(k * ODD + s[:, p])
-                out.append(k)
+                out.append((k & ~U(POSITIONS - 1)) | U(left))               # the low bits name the position left out
         ids = b.column(0).to_numpy()
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.tile(ids, len(out)))], ["key", "v"])
 
@@ -95,43 +96,90 @@ def _distance(batches):
         yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), b.column(1).filter(pa.array(keep))], ["a", "b"])
 
 
-def _compare(rows: pa.Table, a: list, b: list) -> None:
-    """Pairs of different components within one block of a key, or between two, that are near enough."""
+def _first_key(differ: np.ndarray) -> np.ndarray:
+    """For rows of differing positions: the position left out of the first key that both signatures share."""
+    starts = np.array([c[0] for c in chunks()])
+    errors = np.add.reduceat(differ, starts, axis=1, dtype=np.int64)
+    c = (errors <= 1).argmax(axis=1)
+    width = np.append(starts[1:], POSITIONS) - starts
+    inside = (np.arange(POSITIONS)[None, :] >= starts[c][:, None]) & (np.arange(POSITIONS)[None, :] < (starts + width)[c][:, None])
+    return np.where(errors[np.arange(len(c)), c] == 0, starts[c], (differ & inside).argmax(axis=1))
+
+
+def _pairs(rows: pa.Table):
+    """For each row of a tile its partners: near enough, of another component, and not met under an earlier key."""
     side, v, comp, n = (rows.column(k).to_numpy() for k in ("side", "v", "comp", "n"))
     sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint16).reshape(-1, POSITIONS)
     i, j = (np.flatnonzero(side == k) for k in (0, 1))
+    slot = rows.column("key")[0].as_py() & (POSITIONS - 1)
     same = rows.column("i")[0] == rows.column("j")[0]
     j = i if same else j
     for x in i:
         y = j[comp[j] != comp[x]]
         y = y[v[y] > v[x]] if same else y
         y = y[SIMILAR[1] * np.minimum(n[y], n[x]) >= SIMILAR[0] * np.maximum(n[y], n[x])]
-        y = y[(sig[y] != sig[x]).sum(axis=1) <= RADIUS]
-        a.append(np.minimum(v[x], v[y]))
-        b.append(np.maximum(v[x], v[y]))
-
-
-def _tiles(batches):
-    """Rows come sorted by tile; a tile has a bounded number of rows. The last one of a batch waits for the next."""
-    def pairs(t, last):
+        differ = sig[y] != sig[x]
+        near = differ.sum(axis=1) <= RADIUS
+        y, differ = y[near], differ[near]
+        if len(y):
+            y = y[_first_key(differ) == slot]
+        if len(y):
+            yield x, y
+
+
+def _tiles(each, fields: list[str]):
+    """Calls `each` on every tile; rows come sorted by tile, which has a bounded number of them. The last tile of a batch waits for the next."""
+    def done(t, last):
         k = np.stack([t.column(c).to_numpy() for c in ("key", "i", "j")])
         cut = np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1
         at = [0, *cut.tolist(), *([t.num_rows] if last else [])]
-        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for x, y in zip(at[:-1], at[1:]):
-            _compare(t.slice(x, y - x), a, b)
-        found = pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-        return t.slice(at[-1]), found
+        found = [each(t.slice(x, y - x)) for x, y in zip(at[:-1], at[1:])]
+        return t.slice(at[-1]), [x.select(fields) for x in found if x.num_rows]
 
-    rest = None
-    for x in batches:
-        t = pa.Table.from_batches([x])
-        t = pa.concat_tables([rest, t]).combine_chunks() if rest is not None else t
-        if t.num_rows:
-            rest, found = pairs(t, False)
-            yield found
-    if rest is not None and rest.num_rows:
-        yield pairs(rest, True)[1]
+    def run(batches):
+        rest = None
+        for x in batches:
+            t = pa.Table.from_batches([x])
+            t = pa.concat_tables([rest, t]).combine_chunks() if rest is not None else t
+            if t.num_rows:
+                rest, found = done(t, False)
+                for f in found:
+                    yield from f.to_batches()
+        if rest is not None and rest.num_rows:
+            for f in done(rest, True)[1]:
+                yield from f.to_batches()
+    return run
+
+
+def _wanted(rows: pa.Table) -> pa.Table:
+    """The rows of a tile that have a partner."""
+    keep = np.zeros(rows.num_rows, bool)
+    for x, y in _pairs(rows):
+        keep[x] = True
+        keep[y] = True
+    return rows.filter(pa.array(keep))
+
+
+def _joined(rows: pa.Table) -> pa.Table:
+    """Links that join components within a tile: whole sets of partners are compared until they are in one component."""
+    v, n = rows.column("v").to_numpy(), rows.column("n").to_numpy()
+    sets = [np.frombuffer(x, U) for x in rows.column("s").to_pylist()]
+    _, own = np.unique(rows.column("comp").to_numpy(), return_inverse=True)
+    root, a, b = own.copy(), [], []
+    for x, y in _pairs(rows):
+        y = y[root[own[y]] != root[own[x]]]
+        if not len(y):
+            continue
+        length = n[y]
+        hit = np.concatenate([[0], np.cumsum(np.isin(np.concatenate([sets[k] for k in y]), sets[x], assume_unique=False))])
+        ends = np.cumsum(length)
+        both = hit[ends] - hit[ends - length]
+        for k in y[SIMILAR[1] * both >= SIMILAR[0] * (length + n[x] - both)]:
+            if root[own[k]] != root[own[x]]:
+                root[root == root[own[k]]] = root[own[x]]
+                a.append(min(v[x], v[k]))
+                b.append(max(v[x], v[k]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def _sets(words: int):
@@ -209,22 +257,27 @@ def _links(vertices: DataFrame, base: DataFrame, words: int) -> DataFrame:
     more = _apart(stars.join(one, ["a", "b"], "left_anti"), components(links))
     links = links.unionByName(_verified(more, sets))
     comp = components(links)
-    # What is left: pairs of different components under one key, none of them its centre.
+    # What is left: partners in different components, none of them a centre. A pair belongs to the
+    # first key that it shares. Rows without such a partner go first; sets are sent for the rest only,
+    # and a tile returns no more links than it has components.
     told = keys.filter("k > 2").join(comp.withColumnRenamed("id", "v"), "v", "left").withColumn("comp", F.coalesce("comp", "v"))
-    mixed = told.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
-    rows = (told.join(mixed, "key", "left_semi").join(vertices.select("v", "n", "sig"), "v")
-            .withColumn("t", F.ceil(F.col("k") * 2 / TILE).cast("int")).withColumn("mine", F.expr("int(pmod(xxhash64(v), t))"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
+    told = told.join(vertices.select("v", "n"), "v")
+    mixed = told.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.sum("n").alias("all")).filter("x <> y").select("key", "all")
+    tile = ["key", "i", "j"]
+    rows = (told.join(mixed, "key").join(vertices.select("v", "sig"), "v")
+            .withColumn("t", F.ceil(F.greatest(F.col("k") * 2 / TILE, F.col("all") * 16 / TILE_BYTES)).cast("int"))
+            .withColumn("mine", F.expr("int(pmod(xxhash64(v), t))")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
             .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
                     (F.col("mine") > F.col("other")).cast("int").alias("side"), "v", "comp", "n", "sig"))
-    rest = (rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_tiles, "a long, b long")
-            .distinct().join(stars, ["a", "b"], "left_anti").checkpoint())
-    if rest.isEmpty():
+    kind = "key long, i int, j int, side int, v long, comp long, n long, sig binary"
+    rows = (rows.repartition(*tile).sortWithinPartitions(*tile)
+            .mapInArrow(_tiles(_wanted, ["key", "i", "j", "side", "v", "comp", "n", "sig"]), kind).checkpoint())
+    if rows.isEmpty():
         return links
-    known = sets.select("v")
-    ends = rest.select(F.col("a").alias("v")).union(rest.select("b")).distinct().join(known, "v", "left_anti")
+    ends = rows.select("v").distinct().join(sets.select("v"), "v", "left_anti")
     new = _built(ends.select(F.col("v").alias("a"), F.col("v").alias("b")), vertices, base, words)
-    return links.unionByName(_verified(rest, sets.unionByName(new)))
+    rows = rows.join(sets.unionByName(new), "v").repartition(*tile).sortWithinPartitions(*tile)
+    return links.unionByName(rows.mapInArrow(_tiles(_joined, ["a", "b"]), "a long, b long").checkpoint())
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
