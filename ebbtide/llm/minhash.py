@@ -165,7 +165,7 @@ def _joined(rows: pa.Table) -> pa.Table:
     v, n = rows.column("v").to_numpy(), rows.column("n").to_numpy()
     sets = [np.frombuffer(x, U) for x in rows.column("s").to_pylist()]
     _, own = np.unique(rows.column("comp").to_numpy(), return_inverse=True)
-    root, a, b = own.copy(), [], []
+    root, a, b = np.arange(own.max() + 1), [], []
     for x, y in _pairs(rows):
         y = y[root[own[y]] != root[own[x]]]
         if not len(y):
