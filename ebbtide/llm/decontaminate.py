@@ -84,8 +84,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, cover: floa
              .groupBy("doc_id", "row", "item_id").agg(F.count(F.lit(1)).alias("windows")).join(of, "item_id")
              .filter(F.col("windows") >= F.col("of") * cover))
     # Slots of the documents in question only.
+    pairs = pairs.checkpoint()
     asked = pairs.select("row").distinct()
-    dslots = _slots(d.select("row", "tok").join(asked, "row", "left_semi").dropDuplicates(["row"]), ["row"], "tok", "p", "dv")
+    asked = F.broadcast(asked) if pairs.count() <= BROADCAST_WINDOWS else asked
+    texts = d.select("row", "t").join(asked, "row", "left_semi").dropDuplicates(["row"])
+    dslots = _slots(texts.select("row", _tokens(F.col("t")).alias("tok")), ["row"], "tok", "p", "dv")
     islots = _slots(b, ["item_id"], "tok", "q", "iv")
     spread = F.explode(F.sequence(F.lit(0), F.lit(words - 1)))
     here = (hits.join(w, "h").join(pairs.select("row", "item_id"), ["row", "item_id"])
