@@ -70,8 +70,7 @@ def bronze_roundtrip(spark, sf):
     root, stage = fresh_folder(spark, "bronze"), fresh_folder(spark, "stage")
     bronze.write_bronze(p, root, "snapshots", stage)
     bronze.write_bronze(p.filter(F.dayofmonth("dt") <= 10), root, "snapshots", stage)    # replay of some days
-    back = spark.read.schema(bronze.READINGS_SCHEMA).option("basePath", f"{root}/snapshots").json(f"{root}/snapshots")
-    return back.filter(F.col("platform") == "video").groupBy("platform", "post_id").agg(
+    return bronze.read_bronze(spark, root, "snapshots", "video").groupBy("platform", "post_id").agg(
         F.count(F.lit(1)).alias("readings"), F.sum("views").alias("views"), F.count("likes").alias("with_likes"))
 
 

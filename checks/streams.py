@@ -110,8 +110,7 @@ def stream_enrich(spark, sf):
 @query("stream_heartbeat", f"""SELECT event_type AS source, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_data_at, round({hours('max(ts)', "TIMESTAMP '2024-02-01'")}, 6) AS hours_silent,
   {hours('max(ts)', "TIMESTAMP '2024-02-01'")} > 3 AS stopped FROM events GROUP BY 1""")
 def stream_heartbeat(spark, sf):
-    out = T.available_now(events(spark, sf), fresh_folder(spark, "beat"), each=T.heartbeat_step(lambda: "2024-02-01 00:00:00"))
-    return T.latest(out, ["source"])
+    return T.heartbeat(events(spark, sf), fresh_folder(spark, "beat"), lambda: "2024-02-01 00:00:00")
 
 
 @query("stream_breaker", """WITH a AS (SELECT conv_id % 5 AS s, conv_id * 1000 + turn AS k, CASE WHEN length(text) % 7 = 0 THEN 0 ELSE 1 END AS called,

@@ -216,7 +216,7 @@ def redact(text: Column | str, secrets: Sequence[str] = ()) -> Column:
     return reduce(lambda s, k: F.replace(s, F.lit(k), F.lit("REDACTED")), [k for k in secrets if k], out)
 
 
-def video_id(link: Column | str, max_chars: int = 500) -> Column:
+def video_id(link: Column | str) -> Column:
     """The 11-character id in a video link, or a bare id; null otherwise."""
     s = F.trim(c(link))
     url = F.when(s.rlike("(?i)^https?://"), s).otherwise(F.concat(F.lit("https://"), s))
@@ -231,8 +231,7 @@ def video_id(link: Column | str, max_chars: int = 500) -> Column:
         (first.isin(*VIDEO_PATHS), second),
     ])
     found = F.when(host.isin(*VIDEO_HOSTS) & candidate.rlike(VIDEO_ID), candidate)
-    return F.when(F.length(s).between(1, max_chars),
-                  F.when(s.rlike(VIDEO_ID), s).otherwise(found))
+    return F.when(s.rlike(VIDEO_ID), s).otherwise(found)
 
 
 def risk_band(p: Column | str, high: float, low: float) -> Column:

@@ -46,12 +46,11 @@ def quality_floor(resolved: DataFrame, floors: dict[str, int], min_items: int =
 
 
 def upload_rates(uploads: DataFrame, since, days: float = 30, cap: int = 200, ts: str = "uploaded_at") -> DataFrame:
-    """Uploads per week; `saturated` marks a full page budget, where the rate is a lower bound."""
+    """Uploads and their rate per week, counted in full; `saturated` marks owners with `cap` or more."""
     seen = uploads.filter(F.col(ts) >= F.lit(since).cast("timestamp")).groupBy("owner").agg(
-        F.count(F.lit(1)).alias("_all"))
-    n = F.least(F.col("_all"), F.lit(cap))
-    return seen.select("owner", n.alias("uploads_seen"), (n / (days / 7.0)).alias("uploads_per_week"),
-                       (F.col("_all") >= cap).alias("saturated"))
+        F.count(F.lit(1)).alias("uploads_seen"))
+    return seen.select("owner", "uploads_seen", (F.col("uploads_seen") / (days / 7.0)).alias("uploads_per_week"),
+                       (F.col("uploads_seen") >= cap).alias("saturated"))
 
 
 def build_frame(hits: DataFrame, known: DataFrame, resolved: DataFrame, uploads: DataFrame, since,

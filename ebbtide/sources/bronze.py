@@ -28,13 +28,31 @@ SCHEMAS = {"posts": POSTS_SCHEMA, "snapshots": READINGS_SCHEMA}
 NATURAL_KEYS = {"posts": ("post_id",), "snapshots": ("post_id", "snapshot_ts")}
 
 
+def _status(spark: SparkSession, path: str):
+    """The file system's entry for a path, or None; works for any store that Spark reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.getFileStatus(p) if fs.exists(p) else None
+
+
+def is_file(spark: SparkSession, path: str) -> bool:
+    found = _status(spark, path)
+    return found is not None and found.isFile()
+
+
+def kind_files(spark: SparkSession, root: str, kind: str) -> tuple[str, str | None]:
+    """(folder, file pattern) of one kind: `<root>/<kind>` as `write_bronze` lays it out, else files named `<kind>-…` under root."""
+    own = f"{root.rstrip('/')}/{kind}"
+    return (own, None) if _status(spark, own) is not None else (root, f"{kind}-*.json*")
+
+
 def read_bronze(spark: SparkSession, root: str, kind: str, platform: str | None = None,
                 schema: str | None = None) -> DataFrame:
     """All records of one kind. `platform` prunes partitions; `_file` orders replays."""
-    df = (spark.read.schema(schema or SCHEMAS[kind])
-          .option("basePath", root).option("pathGlobFilter", f"{kind}-*.json*")
-          .json(root)
-          .withColumn("_file", F.col("_metadata.file_path")))
+    folder, pattern = kind_files(spark, root, kind)
+    r = spark.read.schema(schema or SCHEMAS[kind]).option("basePath", folder)
+    r = r.option("pathGlobFilter", pattern) if pattern else r
+    df = r.json(folder).withColumn("_file", F.col("_metadata.file_path"))
     return df if platform is None else df.filter(F.col("platform") == platform)
 
 

@@ -15,28 +15,31 @@ from pyspark.sql import functions as F
 from ebbtide.config import PanelConfig
 from ebbtide.functions import scalars as S
 from ebbtide.operators.labels import decay_label
-from ebbtide.sources.bronze import READINGS_SCHEMA, dedupe_last, merge_partitions
+from ebbtide.sources.bronze import READINGS_SCHEMA, dedupe_last, is_file, kind_files, merge_partitions
 
 
 # ---------------------------------------------------------------- sources and sinks
 def stream_readings(spark: SparkSession, root: str, kind: str = "snapshots",
                     files_per_trigger: int | None = None) -> DataFrame:
     """Appended JSON-lines readings, with the file each record came from."""
-    r = spark.readStream.schema(READINGS_SCHEMA).option("pathGlobFilter", f"{kind}-*.json*")
+    folder, pattern = kind_files(spark, root, kind)
+    r = spark.readStream.schema(READINGS_SCHEMA)
     if files_per_trigger:
         r = r.option("maxFilesPerTrigger", files_per_trigger)
-    return r.option("basePath", root).json(root)
+    if pattern:
+        r = r.option("pathGlobFilter", pattern)
+    return r.option("basePath", folder).json(folder)
 
 
 def stream_table(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """A parquet file or folder as a stream, with its own schema.
-
-    The trailing wildcard lets one path name either a single file or a folder.
-    """
+    """A parquet file or folder as a stream, with its own schema: that path alone, none with a like name."""
     r = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_trigger:
         r = r.option("maxFilesPerTrigger", files_per_trigger)
-    return r.parquet(f"{path}*")
+    if not is_file(spark, path):
+        return r.parquet(path)
+    folder, _, name = path.rstrip("/").rpartition("/")
+    return r.option("pathGlobFilter", name).parquet(folder)
 
 
 def available_now(df: DataFrame, folder: str, mode: str = "append",
@@ -89,22 +92,23 @@ def stream_merge(records: DataFrame, table: str, folder: str, keys: tuple[str, .
 def cap_step(folder: str, limit: int):
     """A batch step that admits at most `limit` entities per owner and UTC day.
 
-    Within a batch the earliest are taken by a row-number limit applied before
-    the shuffle; across batches the count already admitted that day is looked up
-    (at most `limit` rows per owner-day, and only for the batch's days).
+    Entities admitted before, or repeated, take no place: they leave before the
+    batch is ranked. Across batches the places already taken that day are looked
+    up, for the batch's owners and days.
     """
     def step(batch: DataFrame, i: int) -> DataFrame:
         d = batch.withColumn("day", F.to_date("published_at"))
-        spark = batch.sparkSession
+        d = dedupe_last(d, ["entity"], [F.col("published_at")])
         w = Window.partitionBy("owner", "day").orderBy("published_at", "entity")
-        first = d.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+        rank = lambda x: x.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
         if i == 0:
-            return first.drop("rank")
-        done = (spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out/batch=*")
+            return rank(d).drop("rank")
+        done = (batch.sparkSession.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out/batch=*")
                 .filter(F.col("batch") < i))
-        before = done.groupBy("owner", "day").agg(F.count(F.lit(1)).alias("had"))
-        return (first.join(done.select("entity"), "entity", "left_anti")
-                .join(before, ["owner", "day"], "left")
+        new = rank(d.join(done.select("entity"), "entity", "left_anti"))
+        before = (done.join(new.select("owner", "day").distinct(), ["owner", "day"], "left_semi")
+                  .groupBy("owner", "day").agg(F.count(F.lit(1)).alias("had")))
+        return (new.join(before, ["owner", "day"], "left")
                 .filter(F.col("rank") + F.coalesce("had", F.lit(0)) <= limit).drop("rank", "had"))
     return step
 
@@ -217,13 +221,18 @@ def enrich(stream: DataFrame, frame: DataFrame, key: str = "owner") -> DataFrame
     return stream.join(frame, key, "left")
 
 
-def heartbeat_step(now_fn: Callable[[], str], max_silent: float = 3.0, ts: str = "reading_ts"):
-    """A batch step: newest reading per source and whether collection looks stopped."""
+def heartbeat(readings: DataFrame, folder: str, now_fn: Callable[[], str], max_silent: float = 3.0, ts: str = "reading_ts") -> DataFrame:
+    """Newest reading per source and whether collection looks stopped.
+
+    The newest reading is kept by the stream's own state, so a late row never
+    moves it back, and every batch judges all sources seen so far, silent ones included.
+    """
     def step(batch: DataFrame, i: int) -> DataFrame:
         age = S.hours_between("last_data_at", F.lit(now_fn()).cast("timestamp"))
-        return (batch.groupBy("source").agg(F.max(ts).alias("last_data_at"))
-                .withColumn("hours_silent", age).withColumn("stopped", age > max_silent))
-    return step
+        return batch.withColumn("hours_silent", age).withColumn("stopped", age > max_silent)
+
+    seen = readings.groupBy("source").agg(F.max(ts).alias("last_data_at"))
+    return latest(available_now(seen, folder, mode="complete", each=step), ["source"])
 
 
 # ---------------------------------------------------------------- breaker

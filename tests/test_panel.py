@@ -100,6 +100,10 @@ def test_video_id(spark, link):
     assert one(spark, S.video_id("x"), x=link) == "abcdefghij1"
 
 
+def test_long_links_are_read_too(spark):
+    assert one(spark, S.video_id("x"), x="https://www.youtube.com/watch?list=" + "p" * 900 + "&v=abcdefghij1") == "abcdefghij1"
+
+
 @pytest.mark.parametrize("link", ["https://example.com/watch?v=abcdefghij1", "https://youtube.com/watch?v=short", "", None,
                                   "https://youtube.com/channel/abcdefghij1"])
 def test_not_a_video_id(spark, link):
@@ -228,10 +232,10 @@ def test_even_spread(spark, n, k):
     assert got == (list(range(n)) if n <= k else [int(i * n / k) for i in range(k)])
 
 
-def test_saturated_rate_is_a_lower_bound(spark):
+def test_busy_owners_are_marked_and_counted_in_full(spark):
     d = spark.range(250).select(F.lit("o").alias("owner"), F.lit("2026-09-10").cast("timestamp").alias("uploaded_at"))
     r = FR.upload_rates(d, "2026-09-01").first()
-    assert r.saturated and r.uploads_seen == 200
+    assert r.saturated and r.uploads_seen == 250
 
 
 def test_strict_json_at_any_depth(spark, tmp_path):

@@ -88,3 +88,51 @@ def test_lateness_and_late_rows(spark):
     assert [(x.mark, x.late) for x in r] == [(1.0, False), (3.0, False), (None, None)]
     ok, late = T.split_late(d, "2024-01-05 00:00:00", 48.0)
     assert (ok.count(), late.count()) == (2, 1)
+
+
+def stream_of(spark, path, *batches):
+    """One file per batch, in order of arrival."""
+    import time
+    for b in batches:
+        b.coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.05)
+    return T.stream_table(spark, path, files_per_trigger=1)
+
+
+def test_cap_gives_no_place_to_those_already_admitted(spark, tmp_path):
+    make = lambda names: spark.createDataFrame([(n, "o", dt.datetime(2024, 5, 2, i)) for i, n in enumerate(names)],
+                                               "entity string, owner string, published_at timestamp")
+    s = stream_of(spark, str(tmp_path / "in"), make("uvw"), make("uvwxyz"), make("vz"))
+    got = [r.entity for r in T.stream_owner_cap(s, str(tmp_path / "run"), 5).collect()]
+    assert sorted(got) == list("uvwxy")
+
+
+def test_heartbeat_judges_silent_sources_and_never_goes_back(spark, tmp_path):
+    make = lambda *rows: spark.createDataFrame([(s, dt.datetime(2024, 5, d, h)) for s, d, h in rows], "source string, reading_ts timestamp")
+    s = stream_of(spark, str(tmp_path / "in"), make(("p", 2, 9), ("q", 2, 8)), make(("q", 3, 11)), make(("q", 3, 4)))
+    got = {r.source: r for r in T.heartbeat(s, str(tmp_path / "run"), lambda: "2024-05-03 12:00:00").collect()}
+    assert got["q"].last_data_at == dt.datetime(2024, 5, 3, 11) and not got["q"].stopped
+    assert got["p"].stopped and got["p"].hours_silent == 27
+
+
+def test_a_stream_reads_its_own_path_only(spark, tmp_path):
+    d = spark.range(5).coalesce(1)
+    d.write.parquet(str(tmp_path / "cap"))
+    d.write.parquet(str(tmp_path / "caprun"))
+    assert T.available_now(T.stream_table(spark, str(tmp_path / "cap")), str(tmp_path / "r1")).count() == 5
+    part = next((tmp_path / "cap").glob("part-*.parquet"))
+    part.with_name("one.parquet").write_bytes(part.read_bytes())
+    part.with_name("one.parquet_old").write_bytes(part.read_bytes())
+    assert T.available_now(T.stream_table(spark, str(tmp_path / "cap" / "one.parquet")), str(tmp_path / "r2")).count() == 5
+
+
+def test_readings_land_and_are_read_back(spark, tmp_path):
+    from ebbtide.sources import bronze
+    rows = [("e%d" % i, "2024-05-02T0%d:00:00Z" % i, "video", dt.date(2024, 5, 2), i, "2024-05-02T10:00:00Z") for i in range(6)]
+    d = spark.createDataFrame(rows, "post_id string, snapshot_ts string, platform string, dt date, views long, _ingested_at string")
+    root = str(tmp_path / "land")
+    bronze.write_bronze(d, root, "snapshots", str(tmp_path / "stage"))
+    bronze.write_bronze(d.limit(3), root, "snapshots", str(tmp_path / "stage"))
+    assert bronze.read_bronze(spark, root, "snapshots", "video").agg({"views": "sum"}).first()[0] == 15
+    assert bronze.read_bronze(spark, root, "snapshots", "photo").count() == 0
+    assert T.available_now(T.stream_readings(spark, root), str(tmp_path / "run")).count() == 6
