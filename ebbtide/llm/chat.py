@@ -25,13 +25,14 @@ NAMES = {"system": ("system", "instruction", "instructions"), "user": ("user", "
 MARKER = r"^[\x20\t>#*\[(<|]*(%s)[\x20\t*\])|]*[:>][\x20\t]*"
 ANY = MARKER % "|".join(n for names in NAMES.values() for n in names)
 LENGTHS, LINES = 16, 4
+NAME_PRIOR = 50.0
 FEATURES = (("marker", len(ROLES) + 1), ("length", LENGTHS), ("lines", LINES), ("asks", 2), ("lists", 2), ("opens", 2))
 
 
 def pieces(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text", role: str | None = None) -> DataFrame:
     """(conv, turn, part, text, given, row): rows cut before every line that starts with a speaker's name."""
     marked = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), f"(?im)(?={ANY})", "\u0001")
-    parts = F.filter(F.split(marked, "\u0001"), lambda x: F.trim(x) != "")
+    parts = F.filter(F.split(marked, "\u0001"), lambda x: F.btrim(x, F.lit(" \t\r\n")) != "")
     parts = F.when(F.size(parts) > 0, parts).otherwise(F.array(F.lit("")))
     given = F.lower(F.col(role)) if role else F.lit(None).cast("string")
     return (rows.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), parts.alias("parts"), given.alias("given"),
@@ -154,6 +155,9 @@ def train(ordered: DataFrame) -> Model:
             elif before[0] >= 0:
                 moves[before[0], s] += 1
         before = ends["tail", p]
+    for i in range(k):                                                      # a speaker's name means that speaker, even if no training row has one
+        seen["marker"][i, 0] += NAME_PRIOR
+        seen["marker"][i, i + 1] += NAME_PRIOR
     return Model(first, moves, seen)
 
 
@@ -282,6 +286,6 @@ def format_chats(rows: DataFrame, training: str | None = "role", conv: str = "co
     parts = ordered.drop("text").mapInArrow(_transfers(model), "p long, c0 long, c1 long, one boolean, head array<double>, score array<double>").collect()
     ends = borders(parts, len(ROLES))                                       # a row per partition
     found = ordered.mapInArrow(_decode(model, ends), f"conv long, turn {dict(ordered.dtypes)['turn']}, part int, row long, text string, role string")
-    body = F.regexp_replace(F.trim(F.regexp_replace("text", "(?i)" + ANY, "")), r"<\|", "< |")
+    body = F.regexp_replace(F.btrim(F.regexp_replace("text", "(?i)" + ANY, ""), F.lit(" \t\r\n")), r"<\|", "< |")
     shown = F.concat(F.lit("<|"), "role", F.lit("|>\n"), body, F.lit("\n<|end|>"))
     return found.select(F.col("conv").alias(conv), F.col("turn").alias(turn), "part", "role", shown.alias("rendered"))
