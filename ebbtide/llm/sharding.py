@@ -89,12 +89,12 @@ def _paged(rows: DataFrame, limit: int) -> DataFrame:
     names = rows.columns
     per = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest("__bytes", F.lit(1)))).cast("bigint")
     # Rows that share a hash but not their other columns continue each other's pages.
-    counted = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("__n")).withColumn("__per", per)
-    before = W.partitionBy("__h").orderBy(F.hash(*names), "__n").rowsBetween(W.unboundedPreceding, -1)
-    counted = counted.withColumn("__from", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-    first, last = F.expr("__from div __per"), F.expr("(__from + __n - 1) div __per")
+    counted = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("__paged_n")).withColumn("__per", per)
+    before = W.partitionBy("__h").orderBy(F.hash(*names), "__paged_n").rowsBetween(W.unboundedPreceding, -1)
+    counted = counted.withColumn("__from", F.coalesce(F.sum("__paged_n").over(before), F.lit(0)))
+    first, last = F.expr("__from div __per"), F.expr("(__from + __paged_n - 1) div __per")
     pages = counted.withColumn("__page", F.explode(F.sequence(first, last)))
-    here = F.least(F.col("__from") + F.col("__n"), (F.col("__page") + 1) * F.col("__per")) - F.greatest(F.col("__from"), F.col("__page") * F.col("__per"))
+    here = F.least(F.col("__from") + F.col("__paged_n"), (F.col("__page") + 1) * F.col("__per")) - F.greatest(F.col("__from"), F.col("__page") * F.col("__per"))
     pages = pages.withColumn("__here", here)
     filled = F.least(F.col("__leaf") - F.col("__page") * F.col("__per") * F.col("__bytes"), F.col("__per") * F.col("__bytes"))
     return (pages.withColumn("__shard_bytes", filled.cast("bigint")).repartition("__h", "__page")
