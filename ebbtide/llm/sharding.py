@@ -54,19 +54,19 @@ def shard(docs: DataFrame, limit: int = LIMIT, text: str = "text", key: str = "d
     df = docs.withColumn("__h", row_hash(key, text)).withColumn("__bytes", F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("bigint"))
     total = df.agg(F.sum("__bytes")).first()[0] or 0
     bits = min(28, max(0, math.ceil(math.log2(max(1.0, total / limit)))) + SPARE_BITS)
-    start, lookup, deep = 0, None, df
+    start, lookup, deep, levels = 0, None, df, []
     while True:
         cell = _prefix("__h", bits)
         hist = deep.groupBy(cell.alias("cell")).agg(F.sum("__bytes").alias("b"), F.min("__h").alias("lo"), F.max("__h").alias("hi"))
         leaves = _leaves(hist, start, bits, limit).checkpoint()         # a few cells per shard
         new = leaves.select(F.lit(bits).alias("bits"), "cell", "depth", "leaf_b", "one")
         lookup = new if lookup is None else lookup.unionByName(new)
+        levels.append(bits)
         open_cells = leaves.filter("depth IS NULL").select("cell")
         if bits >= BITS or open_cells.isEmpty():
             break
         deep = df.withColumn("cell", cell).join(open_cells, "cell", "left_semi").drop("cell")
         start, bits = bits + 1, min(BITS, bits + MORE_BITS)
-    levels = sorted(r[0] for r in lookup.select("bits").distinct().collect())
     out = None
     for b in levels:                                                    # one join unless some cells went deeper
         found = lookup.filter(F.col("bits") == b).select(
