@@ -2,13 +2,14 @@
 
 Numbers, names and units become typed placeholders. Five-token windows of the resulting
 templates are hashed and joined with the benchmark's. A pair of document and item whose shared
-windows cover enough of the item is then checked slot by slot: each of the item's slot values
-must stand for one value in the document.
+windows cover enough of the item is then checked slot by slot: in one way of laying the item over
+the document, each of the item's slot values must stand for one value.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 WORDS = 5
@@ -56,6 +57,27 @@ def _slots(df: DataFrame, keys: list[str], tokens: str, pos: str, value: str) ->
     return out.filter(F.col(value) < "\u0005")
 
 
+def _alignments(here: DataFrame) -> DataFrame:
+    """(row, item_id, kind, n, h, pos, ipos): ways to lay an item over a document, one kind of way each.
+
+    0: everything shared at once. 1: one shift between document and item. 2: chains, for copies with
+    words put in or left out: every document position goes to the item position whose shift holds
+    most windows, and a step back in the item starts another chain.
+    """
+    shift = (F.col("pos") - F.col("ipos")).cast("long")
+    by_shift = here.withColumn("n", shift)
+    held = by_shift.groupBy("row", "item_id", "n").agg(F.count(F.lit(1)).alias("k"))
+    chosen = (by_shift.join(held, ["row", "item_id", "n"]).groupBy("row", "item_id", "h", "pos")
+              .agg(F.min(F.struct(-F.col("k"), "n", "ipos")).alias("x")).select("row", "item_id", "h", "pos", "x.ipos"))
+    order = W.partitionBy("row", "item_id").orderBy("pos")
+    back = (F.col("ipos") <= F.lag("ipos").over(order)).cast("long")
+    chains = (chosen.withColumn("back", F.coalesce(back, F.lit(0).cast("long"))).withColumn("n", F.sum("back").over(order)).drop("back"))
+    kinds = [here.withColumn("n", F.lit(0).cast("long")), by_shift, chains]
+    cols = ["row", "item_id", "n", "h", "pos", "ipos"]
+    out = [k.select(F.lit(i).alias("kind"), *cols) for i, k in enumerate(kinds)]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, cover: float = COVER, consistent: float = CONSISTENT,
           text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """Pairs of document and benchmark item: key, row (hash of key and text), item_id, windows, of, slots, agree.
@@ -63,6 +85,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, cover: floa
     An item with fewer than `words` tokens, without text or id has no windows and never matches;
     nor does a null or short text. Items of equal text each match. Rows that share a key but not
     their text are told apart by `row`; repeated rows give one pair. Empty tables give no pairs.
+    windows, slots and agree are those of the alignment that was kept.
     """
     row = F.xxhash64(F.col(key), F.col(text))
     b = (benchmark.filter(F.col(item).isNotNull()).groupBy(F.col(item).alias("item_id"), F.col(item_text).alias("t")).agg(F.lit(1))
@@ -91,15 +114,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, cover: floa
     dslots = _slots(texts.select("row", _tokens(F.col("t")).alias("tok")), ["row"], "tok", "p", "dv")
     islots = _slots(b, ["item_id"], "tok", "q", "iv")
     spread = F.explode(F.sequence(F.lit(0), F.lit(words - 1)))
-    here = (hits.join(w, "h").join(pairs.select("row", "item_id"), ["row", "item_id"])
-            .select("row", "item_id", "pos", "ipos", spread.alias("j"))
-            .select("row", "item_id", (F.col("pos") + F.col("j")).alias("p"), (F.col("ipos") + F.col("j")).alias("q")))
-    matched = (here.join(islots, ["item_id", "q"]).join(dslots, ["row", "p"])
-               .groupBy("row", "item_id", "iv").agg((F.min("dv") == F.max("dv")).alias("one"))
-               .groupBy("row", "item_id").agg(F.count(F.lit(1)).alias("slots"), F.sum(F.col("one").cast("int")).alias("agree")))
-    out = pairs.join(matched, ["row", "item_id"], "left").fillna(0, ["slots", "agree"])
-    return out.filter(F.col("agree") >= F.col("slots") * consistent).select(
-        F.col("doc_id").alias(key), "row", "item_id", "windows", "of", "slots", "agree")
+    here = hits.join(w, "h").join(pairs.select("row", "item_id"), ["row", "item_id"]).select("row", "item_id", "h", "pos", "ipos")
+    at = _alignments(here).checkpoint()
+    covered = at.groupBy("row", "item_id", "kind", "n").agg(F.countDistinct("h").alias("windows")).join(of, "item_id").filter(F.col("windows") >= F.col("of") * cover)
+    matched = (at.join(covered.select("row", "item_id", "kind", "n"), ["row", "item_id", "kind", "n"]).select("row", "item_id", "kind", "n", "pos", "ipos", spread.alias("j"))
+               .select("row", "item_id", "kind", "n", (F.col("pos") + F.col("j")).alias("p"), (F.col("ipos") + F.col("j")).alias("q"))
+               .join(islots, ["item_id", "q"]).join(dslots, ["row", "p"])
+               .groupBy("row", "item_id", "kind", "n", "iv").agg((F.min("dv") == F.max("dv")).alias("one"))
+               .groupBy("row", "item_id", "kind", "n").agg(F.count(F.lit(1)).alias("slots"), F.sum(F.col("one").cast("int")).alias("agree")))
+    # The alignment that covers most of the item stands for the pair.
+    best = (covered.join(matched, ["row", "item_id", "kind", "n"], "left").fillna(0, ["slots", "agree"])
+            .filter(F.col("agree") >= F.col("slots") * consistent)
+            .groupBy("row", "item_id").agg(F.max(F.struct("windows", "agree", "slots")).alias("x")))
+    return pairs.select("doc_id", "row", "item_id", "of").join(best, ["row", "item_id"]).select(
+        F.col("doc_id").alias(key), "row", "item_id", "x.windows", "of", "x.slots", "x.agree")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:

@@ -136,6 +136,27 @@ def test_slot_consistency(spark, docs):
     assert {r.doc_id for r in decontaminate.leaks(docs([good, bad]), bench).collect()} == {0}
 
 
+BALLS = ("There are 3 red balls in the first box. There are 5 red balls in the second box. There are 7 red balls in the third box. "
+         "How many balls are there in total?")
+TRAIN = "A train travels 120 km in 3 hours and then stops at the old station for 15 minutes before it goes on towards the sea"
+
+
+def test_copies_with_repeated_windows_and_variants_are_found(spark, docs):
+    bench = spark.createDataFrame([(1, BALLS), (2, TRAIN)], "item_id long, text string")
+    variant = TRAIN.replace("120", "90").replace(" 3 ", " 2 ").replace("15", "25")
+    cut = TRAIN.replace("old station", "old and rather small station")
+    mixed = BALLS.replace("There are 5", "There were 5")
+    texts = [BALLS, TRAIN + ". " + variant, variant + ". " + cut, "Some words here. " + mixed, cut, "There are 3 red balls in the bag and no more"]
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(docs(texts), bench).collect()}
+    assert set(got) == {(0, 1), (1, 2), (2, 2), (3, 1), (4, 2)}
+    assert got[0, 1].windows == got[0, 1].of and got[0, 1].slots == got[0, 1].agree == 3
+    # Two copies with words put in, of different values: only a chain covers half of the item.
+    words = TRAIN.split()
+    apart = lambda t: " ".join(w + (" quite" if i in (8, 16) else "") for i, w in enumerate(t.split()))
+    assert len(words) > 20
+    assert {r.doc_id for r in decontaminate.leaks(docs([apart(TRAIN) + ". " + apart(variant)]), bench).collect()} == {0}
+
+
 def test_windows_joined_by_shuffle_give_the_same(spark, docs, prose, monkeypatch):
     bench = spark.createDataFrame([(i, prose(30, i)) for i in range(20)], "item_id long, text string")
     texts = [prose(20, 100 + i) + " " + prose(30, i % 25) for i in range(50)]
