@@ -69,25 +69,33 @@ def _assign(p: np.ndarray):
     return run
 
 
-def visits(q: np.ndarray, p: np.ndarray, radius: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
-    """Boolean matrix: which cells may hold one of the k best rows of each query."""
+def visits(q: np.ndarray, p: np.ndarray, radius: np.ndarray, rows: np.ndarray, k: int, own: np.ndarray | None = None) -> np.ndarray:
+    """Boolean matrix: which cells may hold one of the k best rows of each query.
+
+    `own` has, for each query and cell, the number of rows with the query's key, which are no answers.
+    """
     centre, spread = q @ p.T, np.sqrt((q ** 2).sum(axis=1))[:, None] * radius[None, :]
     slack = SLACK * (1 + np.abs(centre) + spread)
     low, high = centre - spread - slack, centre + spread + slack
     order = np.argsort(-low, axis=1)
-    # The query's own row may be among those counted: one more is needed.
-    enough = np.cumsum(rows[order], axis=1) >= k + 1
+    left = np.broadcast_to(rows, low.shape) - (0 if own is None else own)
+    enough = np.cumsum(np.take_along_axis(left, order, 1), axis=1) >= k
     first = np.where(enough.any(axis=1), enough.argmax(axis=1), len(p) - 1)
     kth = np.take_along_axis(low, np.take_along_axis(order, first[:, None], 1), 1)
     kth = np.where(enough.any(axis=1)[:, None], kth, -np.inf)
-    return (high >= kth) & (rows[None, :] > 0)
+    return (high >= kth) & (left > 0)
 
 
 def _route(p, radius, rows, k):
     def run(batches):
         for b in batches:
             x = _matrix(b.column(1), p.shape[1])
-            i, cell = np.nonzero(visits(x, p, radius, rows, k))
+            own = np.zeros((len(x), len(p)))
+            held = b.column(2)
+            of = np.repeat(np.arange(len(x)), held.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            pairs = held.flatten()
+            own[of, pairs.field("cell").to_numpy()] = pairs.field("n").to_numpy()
+            i, cell = np.nonzero(visits(x, p, radius, rows, k, own))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i)), pa.array(cell.astype(np.int32)), b.column(1).take(pa.array(i))],
                                              ["qid", "cell", "q"])
     return run
@@ -139,6 +147,10 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id",
     radius, count = np.zeros(len(p)), np.zeros(len(p))
     for c, r, n in summary:
         radius[c], count[c] = r, n
+    # Rows of a query's own key by cell, a struct per cell at most.
+    own = (cells.groupBy("id", "cell").agg(F.count(F.lit(1)).alias("n")).join(asked.select("id"), "id", "left_semi")
+           .groupBy("id").agg(F.collect_list(F.struct("cell", "n")).alias("own")))
+    asked = asked.join(own, "id", "left").select("id", "x", "own")
     routed = asked.mapInArrow(_route(p, radius, count, k), "qid long, cell int, q array<double>").checkpoint()
     waiting = np.zeros(len(p))
     for c, n in routed.groupBy("cell").count().collect():

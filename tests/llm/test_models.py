@@ -185,6 +185,23 @@ def test_top_k_equals_brute_force(spark, docs, monkeypatch):
     assert few.count() == 6 and topk.top_k(df.limit(0), df, k=5).count() == 0
 
 
+def test_top_k_with_a_repeated_key_equals_brute_force(spark, docs, monkeypatch):
+    docs([])
+    rng = np.random.default_rng(4)
+    near = lambda c, n: [[float(x) for x in np.array(c) + rng.standard_normal(3) * 0.01] for _ in range(n)]
+    v = [(50, x) for x in near([9, 0, 0], 50)] + [(i, x) for i, x in enumerate(near([0, 9, 0], 20) + near([0, 0, 9], 20), 100)]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<float>")
+    monkeypatch.setattr(topk, "PIVOTS", 3)
+    for q in (df.filter("vec_id = 50"), df.filter("vec_id IN (50, 107, 125)"), df.filter("vec_id = 107").selectExpr("7L AS vec_id", "embedding")):
+        got = topk.top_k(df, q, k=5).groupBy("query_id").count().collect()
+        assert {r.query_id: r["count"] for r in got} == {r.vec_id: 5 for r in q.collect()}
+    many = lambda x: np.floor(256 * np.array(x, np.float32).astype(float)).astype(int)
+    q = df.filter("vec_id = 125")
+    x = many(q.first()["embedding"])
+    best = sorted((-int(x @ many(y)), k) for k, y in v if k != 125)[:5]
+    assert sorted((r["rank"], r.vec_id, r.score) for r in topk.top_k(df, q, k=5).collect()) == [(i + 1, k, -s) for i, (s, k) in enumerate(best)]
+
+
 def test_bounds_leave_out_most_cells():
     rng = np.random.default_rng(3)
     p = rng.standard_normal((16, 8)) * 50
