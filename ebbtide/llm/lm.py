@@ -4,8 +4,9 @@ A small network predicts every token from the two on either side: an embedding f
 and its distance, one tanh layer, a softmax over token classes. The classes are the most
 frequent words of all documents, and for other words 32 classes by their last letters. Trained in
 numpy inside the tasks: every task runs over its share of the documents from common weights, and
-the results are averaged by the number of tokens seen. A document's score is the sum of the
-log-probabilities of its tokens.
+the results are averaged by the number of tokens seen. A word of an ending class has the
+probability of its class times its share of the class in the whole corpus. A document's score is
+the sum of the log-probabilities of its tokens.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ EVERY, EPOCHS, RATE, BATCH = 8, 2, 0.05, 1024      # an epoch trains on one toke
 CHUNK = 8192
 FLUSH = 1_000_000
 GROUPS = 16
+CARRIED = 65_536                # words whose share of their class is sent to every task; the rest are joined
+BROADCAST_ROWS = 500_000
 
 
 def unpack(flat: np.ndarray) -> list[np.ndarray]:
@@ -43,40 +46,73 @@ def start(seed: int = 7) -> np.ndarray:
     return np.concatenate([(rng.standard_normal(int(np.prod(s))) * (0.1 if len(s) > 1 else 0)).astype(np.float32) for s in SHAPES])
 
 
+def endings(d: np.ndarray, o: np.ndarray) -> np.ndarray:
+    """Class of every word by its last two bytes."""
+    if not len(d):
+        return np.empty(0, np.int64)
+    start, end = word_spans(d, o)
+    low = lowered(d).astype(np.int64)
+    return WORDS + (low[end - 1] * 31 + np.where(end - start > 1, low[np.maximum(end - 2, 0)], 32)) % ENDINGS
+
+
 def _word_counts(batches):
-    """(hash, count) of a task's words."""
+    """(hash, ending class, count) of a task's words."""
     held = []
 
     def flush():
-        v = np.concatenate([h for h, _ in held])
-        u, at = np.unique(v, return_inverse=True)
-        n = np.bincount(at, weights=np.concatenate([k for _, k in held]), minlength=len(u)).astype(np.int64)
+        v, c, k = (np.concatenate(x) for x in zip(*held))
+        u, first, at = np.unique(v, return_index=True, return_inverse=True)
+        n = np.bincount(at, weights=k, minlength=len(u)).astype(np.int64)
         held.clear()
-        return u, n
+        return u, c[first], n
 
-    row = lambda u, n: pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], ["h", "k"])
+    row = lambda u, c, n: pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c), pa.array(n)], ["h", "c", "k"])
     for b in batches:
         data, offsets = buffers(b.column(0))
         for i, j in slices(offsets):
-            u, n = np.unique(word_hashes(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])[0], return_counts=True)
-            held.append((u, n))
-        if sum(len(u) for u, _ in held) > FLUSH:
-            u, n = flush()
-            if len(u) > FLUSH // 2:
-                yield row(u, n)
+            d, o = data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
+            h, _ = word_hashes(d, o)
+            u, first, n = np.unique(h, return_index=True, return_counts=True)
+            held.append((u, endings(d, o)[first], n))
+        if sum(len(x[0]) for x in held) > FLUSH:
+            x = flush()
+            if len(x[0]) > FLUSH // 2:
+                yield row(*x)
             else:
-                held.append((u, n))
+                held.append(x)
     if held:
         yield row(*flush())
 
 
-def vocabulary(docs: DataFrame, text: str = "text") -> np.ndarray:
+def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(h, c, k): every word of all documents, its ending class and count."""
+    return docs.select(text).mapInArrow(_word_counts, "h long, c long, k long").groupBy("h").agg(F.min("c").alias("c"), F.sum("k").alias("k"))
+
+
+def vocabulary(docs: DataFrame, text: str = "text", counts: DataFrame | None = None) -> np.ndarray:
     """Hashes of the most frequent words of all documents, sorted; ties by hash."""
-    counts = docs.select(text).mapInArrow(_word_counts, "h long, k long").groupBy("h").agg(F.sum("k").alias("k"))
-    top = counts.orderBy(F.desc("k"), "h").limit(WORDS).collect()
+    top = (word_counts(docs, text) if counts is None else counts).orderBy(F.desc("k"), "h").limit(WORDS).collect()
     return np.sort(np.array([r[0] for r in top], np.int64).view(U))
 
 
+def shares(counts: DataFrame, vocab: np.ndarray) -> tuple[DataFrame, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Log of every other word's share of its class: as (h, lp), for words never seen by class, and the most frequent as arrays.
+
+    A word that was never seen counts as one more word of its class.
+    """
+    own = counts.sparkSession.createDataFrame([(int(h),) for h in vocab.view(np.int64)], "h long")
+    rest = counts.join(F.broadcast(own), "h", "left_anti")
+    total = np.zeros(CLASSES)
+    for c, n in rest.groupBy("c").agg(F.sum("k")).collect():                    # a row per class
+        total[c] = n
+    of = F.element_at(F.array(*[F.lit(float(x)) for x in total]), (F.col("c") + 1).cast("int"))
+    table = rest.select("h", "k", F.log(F.col("k") / of).alias("lp"))
+    some = table.orderBy(F.desc("k"), "h").limit(CARRIED).select("h", "lp").collect()
+    h, lp = np.array([r[0] for r in some], np.int64).view(U), np.array([r[1] for r in some], float)
+    order = np.argsort(h)
+    return table.select("h", "lp"), -np.log(total + 1), (h[order], lp[order])
+
+
 def token_classes(column, vocab: np.ndarray):
     """(classes of all tokens with two edges around every row, place of the tokens, first token of every row), slice by slice."""
     data, offsets = buffers(column)
@@ -85,9 +121,7 @@ def token_classes(column, vocab: np.ndarray):
         h, at = word_hashes(d, o)
         n = np.diff(at)
         if len(h):
-            _, end = word_spans(d, o)
-            low = lowered(d).astype(np.int64)
-            ids = WORDS + (low[end - 1] * 31 + low[np.maximum(end - 2, 0)]) % ENDINGS
+            ids = endings(d, o)
             if len(vocab):
                 k = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1)
                 ids = np.where(vocab[k] == h, k, ids)
@@ -156,9 +190,9 @@ def _added(table: pa.Table) -> pa.Table:
     return pa.table({"n": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "w": pa.array([total.tobytes()], pa.binary())})
 
 
-def train(docs: DataFrame, text: str = "text", epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
+def train(docs: DataFrame, text: str = "text", epochs: int = EPOCHS, counts: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(vocabulary, weights): the tasks' weights are added up in groups before they reach the driver."""
-    vocab, weights = vocabulary(docs, text), start()
+    vocab, weights = vocabulary(docs, text, counts), start()
     for epoch in range(epochs):
         parts = docs.select(text).mapInArrow(_learn(vocab, weights, epoch), "n long, w binary").filter("n > 0")
         sums = parts.withColumn("g", F.expr(f"pmod(hash(w), {GROUPS})")).groupBy("g").applyInArrow(_added, "n long, w binary").collect()
@@ -169,13 +203,26 @@ def train(docs: DataFrame, text: str = "text", epochs: int = EPOCHS) -> tuple[np
     return vocab, weights
 
 
+def _carried(h: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in `words`, whether it is there) of every hash."""
+    if not len(words):
+        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    k = np.minimum(np.searchsorted(words, h), len(words) - 1)
+    return k, words[k] == h
+
+
 def _scores(sent):
     @F.arrow_udf("n long, total double")
     def run(texts: pa.Array) -> pa.Array:
-        vocab, flat = sent.value
+        vocab, flat, words, share, _ = sent.value
         p, n, total = unpack(flat), [], []
-        for ids, place, at in token_classes(texts, vocab):
-            lp = np.concatenate([[0.0], np.cumsum(log_probs(p, ids, place), dtype=np.float64)])
+        data, offsets = buffers(texts)
+        for (ids, place, at), (i, j) in zip(token_classes(texts, vocab), slices(offsets)):
+            k, there = _carried(word_hashes(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])[0], words)
+            each = log_probs(p, ids, place).astype(np.float64)
+            if len(words):
+                each += np.where(there, share[k], 0)
+            lp = np.concatenate([[0.0], np.cumsum(each)])
             n.append(np.diff(at))
             total.append(lp[at[1:]] - lp[at[:-1]])
         cat = lambda v, kind: pa.array(np.concatenate(v) if v else [], kind)
@@ -183,13 +230,47 @@ def _scores(sent):
     return run
 
 
-def score(docs: DataFrame, text: str = "text", model: tuple | None = None) -> DataFrame:
+def _rare(sent):
+    """(text, hash, unseen share, count, first) of the words of every text that are neither classes nor carried; first is 1 in one row of a text."""
+    def run(batches):
+        vocab, _, words, _, unseen = sent.value
+        for b in batches:
+            data, offsets = buffers(b.column(1))
+            t = b.column(0).to_numpy(zero_copy_only=False)
+            for i, j in slices(offsets):
+                d, o = data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
+                h, at = word_hashes(d, o)
+                keep = ~(_carried(h, words)[1] | _carried(h, vocab)[1])
+                if not keep.any():
+                    continue
+                of, h, c = np.repeat(np.arange(j - i), np.diff(at))[keep], h[keep], endings(d, o)[keep]
+                order = np.lexsort((h, of))
+                of, h, c = of[order], h[order], c[order]
+                new = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (h[1:] != h[:-1])])
+                n = np.diff(np.r_[new, len(of)])
+                first = np.r_[True, of[new][1:] != of[new][:-1]].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(t[i + of[new]]), pa.array(h[new].view(np.int64)), pa.array(unseen[c[new]]), pa.array(n), pa.array(first)],
+                                                 ["t", "h", "unseen", "k", "first"])
+    return run
+
+
+def score(docs: DataFrame, text: str = "text", model: tuple | None = None, counts: DataFrame | None = None) -> DataFrame:
     """`docs` with __tokens, __log_likelihood (0 without tokens) and __per_token (null without tokens).
 
-    The model is trained on `docs` unless given. A null text has no tokens; repeated rows get equal
-    scores; whole texts are read; other columns pass through; an empty table gives an empty result.
+    The model (vocabulary, weights) is trained on `docs` unless given; `counts` (of word_counts) are those of `docs`
+    unless given. A null text has no tokens; repeated rows get equal scores; whole texts are read;
+    other columns pass through; an empty table gives an empty result.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model or train(docs, text))
-    out = docs.withColumn("__lm", _scores(sent)(F.col(text)))
-    return (out.withColumns({"__tokens": F.col("__lm.n"), "__log_likelihood": F.col("__lm.total")})
-            .withColumn("__per_token", F.when(F.col("__tokens") > 0, F.col("__log_likelihood") / F.col("__tokens"))).drop("__lm"))
+    counts = (word_counts(docs, text) if counts is None else counts).checkpoint()
+    vocab, weights = model or train(docs, text, counts=counts)
+    table, unseen, (words, share) = shares(counts, vocab)
+    sent = docs.sparkSession.sparkContext.broadcast((vocab, weights, words, share, unseen))
+    rare = docs.select(F.xxhash64(F.col(text)).alias("t"), F.col(text)).mapInArrow(_rare(sent), "t long, h long, unseen double, k long, first long")
+    # Texts that are there several times count each of their words so often.
+    more = (rare.join(table, "h", "left").groupBy(F.col("t").alias("__t"))
+            .agg((F.sum(F.col("k") * F.coalesce("lp", "unseen")) / F.sum("first")).alias("__more")).checkpoint())
+    more = F.broadcast(more) if more.count() <= BROADCAST_ROWS else more
+    out = docs.withColumns({"__lm": _scores(sent)(F.col(text)), "__t": F.xxhash64(F.col(text))}).join(more, "__t", "left")
+    out = out.withColumns({"__tokens": F.col("__lm.n"), "__log_likelihood": F.col("__lm.total") + F.coalesce("__more", F.lit(0.0))})
+    return (out.withColumn("__per_token", F.when(F.col("__tokens") > 0, F.col("__log_likelihood") / F.col("__tokens")))
+            .drop("__lm", "__t", "__more"))

@@ -111,6 +111,39 @@ def test_lm_learns_both_sides(docs):
     assert lm.score(docs([])).count() == 0
 
 
+def test_lm_scores_words_and_not_classes_only(docs, prose, monkeypatch):
+    from collections import Counter
+    import pyarrow as pa
+    rows = [(i, prose(40, i)) for i in range(60)] + [(70, "x " * 5 + "rareaa"), (71, "x " * 5 + "oftenaa"), (72, "oftenaa " * 3), (73, prose(40, 3)), (73, prose(40, 3)), (74, "")]
+    df = docs(rows)
+    model = lm.train(df)
+    got = {r.doc_id: r for r in lm.score(df, model=model).collect()}
+    vocab, weights = model
+    p, count, of, logs = lm.unpack(weights), Counter(), {}, {}
+    for _, t in rows:
+        w = t.split()
+        for (ids, place, _) in lm.token_classes(pa.array([t]), vocab):
+            for x, c in zip(w, ids[place]):
+                count[x] += 1
+                of[x] = int(c)
+    total = Counter()
+    for x, k in count.items():
+        total[of[x]] += k
+    for key, t in rows:
+        ids, place, _ = next(lm.token_classes(pa.array([t]), vocab))
+        want = lm.log_probs(p, ids, place).astype(float).sum() + sum(np.log(count[x] / total[of[x]]) for x in t.split())
+        logs[key] = want
+        assert got[key]["__log_likelihood"] == pytest.approx(want, abs=1e-3)
+    assert got[70]["__log_likelihood"] < got[71]["__log_likelihood"] - 1          # 1 against 4 of the same class
+    for some in (0, 50):                                                          # however many words the tasks carry
+        monkeypatch.setattr(lm, "CARRIED", some)
+        again = {r.doc_id: r for r in lm.score(df, model=model).collect()}
+        assert all(again[k]["__log_likelihood"] == pytest.approx(v, abs=1e-3) for k, v in logs.items())
+    counts = lm.word_counts(df)
+    odd = lm.score(docs([(1, "x x zzzzaa")]), model=model, counts=counts).collect()[0]
+    assert np.isfinite(odd["__log_likelihood"])
+
+
 def viterbi(model, x):
     import itertools
     e = model.emitted(x)
