@@ -24,7 +24,7 @@ EDGE = CLASSES                  # stands outside a document
 SIDE, DIM = 2, 16
 OFFSETS = [o for o in range(-SIDE, SIDE + 1) if o]
 SHAPES = ((len(OFFSETS), CLASSES + 1, DIM), (DIM,), (DIM, CLASSES), (CLASSES,))
-EVERY, EPOCHS, RATE, BATCH = 8, 2, 0.05, 1024      # an epoch trains on one token of eight of every document
+EPOCHS, RATE, BATCH = 2, 0.05, 1024                # every epoch trains on all tokens
 CHUNK = 8192
 FLUSH = 1_000_000
 GROUPS = 16
@@ -171,16 +171,15 @@ def train_step(p, memory, ids, place) -> None:
         x -= RATE * g / (np.sqrt(m) + 1e-6)
 
 
-def _learn(vocab: np.ndarray, weights: np.ndarray, epoch: int):
+def _learn(vocab: np.ndarray, weights: np.ndarray):
     def run(batches):
         flat = weights.copy()
         p, memory, seen = unpack(flat), unpack(np.zeros_like(flat)), 0
         for b in batches:
             for ids, place, _ in token_classes(b.column(0), vocab):
-                own = place[epoch % EVERY::EVERY]
-                for i in range(0, len(own), BATCH):
-                    train_step(p, memory, ids, own[i:i + BATCH])
-                seen += len(own)
+                for i in range(0, len(place), BATCH):
+                    train_step(p, memory, ids, place[i:i + BATCH])
+                seen += len(place)
         yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([(flat.astype(np.float64) * seen).tobytes()], pa.binary())], ["n", "w"])
     return run
 
@@ -193,8 +192,8 @@ def _added(table: pa.Table) -> pa.Table:
 def train(docs: DataFrame, text: str = "text", epochs: int = EPOCHS, counts: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(vocabulary, weights): the tasks' weights are added up in groups before they reach the driver."""
     vocab, weights = vocabulary(docs, text, counts), start()
-    for epoch in range(epochs):
-        parts = docs.select(text).mapInArrow(_learn(vocab, weights, epoch), "n long, w binary").filter("n > 0")
+    for _ in range(epochs):
+        parts = docs.select(text).mapInArrow(_learn(vocab, weights), "n long, w binary").filter("n > 0")
         sums = parts.withColumn("g", F.expr(f"pmod(hash(w), {GROUPS})")).groupBy("g").applyInArrow(_added, "n long, w binary").collect()
         n = sum(r["n"] for r in sums)
         if not n:

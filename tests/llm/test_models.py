@@ -144,6 +144,17 @@ def test_lm_scores_words_and_not_classes_only(docs, prose, monkeypatch):
     assert np.isfinite(odd["__log_likelihood"])
 
 
+def test_every_token_is_a_training_target(monkeypatch):
+    import pyarrow as pa
+    seen = []
+    monkeypatch.setattr(lm, "train_step", lambda p, memory, ids, place: seen.extend(ids[place]))
+    column = pa.array(["a b c", "d", "e f g h i j k l m n o p"])
+    batch = pa.RecordBatch.from_arrays([column], ["text"])
+    vocab = np.sort(lm.word_hashes(*lm.buffers(pa.array(["a b c d e f g h i j k l m n o p"])))[0])
+    list(lm._learn(vocab, lm.start())([batch]))
+    assert sorted(seen) == list(range(16))
+
+
 def viterbi(model, x):
     import itertools
     e = model.emitted(x)
