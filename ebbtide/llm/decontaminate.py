@@ -43,9 +43,9 @@ def _kind(x) -> Column:
     return F.when(x < "\u0005", F.substring(x, 1, 1)).otherwise(x)
 
 
-def _windows(tokens: str, n: int) -> Column:
-    """Hash of every window of `n` template tokens; none if there are fewer."""
-    c = f"transform(`{tokens}`, x -> CASE WHEN x < '\u0005' THEN substr(x, 1, 1) ELSE x END)"
+def _windows(tokens: str, n: int, values: bool = False) -> Column:
+    """Hash of every window of `n` template tokens, or of the tokens with their values; none if there are fewer."""
+    c = f"`{tokens}`" if values else f"transform(`{tokens}`, x -> CASE WHEN x < '\u0005' THEN substr(x, 1, 1) ELSE x END)"
     at = ", ".join(f"c[i + {j}]" for j in range(n))
     return F.expr(f"""CASE WHEN size(`{tokens}`) >= {n} THEN element_at(transform(array({c}), c ->
         transform(sequence(0, size(c) - {n}), i -> xxhash64({at}))), 1) ELSE cast(array() AS array<bigint>) END""")
@@ -78,12 +78,34 @@ def _alignments(here: DataFrame) -> DataFrame:
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
+def _verbatim(d: DataFrame, bare: DataFrame, words: int) -> DataFrame:
+    """(doc_id, row, item_id, windows, of, slots, agree): documents that hold the whole token sequence of an item, with its values.
+
+    The item's first `words` tokens say where to look; the rest is compared there.
+    """
+    heads = bare.select("item_id", F.col("tok").alias("item"), F.xxhash64(*[F.col("tok")[j] for j in range(words)]).alias("h"))
+    wanted = heads.select("h").distinct()
+    wanted = F.broadcast(wanted) if heads.count() <= BROADCAST_WINDOWS else wanted
+    near = (d.select("doc_id", "row", F.posexplode(_windows("tok", words, values=True)).alias("pos", "h")).join(wanted, "h", "left_semi")
+            .distinct().checkpoint())
+    asked = near.select("row").distinct()
+    asked = F.broadcast(asked) if near.count() <= BROADCAST_WINDOWS else asked
+    texts = d.select("row", "t").join(asked, "row", "left_semi").dropDuplicates(["row"]).select("row", _tokens(F.col("t")).alias("tok"))
+    found = (near.join(heads, "h").groupBy("doc_id", "row", "item_id", "item").agg(F.collect_set("pos").alias("at")).join(texts, "row")
+             .filter(F.exists("at", lambda p: F.slice("tok", p + 1, F.size("item")) == F.col("item"))))
+    n = (F.size("item") - words + 1).cast("long")
+    slots = F.size(F.array_distinct(F.filter("item", lambda x: x < "\u0005"))).cast("long")
+    return (found.select("doc_id", "row", "item_id", n.alias("windows"), n.alias("of"), slots.alias("slots"), slots.alias("agree"))
+            .dropDuplicates(["row", "item_id"]))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, cover: float = COVER, consistent: float = CONSISTENT,
           text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """Pairs of document and benchmark item: key, row (hash of key and text), item_id, windows, of, slots, agree.
 
     An item with fewer than `words` tokens, without text or id has no windows and never matches;
-    nor does a null or short text. Items of equal text each match. Rows that share a key but not
+    nor does a null or short text. An item whose windows all hold more than MOST_PLACEHOLDERS
+    placeholders matches with its own values only, as a whole. Items of equal text each match. Rows that share a key but not
     their text are told apart by `row`; repeated rows give one pair. Empty tables give no pairs.
     windows, slots and agree are those of the alignment that was kept.
     """
@@ -126,8 +148,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, cover: floa
     best = (covered.join(matched, ["row", "item_id", "kind", "n"], "left").fillna(0, ["slots", "agree"])
             .filter(F.col("agree") >= F.col("slots") * consistent)
             .groupBy("row", "item_id").agg(F.max(F.struct("windows", "agree", "slots")).alias("x")))
-    return pairs.select("doc_id", "row", "item_id", "of").join(best, ["row", "item_id"]).select(
-        F.col("doc_id").alias(key), "row", "item_id", "x.windows", "of", "x.slots", "x.agree")
+    out = pairs.select("doc_id", "row", "item_id", "of").join(best, ["row", "item_id"]).select(
+        "doc_id", "row", "item_id", "x.windows", "of", "x.slots", "x.agree")
+    bare = b.filter((F.size("tok") >= words) & ~F.exists("few", lambda x: x))
+    if not bare.isEmpty():
+        out = out.unionByName(_verbatim(d, bare, words).join(out.select("row", "item_id"), ["row", "item_id"], "left_anti"))
+    return out.withColumnRenamed("doc_id", key)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:

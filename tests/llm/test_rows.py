@@ -157,6 +157,18 @@ def test_copies_with_repeated_windows_and_variants_are_found(spark, docs):
     assert {r.doc_id for r in decontaminate.leaks(docs([apart(TRAIN) + ". " + apart(variant)]), bench).collect()} == {0}
 
 
+def test_items_of_numbers_are_found_verbatim(spark, docs):
+    items = ["Compute 48 / 6 + 7 * 2 - 5 + 9", "12 + 7 * 3 - 4 = 29"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [items[0], "First " + items[1].replace(" ", "  ") + " and on", items[0].replace("48", "36"), "12 + 7 * 3 - 4 = 30", "12 + 7 * 3", None, "nothing here",
+             items[0] + ". " + items[0] + ". " + items[1]]
+    got = decontaminate.leaks(docs(texts + [(0, items[0])]), bench)
+    rows = {(r.doc_id, r.item_id): r for r in got.collect()}
+    assert set(rows) == {(0, 0), (1, 1), (7, 0), (7, 1)} and got.count() == 4
+    assert all(r.windows == r.of and r.slots == r.agree > 0 for r in rows.values())
+    assert {r.doc_id for r in decontaminate.clean(docs(texts), bench).collect()} == {2, 3, 4, 5, 6}
+
+
 def test_windows_joined_by_shuffle_give_the_same(spark, docs, prose, monkeypatch):
     bench = spark.createDataFrame([(i, prose(30, i)) for i in range(20)], "item_id long, text string")
     texts = [prose(20, 100 + i) + " " + prose(30, i % 25) for i in range(50)]
