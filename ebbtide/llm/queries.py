@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ebbtide.llm import chat, decontaminate, lm, minhash, mixing, pii, secrets, sharding, topk, toxicity
+from ebbtide.llm import chat, decontaminate, lm, minhash, mixing, negatives, pii, quality, secrets, sharding, topk, toxicity, whiten
 from ebbtide.llm.registry import ORACLES, QUERIES, query, table
 from ebbtide.llm.stage import prepare
 
@@ -89,6 +89,43 @@ def voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, rows.filter("vec_id % 50 = 0"), k=5)
 
 
+HARD_NEGATIVES_SQL = """
+    WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) for x in embedding] AS x
+               FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+                 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same, list_dot_product(a.x, v.x)::BIGINT AS score
+          FROM v a JOIN v ON a.vec_id <> v.vec_id AND a.vec_id % 50 = 0),
+    p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+           vec_id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+    QUALIFY rank <= 3"""
+
+
+@query("op11_hard_negatives", HARD_NEGATIVES_SQL)
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of every seventh key are moved on by one, as the contract has it."""
+    rows = table(prepare(spark), sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+@query("op12_quality")
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of the rows that are not held out teach the trees."""
+    spark = prepare(spark)
+    labels = table(spark, sf_dir, "labels").filter(toxicity.remainder("doc_id") != 0)
+    out = quality.score(table(spark, sf_dir, "documents"), labels.select("doc_id", "quality"))
+    return out.select("doc_id", (toxicity.remainder("doc_id") == 0).alias("held_out"), F.col("__score").alias("score"),
+                      (F.col("__score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op13_whitening")
+def whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(table(prepare(spark), sf_dir, "embeddings"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
