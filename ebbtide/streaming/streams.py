@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ebbtide.config import PanelConfig
 from ebbtide.functions import scalars as S
-from ebbtide.operators.labels import decay_label
 from ebbtide.sources.bronze import READINGS_SCHEMA, dedupe_last, is_file, kind_files, merge_partitions
+from ebbtide.streaming.state import keyed_breaker, keyed_cap, keyed_labels, keyed_panel_state, keyed_sessions
 
 
 # ---------------------------------------------------------------- sources and sinks
@@ -88,78 +88,44 @@ def stream_merge(records: DataFrame, table: str, folder: str, keys: tuple[str, .
     return records.sparkSession.read.schema(records.schema).parquet(table)
 
 
-# ---------------------------------------------------------------- admission cap
-def cap_step(folder: str, limit: int):
-    """A batch step that admits at most `limit` entities per owner and UTC day.
+# ---------------------------------------------------------------- keyed state
+def stream_owner_cap(entities: DataFrame, folder: str, limit: int, delay_hours: float = 168.0) -> DataFrame:
+    """Admitted entities. A later batch can only use what earlier ones left of the day's limit; see `state.keyed_cap`."""
+    return available_now(keyed_cap(entities, limit, delay_hours), folder, mode="update").drop("batch")
 
-    Entities admitted before, or repeated, take no place: they leave before the
-    batch is ranked. Across batches the places already taken that day are looked
-    up, for the batch's owners and days.
-    """
-    def step(batch: DataFrame, i: int) -> DataFrame:
-        d = batch.withColumn("day", F.to_date("published_at"))
-        d = dedupe_last(d, ["entity"], [F.col("published_at")])
-        w = Window.partitionBy("owner", "day").orderBy("published_at", "entity")
-        rank = lambda x: x.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
-        if i == 0:
-            return rank(d).drop("rank")
-        done = (batch.sparkSession.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out/batch=*")
-                .filter(F.col("batch") < i))
-        new = rank(d.join(done.select("entity"), "entity", "left_anti"))
-        before = (done.join(new.select("owner", "day").distinct(), ["owner", "day"], "left_semi")
-                  .groupBy("owner", "day").agg(F.count(F.lit(1)).alias("had")))
-        return (new.join(before, ["owner", "day"], "left")
-                .filter(F.col("rank") + F.coalesce("had", F.lit(0)) <= limit).drop("rank", "had"))
-    return step
-
-
-def stream_owner_cap(entities: DataFrame, folder: str, limit: int) -> DataFrame:
-    """Admitted entities. A later batch can only use what earlier ones left of the day's limit."""
-    return available_now(entities, folder, each=cap_step(folder, limit)).drop("batch", "day")
-
-
-# ---------------------------------------------------------------- running state
-def stream_panel_state(readings: DataFrame, cfg: PanelConfig = PanelConfig()) -> DataFrame:
+
+def stream_panel_state(readings: DataFrame, cfg: PanelConfig = PanelConfig(), delay_hours: float | None = None) -> DataFrame:
     """Reading count, scheduled count and last reading per entity. Run in update mode."""
-    return readings.groupBy("entity").agg(
-        F.count(F.lit(1)).alias("reading_count"),
-        F.count_if(F.col("age_hours") >= cfg.first_mark_opens).alias("scheduled_count"),
-        F.max("reading_ts").alias("last_reading_at"))
+    return keyed_panel_state(readings, cfg, cfg.max_track if delay_hours is None else delay_hours)
 
 
-def label_step(folder: str, cfg: PanelConfig = PanelConfig(), seq: str | None = None):
-    """A batch step that relabels the entities a batch touched.
+def stream_decay_label(readings: DataFrame, folder: str, cfg: PanelConfig = PanelConfig(),
+                       seq: str | None = None, delay_hours: float | None = None) -> DataFrame:
+    """Latest label per entity after all arrived files.
 
-    A later peak raises the threshold and a late reading slots in by age, so a
-    label is recomputed from the entity's whole series, by the batch operator.
-    Series are stored by publication day: only the days a batch touches are read.
-    A label is final once the newest reading seen lies past the entity's window.
+    Equal to `decay_label` over the readings in time and inside the tracking window. `final` is true once the
+    newest reading of earlier batches, less the delay, is past the entity's window: nothing can change it
+    then. By default a reading may come as late as the window is long.
     """
-    store = f"{folder}/series"
+    labels = keyed_labels(readings, cfg, seq, cfg.max_track if delay_hours is None else delay_hours)
+    return latest(available_now(labels, folder, mode="update"), ["entity"])
 
-    def step(batch: DataFrame, i: int) -> DataFrame:
-        spark = batch.sparkSession
-        b = batch.withColumn("pub_day", F.to_date("published_at"))
-        (b.withColumn("part", F.lit(i)).write.option("partitionOverwriteMode", "dynamic")
-         .mode("overwrite").partitionBy("pub_day", "part").parquet(store))
-        touched = b.select("entity", "pub_day").distinct()
-        series = spark.read.parquet(store).filter(F.col("part") <= i).join(touched, ["pub_day", "entity"], "left_semi")
-        if seq is None:
-            series = series.dropDuplicates(["entity", "age_hours", "value"])
-        labels = decay_label(series, cfg, seq=seq)
-        now = batch.agg(F.max("reading_ts").alias("seen_until"))
-        pub = series.groupBy("entity").agg(F.min("published_at").alias("published_at"))
-        age = S.hours_between("published_at", "seen_until")
-        return (labels.join(pub, "entity").crossJoin(F.broadcast(now))                # one row
-                .withColumn("final", age >= cfg.max_track)
-                .drop("published_at", "seen_until"))
-    return step
 
+def stream_sessions(readings: DataFrame, folder: str, gap_hours: float = 3.0, delay_hours: float = 48.0) -> DataFrame:
+    """(source, start, last, minutes, closed): every stretch of activity, the open tail included.
 
-def stream_decay_label(readings: DataFrame, folder: str, cfg: PanelConfig = PanelConfig(),
-                       seq: str | None = None) -> DataFrame:
-    """Latest label per entity after all arrived files."""
-    return latest(available_now(readings, folder, each=label_step(folder, cfg, seq)), ["entity"])
+    Closed sessions are emitted once. Of those still open the newest statement of each source holds.
+    """
+    out = available_now(keyed_sessions(readings, gap_hours, delay_hours), folder, mode="update")
+    newest = out.groupBy("source").agg(F.max("batch").alias("batch"))
+    return out.filter("closed").unionByName(out.filter("NOT closed").join(newest, ["source", "batch"], "left_semi").select(out.columns)).drop("batch")
+
+
+def outages_between(sessions: DataFrame) -> DataFrame:
+    """The quiet time between consecutive sessions of a source. The last session has none: it is still open."""
+    w = Window.partitionBy("source").orderBy("start")
+    d = sessions.withColumn("resumed_at", F.lead("start").over(w)).filter(F.col("resumed_at").isNotNull())
+    return d.select("source", F.col("last").alias("last_data_at"), "resumed_at", S.hours_between("last", "resumed_at").alias("hours_quiet"))
 
 
 def with_lateness(readings: DataFrame, cfg: PanelConfig = PanelConfig()) -> DataFrame:
@@ -171,12 +137,36 @@ def with_lateness(readings: DataFrame, cfg: PanelConfig = PanelConfig()) -> Data
 
 
 def split_late(batch: DataFrame, newest_before, delay_hours: float, ts: str = "reading_ts") -> tuple[DataFrame, DataFrame]:
-    """Rows in time, and rows that arrive more than the delay behind what was already seen."""
-    behind = S.hours_between(ts, F.lit(newest_before).cast("timestamp")) > delay_hours
-    behind = F.coalesce(behind, F.lit(False))
+    """Rows in time, and rows that lie the delay or more behind what was already seen: the watermark's rule."""
+    limit = F.unix_millis(F.lit(newest_before).cast("timestamp")) * 1000 - F.lit(int(delay_hours * 3600) * 1_000_000)
+    behind = F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")) <= limit, F.lit(False))
     return batch.filter(~behind), batch.filter(behind)
 
 
+def stream_split_late(readings: DataFrame, folder: str, delay_hours: float = 48.0, ts: str = "reading_ts") -> tuple[DataFrame, DataFrame]:
+    """(rows in time, late rows): two tables that together hold every row once.
+
+    Both are written by one batch step, each to its own `batch=<id>` folder, with the newest time seen
+    so far as a one-row table beside them. A step reads only the row that the step before it left; so a
+    repeated batch splits the same way and overwrites what it wrote.
+    """
+    spark = readings.sparkSession
+    path = lambda kind, i: f"{folder}/{kind}/batch={i}"
+
+    def step(batch: DataFrame, i: int) -> None:
+        before = spark.read.parquet(path("newest", i - 1)).first()[0] if i else None
+        seen = Observation()
+        ok, _ = split_late(batch.observe(seen, F.max(F.col(ts).cast("timestamp")).alias("t")), before, delay_hours, ts)
+        ok.write.mode("overwrite").parquet(path("in_time", i))
+        split_late(batch, before, delay_hours, ts)[1].write.mode("overwrite").parquet(path("late", i))
+        newest = max((t for t in (before, seen.get["t"]) if t is not None), default=None)
+        spark.createDataFrame([(newest,)], "newest timestamp").coalesce(1).write.mode("overwrite").parquet(path("newest", i))
+
+    q = (readings.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(step).start())
+    q.awaitTermination()
+    return tuple(spark.read.option("basePath", f"{folder}/{k}").parquet(f"{folder}/{k}/batch=*").drop("batch") for k in ("in_time", "late"))
+
+
 # ---------------------------------------------------------------- windows
 def volume_per(readings: DataFrame, width: str = "1 day", ts: str = "reading_ts", delay: str = "2 days") -> DataFrame:
     """Tumbling volume."""
@@ -195,27 +185,6 @@ def trailing_coverage(readings: DataFrame, cfg: PanelConfig = PanelConfig(), wid
             .select(F.col("w.start").alias("start"), "readings", "on_time"))
 
 
-def activity_sessions(readings: DataFrame, gap: str = "3 hours", ts: str = "reading_ts", delay: str = "2 days") -> DataFrame:
-    """Stretches of activity per source; the time between two of them is an outage.
-
-    Readings are thinned to one row per source and minute before the session
-    state, so its size follows the calendar, not the volume.
-    """
-    minute = F.date_trunc("MINUTE", ts)
-    d = readings.select("source", minute.alias("at")).withWatermark("at", delay).dropDuplicates(["source", "at"])
-    return (d.groupBy("source", F.session_window("at", gap).alias("w")).agg(F.count(F.lit(1)).alias("minutes"))
-            .select("source", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "minutes"))
-
-
-def outages_between(sessions: DataFrame, gap_hours: float = 3.0) -> DataFrame:
-    """Closed outages from finished sessions (a session ends one gap after its last reading)."""
-    w = Window.partitionBy("source").orderBy("start")
-    quiet_from = F.timestamp_add("SECOND", F.lit(int(-gap_hours * 3600)), F.col("end"))
-    d = sessions.withColumn("next", F.lead("start").over(w)).filter(F.col("next").isNotNull())
-    return d.select("source", quiet_from.alias("last_data_at"), F.col("next").alias("resumed_at"),
-                    S.hours_between(quiet_from, "next").alias("hours_quiet"))
-
-
 def enrich(stream: DataFrame, frame: DataFrame, key: str = "owner") -> DataFrame:
     """Stream-static left join with the sampling frame."""
     return stream.join(frame, key, "left")
@@ -236,34 +205,6 @@ def heartbeat(readings: DataFrame, folder: str, now_fn: Callable[[], str], max_s
 
 
 # ---------------------------------------------------------------- breaker
-def breaker_step(folder: str, trip_at: int = 3, order: str = "at"):
-    """A batch step: unbroken empty rounds per source over the attempt log.
-
-    An attempt that called nobody, or saw something, resets the run; a dry run
-    is ignored. A batch adds its attempts past its own latest reset to the run
-    kept by the batch before (one row per source). Attempts arrive in log order.
-    """
-    def step(batch: DataFrame, i: int) -> DataFrame:
-        d = batch.filter(~F.coalesce("dry_run", F.lit(False)))
-        reset = (F.coalesce("accounts_called", F.lit(0)) <= 0) | (F.coalesce("posts_seen", F.lit(0)) > 0)
-        last = d.groupBy("source").agg(F.max(F.when(reset, F.col(order))).alias("reset_at"))
-        new = (d.join(last, "source").groupBy("source").agg(
-            F.count(F.lit(1)).alias("n"), F.max("reset_at").alias("reset_at"),
-            F.count_if(F.col("reset_at").isNull() | (F.col(order) > F.col("reset_at"))).alias("run")))
-        if i:
-            old = (batch.sparkSession.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out/batch=*")
-                   .filter(F.col("batch") < i))
-            old = latest(old, ["source"]).select("source", F.col("attempts").alias("n0"), F.col("empty_rounds").alias("r0"))
-            new = new.join(old, "source", "full_outer")
-        else:
-            new = new.withColumns({"n0": F.lit(0).cast("bigint"), "r0": F.lit(0).cast("bigint")})
-        zero = lambda x: F.coalesce(x, F.lit(0))
-        run = zero("run") + F.when(F.col("reset_at").isNull(), zero("r0")).otherwise(0)
-        return new.select("source", (zero("n") + zero("n0")).alias("attempts"), run.alias("empty_rounds"),
-                          (run >= trip_at).alias("tripped"))
-    return step
-
-
 def breaker(attempts: DataFrame, folder: str, trip_at: int = 3) -> DataFrame:
-    """State of every source's breaker after all arrived attempts."""
-    return latest(available_now(attempts, folder, each=breaker_step(folder, trip_at)), ["source"])
+    """State of every source's breaker after all arrived attempts; see `state.keyed_breaker`."""
+    return latest(available_now(keyed_breaker(attempts, trip_at), folder, mode="update"), ["source"])

@@ -136,3 +136,95 @@ def test_readings_land_and_are_read_back(spark, tmp_path):
     assert bronze.read_bronze(spark, root, "snapshots", "video").agg({"views": "sum"}).first()[0] == 15
     assert bronze.read_bronze(spark, root, "snapshots", "photo").count() == 0
     assert T.available_now(T.stream_readings(spark, root), str(tmp_path / "run")).count() == 6
+
+
+def label_rows(spark, *rows):
+    """(entity, published day, age in hours, value) as readings."""
+    t0 = dt.datetime(2024, 1, 1)
+    return spark.createDataFrame([(e, t0 + dt.timedelta(days=d), t0 + dt.timedelta(days=d, hours=a), float(a), float(v), i) for i, (e, d, a, v) in enumerate(rows)],
+                                 "entity string, published_at timestamp, reading_ts timestamp, age_hours double, value double, seq int")
+
+
+def test_a_label_becomes_final_when_others_move_time_on(spark, tmp_path):
+    cfg = PanelConfig(min_intervals=2, sustain=1)
+    old = [("x", 0, a, v) for a, v in ((1, 10), (3, 40), (6, 41), (12, 41))]
+    s = stream_of(spark, str(tmp_path / "in"), label_rows(spark, *old[2:]), label_rows(spark, *old[:2]), label_rows(spark, *old),      # out of order, a replay
+                  label_rows(spark, ("y", 60, 1, 5), ("y", 60, 3, 9)))
+    got = {r.entity: r for r in T.stream_decay_label(s, str(tmp_path / "run"), cfg, "seq").collect()}
+    assert got["x"].final and not got["y"].final
+    want = decay_label(label_rows(spark, *old), cfg, "seq").first()
+    assert [got["x"][c] for c in want.asDict()] == list(want)
+
+
+def test_no_batch_reads_earlier_output(spark, tmp_path):
+    """The label, the cap and the breaker go on from their state alone: what earlier runs stored is gone."""
+    def two_runs(name, first, second, run):
+        path, folder = str(tmp_path / name), tmp_path / f"{name}-run"
+        first.coalesce(1).write.parquet(path)
+        run(T.stream_table(spark, path), str(folder)).count()
+        for d in (folder / "out").glob("batch=*"):
+            d.rename(tmp_path / f"{name}-gone-{d.name}")
+        second.coalesce(1).write.mode("append").parquet(path)
+        return run(T.stream_table(spark, path), str(folder)).collect()
+
+    x = [("x", 0, a, v) for a, v in ((1, 10), (3, 40), (6, 41), (12, 41), (24, 60))]
+    cfg = PanelConfig(min_intervals=2)
+    got = two_runs("l", label_rows(spark, *x[:3]), label_rows(spark, *x[3:]), lambda s, f: T.stream_decay_label(s, f, cfg, "seq"))
+    want = decay_label(label_rows(spark, *x), cfg, "seq").first()
+    assert [got[0][c] for c in want.asDict()] == list(want)
+    names = lambda n: spark.createDataFrame([(c, "o", dt.datetime(2024, 5, 2, i)) for i, c in enumerate(n)], "entity string, owner string, published_at timestamp")
+    assert [r.entity for r in two_runs("c", names("abc"), names("xcyz"), lambda s, f: T.stream_owner_cap(s, f, 5))] == ["x", "y"]
+    log = lambda *seen: spark.createDataFrame([(a, "s", False, 1, p) for a, p in seen], "at int, source string, dry_run boolean, accounts_called int, posts_seen int")
+    r = two_runs("b", log((1, 4), (2, 0), (3, 0)), log((3, 0), (4, 0)), lambda s, f: T.breaker(s, f, 3))[0]       # attempt 3 comes twice
+    assert (r.attempts, r.empty_rounds, r.tripped) == (4, 3, True)
+
+
+def test_a_closed_day_admits_nobody(spark, tmp_path):
+    day = lambda d, *names: spark.createDataFrame([(n, "o", dt.datetime(2024, 5, d, i)) for i, n in enumerate(names)], "entity string, owner string, published_at timestamp")
+    s = stream_of(spark, str(tmp_path / "in"), day(2, "a", "b"), day(20, "c"), day(2, "d"), day(20, "e"))
+    out = T.stream_owner_cap(s, str(tmp_path / "run"), 3, delay_hours=24.0)
+    assert sorted(r.entity for r in out.collect()) == ["a", "b", "c", "e"]
+
+
+def test_sessions_close_by_readings_and_by_time(spark, tmp_path):
+    at = lambda *hm: spark.createDataFrame([(s, dt.datetime(2024, 5, 1) + dt.timedelta(hours=h)) for s, h in hm], "source string, reading_ts timestamp")
+    # p: 0-1, 9-10, 18; the reading at 9 comes after that at 18. q falls silent after 2, r is the clock.
+    s = stream_of(spark, str(tmp_path / "in"), at(("p", 0), ("p", 1), ("q", 2), ("r", 2)), at(("p", 18), ("p", 10), ("r", 18)), at(("p", 9), ("p", 9)),
+                  at(("p", 0)), at(("r", 200)))
+    sessions = T.stream_sessions(s, str(tmp_path / "run"), gap_hours=3.0, delay_hours=24.0)
+    hour = lambda t: (t - dt.datetime(2024, 5, 1)).total_seconds() / 3600
+    got = sorted((r.source, hour(r.start), hour(r["last"]), r.minutes, r.closed) for r in sessions.collect())
+    assert got == [("p", 0, 1, 2, True), ("p", 9, 10, 2, True), ("p", 18, 18, 1, True), ("q", 2, 2, 1, True),
+                   ("r", 2, 2, 1, True), ("r", 18, 18, 1, True), ("r", 200, 200, 1, False)]
+    gaps = sorted((r.source, hour(r.last_data_at), hour(r.resumed_at), r.hours_quiet) for r in T.outages_between(sessions).collect())
+    assert gaps == [("p", 1, 9, 8), ("p", 10, 18, 8), ("r", 2, 18, 16), ("r", 18, 200, 182)]
+
+
+def test_late_rows_go_to_a_table_of_their_own(spark, tmp_path):
+    make = lambda *days: spark.createDataFrame([(f"e{d}", dt.datetime(2024, 5, d)) for d in days], "entity string, reading_ts timestamp")
+    s = stream_of(spark, str(tmp_path / "in"), make(1, 2), make(9, 3), make(8, 2, 7), make(1, 9))
+    for _ in range(2):                                               # a second run finds nothing new
+        ok, late = T.stream_split_late(s, str(tmp_path / "run"), 48.0)
+        assert sorted(r.entity for r in ok.collect()) == ["e1", "e2", "e3", "e8", "e9", "e9"]
+        assert sorted(r.entity for r in late.collect()) == ["e1", "e2", "e7"]
+
+
+def test_a_repeated_split_step_overwrites_its_own_rows(spark, tmp_path):
+    """A crash after the sinks but before the commit: the batch is run again and splits the same way."""
+    make = lambda *days: spark.createDataFrame([(d, dt.datetime(2024, 5, d)) for d in days], "k int, reading_ts timestamp")
+    path, folder = str(tmp_path / "in"), tmp_path / "run"
+    s = stream_of(spark, path, make(1, 9), make(2, 10))
+    T.stream_split_late(s, str(folder), 48.0)
+    (folder / "checkpoint" / "commits" / "1").rename(tmp_path / "lost")
+    (folder / "checkpoint" / "commits" / ".1.crc").rename(tmp_path / "lost.crc")
+    ok, late = T.stream_split_late(T.stream_table(spark, path, 1), str(folder), 48.0)
+    assert sorted(r.k for r in ok.collect()) == [1, 9, 10] and [r.k for r in late.collect()] == [2]
+
+
+def test_panel_state_is_forgotten_after_the_window(spark, tmp_path):
+    cfg = PanelConfig()
+    s = stream_of(spark, str(tmp_path / "in"), label_rows(spark, ("x", 0, 1, 1), ("x", 0, 3, 2)), label_rows(spark, ("y", 60, 1, 1)), label_rows(spark, ("y", 60, 3, 1)))
+    out = T.available_now(T.stream_panel_state(s, cfg), str(tmp_path / "run"), "update")
+    assert {r.entity: (r.reading_count, r.scheduled_count) for r in T.latest(out, ["entity"]).collect()} == {"x": (2, 2), "y": (2, 2)}
+    kept = spark.read.format("statestore").load(str(tmp_path / "run" / "checkpoint"))
+    assert [r.key[0] for r in kept.select("key").collect()] == ["y"]
