@@ -97,30 +97,103 @@ def merge_bronze(existing: DataFrame, incoming: DataFrame, keys: tuple[str, ...]
     return kept.unionByName(both.filter(~whole)).drop("_arrival")
 
 
+MAX_LISTED = 1000       # partitions named one by one in a filter; beyond that a join finds them
+
+
+def _path(spark: SparkSession, path: str):
+    """(file system, path) of any store that Spark reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    fs, p = _path(spark, folder)
+    return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def _mark(spark: SparkSession, path: str) -> None:
+    fs, p = _path(spark, path)
+    fs.create(p, True).close()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    fs, p = _path(spark, path)
+    fs.delete(p, True)
+
+
+def _publish(spark: SparkSession, stage: str, target: str, schema, fmt: str, parts: tuple[str, ...]) -> None:
+    """Replace the partitions of `target` that the stage holds. Doing it again changes nothing."""
+    (spark.read.schema(schema).format(fmt).load(f"{stage}/rows").write.format(fmt)
+     .option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(*parts).save(target))
+
+
+def _done(spark: SparkSession, staging: str, batch: int) -> None:
+    """Note that the target holds this batch; earlier notes go."""
+    _mark(spark, f"{staging}/done-{batch}")
+    for name in _names(spark, staging):
+        if name.startswith("done-") and int(name[5:]) < batch:
+            _remove(spark, f"{staging}/{name}")
+
+
+def recover(spark: SparkSession, target: str, staging: str, schema, parts: tuple[str, ...], fmt: str = "parquet") -> None:
+    """Finish or discard what an interrupted merge left behind.
+
+    A stage with its READY mark is whole, but may have reached the target in part: it is published again.
+    One without the mark never touched the target.
+    """
+    for name in _names(spark, staging):
+        if name.startswith("stage-"):
+            stage = f"{staging}/{name}"
+            if "READY" in _names(spark, stage):
+                _publish(spark, stage, target, schema, fmt, parts)
+                if name[6:].isdigit():
+                    _done(spark, staging, int(name[6:]))
+            _remove(spark, stage)
+
+
+def _touched(target: DataFrame, df: DataFrame, parts: tuple[str, ...]) -> DataFrame:
+    """Rows of `target` in the partitions that `df` has rows for; the others are not read."""
+    listed = df.select(*parts).distinct().limit(MAX_LISTED + 1).collect()
+    if len(listed) > MAX_LISTED:
+        named = df.select(*[F.col(c).alias(f"_t_{c}") for c in parts]).distinct()
+        return target.join(named, [target[c].eqNullSafe(named[f"_t_{c}"]) for c in parts], "left_semi")
+    here = F.lit(False)
+    for row in listed:
+        same = F.lit(True)
+        for c in parts:
+            same = same & F.col(c).eqNullSafe(F.lit(row[c]).cast(df.schema[c].dataType))
+        here = here | same
+    return target.filter(here)
+
+
 def merge_partitions(df: DataFrame, target: str, staging: str, keys: tuple[str, ...] | None,
-                     parts: tuple[str, ...], fmt: str = "parquet", ingested: str = "_ingested_at") -> None:
+                     parts: tuple[str, ...], fmt: str = "parquet", ingested: str = "_ingested_at", batch: int | None = None) -> None:
     """Merge records into the partitions of `target` they touch; the others stay as they are.
 
-    Spark cannot overwrite files it is reading, so the merged partitions are
-    first written to `staging` (the shared folder) and read back from there
-    before they replace their originals. Repeating a merge changes nothing.
+    Spark cannot overwrite files it is reading, so the merged partitions are first written to a stage in
+    `staging` (the shared folder, one per target and writer) and replace their originals from there. The
+    stage is marked when it is whole and removed when the target has it; the next merge finishes or
+    discards what a lost driver left. With `batch`, a rising number, a batch that is in the target already is
+    skipped, so that even kinds without keys can be repeated; without it, repeating a keyed merge changes nothing.
     """
     spark = df.sparkSession
-    stage = f"{staging}/{uuid.uuid4().hex}"
-    touched = F.broadcast(df.select(*parts).distinct())       # one row per partition
-    try:
-        now = spark.read.schema(df.schema).format(fmt).load(target)
-        existing = now.join(touched, list(parts), "left_semi").select(df.columns)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    recover(spark, target, staging, df.schema, parts, fmt)
+    if batch is not None and any(n.startswith("done-") and int(n[5:]) >= batch for n in _names(spark, staging)):
+        return
+    if _status(spark, target) is None:
         existing = df.limit(0)
+    else:
+        existing = _touched(spark.read.schema(df.schema).format(fmt).load(target), df, parts).select(df.columns)
     merged = merge_bronze(existing, df, None if keys is None else tuple(dict.fromkeys((*parts, *keys))), ingested)
-    merged.write.mode("overwrite").format(fmt).save(stage)
-    (spark.read.schema(df.schema).format(fmt).load(stage).write.format(fmt)
-     .option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(*parts).save(target))
+    stage = f"{staging}/stage-{uuid.uuid4().hex + 'x' if batch is None else batch}"
+    merged.write.mode("overwrite").format(fmt).save(f"{stage}/rows")
+    _mark(spark, f"{stage}/READY")
+    _publish(spark, stage, target, df.schema, fmt, parts)
+    if batch is not None:
+        _done(spark, staging, batch)
+    _remove(spark, stage)
 
 
-def write_bronze(df: DataFrame, root: str, kind: str, staging: str) -> None:
+def write_bronze(df: DataFrame, root: str, kind: str, staging: str, batch: int | None = None) -> None:
     """Merge records of one kind into platform=<p>/dt=<d> as JSON lines."""
-    merge_partitions(df, f"{root}/{kind}", staging, NATURAL_KEYS.get(kind), ("platform", "dt"), "json")
+    merge_partitions(df, f"{root}/{kind}", f"{staging}/{kind}", NATURAL_KEYS.get(kind), ("platform", "dt"), "json", batch=batch)

@@ -72,15 +72,15 @@ def stream_dedupe(readings: DataFrame, keys: list[str], ts: str = "reading_ts",
     return readings.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def stream_merge(records: DataFrame, table: str, folder: str, keys: tuple[str, ...], parts: tuple[str, ...],
+def stream_merge(records: DataFrame, table: str, folder: str, keys: tuple[str, ...] | None, parts: tuple[str, ...],
                  ingested: str = "_ingested_at") -> DataFrame:
     """Fold fresher versions of known keys into a partitioned table, batch by batch.
 
     Only the partitions a batch touches are rewritten, and a repeated batch
-    changes nothing.
+    changes nothing, with keys or without.
     """
-    def step(batch: DataFrame, _: int) -> None:
-        merge_partitions(batch, table, f"{folder}/stage", keys, parts, ingested=ingested)
+    def step(batch: DataFrame, i: int) -> None:
+        merge_partitions(batch, table, f"{folder}/stage", keys, parts, ingested=ingested, batch=i)
 
     q = (records.writeStream.option("checkpointLocation", f"{folder}/checkpoint")
          .trigger(availableNow=True).foreachBatch(step).start())
