@@ -86,9 +86,9 @@ def prior_median(df: DataFrame, value: str, max_rows: int | None = None) -> Data
     cut = split_hot(known, ["owner"], "v", max_rows or HISTORY_ROWS)
     known = cut.df.withColumnRenamed(SEG, "_b") if cut.hot else cut.df.withColumn("_b", F.lit(0))
     cells = known.groupBy("owner", "_t", "_b").agg(F.count(F.lit(1)).alias("c"))
-    span = cells.groupBy("owner").agg(F.max("_t").alias("t1"), F.max("_b").alias("b1"),
+    span = cells.groupBy("owner").agg(F.min("_t").alias("t0"), F.max("_t").alias("t1"), F.max("_b").alias("b1"),
                                       F.min("_b").alias("b0"))
-    grid = (span.select("owner", F.explode(F.sequence(F.lit(0), "t1")).alias("_t"), "b0", "b1")
+    grid = (span.select("owner", F.explode(F.sequence("t0", "t1")).alias("_t"), "b0", "b1")
             .select("owner", "_t", F.explode(F.sequence("b0", "b1")).alias("_b"))
             .join(cells, ["owner", "_t", "_b"], "left"))
     w_time = Window.partitionBy("owner", "_b").orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)

@@ -31,15 +31,15 @@ def intervals(readings: DataFrame, cfg: PanelConfig = PanelConfig(), seq: str |
         g = collapse_equal_ages(g, seq=seq)
     elif seq:
         g = g.with_df(g.df.drop(seq))
-    g = clamped(g)
-    pool = F.col("velocity")
+    g = clamped(g, first=cfg.skip_first)
     if cfg.skip_first:
         # The first interval starts at the first reading; keep it if it is the only one.
-        g = running(g, ["age_hours"], {"_first": ("min", "age_hours")}, inclusive=False)
-        g = group_total(g, {"_n": ("sum", F.when(F.col("velocity").isNotNull(), 1).otherwise(0))})
-        pool = F.when((F.col("prev_age") != F.col("_first")) | (F.col("_n") <= 1), pool)
-    g = g.with_df(g.df.withColumn("_pool", pool))
-    g = group_total(g, {"peak": ("max", "_pool")})
+        later = F.when(F.col("prev_age") != F.col("_first"), F.col("velocity"))
+        g = group_total(g, {"_n": ("sum", F.when(F.col("velocity").isNotNull(), 1).otherwise(0)), "_all": ("max", "velocity"), "_later": ("max", later)})
+        g = g.with_df(g.df.withColumn("_pool", F.when(F.col("_n") <= 1, F.col("velocity")).otherwise(later))
+                      .withColumn("peak", F.when(F.col("_n") <= 1, F.col("_all")).otherwise(F.col("_later"))).drop("_all", "_later"))
+    else:
+        g = group_total(g.with_df(g.df.withColumn("_pool", F.col("velocity"))), {"peak": ("max", "_pool")})
     k = cfg.sustain
     if k == 1:
         return g.with_df(g.df.withColumn("sustained", F.col("velocity")))

@@ -42,15 +42,16 @@ def by_entity(readings: DataFrame, value: str = "value", max_rows: int | None =
     return split_hot(r, ["entity"], "age_hours", max_rows)
 
 
-def clamped(g: Grouped, value: str = "value") -> Grouped:
+def clamped(g: Grouped, value: str = "value", first: bool = False) -> Grouped:
     """Running-maximum clamp with velocity per interval.
 
     Adds `clamped`, `repaired` (a strict decrease was lifted), `prev_age`,
     `prev_value` and `velocity` (null on the first reading). The previous
-    clamped value is the maximum of all earlier values, so one scan gives all.
+    clamped value is the maximum of all earlier values, so one scan gives all. With `first`, so
+    does `_first`, the age of the entity's first reading (null on that reading).
     """
-    g = running(g, ["age_hours"], {"prev_value": ("max", value), "prev_age": ("max", "age_hours")},
-                inclusive=False)
+    more = {"_first": ("min", "age_hours")} if first else {}
+    g = running(g, ["age_hours"], {"prev_value": ("max", value), "prev_age": ("max", "age_hours"), **more}, inclusive=False)
     d = g.df.withColumns({
         "clamped": F.greatest(F.col(value), F.col("prev_value")),
         "repaired": F.coalesce(F.col(value) < F.col("prev_value"), F.lit(False)),

@@ -2,32 +2,33 @@
 
 A window clustered by a key puts the whole group in one task, and one entity
 may hold a third of the table. Before an ordered scan, `split_hot` measures the
-groups and cuts the few oversized ones into consecutive pieces of the ordering
-column; the scan then runs per piece and a small per-piece summary carries its
-state forward. Groups of ordinary size stay whole, so the plan for them is the
-plain window.
-
-Bounds: at most HOT_GROUPS groups are cut (the next largest group then holds
-under 1/HOT_GROUPS of the table, a fair task share), each into at most
-MAX_PIECES pieces. Every broadcast below is a table of pieces, so it has at most
-HOT_GROUPS * MAX_PIECES rows.
+groups. Those of ordinary size stay whole, so the plan for them is the plain window. The
+rows of the oversized ones are set aside in the shared folder and sorted into pieces by
+range partitioning on (group, order): as many pieces as their rows need, for any number of groups.
+The scan then runs per piece, and a row per piece carries state forward.
+
+The input is read three times at most, whatever is scanned later: to measure, for the oversized
+groups, and for the rest. What follows reads the pieces. Nothing about groups reaches the
+driver but two numbers, and tables of pieces are joined on the keys by which the scans are partitioned.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from math import ceil
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ebbtide.session import cut_lineage
+
 SEG = "_seg"
 WHOLE = -1                    # SEG of a group that was not cut
-HOT_GROUPS = 2_000
-MAX_PIECES = 1_024
-HOT_ROWS = 2_000_000
+HOT_ROWS = 2_000_000          # rows of a group that one task scans
+FEW_GROUPS = 100_000          # oversized groups whose keys are sent to all tasks; beyond that they are joined
 SMALL_BYTES = 256 << 20
-_STRIDE = 32
 
 _COMBINE = {
     "sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
@@ -38,16 +39,18 @@ _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
 def plan_bytes(df: DataFrame) -> int | None:
-    """Bytes of the tables `df` reads, by Catalyst's statistics; None where they cannot be read."""
+    """Bytes of the tables `df` reads, by Catalyst's statistics; None where a source has none (a stream)."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
     try:
-        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-        return sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
-    except Exception:
+        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    except Py4JJavaError:
         return None
 
 
 def is_small(df: DataFrame) -> bool:
-    """True when the whole input would be one ordinary task's work."""
+    """True when the whole input would be one ordinary task's work: few bytes read, and no row made into many."""
+    if re.search(r"^[\s:+|-]*(Generate|Expand|Range) ", df._jdf.queryExecution().analyzed().toString(), re.M):
+        return False
     size = plan_bytes(df)
     return size is not None and size <= SMALL_BYTES
 
@@ -73,50 +76,35 @@ class Grouped:
     def result(self) -> DataFrame:
         return self.df.drop(SEG) if self.hot else self.df
 
-    def attach(self, table: DataFrame, keys: list[str]) -> DataFrame:
-        """Left join of a bounded per-piece (or per-hot-group) table."""
-        if not keys:                                      # one group, one row
-            return self.df.crossJoin(F.broadcast(table))
-        return self.df.join(F.broadcast(table), keys, "left")
+    def attach(self, table: DataFrame) -> DataFrame:
+        """Left join of a table with a row per piece, on the keys that the scans are partitioned by."""
+        return self.df.join(table, self.keys, "left")
 
 
 def split_hot(df: DataFrame, by: list[str], order: str, max_rows: int | None = None) -> Grouped:
-    """Cut groups of more than `max_rows` rows along `order` (numeric, not null).
+    """Cut groups of more than `max_rows` rows along `order`.
 
-    Rows equal in `order` stay in one piece. Without `max_rows`, inputs small
-    enough for one task skip the measuring job.
+    Rows equal in `order` stay in one piece; SEG rises with `order` inside a group. Without
+    `max_rows`, inputs small enough for one task skip the measuring job. Groups with a null key stay whole.
     """
     if max_rows is None:
         if is_small(df):
             return Grouped(df, tuple(by), False)
         max_rows = HOT_ROWS
-    top = (df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-           .filter(F.col("_n") > max_rows).orderBy(F.desc("_n")).limit(HOT_GROUPS).collect())
-    if not top:
+    sizes = cut_lineage(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_rows))
+    groups, rows = sizes.agg(F.count(F.lit(1)), F.sum("_n")).first()
+    if not groups:
         return Grouped(df, tuple(by), False)
-    pieces = min(MAX_PIECES, ceil(top[0]["_n"] / max_rows))
-    spark = df.sparkSession
-    schema = df.select(*by).schema
-    hot = spark.createDataFrame([tuple(r[c] for c in by) or (0,) for r in top],
-                                schema if by else "_one int")
-    rows = df.join(F.broadcast(hot), list(by), "left_semi") if by else df
-    at = [i / pieces for i in range(1, pieces)]
-    found = rows.groupBy(*by).agg(F.percentile_approx(order, at, 10_000).alias("_cuts")).collect()
-    table = []
-    for r in found:
-        cuts = sorted(set(r["_cuts"]))
-        table.append((*[r[c] for c in by], cuts, cuts[_STRIDE - 1::_STRIDE]))
-    kind = df.schema[order].dataType.simpleString()
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields) if by else ""
-    cuts = spark.createDataFrame(
-        table, (fields + ", " if by else "") + f"_cuts array<{kind}>, _coarse array<{kind}>")
-    joined = (df.join(F.broadcast(cuts), list(by), "left") if by
-              else df.crossJoin(F.broadcast(cuts)))       # one row
-    x = F.col(order)
-    c = F.size(F.filter("_coarse", lambda y: y < x))
-    seg = F.when(F.col("_cuts").isNull(), F.lit(WHOLE)).otherwise(
-        c * _STRIDE + F.size(F.filter(F.slice("_cuts", c * _STRIDE + 1, _STRIDE), lambda y: y < x)))
-    return Grouped(joined.withColumn(SEG, seg).drop("_cuts", "_coarse"), tuple(by), True)
+    inside, outside = df, None
+    if by:
+        keys = sizes.select(*by)
+        keys = F.broadcast(keys) if groups <= FEW_GROUPS else keys
+        inside, outside = df.join(keys, list(by), "left_semi"), df.join(keys, list(by), "left_anti")
+    inside = cut_lineage(inside)
+    inside = cut_lineage(inside.repartitionByRange(ceil(rows / max_rows), *by, order).withColumn(SEG, F.spark_partition_id()))
+    if outside is not None:
+        inside = outside.withColumn(SEG, F.lit(WHOLE)).unionByName(inside)
+    return Grouped(inside, tuple(by), True)
 
 
 def running(g: Grouped, order: list, exprs: dict[str, tuple[str, Column | str]],
@@ -133,7 +121,7 @@ def running(g: Grouped, order: list, exprs: dict[str, tuple[str, Column | str]],
     wc = Window.partitionBy(*g.by).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
     carry = part.select(*g.keys, *[_AGG[kind](n).over(wc).alias(f"_c_{n}")
                                    for n, (kind, _) in exprs.items()])
-    j = g.with_df(out).attach(carry, g.keys)
+    j = g.with_df(out).attach(carry)
     j = j.withColumns({n: _COMBINE[kind](F.col(n), F.col(f"_c_{n}")) for n, (kind, _) in exprs.items()})
     return g.with_df(j.drop(*[f"_c_{n}" for n in exprs]))
 
@@ -147,7 +135,7 @@ def previous(g: Grouped, order: str, cols: dict[str, str]) -> Grouped:
     out = g.df.withColumn("_prev", F.lag(packed).over(w))
     part = g.pieces().groupBy(*g.keys).agg(F.max_by(packed, order).alias("_last"))
     carry = part.select(*g.keys, F.lag("_last").over(Window.partitionBy(*g.by).orderBy(SEG)).alias("_carry"))
-    j = g.with_df(out).attach(carry, g.keys).withColumn("_prev", F.coalesce("_prev", "_carry"))
+    j = g.with_df(out).attach(carry).withColumn("_prev", F.coalesce("_prev", "_carry"))
     return g.with_df(j.select(*g.df.columns, *[F.col(f"_prev.{n}").alias(n) for n in cols]))
 
 
@@ -158,9 +146,9 @@ def group_total(g: Grouped, exprs: dict[str, tuple[str, Column | str]]) -> Group
     out = g.df.select("*", *[_AGG[kind](cols[n]).over(w).alias(n) for n, (kind, _) in exprs.items()])
     if not g.hot:
         return g.with_df(out)
-    total = g.pieces().groupBy(*g.by).agg(
-        *[_AGG[kind](cols[n]).alias(f"_t_{n}") for n, (kind, _) in exprs.items()])
-    j = g.with_df(out).attach(total, list(g.by))
+    part = g.pieces().groupBy(*g.keys).agg(*[_AGG[kind](cols[n]).alias(n) for n, (kind, _) in exprs.items()])
+    total = part.select(*g.keys, *[_AGG[kind](n).over(Window.partitionBy(*g.by)).alias(f"_t_{n}") for n, (kind, _) in exprs.items()])
+    j = g.with_df(out).attach(total)
     j = j.withColumns({n: F.coalesce(F.col(f"_t_{n}"), F.col(n)) for n in exprs})
     return g.with_df(j.drop(*[f"_t_{n}" for n in exprs]))
 
@@ -184,7 +172,7 @@ def followers(g: Grouped, order: str, value: str, k: int, name: str) -> Grouped:
     wh = Window.partitionBy(*g.by).orderBy("_at", "_end").rowsBetween(1, 2 * k)
     halo = (head.unionByName(ends).withColumn("_halo", F.slice(F.collect_list("_v").over(wh), 1, k))
             .filter("_end").select(*g.keys, "_halo"))
-    j = g.with_df(out).attach(halo, g.keys)
+    j = g.with_df(out).attach(halo)
     full = F.slice(F.concat(F.col(name), F.coalesce("_halo", F.slice(name, 1, 0))), 1, k)
     return g.with_df(j.withColumn(name, full).drop("_halo"))
 
