@@ -243,26 +243,57 @@ def wilcoxon_signed_rank(spark, sf):
 @query("owner_bootstrap")
 def owner_boot(spark, sf):
     d = M.flagged(with_fast(spark, sf), "m1")
-    return flag_bootstrap(d, "fast", 500, PANEL.seed)
+    return flag_bootstrap(d, "fast", PANEL.draws, PANEL.seed)
 
 
 @query("owner_bootstrap_total")
 def owner_boot_total(spark, sf):
     li = table(spark, sf, "lineitem").select(F.col("l_suppkey").cast("string").alias("owner"), "l_extendedprice", "l_discount")
     return owner_bootstrap(li, {"gross": F.col("l_extendedprice"), "net": F.col("l_extendedprice") * (1 - F.col("l_discount"))},
-                           lambda: {"net_share": F.col("net") / F.col("gross")}, 500, PANEL.seed)
+                           lambda: {"net_share": F.col("net") / F.col("gross")}, PANEL.draws, PANEL.seed)
 
 
 @query("bootstrap_ci")
 def boot_ci(spark, sf):
     s = cut_lineage(stacked(spark, sf))
-    return bootstrap_ci(score_models(s), concordance_draws(s, 100, PANEL.seed))
+    return bootstrap_ci(score_models(s), concordance_draws(s, PANEL.draws, PANEL.seed))
 
 
 @query("paired_delta_bootstrap")
 def paired(spark, sf):
     s = cut_lineage(stacked(spark, sf))
-    return paired_delta_bootstrap(score_models(s), cut_lineage(concordance_draws(s, 100, PANEL.seed)), [("m1", "m2")])
+    return paired_delta_bootstrap(score_models(s), cut_lineage(concordance_draws(s, PANEL.draws, PANEL.seed)), [("m1", "m2")])
+
+
+INSIDE = F.col("low").isNotNull() & (F.col("low") <= F.col("point")) & (F.col("point") <= F.col("high"))
+
+
+@query("owner_bootstrap_point", """SELECT 'net_share' AS name, round(sum(l_extendedprice * (1 - l_discount)) / sum(l_extendedprice), 6) AS point, true AS inside
+  FROM lineitem""")
+def owner_boot_point(spark, sf):
+    """The estimate, which is exact, and whether its interval holds it."""
+    return owner_boot_total(spark, sf).select("name", "point", INSIDE.alias("inside"))
+
+
+SCORES = pairs_sql("stk", "duration", "event", "predicted")[7:].replace("ON a.event", "ON a.model = b.model AND a.event")
+MAE = """m AS (SELECT model, avg(abs(log10(greatest(duration, 1e-6)) - log10(greatest(predicted, 1e-6)))) AS mae FROM stk WHERE event GROUP BY model)"""
+
+
+@query("bootstrap_ci_point", f"""WITH {STACK}, {MAE}, c AS (SELECT a.model, {SCORES} GROUP BY a.model)
+  SELECT model, c_index, round(mae, 6) AS mae_log10, true AS c_inside, true AS mae_inside FROM c JOIN m USING (model)""")
+def boot_ci_point(spark, sf):
+    d = boot_ci(spark, sf)
+    held = lambda x, a, b: (F.col(a) <= F.col(x)) & (F.col(x) <= F.col(b))
+    return d.select("model", "c_index", "mae_log10", held("c_index", "c_low", "c_high").alias("c_inside"), held("mae_log10", "mae_low", "mae_high").alias("mae_inside"))
+
+
+@query("paired_delta_point", f"""WITH {STACK}, {MAE}, c AS (SELECT a.model, {SCORES} GROUP BY a.model), s AS (SELECT * FROM c JOIN m USING (model))
+  SELECT 'm1' AS model, 'm2' AS baseline, {PANEL.draws} AS draws, round(x.mae - y.mae, 6) AS delta_mae_log10, true AS inside
+  FROM s x, s y WHERE x.model = 'm1' AND y.model = 'm2'""")
+def paired_point(spark, sf):
+    d = paired(spark, sf)
+    inside = (F.col("delta_c_low") <= F.col("delta_c_index")) & (F.col("delta_c_index") <= F.col("delta_c_high"))
+    return d.select("model", "baseline", "draws", "delta_mae_log10", inside.alias("inside"))
 
 
 MARK_CASE = "CASE " + " ".join(f"WHEN {m!r}::DOUBLE <= duration + {PANEL.tolerance} THEN {m!r}::DOUBLE" for m in reversed(PANEL.marks)) + f" ELSE {PANEL.marks[0]!r}::DOUBLE END"

@@ -1,37 +1,39 @@
-"""Harrell's C without forming pairs.
+"""Harrell's C without forming pairs, for one or many sets of weights.
 
 A pair (i, j) is comparable when i's event was seen and i's time comes first, a
 censored j at the same time included. It is concordant when i's prediction is the
 smaller one, and half so at equal predictions.
 
-Rows are placed on a grid of time and prediction buckets. Whole blocks of the
-grid are counted from cell totals; only rows sharing a time bucket, or sharing a
-prediction bucket, are compared among themselves, in groups of about
-ROWS_PER_BUCKET rows. A value common enough to be a bucket edge gets a bucket of
-its own, where the count is closed-form. The result is exact.
+A group of points that fits a task is counted there, by a merge tree in numpy. A larger one is
+placed on a grid of time and prediction buckets: whole blocks of the grid are counted from cell
+totals, and what remains are pairs inside one time bucket or inside one prediction bucket. Each
+such bucket is a group again, counted or split by the same rule, until all fit. A value common enough to be
+a bucket edge gets a bucket of its own, where the count is closed-form; so groups always
+shrink. The result is exact at any size.
+
+Every point carries a vector of weights, one per draw; a plain count is one draw of weight 1.
 """
 
 from __future__ import annotations
 
-from math import ceil
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.session import cut_lineage
 
-ROWS_PER_BUCKET = 200_000
-MAX_BUCKETS = 1_024
-MAX_GROUPS = 100
-
+LEAF_ROWS = 200_000     # points that one task counts
+FANOUT = 32             # buckets per axis of a split: at most 96 x 64 cells a group
+FEW_GROUPS = 1_000      # oversized groups whose bucket edges are sent to all tasks; beyond that they are joined
+AT_ONCE = 4_000_000     # weights of a block of draws
 
 class PairCounts:
     """Weighted counts over pairs with t_i < t_j, in O(n log^2 n) numpy passes.
 
     Points must be distinct in (t, p). `less`, `equal` and `total` sum
-    wi_i * wj_j over pairs by how p_i compares with p_j.
+    wi_i * wj_j over pairs by how p_i compares with p_j; weights with a second axis (draws) give
+    a sum for each draw.
     """
 
     def __init__(self, t: np.ndarray, p: np.ndarray):
@@ -57,170 +59,170 @@ class PairCounts:
             self.levels.append((o, r, first_b, first_p, last_p))
             half *= 2
 
-    def count(self, wi: np.ndarray, wj: np.ndarray) -> tuple[float, float, float]:
+    def count(self, wi: np.ndarray, wj: np.ndarray) -> tuple:
+        if wi.ndim == 1:
+            return tuple(x[0] for x in self.count(wi[:, None], wj[:, None]))
         wi, wj = wi[self.order].astype(float), wj[self.order].astype(float)
-        less = equal = 0.0
+        zero, less, equal = np.zeros((1, wi.shape[1])), np.zeros(wi.shape[1]), np.zeros(wi.shape[1])
         for o, r, first_b, first_p, last_p in self.levels:
-            left = np.where(r, 0.0, wi[o])
-            cum = np.concatenate(([0.0], np.cumsum(left)))
-            mine = np.where(r, wj[o], 0.0)
-            less += float(mine @ (cum[first_p] - cum[first_b]))
-            equal += float(mine @ (cum[last_p] - cum[first_p]))
-        before = np.concatenate(([0.0], np.cumsum(wi)))
+            cum = np.concatenate((zero, np.cumsum(np.where(r[:, None], 0.0, wi[o]), axis=0)))
+            mine = np.where(r[:, None], wj[o], 0.0)
+            less += (mine * (cum[first_p] - cum[first_b])).sum(axis=0)
+            equal += (mine * (cum[last_p] - cum[first_p])).sum(axis=0)
+        before = np.concatenate((zero, np.cumsum(wi, axis=0)))
         start = np.searchsorted(self.t, self.t, side="left")
-        return less, equal, float(wj @ before[start])
-
-
-_STRIDE = 32
+        return less, equal, (wj * before[start]).sum(axis=0)
 
 
-def _edge_table(d: DataFrame, by: list[str], buckets: int) -> DataFrame:
-    """Bucket edges of both axes per group: one small row each."""
-    at = [i / buckets for i in range(1, buckets)]
-    found = d.groupBy(*by).agg(F.percentile_approx("t", at, 10_000).alias("t"),
-                               F.percentile_approx("p", at, 10_000).alias("p")).collect()
-    rows = []
-    for r in found:
-        te, pe = sorted(set(r["t"] or [])), sorted(set(r["p"] or []))
-        rows.append((*[r[x] for x in by], te, te[_STRIDE - 1::_STRIDE], pe, pe[_STRIDE - 1::_STRIDE]))
-    keys = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in d.select(*by).schema.fields)
-    arrays = ", ".join(f"{n} array<double>" for n in ("_te", "_tc", "_pe", "_pc"))
-    return d.sparkSession.createDataFrame(rows, keys + arrays)
+def _ranks(t: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Rank of (time, censored): at one time the events come first."""
+    o = np.lexsort((c, t))
+    step = np.concatenate(([0], ((t[o][1:] != t[o][:-1]) | (c[o][1:] != c[o][:-1])).astype(int)))
+    out = np.empty(len(o), int)
+    out[o] = np.cumsum(step)
+    return out
 
 
-def _bucket(x: str, edges: str, coarse: str):
+def _summed(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values, starts, axis=0) if len(starts) else values
+
+
+def _matrix(column, draws: int, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, draws)
+
+
+_OUT = "top string, draw int, pairs double, less double, equal double"
+
+
+def _result(top, pairs, less, equal) -> pa.Table:
+    n = len(less)
+    return pa.table({"top": pa.array([top] * n, pa.string()), "draw": pa.array(np.arange(n, dtype=np.int32)),
+                     **{k: pa.array(np.asarray(v, float)) for k, v in (("pairs", pairs), ("less", less), ("equal", equal))}})
+
+
+def _leaf(draws: int):
+    """All pairs of one group of points."""
+    def run(table: pa.Table) -> pa.Table:
+        t, c, p, e, n = (table.column(x).to_numpy() for x in ("t", "c", "p", "e", "n"))
+        w, r = _matrix(table.column("w"), draws, np.uint8), _ranks(t, c)
+        o = np.lexsort((p, r))
+        new = np.ones(len(o), bool)
+        new[1:] = (r[o][1:] != r[o][:-1]) | (p[o][1:] != p[o][:-1])
+        starts = np.flatnonzero(new)
+        k = PairCounts(r[o][starts], p[o][starts])
+        step = max(1, AT_ONCE // len(o))
+        parts = [k.count(_summed(w[o, a:a + step] * e[o, None], starts), _summed(w[o, a:a + step] * n[o, None], starts)) for a in range(0, draws, step)]
+        less, equal, pairs = (np.concatenate([x[i] for x in parts]) for i in range(3))
+        return _result(table.column("top")[0].as_py(), pairs * table.column("full")[0].as_py(), less, equal)
+    return run
+
+
+def _cells(draws: int):
+    """Weights of a task's points per cell."""
+    def run(batches):
+        for b in batches:
+            names: dict = {}
+            ids = np.array([names.setdefault(x, len(names)) for x in zip(*[b.column(c).to_pylist() for c in ("top", "g", "full", "tb", "pb")])], int)
+            o = np.argsort(ids, kind="stable")
+            starts = np.flatnonzero(np.append(True, ids[o][1:] != ids[o][:-1])) if len(o) else np.empty(0, int)
+            w, e, n = _matrix(b.column("w"), draws, np.uint8), b.column("e").to_numpy(), b.column("n").to_numpy()
+            es, ns = _summed(w[o] * e[o, None], starts), _summed(w[o] * n[o, None], starts)
+            keys = list(zip(*names)) if names else [()] * 5
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array(k, t) for k, t in zip(keys, kinds)], *[pa.array([r.astype(np.int64).tobytes() for r in v], pa.binary()) for v in (es, ns)]],
+                ["top", "g", "full", "tb", "pb", "es", "ns"])
+    return run
+
+
+def _cell_sums(draws: int):
+    def run(table: pa.Table) -> pa.Table:
+        first = table.slice(0, 1)
+        for x in ("es", "ns"):
+            total = _matrix(table.column(x), draws, np.int64).sum(axis=0)
+            first = first.set_column(first.column_names.index(x), x, pa.array([total.tobytes()], pa.binary()))
+        return first
+    return run
+
+
+def _blocks(draws: int):
+    """Pairs from different time buckets that lie in different prediction buckets, or in one that holds a single value."""
+    def run(table: pa.Table) -> pa.Table:
+        tb, pb = table.column("tb").to_numpy(), table.column("pb").to_numpy()
+        e, n = (_matrix(table.column(x), draws, np.int64) for x in ("es", "ns"))
+        less, _, pairs = PairCounts(tb, pb).count(e, n)
+        odd, equal = pb % 2 == 1, np.zeros(draws)
+        if odd.any():
+            equal = PairCounts(tb[odd], pb[odd]).count(e[odd], n[odd])[1]
+        return _result(table.column("top")[0].as_py(), pairs * table.column("full")[0].as_py(), less, equal)
+    return run
+
+
+def _bucket(x: str, edges: str):
     """(number of edges below, sits on an edge): edge values are buckets of their own."""
-    base = F.size(F.filter(coarse, lambda e: e < F.col(x))) * _STRIDE
-    below = base + F.size(F.filter(F.slice(edges, base + 1, _STRIDE), lambda e: e < F.col(x)))
+    below = F.size(F.filter(edges, lambda e: e < F.col(x)))
     return below, F.coalesce(F.get(edges, below) == F.col(x), F.lit(False))
 
 
-def pair_table(df: DataFrame, time: str, event: str, predicted: str, by: list[str] = (),
-               weight_by: list[str] = (), buckets: int | None = None) -> DataFrame:
-    """Distinct points with their weights and buckets: by, weight_by, t, c, p, n, e, tb, pb.
-
-    `by` names independent comparisons (at most 100), each with its own edges.
-    """
-    by = list(by)
-    d = (df.filter(F.col(time).isNotNull() & F.col(predicted).isNotNull())
-         .groupBy(*by, *weight_by, F.col(time).cast("double").alias("t"),
-                  (~F.col(event).cast("boolean")).cast("int").alias("c"),
-                  F.col(predicted).cast("double").alias("p"))
-         .agg(F.count(F.lit(1)).alias("n")))
-    if buckets is None:
-        most = d.groupBy(*by).agg(F.count(F.lit(1)).alias("k")).agg(F.max("k"), F.count(F.lit(1))).first()
-        if (most[1] or 0) > MAX_GROUPS:
-            raise ValueError(f"at most {MAX_GROUPS} comparisons at once")
-        buckets = max(1, min(MAX_BUCKETS, ceil((most[0] or 0) / ROWS_PER_BUCKET)))
-    d = d.withColumn("e", F.when(F.col("c") == 0, F.col("n")).otherwise(0))
-    if buckets == 1:
-        return d.withColumns({"tb": F.lit(0), "pb": F.lit(0)})
-    edges = F.broadcast(_edge_table(d, by, buckets))           # at most MAX_GROUPS rows
-    d = d.join(edges, by) if by else d.crossJoin(edges)
-    tb, t_on = _bucket("t", "_te", "_tc")
-    pb, p_on = _bucket("p", "_pe", "_pc")
+def _split(d: DataFrame, groups: int, fanout: int) -> DataFrame:
+    """Points with the buckets `tb` and `pb` of their group; edges are quantiles of the group's points."""
+    at = [i / fanout for i in range(1, fanout)]
+    edges = d.groupBy("g").agg(*[F.sort_array(F.array_distinct(F.percentile_approx(x, at, 10_000))).alias(f"_{x}") for x in "tp"])
+    d = d.join(F.broadcast(edges) if groups <= FEW_GROUPS else edges, "g")
+    (tb, t_on), (pb, p_on) = _bucket("t", "_t"), _bucket("p", "_p")
     # A time on an edge splits into its events, then its censored rows.
-    return d.withColumns({"tb": tb * 3 + F.when(t_on, F.col("c") + 1).otherwise(0),
-                          "pb": pb * 2 + p_on.cast("int")}).drop("_te", "_tc", "_pe", "_pc")
-
-
-_OUT = "pairs double, less double, equal double"
-
-
-def _within_time(pdf: pd.DataFrame) -> pd.DataFrame:
-    k = PairCounts(pdf["t"].to_numpy() if (pdf["c"] == pdf["c"].iloc[0]).all()
-                   else _rank2(pdf["t"], pdf["c"]), pdf["p"].to_numpy())
-    less, equal, pairs = k.count(pdf["e"].to_numpy(), pdf["n"].to_numpy())
-    return pd.DataFrame([(pairs, less, equal)], columns=["pairs", "less", "equal"])
+    return d.withColumns({"tb": (tb * 3 + F.when(t_on, F.col("c") + 1).otherwise(0)).cast("int"), "pb": (pb * 2 + p_on.cast("int")).cast("int")}).drop("_t", "_p")
 
 
-def _rank2(t: pd.Series, c: pd.Series) -> np.ndarray:
-    """Rank of (time, censored): at one time the events come first."""
-    o = np.lexsort((c.to_numpy(), t.to_numpy()))
-    tt, cc = t.to_numpy()[o], c.to_numpy()[o]
-    step = np.concatenate(([0], ((tt[1:] != tt[:-1]) | (cc[1:] != cc[:-1])).astype(int)))
-    out = np.empty(len(o), int)
-    out[o] = np.cumsum(step)
-    return out
-
+def pair_sums(points: DataFrame, draws: int = 1, buckets: int | None = None) -> DataFrame:
+    """(top, draw, pairs, less, equal) over the comparable pairs of each `top`.
 
-def _within_prediction(pdf: pd.DataFrame) -> pd.DataFrame:
-    # Time buckets stand for times here, so only pairs from different buckets count.
-    g = pdf.groupby(["tb", "p"], as_index=False)[["e", "n"]].sum()
-    less, equal, _ = PairCounts(g["tb"].to_numpy(), g["p"].to_numpy()).count(g["e"].to_numpy(), g["n"].to_numpy())
-    return pd.DataFrame([(0.0, less, equal)], columns=["pairs", "less", "equal"])
-
-
-def _blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-    less, _, pairs = PairCounts(pdf["tb"].to_numpy(), pdf["pb"].to_numpy()).count(
-        pdf["e"].to_numpy(), pdf["n"].to_numpy())
-    # Equal predictions in a bucket holding one value are ties, counted here.
-    odd = pdf[pdf["pb"] % 2 == 1]
-    ties = 0.0
-    if len(odd):
-        _, ties, _ = PairCounts(odd["tb"].to_numpy(), odd["pb"].to_numpy()).count(
-            odd["e"].to_numpy(), odd["n"].to_numpy())
-    return pd.DataFrame([(pairs, less, ties)], columns=["pairs", "less", "equal"])
+    `points`: top, t, c (1 if censored), p, e (events), n (rows), w (a byte per draw). Any number of tops;
+    `buckets` forces a first split into as many buckets per axis.
+    """
+    work = cut_lineage(points.withColumns({"g": F.col("top"), "full": F.lit(1)}))
+    fanout, limit, parts = buckets or FANOUT, LEAF_ROWS if not buckets or buckets == 1 else 1, []
+    columns = ["top", "g", "full", "t", "c", "p", "e", "n", "w"]
+    while True:
+        sizes = cut_lineage(work.groupBy("g").count().filter(F.col("count") > limit).select("g"))
+        groups = sizes.count()
+        few = F.broadcast(sizes) if groups <= FEW_GROUPS else sizes
+        rest = work if not groups else work.join(few, "g", "left_anti")
+        parts.append(rest.select(columns).groupBy("g").applyInArrow(_leaf(draws), _OUT))
+        if not groups:
+            break
+        d = cut_lineage(_split(work.join(few, "g", "left_semi"), groups, max(2, fanout)))
+        kind = "top string, g string, full int, tb int, pb int, es binary, ns binary"
+        cells = d.mapInArrow(_cells(draws), kind).groupBy("g", "tb", "pb").applyInArrow(_cell_sums(draws), kind)
+        parts.append(cells.groupBy("g").applyInArrow(_blocks(draws), _OUT))
+        inside = lambda axis, **new: (d.filter(F.col(f"{axis}b") % (3 if axis == "t" else 2) == 0)
+                                      .withColumns({"g": F.concat_ws("/", "g", F.lit(axis), f"{axis}b"), **new}).select(columns))
+        # Inside one prediction bucket only pairs from different time buckets are left, and their number is counted above.
+        work = cut_lineage(inside("t").unionByName(inside("p", t=F.col("tb").cast("double"), c=F.lit(0), full=F.lit(0))))
+        fanout, limit = FANOUT, LEAF_ROWS
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("top", "draw").agg(*[F.sum(x).alias(x) for x in ("pairs", "less", "equal")])
+
+
+def as_points(df: DataFrame, time: str, event: str, predicted: str, by: list[str], more: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct points with their numbers of rows and events."""
+    top = F.to_json(F.struct(*by)) if by else F.lit("")
+    d = (df.filter(F.col(time).isNotNull() & F.col(predicted).isNotNull())
+         .groupBy(top.alias("top"), *more, F.col(time).cast("double").alias("t"), (~F.col(event).cast("boolean")).cast("int").alias("c"),
+                  F.col(predicted).cast("double").alias("p")).agg(F.count(F.lit(1)).alias("n")))
+    return d.withColumn("e", F.when(F.col("c") == 0, F.col("n")).otherwise(0))
 
 
 def concordance(df: DataFrame, time: str = "duration", event: str = "event", predicted: str = "predicted",
                 by: list[str] = (), buckets: int | None = None) -> DataFrame:
-    """Comparable pairs, concordant, tied, and the C-index (null without pairs), per group.
-
-    The cell table has at most (3B)(2B) rows for B <= 1,024 buckets per axis and
-    is the only thing of a group handled in one task.
-    """
+    """Comparable pairs, concordant, tied, and the C-index (null without pairs), per group."""
     by = list(by)
-    # The points are read once per kind of comparison, so they are written out first.
-    d = cut_lineage(pair_table(df, time, event, predicted, by, buckets=buckets))
-    d = d.withColumn("_g", F.to_json(F.struct(*by)) if by else F.lit(""))
-    cells = d.groupBy("_g", "tb", "pb").agg(F.sum("e").alias("e"), F.sum("n").alias("n"))
-
-    def per(rows: DataFrame, keys: list[str], count) -> DataFrame:
-        return rows.groupBy("_g", *keys).applyInPandas(lambda pdf: count(pdf).assign(_g=pdf["_g"].iloc[0]),
-                                                       "_g string, " + _OUT)
-
-    parts = (per(cells, [], _blocks)
-             .unionByName(per(d.filter(F.col("tb") % 3 == 0), ["tb"], _within_time))
-             .unionByName(per(d.filter(F.col("pb") % 2 == 0), ["pb"], _within_prediction)))
-    s = parts.groupBy("_g").agg(*[F.sum(x).alias(x) for x in ("pairs", "less", "equal")])
-    got = s.select("_g", F.col("pairs").cast("bigint").alias("pairs"), F.col("less").cast("bigint").alias("concordant"),
+    s = pair_sums(as_points(df, time, event, predicted, by).withColumn("w", F.lit(bytearray(b"\x01"))), buckets=buckets)
+    got = s.select("top", F.col("pairs").cast("bigint").alias("pairs"), F.col("less").cast("bigint").alias("concordant"),
                    F.col("equal").cast("bigint").alias("tied"),
                    ((F.col("less") + F.col("equal") / 2) / F.nullif("pairs", F.lit(0.0))).alias("c_index"))
     if not by:
-        return got.drop("_g")
-    keys = d.select("_g", *by).distinct()                       # at most MAX_GROUPS rows
-    return keys.join(got, "_g").drop("_g")
-
-
-GRID_SMALL, GRID_LARGE = 1_024, 256
-
-
-def weighted_grid(df: DataFrame, time: str = "duration", event: str = "event",
-                  predicted: str = "predicted") -> DataFrame:
-    """Cells per model and owner for resampling: model, owner, tb, cb, pb, e, n.
-
-    With at most GRID_SMALL distinct times and predictions every cell is one
-    point and resampled counts are exact. Beyond that, GRID_LARGE quantile
-    buckets per axis are used and pairs inside one prediction bucket count as
-    ties; this affects only the spread of resampled values, never the estimate.
-    """
-    v = (df.groupBy("model").agg(F.approx_count_distinct(time).alias("t"), F.approx_count_distinct(predicted).alias("p"))
-         .agg(F.max("t"), F.max("p")).first())
-    if max(v[0] or 0, v[1] or 0) <= GRID_SMALL:
-        d = df.select("model", "owner", F.col(time).cast("double").alias("tb"),
-                      (~F.col(event)).cast("int").alias("cb"), F.col(predicted).cast("double").alias("pb"),
-                      F.col(event).cast("int").alias("e"), F.lit(1).alias("n"))
-    else:
-        t = pair_table(df, time, event, predicted, ["model"], ["owner"], GRID_LARGE)
-        d = t.select("model", "owner", F.col("tb").cast("double").alias("tb"), F.lit(0).alias("cb"),
-                     F.col("pb").cast("double").alias("pb"), "e", "n")
-    return d.groupBy("model", "owner", "tb", "cb", "pb").agg(F.sum("e").alias("e"), F.sum("n").alias("n"))
-
-
-def c_index_of_draw(pdf: pd.DataFrame) -> pd.DataFrame:
-    """C of one weighted set of cells (columns draw, model, tb, cb, pb, e, n)."""
-    k = PairCounts(_rank2(pdf["tb"], pdf["cb"]), pdf["pb"].to_numpy())
-    less, equal, pairs = k.count(pdf["e"].to_numpy(float), pdf["n"].to_numpy(float))
-    c = (less + equal / 2) / pairs if pairs else None
-    return pd.DataFrame({"draw": [pdf["draw"].iloc[0]], "model": [pdf["model"].iloc[0]], "c_index": [c]})
+        return got.drop("top")
+    return df.select(F.to_json(F.struct(*by)).alias("top"), *by).distinct().join(got, "top").drop("top")

@@ -1,50 +1,86 @@
 """Intervals from resampled owners, computed on sums per owner.
 
-Rows of one owner are not independent, so owners are drawn. Any statistic of
-sums needs only each owner's sums and the owner's weight in each draw. Weights
-come from a hash of (seed, draw, slot): the same seed gives the same draws in
-any partitioning and for every model.
+Rows of one owner are not independent, so owners are drawn, with replacement and as many as there
+are. An owner's weights in all draws are one vector of bytes, made once and carried on the owner's
+rows; sums of all draws are taken map-side, as vectors. No row per owner and draw is ever formed.
+
+The scheme is the same at any number of owners: owners fall into buckets by a hash of their name, the driver
+deals each draw's total over the buckets (a multinomial on their sizes), and each bucket deals its share
+over its owners. Both are seeded by (seed, draws, bucket): the same owners get the same draws in any
+partitioning and for every model.
 """
 
 from __future__ import annotations
 
 from typing import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.operators.concordance import c_index_of_draw, concordance, weighted_grid
+from ebbtide.operators.concordance import as_points, concordance, pair_sums
 from ebbtide.operators.metrics import log_error, log_errors
-from ebbtide.operators.skew import Grouped, running, split_hot
+from ebbtide.session import cut_lineage
 
-INDEXED_OWNERS = 10_000
-_POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
-            0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
+BUCKET_OWNERS = 2_000       # owners of a bucket, about
+MAX_BUCKETS = 4_096         # beyond it buckets hold more owners; the driver holds buckets x draws numbers
 
 
-def owner_weights(owners: DataFrame, draws: int, seed: int) -> DataFrame:
-    """(draw, owner, w): how often each owner occurs in each draw; only w > 0 is kept.
+def _deal(seed: int, draws: int, shares: np.ndarray):
+    """A bucket's (owner, w): its share of every draw dealt evenly over its owners."""
+    def run(key, table):
+        bucket, names = key[0].as_py(), sorted(table.column("owner").to_pylist())
+        rng = np.random.default_rng([seed, draws, bucket + 1])
+        w = rng.multinomial(shares[:, bucket], np.full(len(names), 1 / len(names)))           # draws x owners
+        if w.max(initial=0) > 255:
+            raise ValueError("an owner is drawn more than 255 times")
+        return pa.table({"owner": pa.array(names, pa.string()), "w": pa.array([r.tobytes() for r in w.T.astype(np.uint8)], pa.binary())})
+    return run
 
-    Up to INDEXED_OWNERS owners are drawn with replacement exactly. Beyond that
-    each owner's count is an independent Poisson(1), the limit of the same
-    scheme, which needs no index over owners.
-    """
-    spark = owners.sparkSession
-    o = owners.select("owner").filter(F.col("owner").isNotNull()).distinct()
+
+def owner_vectors(owners: DataFrame, draws: int, seed: int) -> DataFrame:
+    """(owner, w): how often each owner occurs in each draw, a byte per draw. Every draw adds up to the number of owners."""
+    o = owners.select(F.col("owner").cast("string").alias("owner")).filter(F.col("owner").isNotNull()).distinct()
+    o = cut_lineage(o)
     k = o.count()
-    if k > INDEXED_OWNERS:
-        u = (F.xxhash64(F.lit(seed), F.col("draw"), F.col("owner")).bitwiseAND(F.lit((1 << 52) - 1))
-             / F.lit(float(1 << 52)))
-        w = sum((u >= F.lit(x)).cast("int") for x in _POISSON)
-        return (o.select("owner", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-                .withColumn("w", w).filter("w > 0"))
-    one: Grouped = running(split_hot(o.withColumn("_h", F.xxhash64("owner")), [], "_h"),
-                           ["_h", "owner"], {"_i": ("sum", F.lit(1))})
-    index = one.df.select("owner", (F.col("_i") - 1).cast("bigint").alias("slot"))
-    hits = (spark.range(draws * k).select((F.col("id") % draws).cast("int").alias("draw"), "id")
-            .select("draw", F.pmod(F.xxhash64(F.lit(seed), "draw", "id"), F.lit(max(k, 1))).alias("slot"))
-            .groupBy("draw", "slot").agg(F.count(F.lit(1)).alias("w")))
-    return hits.join(F.broadcast(index), "slot").select("draw", "owner", "w")     # at most 10,000 rows
+    buckets = min(MAX_BUCKETS, max(1, -(-k // BUCKET_OWNERS)))
+    o = o.withColumn("bucket", F.pmod(F.xxhash64("owner"), F.lit(buckets)).cast("int"))
+    sizes = np.zeros(buckets)
+    for bucket, n in o.groupBy("bucket").count().collect():                                   # a row per bucket
+        sizes[bucket] = n
+    shares = np.random.default_rng([seed, draws, 0]).multinomial(k, sizes / max(k, 1), draws) if k else np.zeros((draws, buckets), int)
+    return o.groupBy("bucket").applyInArrow(_deal(seed, draws, shares), "owner string, w binary")
+
+
+def owner_weights(owners: DataFrame, draws: int, seed: int) -> DataFrame:
+    """(draw, owner, w) with w > 0: `owner_vectors` spelled out, for a look at small tables."""
+    w = owner_vectors(owners, draws, seed).select("owner", F.posexplode(F.split(F.regexp_replace(F.hex("w"), "(..)", "$1,"), ",")).alias("draw", "x"))
+    return w.filter("x <> ''").select("draw", "owner", F.conv("x", 16, 10).cast("long").alias("w")).filter("w > 0")
+
+
+def drawn_sums(per: DataFrame, keys: list[str], sums: list[str], draws: int) -> DataFrame:
+    """(keys, draw, sums): each draw's weighted totals of `per` (keys, owner's sums, w). A task adds up its owners first."""
+    schema = ", ".join([*[f"`{k}` {per.schema[k].dataType.simpleString()}" for k in keys], "draw int", *[f"`{x}` double" for x in sums]])
+
+    def run(batches):
+        totals: dict = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            w = np.frombuffer(b"".join(b.column("w").to_pylist()), np.uint8).reshape(-1, draws).astype(float)
+            x = np.column_stack([np.nan_to_num(b.column(c).to_numpy(zero_copy_only=False).astype(float)) for c in sums])
+            names = list(zip(*[b.column(k).to_pylist() for k in keys])) if keys else [()] * b.num_rows
+            ids: dict = {}
+            at = np.array([ids.setdefault(v, len(ids)) for v in names])
+            for v, i in ids.items():
+                totals[v] = totals.get(v, 0) + w[at == i].T @ x[at == i]
+        for v, t in totals.items():
+            yield pa.RecordBatch.from_arrays([*[pa.array([c] * draws, kinds[k]) for k, c in zip(keys, v)], pa.array(np.arange(draws, dtype=np.int32)), *map(pa.array, t.T.copy())],
+                                             [*keys, "draw", *sums])
+
+    kinds = {k: pa.string() for k in keys}
+    return per.select(*keys, *sums, "w").mapInArrow(run, schema).groupBy(*keys, "draw").agg(*[F.sum(x).alias(x) for x in sums])
 
 
 def owner_bootstrap(df: DataFrame, sums: dict[str, Column], stats: Callable[[], dict[str, Column]],
@@ -53,10 +89,8 @@ def owner_bootstrap(df: DataFrame, sums: dict[str, Column], stats: Callable[[],
 
     `sums` are per-row terms to add up; `stats` gives expressions over their totals.
     """
-    per = df.groupBy("owner").agg(*[F.sum(v.cast("double")).alias(k) for k, v in sums.items()])
-    w = owner_weights(per, draws, seed)
-    drawn = per.join(w, "owner").groupBy("draw").agg(
-        *[F.sum(F.col(k) * F.col("w")).alias(k) for k in sums])
+    per = df.groupBy(F.col("owner").cast("string").alias("owner")).agg(*[F.sum(v.cast("double")).alias(k) for k, v in sums.items()])
+    drawn = drawn_sums(per.join(owner_vectors(per, draws, seed), "owner"), [], list(sums), draws)
     named = stats()
     point = per.agg(*[F.sum(k).alias(k) for k in sums]).select(*[v.alias(n) for n, v in named.items()])
     rows = drawn.select(*[v.alias(n) for n, v in named.items()])
@@ -79,16 +113,14 @@ def flag_bootstrap(flagged: DataFrame, fast: str, draws: int, seed: int) -> Data
 
 
 def concordance_draws(stacked: DataFrame, draws: int, seed: int) -> DataFrame:
-    """C-index and MAE of every model in every draw, all models on the same draws."""
-    w = owner_weights(stacked, draws, seed)
-    cells = weighted_grid(stacked)
-    c = (cells.join(w, "owner").groupBy("draw", "model", "tb", "cb", "pb")
-         .agg(F.sum(F.col("e") * F.col("w")).alias("e"), F.sum(F.col("n") * F.col("w")).alias("n"))
-         .groupBy("draw", "model").applyInPandas(c_index_of_draw, "draw int, model string, c_index double"))
-    per = (stacked.filter("event").groupBy("model", "owner")
-           .agg(F.sum(F.abs(log_error())).alias("s"), F.count(F.lit(1)).alias("k")))
-    mae = per.join(w, "owner").groupBy("draw", "model").agg(
-        (F.sum(F.col("s") * F.col("w")) / F.sum(F.col("k") * F.col("w"))).alias("mae_log10"))
+    """C-index and MAE of every model in every draw, all models on the same draws. Both are exact at any size."""
+    d = stacked.withColumn("owner", F.col("owner").cast("string"))
+    w = cut_lineage(owner_vectors(d, draws, seed))
+    points = as_points(d, "duration", "event", "predicted", ["model"], ("owner",)).join(w, "owner").drop("owner")
+    c = pair_sums(points, draws).select(F.get_json_object("top", "$.model").alias("model"), "draw",
+                                        ((F.col("less") + F.col("equal") / 2) / F.nullif("pairs", F.lit(0.0))).alias("c_index"))
+    per = (d.filter("event").groupBy("model", "owner").agg(F.sum(F.abs(log_error())).alias("s"), F.count(F.lit(1)).alias("k")))
+    mae = drawn_sums(per.join(w, "owner"), ["model"], ["s", "k"], draws).select("draw", "model", (F.col("s") / F.nullif("k", F.lit(0.0))).alias("mae_log10"))
     return c.join(mae, ["draw", "model"], "left")
 
 

@@ -92,6 +92,37 @@ def test_concordance_equals_all_pairs(spark, seed, grain, buckets):
     assert (r.pairs, r.concordant, r.tied) == brute(t, e, p)
 
 
+@pytest.mark.parametrize("leaf,fanout", [(4, 2), (10, 3)])
+def test_concordance_split_again_and_again(spark, monkeypatch, leaf, fanout):
+    """Oversized buckets are split until they fit, in several comparisons at once; the count stays exact."""
+    from ebbtide.operators import concordance as C
+    monkeypatch.setattr(C, "LEAF_ROWS", leaf), monkeypatch.setattr(C, "FANOUT", fanout), monkeypatch.setattr(C, "FEW_GROUPS", 2)
+    rng = np.random.default_rng(leaf)
+    m = np.array(["a", "b", "c"])[rng.integers(0, 3, 240)]
+    t, e, p = rng.integers(1, 40, 240).astype(float), rng.random(240) < 0.6, np.round(rng.random(240), 2)
+    t[:60], p[40:110] = 7.0, 0.5
+    d = spark.createDataFrame(pd.DataFrame({"model": m, "duration": t, "event": e, "predicted": p}))
+    got = {r.model: (r.pairs, r.concordant, r.tied) for r in concordance(d, by=["model"]).collect()}
+    assert got == {x: brute(t[m == x], e[m == x], p[m == x]) for x in "abc"}
+
+
+def test_resampled_c_equals_copies_of_owners(spark, monkeypatch):
+    """Every draw's C is that of a table holding each owner as often as drawn, on a split grid as in one task."""
+    from ebbtide.operators import concordance as C
+    p = predictions(spark, 60, 12).round({"duration": 0, "predicted": 0})
+    s = stack_models({"a": spark.createDataFrame(p), "b": spark.createDataFrame(p.assign(predicted=p.duration.to_numpy()[::-1]))})
+    one = {(r.model, r.draw): (r.c_index, r.mae_log10) for r in concordance_draws(s, 8, 5).collect()}
+    w = owner_weights(spark.createDataFrame(p), 8, 5).toPandas()
+    for d in range(8):
+        times = w[w.draw == d].set_index("owner").w
+        x = p.loc[p.index.repeat(p.owner.map(times).fillna(0).astype(int))]
+        pairs, less, tied = brute(x.duration.to_numpy(), x.event.to_numpy(), x.predicted.to_numpy())
+        assert one["a", d][0] == pytest.approx((less + tied / 2) / pairs, abs=1e-12)
+    monkeypatch.setattr(C, "LEAF_ROWS", 15), monkeypatch.setattr(C, "FANOUT", 4)
+    many = {(r.model, r.draw): (r.c_index, r.mae_log10) for r in concordance_draws(s, 8, 5).collect()}
+    assert many.keys() == one.keys() and all(many[k] == pytest.approx(one[k], abs=1e-12) for k in one)
+
+
 def test_concordance_ends(spark):
     d = spark.createDataFrame([(float(i), True, float(i)) for i in range(1, 30)], "duration double, event boolean, predicted double")
     c = lambda x: concordance(d.withColumn("predicted", x)).first().c_index
@@ -214,10 +245,13 @@ def test_unknown_status_is_left_out(spark):
     assert [r[0] for r in d.select(M.known_status(48.0)).collect()] == [True, False, True]
 
 
-def test_poisson_weights_beyond_the_index(spark, monkeypatch):
+def test_draws_over_many_buckets_add_up_to_the_owners(spark, monkeypatch):
+    """One scheme at any number of owners: every draw has as many as there are, each as likely."""
     from ebbtide.operators import resample
-    monkeypatch.setattr(resample, "INDEXED_OWNERS", 10)
-    w = owner_weights(spark.range(2000).select(F.col("id").cast("string").alias("owner")), 30, 1)
-    m = w.agg((F.sum("w") / (30 * 2000)).alias("m")).first().m
-    assert m == pytest.approx(1.0, abs=0.03)
+    monkeypatch.setattr(resample, "BUCKET_OWNERS", 10)
+    o = spark.range(2000).select(F.col("id").cast("string").alias("owner"))
+    w = owner_weights(o, 30, 1).cache()
+    assert {r.n for r in w.groupBy("draw").agg(F.sum("w").alias("n")).collect()} == {2000}
+    seen = w.agg(F.count("*").alias("k"), F.sum(F.col("w") * F.col("w")).alias("s")).first()
+    assert seen.k / 60_000 == pytest.approx(1 - np.exp(-1), abs=0.01) and seen.s / 60_000 == pytest.approx(2.0, abs=0.05)
     assert replace(CFG, draws=5).draws == 5
