@@ -17,7 +17,7 @@ from ebbtide.operators import features as feat
 from ebbtide.operators.concordance import concordance
 from ebbtide.operators.tables import model_rows
 from ebbtide.plans import evaluate as E
-from ebbtide.plans.views import COHORTS, PANEL, weekly_panel
+from ebbtide.plans.views import COHORTS, PANEL, table, weekly_panel
 from ebbtide.functions import scalars as S
 
 # Small settings: the registered runs show the whole path, not a tuned model.
@@ -34,6 +34,13 @@ def predictors(d):
     return feat.usable_features(d, FEATURE_COLUMNS)
 
 
+@query("group_folds_dealt", """WITH s AS (SELECT CAST(o_custkey AS VARCHAR) AS owner, count(*) AS n FROM orders GROUP BY 1),
+    i AS (SELECT owner, row_number() OVER (ORDER BY n DESC, owner) - 1 AS i FROM s)
+  SELECT owner, CASE WHEN (i // 5) % 2 = 1 THEN 4 - i % 5 ELSE i % 5 END AS fold FROM i""")
+def folds_dealt(spark, sf):
+    return group_folds(table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("owner")), 5)
+
+
 @query("group_folds", f"WITH {LIFE} SELECT count(DISTINCT owner) AS owners, least(5, count(DISTINCT owner)) AS folds, true AS disjoint FROM life")
 def folds(spark, sf):
     d = life(spark, sf)

@@ -76,6 +76,19 @@ def prior_median_per_owner(spark, sf):
     return prior_median(o, "o_totalprice")
 
 
+@query("prior_median_hot_owners", """WITH h AS (SELECT o_orderkey, median(CASE WHEN o_orderkey % 9 <> 0 THEN o_totalprice END) OVER w AS m,
+    count(CASE WHEN o_orderkey % 9 <> 0 THEN o_totalprice END) OVER w AS n FROM orders
+    WINDOW w AS (PARTITION BY o_custkey % 3 ORDER BY o_orderdate, CAST(o_orderkey AS VARCHAR) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+  SELECT CAST(o_orderkey AS VARCHAR) AS entity, round(m, 6) AS prior_median, n AS n_prior FROM h""")
+def prior_median_hot_owners(spark, sf):
+    """Three owners hold all orders; each is cut along time, and a value in nine is missing."""
+    from ebbtide.operators.history import prior_median
+    o = table(spark, sf, "orders").select(
+        (F.col("o_custkey") % 3).cast("string").alias("owner"), F.col("o_orderkey").cast("string").alias("entity"),
+        F.col("o_orderdate").cast("timestamp").alias("published_at"), F.when(F.col("o_orderkey") % 9 != 0, F.col("o_totalprice")).alias("price"))
+    return prior_median(o, "price", max_rows=1000)
+
+
 @query("engagement_at", f"""WITH {WEEKLY_PANEL}, l AS (SELECT entity, arg_max(views, age_hours) AS views,
     arg_max(likes, CASE WHEN likes IS NOT NULL THEN age_hours END) AS likes, arg_max(comments, age_hours) AS comments
     FROM p WHERE age_hours <= {PANEL.landmark} GROUP BY entity)

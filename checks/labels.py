@@ -1,6 +1,7 @@
 """Decay labels, velocities, curves."""
 
 from dataclasses import replace
+from math import log
 
 from pyspark.sql import functions as F
 
@@ -117,7 +118,23 @@ def life_status(spark, sf):
     return s.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("entities"))
 
 
-@query("saturation_fit")
+def saturation_sql(grid: int = 48, rounds: int = 3, target: float = PANEL.saturation_target) -> str:
+    """The grid search over label_ctes' clamped readings: a cross product of readings and grid, three times over."""
+    first = "SELECT *, ln(1e-6::DOUBLE) AS lo, ln(10::DOUBLE) AS hi FROM s"
+    out = ["s AS (SELECT entity, age AS t, cl AS v, count(*) OVER e AS n, max(cl) OVER e AS top, sum(cl * cl) OVER e AS cc FROM lab_c "
+           "WINDOW e AS (PARTITION BY entity) QUALIFY n >= 3 AND top > 0)"]
+    for j in range(rounds):
+        src = first if j == 0 else f"SELECT s.*, b.lo, b.hi FROM s JOIN b{j - 1} b USING (entity)"
+        out.append(f"""g{j} AS (SELECT entity, i, any_value(lo) + (any_value(hi) - any_value(lo)) / {grid - 1} * i AS log_k, (any_value(hi) - any_value(lo)) / {grid - 1} AS step,
+  any_value(top) AS top, any_value(cc) AS cc, sum(v * f) AS cf, sum(f * f) AS ff
+  FROM (SELECT *, 1 - exp(-exp(lo + (hi - lo) / {grid - 1} * i) * t) AS f FROM ({src}), (SELECT unnest(generate_series(0, {grid - 1})) AS i)) GROUP BY entity, i),
+a{j} AS (SELECT *, greatest(least(cf / ff, top * 100), top * 0.5) AS a FROM g{j} WHERE ff > 0),
+b{j} AS (SELECT entity, log_k, a, greatest(log_k - step, ln(1e-6::DOUBLE)) AS lo, least(log_k + step, ln(10::DOUBLE)) AS hi FROM a{j}
+  QUALIFY row_number() OVER (PARTITION BY entity ORDER BY cc - 2 * a * cf + a * a * ff, log_k) = 1)""")
+    return ", ".join(out) + f""" SELECT entity, round({-log(1 - target)!r} / exp(log_k), 6) AS t_saturation, round(a, 6) AS fitted_A, round(exp(log_k), 6) AS fitted_k FROM b{rounds - 1}"""
+
+
+@query("saturation_fit", f"WITH {EVENT_PANEL}, {label_ctes()}, {saturation_sql()}")
 def saturation_fit(spark, sf):
     return L.saturation_fit(event_panel(spark, sf), PANEL, seq="seq").drop("sse")
 

@@ -216,7 +216,12 @@ def spearman(spark, sf):
   k AS (SELECT rank() OVER (ORDER BY t) + (count(*) OVER (PARTITION BY t) - 1) / 2.0 AS x, rank() OVER (ORDER BY sat) + (count(*) OVER (PARTITION BY sat) - 1) / 2.0 AS y FROM c)
   SELECT (SELECT count(*) FROM d) AS n_entities, (SELECT count(sat) FROM d) AS fitted, (SELECT round(avg((sat IS NOT NULL)::INT), 6) FROM d) AS coverage,
   (SELECT count(*) FILTER (sat < 0) FROM d) AS before_landmark, (SELECT count(*) FILTER (sat > last_observed_hours) FROM d) AS beyond_window,
+  (SELECT round(avg((sat < 0)::INT), 6) FROM d WHERE sat IS NOT NULL) AS share_before_landmark, (SELECT count(*) < 20 FROM c) AS underpowered,
   (SELECT count(*) FROM c) AS n_comparable, (SELECT round(corr(x, y), 6) FROM k) AS spearman_rho,
+  (WITH a AS (SELECT abs(corr(x, y)) AS r, (count(*) - 2) / 2.0 AS h FROM k),
+     u AS (SELECT r, h, i, r + (1 - r) * i / 4000.0 AS u FROM a, (SELECT unnest(generate_series(0, 4000)) AS i))
+   SELECT round(2 * exp(lgamma(any_value(h) + 0.5) - lgamma(any_value(h)) - lgamma(0.5)) * (1 - any_value(r)) / 12000.0
+     * sum((CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * pow(1 - u * u, h - 1)), 6) + 0.0 FROM u) AS spearman_p,
   round(quantile_cont(sat / t, 0.5), 6) AS median_ratio, round(quantile_cont(sat / t, 0.25), 6) AS ratio_q25, round(quantile_cont(sat / t, 0.75), 6) AS ratio_q75
   FROM c WHERE t > 0""")
 def label_agreement(spark, sf):

@@ -9,32 +9,28 @@ from ebbtide.config import INSTANT_COLUMNS, PanelConfig
 from ebbtide.functions import scalars as S
 from ebbtide.models.base import Profile
 from ebbtide.models.survival import HazardForest, blend, fade_by
+from ebbtide.operators.skew import running, split_hot
 from ebbtide.operators.survival import average_curve
 from ebbtide.operators.tables import model_rows
-
-LISTED_OWNERS = 100_000
+from ebbtide.session import cut_lineage
 
 
 def group_folds(df: DataFrame, k: int = 5) -> DataFrame:
-    """Owner to fold. Largest owners first into the lightest fold; hashed beyond LISTED_OWNERS.
+    """Owner to fold: owners by falling size are dealt out to and fro (0..k-1, k-1..0, …).
 
-    Only (owner, size) pairs reach the driver, and only after their number was
-    checked. With fewer owners than folds there is one fold per owner.
+    Two folds then differ by the size of the largest owner at most, and the rule is the same at any number of
+    owners: ranks come from a distributed running count. With fewer owners than folds there is one fold per owner.
     """
     sizes = df.filter(F.col("owner").isNotNull()).groupBy("owner").agg(F.count(F.lit(1)).alias("n"))
+    sizes = cut_lineage(sizes.withColumn("_o", F.struct((-F.col("n")).alias("n"), "owner")))
     owners = sizes.count()
     if owners < 2:
         raise ValueError(f"{owners} owner(s): a grouped split needs at least two")
     k = min(k, owners)
-    if owners > LISTED_OWNERS:
-        return sizes.select("owner", F.pmod(F.xxhash64("owner"), F.lit(k)).cast("int").alias("fold"))
-    load, out = [0] * k, []
-    for r in sizes.orderBy(F.desc("n"), F.desc("owner")).collect():
-        i = min(range(k), key=lambda f: (load[f], f))
-        load[i] += r["n"]
-        out.append((r["owner"], i))
-    kind = df.schema["owner"].dataType.simpleString()
-    return F.broadcast(df.sparkSession.createDataFrame(out, f"owner {kind}, fold int"))   # at most LISTED_OWNERS rows
+    g = running(split_hot(sizes, [], "_o"), ["_o"], {"_i": ("sum", F.lit(1))})
+    i = F.col("_i") - 1
+    place, back = F.pmod(i, F.lit(k)), F.floor(i / k) % 2 == 1
+    return g.df.select("owner", F.when(back, k - 1 - place).otherwise(place).cast("int").alias("fold"))
 
 
 def assert_no_owner_leakage(folded: DataFrame) -> DataFrame:

@@ -1,17 +1,15 @@
 """Median of everything an owner did before, at each point in time.
 
-The running median is the one per-owner quantity with no mergeable state, so it
-is computed by a small two-heap pass per owner in a grouped pandas function. An
-owner with more rows than `max_rows` is cut along time; each piece then also
+Order statistics of all prefixes of a series come from a wavelet matrix over its ranks: a bit per
+level, and for every prefix at once the number of zeros decides on which side its median lies. An
+owner with more rows than one task takes is cut along time; each piece then also
 receives the few earlier values that can still be its median. Those are found
 from counts per (piece, value bucket), so no piece sees the whole history.
 """
 
 from __future__ import annotations
 
-import heapq
-from typing import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,49 +19,48 @@ from ebbtide.operators.skew import SEG, split_hot
 HISTORY_ROWS = 500_000
 
 
-def running_median(values: list[float], before: list[float], below: int, earlier: int) -> Iterator[tuple]:
-    """(median of prior values, their number) ahead of each value; NaN entries add nothing.
+def prefix_quantiles(ranks: np.ndarray, length: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """For each query the k-th smallest (from 0) of the first `length` entries of `ranks`, a permutation."""
+    out, left, right, k = np.zeros(len(k), np.int64), np.zeros(len(k), np.int64), length.copy(), k.copy()
+    for bit in range(max(1, int(len(ranks) - 1).bit_length()) - 1, -1, -1):
+        one = (ranks >> bit) & 1
+        zeros = np.concatenate(([0], np.cumsum(1 - one)))
+        zl, zr = zeros[left], zeros[right]
+        low = k < zr - zl
+        out |= np.where(low, 0, 1 << bit)
+        k = np.where(low, k, k - (zr - zl))
+        left, right = np.where(low, zl, zeros[-1] + left - zl), np.where(low, zr, zeros[-1] + right - zr)
+        ranks = np.concatenate((ranks[one == 0], ranks[one == 1]))
+    return out
+
+
+def prior_medians(values: np.ndarray, before: np.ndarray, below: int, earlier: int) -> tuple[np.ndarray, np.ndarray]:
+    """(median of prior values, their number) ahead of each value; NaN entries add nothing, no prior value gives NaN.
 
-    `before` holds the sorted earlier values that matter, `below` how many
+    `before` holds the earlier values that matter, `below` how many
     smaller ones were left out, `earlier` how many there were in all.
     """
-    k = max((earlier - 1) // 2 - below + 1, 0) if earlier else 0
-    low = [-x for x in before[:k]]
-    high = list(before[k:])
-    heapq.heapify(low)
-    heapq.heapify(high)
-    n = earlier
-    for v in values:
-        if n == 0:
-            yield None, 0
-        elif n % 2:
-            yield -low[0], n
-        else:
-            yield (-low[0] + high[0]) / 2.0, n
-        if v != v:
-            continue
-        if low and v < -low[0]:
-            heapq.heappush(low, -v)
-        else:
-            heapq.heappush(high, v)
-        n += 1
-        want = (n - 1) // 2 - below + 1
-        while len(low) < want:
-            heapq.heappush(low, -heapq.heappop(high))
-        while len(low) > want:
-            heapq.heappush(high, -heapq.heappop(low))
+    known = ~np.isnan(values)
+    seen = np.cumsum(known) - known
+    n = earlier + seen
+    series = np.concatenate((before, values[known]))
+    out, ask = np.full(len(values), np.nan), np.flatnonzero(n > 0)
+    if len(ask):
+        order = np.argsort(series, kind="stable")
+        ranks = np.empty(len(order), np.int64)
+        ranks[order] = np.arange(len(order))
+        length, m = len(before) + seen[ask], n[ask]
+        lo, hi = (series[order[prefix_quantiles(ranks, length, k - below)]] for k in ((m - 1) // 2, m // 2))
+        out[ask] = np.where(lo == hi, lo, (lo + hi) / 2.0)
+    return out, n
 
 
 def _per_piece(pdf: pd.DataFrame) -> pd.DataFrame:
     ctx = pdf["_ctx"].to_numpy(bool)
     own = pdf[~ctx].sort_values(["_at", "entity"], kind="stable")
-    before = sorted(pdf.loc[ctx, "v"].tolist())
-    got = list(running_median(own["v"].astype(float).tolist(), before,
-                              int(own["_below"].iloc[0]) if len(own) else 0,
-                              int(own["_earlier"].iloc[0]) if len(own) else 0))
-    return pd.DataFrame({"entity": own["entity"].to_numpy(),
-                         "prior_median": pd.array([m for m, _ in got], dtype="Float64"),
-                         "n_prior": [n for _, n in got]})
+    at = lambda c: int(own[c].iloc[0]) if len(own) else 0
+    median, n = prior_medians(own["v"].to_numpy(float), pdf.loc[ctx, "v"].to_numpy(float), at("_below"), at("_earlier"))
+    return pd.DataFrame({"entity": own["entity"].to_numpy(), "prior_median": median, "n_prior": n})
 
 
 def prior_median(df: DataFrame, value: str, max_rows: int | None = None) -> DataFrame:

@@ -107,44 +107,32 @@ def saturation_fit(readings: DataFrame, cfg: PanelConfig = PanelConfig(), seq: s
 
     For a fixed k the best A has a closed form, so the fit is a search over k
     alone, on a log grid between 1e-6 and 10 that is refined around the best cell
-    `rounds` times. A round is one aggregation of sums (c*f, f*f, c*c) per
-    entity and grid point, combined where the readings already lie, with A held
-    inside [0.5, 100] times the largest value. Entities with under three readings
-    or no growth have no fit.
+    `rounds` times. A round is one pass over the readings where they lie: the sums (c*f, f*f) of all
+    grid points are totals of the entity, next to its readings, and narrow the grid for the next round. Readings
+    are neither multiplied by the grid nor joined. A is held inside [0.5, 100] times the largest value.
+    Entities with under three readings or no growth have no fit; equal errors go to the smaller k.
     """
     g = collapse_equal_ages(by_entity(readings, max_rows=max_rows, extra=(seq,) if seq else ()), seq=seq)
-    g = running(g, ["age_hours"], {"clamped": ("max", "value")})
-    r = g.df.select("entity", F.col("age_hours").alias("t"), F.col("clamped").alias("v"))
-    lo, hi = log(1e-6), log(10.0)
-    points = F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("i")
-    best = None
+    g = running(g, ["age_hours"], {"v": ("max", "value")})
+    g = g.with_df(g.df.select(*g.keys, F.col("age_hours").alias("t"), "v"))
+    g = group_total(g, {"n": ("sum", F.lit(1)), "top": ("max", "v"), "cc": ("sum", F.col("v") * F.col("v"))})
+    ends = log(1e-6), log(10.0)
+    g = g.with_df(g.df.filter((F.col("n") >= 3) & (F.col("top") > 0)).withColumns({"lo": F.lit(ends[0]), "hi": F.lit(ends[1])}))
     for _ in range(rounds):
-        if best is None:
-            rows = r.withColumns({"lo": F.lit(lo), "hi": F.lit(hi)})
-        else:
-            rows = r.join(best.select("entity", "lo", "hi"), "entity")
-        log_k = F.col("lo") + (F.col("hi") - F.col("lo")) / (grid - 1) * F.col("i")
-        s = (rows.select("*", points).withColumn("log_k", log_k)
-             .withColumn("f", 1 - F.exp(-F.exp("log_k") * F.col("t")))
-             .groupBy("entity", "i")
-             .agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("top"), F.max("log_k").alias("log_k"),
-                  F.max("lo").alias("lo"), F.max("hi").alias("hi"),
-                  F.sum(F.col("v") * F.col("v")).alias("cc"), F.sum(F.col("v") * F.col("f")).alias("cf"),
-                  F.sum(F.col("f") * F.col("f")).alias("ff"))
-             .filter((F.col("n") >= 3) & (F.col("top") > 0) & (F.col("ff") > 0)))
-        a = F.greatest(F.least(F.col("cf") / F.col("ff"), F.col("top") * 100), F.col("top") * 0.5)
-        s = s.withColumn("a", a).withColumn(
-            "sse", F.col("cc") - 2 * F.col("a") * F.col("cf") + F.col("a") * F.col("a") * F.col("ff"))
-        width = (F.col("hi") - F.col("lo")) / (grid - 1)
-        best = (s.groupBy("entity").agg(
-                    F.min_by("a", "sse").alias("fitted_A"), F.min_by("log_k", "sse").alias("log_k"),
-                    F.min("sse").alias("sse"), F.max("lo").alias("lo"), F.max("hi").alias("hi"))
-                .select("entity", "fitted_A", F.exp("log_k").alias("fitted_k"), "sse",
-                        F.greatest(F.col("log_k") - width, F.lit(lo)).alias("lo"),
-                        F.least(F.col("log_k") + width, F.lit(hi)).alias("hi")))
+        step = (F.col("hi") - F.col("lo")) / (grid - 1)
+        f = [1 - F.exp(-F.exp(F.col("lo") + step * i) * F.col("t")) for i in range(grid)]
+        g = group_total(g, {f"{kind}{i}": ("sum", x) for i in range(grid) for kind, x in (("cf", F.col("v") * f[i]), ("ff", f[i] * f[i]))})
+        cells = []
+        for i in range(grid):
+            cf, ff = F.col(f"cf{i}"), F.col(f"ff{i}")
+            a = F.greatest(F.least(cf / ff, F.col("top") * 100), F.col("top") * 0.5)
+            cells.append(F.when(ff > 0, F.struct((F.col("cc") - 2 * a * cf + a * a * ff).alias("sse"), (F.col("lo") + step * i).alias("log_k"), a.alias("a"))))
+        d = g.df.withColumn("_best", F.array_min(F.array_compact(F.array(*cells)))).drop(*[f"{kind}{i}" for i in range(grid) for kind in ("cf", "ff")])
+        g = g.with_df(d.withColumns({"lo": F.greatest(F.col("_best.log_k") - step, F.lit(ends[0])), "hi": F.least(F.col("_best.log_k") + step, F.lit(ends[1]))}))
+    best = g.df.filter("_best IS NOT NULL").groupBy("entity").agg(F.max("_best").alias("b"))
     target = -log(1.0 - cfg.saturation_target)
-    return best.select("entity", (F.lit(target) / F.col("fitted_k")).alias("t_saturation"),
-                       "fitted_A", "fitted_k", "sse")
+    k = F.exp("b.log_k")
+    return best.select("entity", (F.lit(target) / k).alias("t_saturation"), F.col("b.a").alias("fitted_A"), k.alias("fitted_k"), F.col("b.sse").alias("sse"))
 
 
 def curve_points(readings: DataFrame, cfg: PanelConfig = PanelConfig(), seq: str | None = None,

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.config import PanelConfig
+from ebbtide.functions.special import correlation_p
 from ebbtide.operators.skew import average_ranks, exact_quantiles, group_total, running, split_hot
 from ebbtide.operators.survival import km_median
 
@@ -144,21 +145,29 @@ def _weighted_corr(j: DataFrame, x: str, y: str, w: str) -> DataFrame:
     return s.select("n", (F.col("sxy") / F.nullif(F.sqrt("sxx") * F.sqrt("syy"), F.lit(0.0))).alias("rho"))
 
 
+MIN_COMPARABLE = 20      # fixed value: comparable entities below which an agreement is no evidence
+
+
 def label_agreement(df: DataFrame, primary: str = "t_death", second: str = "t_saturation",
                     event: str = "event_observed", max_rows: int | None = None) -> DataFrame:
-    """How two outcome definitions agree: coverage, rank correlation, ratio quartiles.
+    """How two outcome definitions agree: coverage, rank correlation with its p-value, ratio quartiles.
 
-    Only observed events enter the comparison: a censored time is not a duration.
+    Only observed events enter the comparison: a censored time is not a duration. `share_before_landmark` is
+    over all fitted entities; fewer than MIN_COMPARABLE comparable ones are flagged as `underpowered`, and
+    fewer than three have no correlation.
     """
     fitted = F.col(second).isNotNull()
     cover = df.agg(F.count(F.lit(1)).alias("n_entities"), F.count_if(fitted).alias("fitted"),
                    F.avg(fitted.cast("double")).alias("coverage"),
                    F.count_if(F.col(second) < 0).alias("before_landmark"),
+                   F.avg(F.when(fitted, (F.col(second) < 0).cast("double"))).alias("share_before_landmark"),
                    F.count_if(F.col("saturation_beyond_window") if "saturation_beyond_window" in df.columns
                               else F.lit(False)).alias("beyond_window"))
     both = df.filter(fitted & F.col(event) & F.col(primary).isNotNull())
-    rho = spearman(both, primary, second, max_rows).select(F.coalesce("n", F.lit(0)).alias("n_comparable"),
-                                                           F.col("rho").alias("spearman_rho"))
+    n = F.coalesce("n", F.lit(0))
+    rho = spearman(both, primary, second, max_rows).select(
+        n.alias("n_comparable"), F.when(n >= 3, F.col("rho")).alias("spearman_rho"), correlation_p(F.col("rho"), n).alias("spearman_p"),
+        (n < MIN_COMPARABLE).alias("underpowered"))
     ratio = both.select(F.when(F.col(primary) > 0, F.col(second) / F.col(primary)).alias("_ratio"))
     q = exact_quantiles(ratio, "_ratio", [0.25, 0.5, 0.75], max_rows=max_rows).select(
         F.col("q")[1].alias("median_ratio"), F.col("q")[0].alias("ratio_q25"), F.col("q")[2].alias("ratio_q75"))

@@ -122,3 +122,23 @@ def test_asof_join_against_pandas(spark, rows):
     a = got.set_index("i")["asof_v"].sort_index().fillna(-1).astype(int)
     b = want.set_index("i")["v"].sort_index().fillna(-1).astype(int)
     assert a.tolist() == b.tolist()
+
+
+def test_prior_medians_of_whole_arrays():
+    """Every prefix's median at once, with values missing, repeated and left out below."""
+    import numpy as np
+    from ebbtide.operators.history import prefix_quantiles, prior_medians
+    rng = np.random.default_rng(1)
+    ranks = rng.permutation(77)
+    length = rng.integers(1, 78, 200)
+    k = (rng.random(200) * length).astype(int)
+    assert prefix_quantiles(ranks, length, k).tolist() == [sorted(ranks[:n])[j] for n, j in zip(length, k)]
+    for n in (0, 1, 2, 3, 50, 400):
+        v = rng.integers(0, 30, n).astype(float)
+        v[rng.random(n) < 0.2] = np.nan
+        got, seen = prior_medians(v, np.empty(0), 0, 0)
+        want = [np.nanmedian(v[:i]) if np.isfinite(v[:i]).any() else np.nan for i in range(n)]
+        assert np.allclose(got, want, equal_nan=True) and seen.tolist() == [int(np.isfinite(v[:i]).sum()) for i in range(n)]
+    earlier, v = np.sort(rng.random(101)), rng.random(12)
+    got, seen = prior_medians(v, earlier[40:62], 40, 101)                # the values that can still be the median
+    assert np.allclose(got, [np.median(np.concatenate((earlier, v[:i]))) for i in range(12)]) and seen[0] == 101

@@ -57,6 +57,23 @@ def test_too_few_events_fall_back(planted):
     assert MS.HazardForest(FEATURES, list(CFG.marks)).fit(few).value > 0
 
 
+def test_folds_differ_by_one_owner_at_most(spark, monkeypatch):
+    """Sizes as uneven as can be; a deal over many pieces gives the same folds."""
+    from ebbtide.models import validate
+    from ebbtide.operators import skew
+    rows = [(f"o{i:03d}",) for i in range(60) for _ in range(1 + (i * i) % 97)] + [("big",)] * 400
+    d = spark.createDataFrame(rows, "owner string")
+    f = {r.owner: r.fold for r in group_folds(d, 4).collect()}
+    load = [0] * 4
+    for (o,) in rows:
+        load[f[o]] += 1
+    assert len(f) == 61 and max(load) - min(load) <= 400
+    monkeypatch.setattr(validate, "split_hot", lambda df, by, order: skew.split_hot(df, by, order, max_rows=7))
+    assert {r.owner: r.fold for r in group_folds(d, 4).collect()} == f
+    few = {r.owner: r.fold for r in group_folds(spark.createDataFrame([("a",), ("b",)], "owner string"), 5).collect()}
+    assert sorted(few.values()) == [0, 1]
+
+
 def test_folds_keep_owners_together_and_balance(planted):
     f = planted.join(group_folds(planted, 5), "owner")
     sizes = [r["count"] for r in assert_no_owner_leakage(f).groupBy("fold").count().collect()]

@@ -60,6 +60,38 @@ def test_chi_square_tail():
     assert V.chi2_sf(11.070497693516351, 5) == pytest.approx(0.05, abs=1e-9)
 
 
+def test_incomplete_beta_and_correlation_tails(spark):
+    """Against closed forms: I_x(1, b), I_x(a, 1), symmetry, and Student's t with 1, 2 and 4 degrees."""
+    from math import atan, lgamma, pi, sqrt
+    from ebbtide.functions.special import correlation_p, incomplete_beta, log_gamma
+    rows = [(a, b, x) for a in (0.5, 1.0, 3.0, 40.0, 900.0) for b in (0.5, 1.0, 2.5, 60.0) for x in (-0.1, 0.0, 1e-6, 0.03, 0.4, 0.7, 0.999, 1.0, 1.2)]
+    d = spark.createDataFrame(rows, "a double, b double, x double")
+    col = [F.col(c) for c in "abx"]
+    got = {(r.a, r.b, r.x): r for r in d.select("*", incomplete_beta(*col).alias("i"), incomplete_beta(col[1], col[0], 1 - col[2]).alias("j"),
+                                                log_gamma(col[0]).alias("g")).collect()}
+    for (a, b, x), r in got.items():
+        assert r.i + r.j == pytest.approx(1.0, abs=1e-11) and 0 <= r.i <= 1 and r.g == pytest.approx(lgamma(a), abs=1e-11, rel=1e-13)
+        y = min(max(x, 0.0), 1.0)
+        if a == 1.0:
+            assert r.i == pytest.approx(1 - (1 - y) ** b, abs=1e-12)
+        if b == 1.0:
+            assert r.i == pytest.approx(y ** a, abs=1e-12)
+    tail = {1: lambda t: 1 - 2 / pi * atan(t), 2: lambda t: 1 - t / sqrt(2 + t * t), 4: lambda t: 1 - t / sqrt(4 + t * t) * (1 + 2 / (4 + t * t))}
+    for df, p in tail.items():
+        r = 0.83
+        t = r * sqrt(df / (1 - r * r))
+        row = spark.range(1).select(correlation_p(F.lit(-r), F.lit(df + 2)).alias("p"), correlation_p(F.lit(1.0), F.lit(9)).alias("zero"),
+                                    correlation_p(F.lit(0.0), F.lit(9)).alias("one"), correlation_p(F.lit(0.5), F.lit(2)).alias("few")).first()
+        assert row.p == pytest.approx(p(t), abs=1e-12) and (row.zero, row.few) == (0.0, None) and row.one == pytest.approx(1.0)
+
+
+def test_agreement_of_few_entities_says_so(spark):
+    rows = [(10.0, 5.0, True), (20.0, 30.0, True), (30.0, -2.0, False), (5.0, None, True)]
+    r = M.label_agreement(spark.createDataFrame(rows, "t_death double, t_saturation double, event_observed boolean")).first()
+    assert (r.n_comparable, r.underpowered, r.spearman_rho, r.spearman_p) == (2, True, None, None)
+    assert r.share_before_landmark == pytest.approx(1 / 3)
+
+
 def test_logrank_separates_groups(spark):
     rng = np.random.default_rng(0)
     make = lambda scale: spark.createDataFrame(pd.DataFrame({
