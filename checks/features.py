@@ -3,12 +3,14 @@
 from pyspark.sql import functions as F
 
 from checks.registry import query, r
-from checks.views_sql import (EARLY_COLS, WEEKLY_ENTITIES, WEEKLY_PANEL, ORDER_ENTITIES, cap_ctes, early_ctes, label_ctes)
+from checks.views_sql import (EARLY_COLS, EVENT_PANEL, WEEKLY_ENTITIES, WEEKLY_PANEL, ORDER_ENTITIES, cap_ctes, early_ctes, label_ctes)
 from ebbtide.functions import scalars as S
 from ebbtide.operators import features as feat
 from ebbtide.operators import silver
+from ebbtide.operators.labels import decay_label
 from ebbtide.plans import analysis as A
-from ebbtide.plans.views import COHORTS, NOW, PANEL, order_entities, table, weekly_entities, weekly_panel
+from ebbtide.plans.analysis import positive_duration
+from ebbtide.plans.views import COHORTS, NOW, PANEL, event_panel, order_entities, table, weekly_entities, weekly_panel
 
 
 @query("early_window", f"""WITH {WEEKLY_PANEL} SELECT entity, count(*) AS n, round(max(age_hours), 6) AS last_age
@@ -44,11 +46,13 @@ def build_features(spark, sf):
     return d.select(*[x.strip().lstrip("~#") for x in (EARLY_COLS + "," + META_COLS).split(",")])
 
 
-@query("leak_check")
+@query("leak_check", f"""WITH {WEEKLY_PANEL}, {early_ctes()} SELECT entity, round(first_observed_at_hours, 6) AS first_observed_at_hours,
+  coalesce(first_observed_at_hours > {PANEL.feature_cutoff / 2}, false) AS past_half, true AS passed FROM ef""")
 def leak_check(spark, sf):
-    d = feat.early_features(weekly_panel(spark, sf), PANEL)
-    return d.agg((F.coalesce(F.max("first_observed_at_hours"), F.lit(0.0)) <= PANEL.feature_cutoff).alias("leak_free"),
-                 F.count(F.lit(1)).alias("entities"))
+    """Features of the early window pass the check; held against half the window, some don't."""
+    d = feat.assert_no_leak(feat.early_features(weekly_panel(spark, sf), PANEL), PANEL.feature_cutoff)
+    past = F.coalesce(F.col("first_observed_at_hours") > PANEL.feature_cutoff / 2, F.lit(False))
+    return d.select("entity", "first_observed_at_hours", past.alias("past_half"), F.lit(True).alias("passed"))
 
 
 @query("owner_relative", f"""WITH {WEEKLY_PANEL}, {WEEKLY_ENTITIES}, {early_ctes()},
@@ -131,10 +135,18 @@ def feature_coverage(spark, sf):
 
 
 @query("varying_features", f"WITH {WEEKLY_PANEL}, {early_ctes()}, fo AS (SELECT *, CAST(split_part(entity, '_', 1) AS INT) % 3 AS fold FROM ef) " + " UNION ALL ".join(
-    f"""SELECT CAST(fold AS BIGINT) AS fold, '{c}' AS feature, count({c}) AS n_values, count({c}) >= 10 AND coalesce(min({c}) < max({c}), false) AS kept FROM fo GROUP BY fold""" for c in COVER))
+    f"""SELECT CAST(fold AS BIGINT) AS fold, '{c}' AS feature, count({c}) AS n_values, round(median({c}), 6) + 0.0 AS median, count({c}) >= 10 AND coalesce(min({c}) < max({c}), false) AS kept FROM fo GROUP BY fold""" for c in COVER))
 def varying_features(spark, sf):
     d = feat.early_features(weekly_panel(spark, sf), PANEL).withColumn("fold", F.split("entity", "_")[0].cast("int") % 3)
-    return feat.varying_table(d, COVER, ["fold"]).drop("median")
+    return feat.varying_table(d, COVER, ["fold"])
+
+
+@query("floored_durations", f"""WITH {EVENT_PANEL}, {label_ctes()}, d AS (SELECT entity, t_death - 100.0 AS t FROM lab WHERE exclude_reason IS NULL)
+  SELECT entity, round(greatest(t, 0.001), 6) AS residual, t <= 0 AS floored FROM d""")
+def floored_durations(spark, sf):
+    """Durations that models cannot take are lifted, and each such row says so."""
+    d = decay_label(event_panel(spark, sf), PANEL, seq="seq").filter("exclude_reason IS NULL").withColumn("residual", F.col("t_death") - 100.0)
+    return positive_duration(d, "residual").select("entity", "residual", "floored")
 
 
 @query("owner_daily_cap", f"""WITH {ORDER_ENTITIES}, {cap_ctes('oe', {'video': 1, 'photo': 0})}

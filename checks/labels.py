@@ -99,6 +99,14 @@ def curve_points(spark, sf):
     return L.curve_points(event_panel(spark, sf), PANEL, seq="seq")
 
 
+@query("raw_curve", f"""WITH {EVENT_PANEL} SELECT entity, round(age_hours, 6) AS age_hours, round(value, 6) + 0.0 AS value,
+  round((value - lag(value) OVER e) / nullif(age_hours - lag(age_hours) OVER e, 0), 6) + 0.0 AS velocity
+  FROM p WHERE value IS NOT NULL WINDOW e AS (PARTITION BY entity ORDER BY age_hours)""")
+def raw_curve(spark, sf):
+    """Drops of a counter show as negative speeds here; the label's view lifts them."""
+    return L.raw_curve(event_panel(spark, sf))
+
+
 @query("curve_notes", f"""WITH {EVENT_PANEL}, {label_ctes()},
   f AS (SELECT entity, min(age_hours) AS first_age FROM p WHERE value IS NOT NULL GROUP BY entity)
   SELECT entity, CASE WHEN monotonicity_repairs > 0 THEN CAST(monotonicity_repairs AS BIGINT) END AS corrections,

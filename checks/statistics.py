@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from checks.bronze import fresh_folder
 from checks.registry import query, r
 from checks.views_sql import EVENT_PANEL, WEEKLY_ENTITIES, WEEKLY_PANEL, label_ctes
 from ebbtide.operators import metrics as M
@@ -14,7 +15,7 @@ from ebbtide.operators.resample import (bootstrap_ci, concordance_draws, flag_bo
 from ebbtide.operators.skew import average_ranks, exact_quantiles
 from ebbtide.plans.views import PANEL, event_panel, table, weekly_entities, weekly_panel
 from ebbtide.session import cut_lineage
-from ebbtide.sources.tables import stack_models
+from ebbtide.sources.tables import stack_models, write_predictions
 
 LIFE = f"""{EVENT_PANEL}, {label_ctes()}, life AS (SELECT entity, split_part(entity, '_', 1) AS owner, split_part(entity, '_', 2) AS tier,
   t_death AS duration, event_observed AS event, peak_at_hours + 7.0::DOUBLE * n_intervals AS m1, 500.0::DOUBLE / (1.0::DOUBLE + peak_velocity) AS m2,
@@ -358,10 +359,18 @@ def early_facts(spark, sf):
     return early_share_facts(event_panel(spark, sf), first_hours=60.0, day=96.0, followed=400.0)
 
 
+@query("predictions_written", f"WITH {STACK} SELECT model, count(*) AS entities, round(sum(predicted), 4) AS total FROM stk GROUP BY model")
+def predictions_written(spark, sf):
+    """The stacked predictions as files by model, read back."""
+    d, path = life(spark, sf), fresh_folder(spark, "predictions")
+    write_predictions({m: d.select("entity", F.col(m).alias("predicted")) for m in ("m1", "m2")}, path)
+    return spark.read.parquet(path).groupBy("model").agg(F.count(F.lit(1)).alias("entities"), F.round(F.sum("predicted"), 4).alias("total"))
+
+
 @query("decided_pairs")
 def game_pairs(spark, sf):
     d = life(spark, sf).withColumnsRenamed({"event": "event_observed", "duration": "t_death"})
-    return decided_pairs(d, 30, 24.0, PANEL.seed)
+    return decided_pairs(d, 30, 24.0, PANEL.seed, picks={"model": "m1", "size": "m2"})
 
 
 @query("saturation_frame", f"""WITH {LIFE}, d AS (SELECT entity, CASE WHEN n_intervals % 4 <> 0 THEN m1 - 200 END AS sat, last_observed_hours FROM life)

@@ -9,6 +9,7 @@ from checks.registry import query, r
 from checks.views_sql import EVENT_PANEL, LABEL_COLS, WEEKLY_PANEL, hours, label_ctes
 from ebbtide.functions import scalars as S
 from ebbtide.plans.views import PANEL, event_panel, weekly_panel
+from ebbtide.sources.bronze import write_bronze
 from ebbtide.streaming import streams as T
 
 START = "2024-01-01"
@@ -72,6 +73,20 @@ def stream_dedupe(spark, sf):
     return out.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("entity").alias("entities"), F.sum("seq").alias("ids"))
 
 
+@query("stream_landed_readings", f"""WITH {WEEKLY_PANEL} SELECT source AS platform, count(*) AS readings, count(DISTINCT entity) AS entities, CAST(sum(views) AS BIGINT) AS views
+  FROM p GROUP BY 1""")
+def stream_landed_readings(spark, sf):
+    """Readings landed as JSON lines in two deliveries, then streamed from the landing zone a file at a time."""
+    p = weekly_panel(spark, sf).select(
+        F.col("entity").alias("post_id"), F.date_format("reading_ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("snapshot_ts"), "views",
+        F.col("source").alias("platform"), F.to_date("reading_ts").alias("dt"), F.lit("2024-02-01T00:00:00Z").alias("_ingested_at"))
+    root, stage = fresh_folder(spark, "landing"), fresh_folder(spark, "landing-stage")
+    write_bronze(p, root, "snapshots", stage)
+    write_bronze(p.filter(F.dayofmonth("dt") > 20), root, "snapshots", stage)
+    out = T.available_now(T.stream_readings(spark, root, files_per_trigger=20), fresh_folder(spark, "landed"))
+    return out.groupBy("platform").agg(F.count(F.lit(1)).alias("readings"), F.count_distinct("post_id").alias("entities"), F.sum("views").alias("views"))
+
+
 @query("stream_merge", "SELECT count(*) AS rows, round(sum(value), 4) AS total FROM events")
 def stream_merge(spark, sf):
     e = events(spark, sf).select("entity", "reading_ts", "value", F.lit("2024-02-01").alias("_ingested_at"),

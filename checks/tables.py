@@ -10,6 +10,7 @@ from ebbtide.operators import frame as FR
 from ebbtide.operators import tables as TB
 from ebbtide.operators.labels import decay_label
 from ebbtide.plans.scaling import amplify
+from ebbtide.session import cut_lineage
 from ebbtide.plans.views import COHORTS, PANEL, event_panel, table, weekly_entities, weekly_panel
 
 E, L = PANEL.tolerance, PANEL.late_tolerance
@@ -241,17 +242,25 @@ def percentile_ctes(feature: str) -> str:
   rc AS (SELECT mark, band, x, count(*) AS c FROM rf GROUP BY ALL),
   q4 AS (SELECT q3.id, q3.lo, q3.hi, q3.age, q3.mark, 100.0 * (sum(CASE WHEN rc.x < q3.x THEN c ELSE 0 END) + 0.5 * sum(CASE WHEN rc.x = q3.x THEN c ELSE 0 END)) / sum(c) AS pct, CAST(sum(c) AS BIGINT) AS n
     FROM q3 LEFT JOIN rc ON rc.mark = q3.mark AND rc.band = q3.band GROUP BY ALL),
-  pc AS (SELECT id, max(CASE WHEN mark = lo THEN pct END) AS p_lo, max(CASE WHEN mark = hi THEN pct END) AS p_hi, max(n) AS n, any_value(lo) AS lo, any_value(hi) AS hi, any_value(age) AS age FROM q4 GROUP BY id)"""
+  pc AS (SELECT id, max(CASE WHEN mark = lo THEN pct END) AS p_lo, max(CASE WHEN mark = hi THEN pct END) AS p_hi, max(n) AS n, any_value(lo) AS lo, any_value(hi) AS hi, any_value(age) AS age FROM q4 GROUP BY id),
+  po AS (SELECT q3.id, count(DISTINCT rf.owner) AS owners FROM q3 LEFT JOIN (SELECT DISTINCT mark, band, owner FROM rf) rf ON rf.mark = q3.mark AND rf.band = q3.band GROUP BY q3.id)"""
 
 
 @query("midrank_percentile", f"""WITH {TRAIN}, {percentile_ctes('log_views')} SELECT id, round(CASE WHEN hi > lo THEN
-  (1 - (ln(greatest(least(age, hi), lo)) - ln(lo)) / (ln(hi) - ln(lo))) * p_lo + (ln(greatest(least(age, hi), lo)) - ln(lo)) / (ln(hi) - ln(lo)) * p_hi ELSE p_lo END, 6) + 0.0 AS percentile, n AS reference_rows FROM pc""")
+  (1 - (ln(greatest(least(age, hi), lo)) - ln(lo)) / (ln(hi) - ln(lo))) * p_lo + (ln(greatest(least(age, hi), lo)) - ln(lo)) / (ln(hi) - ln(lo)) * p_hi ELSE p_lo END, 6) + 0.0 AS percentile, n AS reference_rows, owners AS reference_owners FROM pc JOIN po USING (id)""")
 def midrank_percentile(spark, sf):
     f = S.instant_features()
     asked = weekly_panel(spark, sf).drop("published_at", "owner", "source").join(
         weekly_entities(spark, sf).withColumn("publish_hour_utc", F.hour("published_at")), "entity").select(
         F.col("seq").alias("id"), F.when(F.col("views") > 0, f["log_views"]).alias("value"), "age_hours", f["log_subscribers"].alias("log_subscribers"))
-    return TB.midrank_percentile(training(spark, sf), asked, "log_views", PANEL).select("id", "percentile", "reference_rows")
+    return TB.midrank_percentile(training(spark, sf), asked, "log_views", PANEL).select("id", "percentile", "reference_rows", "reference_owners")
+
+
+@query("steady_entities", f"""WITH {WEEKLY_PANEL}, o AS (SELECT entity, value, row_number() OVER e AS r, lag(value) OVER e AS before, count(*) OVER (PARTITION BY entity) AS n
+    FROM p WHERE value IS NOT NULL WINDOW e AS (PARTITION BY entity ORDER BY age_hours, seq))
+  SELECT entity FROM o WHERE r <= 4 AND n >= 6 GROUP BY entity HAVING bool_and(r = 1 OR value > before) AND max(CASE WHEN r = 2 THEN value END) > 0""")
+def steady_entities(spark, sf):
+    return TB.steady(weekly_panel(spark, sf), least=6, rising=4, seq="seq")
 
 
 @query("example_picks")
@@ -273,7 +282,18 @@ def fresh_candidates(spark, sf):
     return TB.fresh_candidates(e, p, now, PANEL).select("entity", "age_now", "age_hours", "views")
 
 
-@query("amplify")
+@query("table_digest_agrees", f"WITH {TRAIN} SELECT count(*) AS rows, true AS same, false AS same_without_a_row FROM tt")
+def table_digest_agrees(spark, sf):
+    """The digest of the training table does not depend on how it is dealt out, and sees one row less."""
+    t = cut_lineage(training(spark, sf))
+    one, two, less = TB.table_digest(t), TB.table_digest(t.repartition(7, "mark")), TB.table_digest(t.filter(F.xxhash64("entity", "mark") != t.agg(F.min(F.xxhash64("entity", "mark"))).first()[0]))
+    pick = lambda d, n: d.select(F.col("digest").alias(n))
+    j = one.crossJoin(pick(two, "d2")).crossJoin(pick(less, "d3"))                       # one row each
+    return j.select("rows", (F.col("digest") == F.col("d2")).alias("same"), (F.col("digest") == F.col("d3")).alias("same_without_a_row"))
+
+
+@query("amplify", f"""WITH {EVENT_PANEL} SELECT owner || s AS owner, count(*) AS n, count(DISTINCT entity) AS entities
+  FROM p, (VALUES (''), ('_r1'), ('_r2')) AS c(s) GROUP BY 1""")
 def amplified(spark, sf):
     return amplify(event_panel(spark, sf), 3).groupBy("owner").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("entity").alias("entities"))
 

@@ -37,7 +37,7 @@ class PanelConfig:
     min_prior: int = 2
     folds: int = 5
     draws: int = 2000
-    seed: int = 20260830
+    seed: int = 4177
 
     # Per-source rules. A cap of 0 means no cap.
     primary_metric: Mapping[str, str] = field(default_factory=lambda: {"video": "views", "photo": "likes"})

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.functions.scalars import finite
-from ebbtide.operators.skew import is_small
+from ebbtide.operators.skew import column_medians
 
 EPSILON = 1e-3
 MIN_VALUES = 10
@@ -35,17 +35,16 @@ class Profile:
 
     @classmethod
     def of(cls, train: DataFrame, columns: list[str]) -> "Profile":
-        """Medians are exact where the table is small, else within 1/10,000 in rank."""
+        """Medians are exact at any size: see `exact_quantiles`."""
         cols = [c for c in dict.fromkeys(columns) if c in train.columns]
-        exact = is_small(train)
-        mid = (lambda x: F.percentile(x, 0.5)) if exact else (lambda x: F.percentile_approx(x, 0.5, 10_000))
-        aggs = [F.count(F.lit(1)).alias("n"), F.count_if("event").alias("e"),
-                mid(F.col("duration").cast("double")).alias("d")]
+        aggs = [F.count(F.lit(1)).alias("n"), F.count_if("event").alias("e")]
         for i, c in enumerate(cols):
             x = finite(c)
-            aggs += [F.count(x).alias(f"c{i}"), mid(x).alias(f"m{i}"), F.avg(x).alias(f"a{i}"),
-                     F.var_pop(x).alias(f"v{i}"), (F.min(x) < F.max(x)).alias(f"w{i}")]
-        r = train.agg(*aggs).first()
+            aggs += [F.count(x).alias(f"c{i}"), F.avg(x).alias(f"a{i}"), F.var_pop(x).alias(f"v{i}"), (F.min(x) < F.max(x)).alias(f"w{i}")]
+        r = train.agg(*aggs).first().asDict()
+        r["d"] = None
+        for name, m in column_medians(train, {"d": F.col("duration").cast("double"), **{f"m{i}": finite(c) for i, c in enumerate(cols)}}).collect():
+            r[name] = m                            # a row per column
         stats = {}
         for i, c in enumerate(cols):
             k, m = r[f"c{i}"], r[f"m{i}"]

@@ -105,7 +105,7 @@ class GradientBoosted:
     features: list[str]
     name: str = "gbm_uncensored"
     rounds: int = 200
-    seed: int = 20260830
+    seed: int = 4177
 
     def fit(self, train: DataFrame, profile: Profile | None = None):
         return _fit_log(self, train, profile, GBTRegressor(featuresCol="features", labelCol="_y", predictionCol="_p",
@@ -168,7 +168,7 @@ class HazardForest:
     trees: int = 300
     min_leaf: int = 5
     max_depth: int = 8
-    seed: int = 20260830
+    seed: int = 4177
 
     def fit(self, train: DataFrame, profile: Profile | None = None):
         profile = profile or Profile.of(train, self.features)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ebbtide.config import PanelConfig
 from ebbtide.functions import scalars as S
 from ebbtide.operators.history import prior_median
+from ebbtide.operators.skew import column_medians
 from ebbtide.operators.series import by_entity, clamped, last_at_or_before, value_at
 
 EARLY_COLUMNS = [
@@ -154,18 +155,16 @@ def coverage_table(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()
 
 
 def varying_table(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), min_rows: int = 10) -> DataFrame:
-    """Per training fold: which columns have enough values and vary, with their medians."""
+    """Per training fold: which columns have enough values and vary, with their exact medians."""
     aggs = []
     for x in columns:
         v = S.finite(x)
-        aggs += [F.count(v).alias(f"{x}__c"), F.percentile_approx(v, 0.5, 10_000).alias(f"{x}__m"),
-                 F.coalesce(F.min(v) < F.max(v), F.lit(False)).alias(f"{x}__v")]
-    cells = F.explode(F.array(*[F.struct(F.lit(x).alias("feature"), F.col(f"{x}__c").alias("n_values"),
-                                         F.col(f"{x}__m").alias("median"), F.col(f"{x}__v").alias("varies"))
+        aggs += [F.count(v).alias(f"{x}__c"), F.coalesce(F.min(v) < F.max(v), F.lit(False)).alias(f"{x}__v")]
+    cells = F.explode(F.array(*[F.struct(F.lit(x).alias("feature"), F.col(f"{x}__c").alias("n_values"), F.col(f"{x}__v").alias("varies"))
                                 for x in columns])).alias("c")
-    return df.groupBy(*by).agg(*aggs).select(*by, cells).select(
-        *by, "c.feature", "c.n_values", "c.median",
-        ((F.col("c.n_values") >= min_rows) & F.col("c.varies")).alias("kept"))
+    medians = column_medians(df, {x: S.finite(x) for x in columns}, list(by))
+    return df.groupBy(*by).agg(*aggs).select(*by, cells).select(*by, "c.*").join(medians, [*by, "feature"], "left").select(
+        *by, "feature", "n_values", "median", ((F.col("n_values") >= min_rows) & F.col("varies")).alias("kept"))
 
 
 def _coverage(x: str):

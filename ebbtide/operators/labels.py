@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.config import PanelConfig
-from ebbtide.operators.series import by_entity, clamped, collapse_equal_ages
+from ebbtide.operators.series import by_entity, clamped, collapse_equal_ages, raw_velocity
 from ebbtide.operators.skew import Grouped, followers, group_total, running
 
 INSUFFICIENT = "insufficient_observations"
@@ -144,6 +144,12 @@ def curve_points(readings: DataFrame, cfg: PanelConfig = PanelConfig(), seq: str
                        (F.col("peak") * cfg.frac).alias("threshold"))
 
 
+def raw_curve(readings: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """The curve as it was read: values and interval speeds without clamp or merging, null where time did not advance."""
+    g = raw_velocity(by_entity(readings, max_rows=max_rows))
+    return g.df.select("entity", "age_hours", "value", "velocity")
+
+
 def curve_notes(readings: DataFrame, labels: DataFrame, first_mark: float = 1.0) -> DataFrame:
     """Flags shown beside a curve: corrected counters, and a first reading past the first mark."""
     first = (readings.filter(F.col("value").isNotNull()).groupBy("entity")

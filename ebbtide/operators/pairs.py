@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ebbtide.config import PanelConfig
 from ebbtide.operators.resample import owner_bootstrap
-from ebbtide.operators.series import by_entity, clamped, value_at
+from ebbtide.operators.series import by_entity, clamped
 from ebbtide.operators.skew import exact_quantiles, running, split_hot
+from ebbtide.session import cut_lineage
 
 
 def pair_counts(df: DataFrame, factor: str, by: list[str] = (), cfg: PanelConfig = PanelConfig(),
@@ -85,40 +86,46 @@ def early_share_facts(readings: DataFrame, first_hours: float = 7.0, day: float
     Entities with three readings, growth, and at least `followed` hours.
     """
     g = clamped(by_entity(readings, max_rows=max_rows))
+    age = F.col("age_hours")
     speed = F.when(F.col("prev_age").isNotNull(), F.coalesce("velocity", F.lit(0.0)))
-    d = g.df.withColumn("speed", speed)
-    # The earliest of equal peaks decides.
-    per = (d.groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.max("age_hours").alias("last"),
-                                   F.max("clamped").alias("final"), F.min("age_hours").alias("first"),
-                                   F.min("value").alias("lowest"), F.max("speed").alias("peak"))
-           .filter((F.col("n") >= 3) & (F.col("final") > 0) & (F.col("last") >= followed)))
-    at_peak = (d.join(per.select("entity", "peak"), "entity").filter(F.col("speed") == F.col("peak"))
-               .groupBy("entity").agg(F.min("age_hours").alias("peak_at")))
-    level = value_at(g.result().drop("value").withColumnRenamed("clamped", "value"), [day]).select("entity", "v0")
-    start = d.groupBy("entity").agg(F.min_by("clamped", "age_hours").alias("start"))
-    j = per.join(at_peak, "entity").join(level, "entity").join(start, "entity")
+    # The earliest of equal peaks decides. The clamped curve never falls, so its values around `day` are a maximum and a minimum.
+    j = g.df.groupBy("entity").agg(
+        F.count(F.lit(1)).alias("n"), F.max(age).alias("last"), F.max("clamped").alias("final"), F.min(age).alias("first"),
+        F.min_by("clamped", age).alias("start"), F.max_by(age, F.when(speed.isNotNull(), F.struct(speed, -age))).alias("peak_at"),
+        F.max(F.when(age < day, age)).alias("a0"), F.max(F.when(age < day, F.col("clamped"))).alias("c0"),
+        F.min(F.when(age >= day, age)).alias("a1"), F.min(F.when(age >= day, F.col("clamped"))).alias("c1"))
+    j = j.filter((F.col("n") >= 3) & (F.col("final") > 0) & (F.col("last") >= followed))
+    line = F.col("c0") + (day - F.col("a0")) / (F.col("a1") - F.col("a0")) * (F.col("c1") - F.col("c0"))
     # Before the first reading the curve is held flat, as interpolation with clamped ends does.
-    by_day = F.coalesce("v0", F.when(F.col("first") > day, F.col("start"))) / F.col("final")
-    j = j.withColumns({"early": (F.col("peak_at") <= first_hours), "by_day": by_day})
+    level = F.when(F.col("a1") == day, F.col("c1")).when(F.col("a0").isNotNull(), line).when(F.col("first") > day, F.col("start"))
+    j = j.withColumns({"early": F.col("peak_at") <= first_hours, "by_day": level / F.col("final")})
     med = exact_quantiles(j, "by_day", [0.5], max_rows=max_rows).select(F.col("q")[0].alias("median_share_by_day"))
     return j.agg(F.count(F.lit(1)).alias("entities"),
                  F.avg(F.col("early").cast("double")).alias("share_fastest_early")).crossJoin(med)
 
 
-def decided_pairs(df: DataFrame, n: int, min_gap: float, seed: int, time: str = "t_death") -> DataFrame:
-    """`n` sampled pairs of ended entities at least `min_gap` apart.
+def decided_pairs(df: DataFrame, n: int, min_gap: float, seed: int, time: str = "t_death", picks: dict[str, str] | None = None) -> DataFrame:
+    """`n` sampled pairs of ended entities at least `min_gap` apart; fewer only if the deal has no more.
 
-    A sampling operator: candidates are taken in hash order and paired with their
-    neighbour, so at most 100*n rows are ever compared and no pair is formed twice.
+    A sampling operator: entities are dealt in hash order and paired with their neighbour, so no pair
+    is formed twice. The deal goes on, four times as far each time, until `n` pairs are found or
+    all entities are dealt. `picks` names prediction columns: `<name>_pick` is the side it expects to end first.
     """
-    pool = (df.filter("event_observed").withColumn("_h", F.xxhash64(F.lit(seed), "entity"))
-            .orderBy("_h", "entity").limit(100 * n))
-    g = running(split_hot(pool, [], "_h"), ["_h", "entity"], {"_r": ("sum", F.lit(1))})
-    side = (F.col("_r") - 1) % 2
-    slot = F.floor((F.col("_r") - 1) / 2)
-    d = g.df.select("entity", F.col(time).alias("t"), side.alias("side"), slot.alias("slot"))
-    p = d.groupBy("slot").agg(*[F.max(F.when(F.col("side") == i, F.col(c))).alias(f"{k}_{c}")
-                                for i, k in ((0, "a"), (1, "b")) for c in ("entity", "t")])
-    return (p.filter(F.abs(F.col("a_t") - F.col("b_t")) >= min_gap)
-            .withColumn("first", F.when(F.col("a_t") < F.col("b_t"), "a").otherwise("b"))
-            .orderBy("slot").limit(n).drop("slot"))
+    picks = picks or {}
+    ended = df.filter("event_observed").withColumn("_h", F.xxhash64(F.lit(seed), "entity"))
+    for c in picks.values():
+        ended = ended.filter(F.col(c).isNotNull())
+    ended = cut_lineage(ended.select("entity", F.col(time).cast("double").alias("t"), *dict.fromkeys(picks.values()), "_h"))
+    total, dealt = ended.count(), 4 * n
+    while True:
+        pool = ended if dealt >= total else ended.orderBy("_h", "entity").limit(dealt)
+        g = running(split_hot(pool, [], "_h"), ["_h", "entity"], {"_r": ("sum", F.lit(1))})
+        side, columns = (F.col("_r") - 1) % 2, ["entity", "t", *dict.fromkeys(picks.values())]
+        p = g.df.groupBy(F.floor((F.col("_r") - 1) / 2).alias("slot")).agg(*[F.max(F.when(side == i, F.col(c))).alias(f"{k}_{c}")
+                                                                             for i, k in ((0, "a"), (1, "b")) for c in columns])
+        p = p.filter(F.abs(F.col("a_t") - F.col("b_t")) >= min_gap).orderBy("slot").limit(n)
+        if dealt >= total or p.count() == n:
+            break
+        dealt *= 4
+    first = lambda c: F.when(F.col(f"a_{c}") < F.col(f"b_{c}"), "a").otherwise("b")
+    return p.withColumns({"first": first("t"), **{f"{name}_pick": first(c) for name, c in picks.items()}}).drop("slot")

@@ -205,6 +205,17 @@ def exact_quantiles(df: DataFrame, value: str, qs: list[float], by: list[str] =
     return out.select(*by, F.array(*parts).alias(name))
 
 
+def column_medians(df: DataFrame, columns: dict[str, Column], by: list[str] = (), max_rows: int | None = None) -> DataFrame:
+    """(by, feature, median) of several columns at once, exact at any size; columns without values have no row."""
+    if max_rows is None and is_small(df):
+        cells = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"_m{i}").alias("median")) for i, n in enumerate(columns)])).alias("c")
+        d = df.groupBy(*by).agg(*[F.percentile(x, 0.5).alias(f"_m{i}") for i, x in enumerate(columns.values())])
+        return d.select(*by, cells).select(*by, "c.*").filter("median IS NOT NULL")
+    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), x.cast("double").alias("v")) for n, x in columns.items()])).alias("c")
+    q = exact_quantiles(df.select(*by, cells).select(*by, "c.*"), "v", [0.5], [*by, "feature"], max_rows=max_rows or HOT_ROWS)
+    return q.select(*by, "feature", F.col("q")[0].alias("median"))
+
+
 def average_ranks(df: DataFrame, value: str, name: str, max_rows: int | None = None) -> DataFrame:
     """Ranks with ties averaged, as a table (value, name): one row per distinct value."""
     v = df.groupBy(value).agg(F.count(F.lit(1)).alias("_c"))

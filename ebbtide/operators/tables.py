@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbtide.config import INSTANT_COLUMNS, PanelConfig
@@ -72,6 +72,7 @@ def model_rows(table: DataFrame, cfg: PanelConfig = PanelConfig()) -> DataFrame:
 
 
 def hand_off_order(table: DataFrame) -> DataFrame:
+    """The order in which a table is handed on: by entity, mark and age."""
     return table.orderBy("entity_key", "mark", "age_hours")
 
 
@@ -149,12 +150,30 @@ def midrank_percentile(table: DataFrame, asked: DataFrame, feature: str, cfg: Pa
         F.max(F.when(F.col("mark") == F.col("hi"), F.col("pct"))).alias("p_hi"),
         F.max("n").alias("reference_rows"),
         F.max(F.when(F.col("band") == "all", F.lit("all sizes"))).alias("_all"), F.max("band").alias("_band"))
+    # Owners behind a percentile: those of either mark's group, each once. Few combinations of groups exist.
+    groups = chosen.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("mark", "band"))).alias("groups"))
+    owners = cells.select("mark", "band", "owner").distinct()
+    behind = (groups.select("groups").distinct().select("groups", F.explode("groups").alias("g")).select("groups", "g.mark", "g.band")
+              .join(owners, ["mark", "band"]).groupBy("groups").agg(F.count_distinct("owner").alias("reference_owners")))
+    one = one.join(groups.join(behind, "groups", "left").select("id", F.coalesce("reference_owners", F.lit(0)).alias("reference_owners")), "id")
     w = F.when(F.col("hi") > F.col("lo"),
                (F.ln(F.greatest(F.least(F.col("age"), F.col("hi")), F.col("lo"))) - F.ln("lo"))
                / (F.ln("hi") - F.ln("lo"))).otherwise(F.lit(0.0))
     return (q.join(one, "id")
             .select("id", ((1 - w) * F.col("p_lo") + w * F.col("p_hi")).alias("percentile"),
-                    "reference_rows", F.coalesce("_all", "_band").alias("reference_group"), "lo", "hi"))
+                    "reference_rows", "reference_owners", F.coalesce("_all", "_band").alias("reference_group"), "lo", "hi"))
+
+
+def steady(readings: DataFrame, least: int = 12, rising: int = 6, seq: str | None = None) -> DataFrame:
+    """Entities fit for an example: `least` readings, a second value above 0, and each of the first `rising` above the one before."""
+    order = ["age_hours", *([seq] if seq else [])]
+    use = readings.filter(F.col("value").isNotNull())
+    w = Window.partitionBy("entity").orderBy(*order)
+    head = use.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= rising)         # cut before the shuffle
+    rise = head.groupBy("entity").agg(F.transform(F.sort_array(F.collect_list(F.struct("_r", "value"))), lambda x: x["value"]).alias("v"))
+    ups = F.forall(F.sequence(F.lit(1), F.lit(rising - 1)), lambda i: F.get("v", i) > F.get("v", i - 1))
+    enough = use.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    return rise.filter((F.get("v", F.lit(1)) > 0) & ups).join(enough, "entity").select("entity")
 
 
 def example_picks(df: DataFrame, conditions: dict[str, "F.Column"], seed: int) -> DataFrame:

@@ -18,6 +18,7 @@ from ebbtide.operators.metrics import (brier_skill, calibration_deciles, flag_me
 from ebbtide.operators.resample import (bootstrap_ci, concordance_draws, flag_bootstrap, owner_bootstrap,
                                         paired_delta_bootstrap, score_models)
 from ebbtide.operators.survival import cohort_counts
+from ebbtide.plans.analysis import predictor_columns
 from ebbtide.session import cut_lineage
 from ebbtide.sources.tables import stack_models
 
@@ -37,7 +38,7 @@ def residual_grid(cfg: PanelConfig, landmark: float) -> list[float]:
 
 
 def standard_models(features: list[str], grid: list[float], trees: int = 300, rounds: int = 200,
-                    seed: int = 20260830) -> list:
+                    seed: int = 4177) -> list:
     """Two censoring-aware models, four baselines, two comparators."""
     return [WeibullAFT(features), HazardForest(features, grid, trees=trees, seed=seed), ConstantLifetime(48.0),
             KaplanMeierMedian(), owner_size_only(), peak_velocity_only(), LogLinear(features),
@@ -56,15 +57,21 @@ class Evaluation:
 
 
 def evaluate(frame: DataFrame, cfg: PanelConfig = PanelConfig(), models: list | None = None,
-             landmark: float | None = None, trees: int = 300, rounds: int = 200) -> Evaluation:
+             landmark: float | None = None, trees: int = 300, rounds: int = 200,
+             exploratory: bool = False, holdout: bool = False) -> Evaluation:
     """Owner-grouped cross-validation with intervals, tests and differences.
 
+    `exploratory` adds the predictors that were not planned. On the holdout (`holdout`) they are refused: what is
+    tried out on it cannot be confirmed by it.
+
     The frame is read once per model and fold, so it is first written to the
     shared folder; so are the stacked predictions, which every statistic reads.
     """
+    if exploratory and holdout:
+        raise ValueError("the holdout is not open to exploratory predictors")
     d = cut_lineage(survival_rows(frame))
     L = cfg.landmark if landmark is None else landmark
-    used = feat.usable_features(d, FEATURE_COLUMNS)
+    used = predictor_columns(d, exploratory)
     if not used:
         raise ValueError("no predictor has enough coverage")
     models = models or standard_models(used, residual_grid(cfg, L), trees, rounds, cfg.seed)

@@ -1,15 +1,12 @@
-"""Load generation and timing of the benchmark job."""
+"""Load generation for the benchmark job."""
 
 from __future__ import annotations
 
-import time
-from statistics import median
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def amplify(readings: DataFrame, factor: int, jitter: float = 0.15, seed: int = 20260830,
+def amplify(readings: DataFrame, factor: int, jitter: float = 0.15, seed: int = 4177,
             counters: tuple[str, ...] = ("views", "likes", "comments", "value")) -> DataFrame:
     """`factor` copies with their own entities and owners; copy 0 is the table itself.
 
@@ -39,20 +36,7 @@ def amplify(readings: DataFrame, factor: int, jitter: float = 0.15, seed: int =
     return d.withColumns(cols).drop("_r")
 
 
-def amplified_counts(rows: int, factors: list[int]) -> list[tuple[int, int]]:
-    return [(f, rows * f) for f in factors]
-
-
 def run_fully(df: DataFrame) -> None:
     """Compute every column of every row. A count would let the optimiser drop the work."""
     df.write.format("noop").mode("overwrite").save()
 
-
-def timed(make, repeats: int = 3) -> float:
-    """Median wall time of building and fully running a query."""
-    out = []
-    for _ in range(repeats):
-        t = time.perf_counter()
-        run_fully(make())
-        out.append(time.perf_counter() - t)
-    return median(out)

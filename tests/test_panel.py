@@ -1,6 +1,7 @@
 """Collection: landing, silver, due lists, coverage, outages, frames, exports."""
 
 import datetime as dt
+from dataclasses import replace
 import json
 import os
 
@@ -160,28 +161,38 @@ def test_daily_cap_keeps_the_earliest(spark):
 
 
 # ---------------------------------------------------------------- panel and monitoring
-def test_discovery_reading_does_not_use_up_the_first_mark(spark):
-    posts = spark.createDataFrame([("p", "o", "video", t("2026-09-01T11:00:00"))], "entity string, owner string, source string, published_at timestamp")
-    r = spark.createDataFrame([("p", 0.05, t("2026-09-01T11:03:00"))], "entity string, age_hours double, reading_ts timestamp")
-    assert P.due_list(P.panel_state(posts, r, CFG), "2026-09-01 12:00:00", CFG).count() == 1
-    on_time = r.unionByName(spark.createDataFrame([("p", 1.0, t("2026-09-01T12:00:00"))], r.schema))
-    assert P.due_list(P.panel_state(posts, on_time, CFG), "2026-09-01 12:00:00", CFG).count() == 0
-
-
-def tree(spark):
-    posts = [(f"p{i}", t("2026-09-05T04:00:00")) for i in range(6)]
-    reads = [(f"p{i}", float(h), t("2026-09-05T04:00:00") + dt.timedelta(hours=h)) for i in range(6) for h in range(7)]
-    return (spark.createDataFrame(posts, "entity string, published_at timestamp"),
-            spark.createDataFrame(reads, "entity string, age_hours double, reading_ts timestamp"))
-
-
-@pytest.mark.parametrize("hours", [1, 2, 6, 48])
-def test_ongoing_outage_is_seen_however_long(spark, hours):
-    posts, reads = tree(spark)
-    now = (t("2026-09-05T10:00:00") + dt.timedelta(hours=hours)).strftime("%Y-%m-%d %H:%M:%S")
-    r = M.health(posts, reads, now, CFG, recent_hours=12).first()
-    assert r.hours_since_last_data == hours
-    assert ("collection stopped" in r.problems) == (hours > 3)
+GRID = replace(CFG, schedule=(2.0, 5.0, 9.0), marks=(2.0, 5.0), tolerance=0.5, max_track=9.0)
+
+
+def test_due_follows_marks_not_the_number_of_readings(spark):
+    """One entity per set of reading ages; at each age since publication, who is owed a reading?"""
+    ages = {"none": [], "early": [0.2, 0.9, 1.4], "opening": [1.5], "first": [2.0], "two": [1.9, 5.3], "stray": [0.1, 2.2, 2.4]}
+    start = dt.datetime(2031, 3, 14, 22, 10)
+    posts = spark.createDataFrame([(e, "o", "video", start) for e in ages], "entity string, owner string, source string, published_at timestamp")
+    reads = spark.createDataFrame([(e, a, start + dt.timedelta(hours=a)) for e, xs in ages.items() for a in xs],
+                                  "entity string, age_hours double, reading_ts timestamp")
+    state = P.panel_state(posts, reads, GRID)
+    scheduled = {r.entity: r.scheduled_count for r in state.collect()}
+    assert scheduled == {"none": 0, "early": 0, "opening": 1, "first": 1, "two": 2, "stray": 2}
+    for hours in (1.0, 2.0, 4.0, 5.0, 8.0):
+        now = start + dt.timedelta(hours=hours)
+        passed = sum(m <= hours for m in GRID.schedule)
+        due = {r.entity for r in P.due_list(state, now.strftime("%Y-%m-%d %H:%M:%S"), GRID).collect()}
+        assert due == {e for e, n in scheduled.items() if n < passed}, hours
+
+
+@pytest.mark.parametrize("scope", [None, 5, 30])
+def test_silence_is_measured_from_all_data_in_any_scope(spark, scope):
+    """Three entities of different lengths; the last of them was read in the hour from 17:00."""
+    last = {"a": dt.datetime(2031, 3, 10, 17, 40), "b": dt.datetime(2031, 3, 10, 11, 5), "c": dt.datetime(2031, 3, 8, 2, 0)}
+    posts = spark.createDataFrame([(e, x - dt.timedelta(hours=20)) for e, x in last.items()], "entity string, published_at timestamp")
+    reads = spark.createDataFrame([(e, 20.0 - k, x - dt.timedelta(hours=k)) for e, x in last.items() for k in range(0, 20, 2 + ord(e) % 3)],
+                                  "entity string, age_hours double, reading_ts timestamp")
+    for quiet in (0.75, 3.0, 3.25, 31.5, 400.0):
+        now = (dt.datetime(2031, 3, 10, 17) + dt.timedelta(hours=quiet)).strftime("%Y-%m-%d %H:%M:%S")
+        r = M.health(posts, reads, now, CFG, recent_hours=scope).first()
+        assert r.hours_since_last_data == quiet == M.silence(reads, now).first().hours_since_last_data
+        assert ("collection stopped" in r.problems) == (quiet > M.MAX_SILENT_HOURS)
 
 
 def test_a_late_reading_is_not_a_reading_of_the_next_mark(spark):
@@ -250,6 +261,48 @@ def test_identifiers_are_dropped_at_any_depth(spark):
     assert json.loads(tables.strip_identifiers(d).toJSON().first()) == {"o": {"s": [{"n": 2}]}, "m": {"ok": "y"}}
 
 
+def test_hand_off_order_and_written_predictions(spark, tmp_path):
+    rows = [("b", 3.0, 3.1), ("a", 6.0, 6.2), ("a", 3.0, 3.4), ("a", 3.0, 2.9)]
+    d = spark.createDataFrame(rows, "entity_key string, mark double, age_hours double")
+    assert [tuple(r) for r in TB.hand_off_order(d).collect()] == sorted(rows)
+    p = spark.createDataFrame([("e1", 5.0), ("e2", 7.0)], "entity string, predicted double")
+    for _ in range(2):                                             # a second write replaces the first
+        tables.write_predictions({"m1": p, "m2": p.limit(1)}, str(tmp_path / "p"))
+    back = spark.read.parquet(str(tmp_path / "p"))
+    assert sorted((r.model, r.entity, r.predicted) for r in back.collect()) == [("m1", "e1", 5.0), ("m1", "e2", 7.0), ("m2", "e1", 5.0)]
+    assert back.filter("model = 'm2'").inputFiles() and back.columns[-1] == "model"
+
+
+def test_decided_pairs_go_on_until_there_are_enough(spark):
+    """Nearly all neighbours in the deal are too close; the few far pairs are found all the same."""
+    from ebbtide.operators.pairs import decided_pairs
+    d = spark.range(4000).select(F.concat(F.lit("e"), "id").alias("entity"), F.lit(True).alias("event_observed"),
+                                 F.when(F.col("id") % 50 == 0, 500.0).otherwise(10.0).alias("t_death"),
+                                 F.when(F.col("id") % 3 == 0, 1.0).otherwise(2.0).alias("m"))
+    rows = decided_pairs(d, 25, 24.0, 3, picks={"model": "m"}).collect()
+    assert len(rows) == 25 and len({x for r in rows for x in (r.a_entity, r.b_entity)}) == 50
+    assert all(abs(r.a_t - r.b_t) >= 24 and r["first"] == ("a" if r.a_t < r.b_t else "b") and r.model_pick == ("a" if r.a_m < r.b_m else "b") for r in rows)
+    every = decided_pairs(d, 5000, 24.0, 3).collect()              # not that many exist: all of the deal's pairs
+    assert 60 < len(every) < 90
+
+
+def test_percentiles_name_the_owners_behind_them(spark):
+    ref = spark.createDataFrame([(m, float(i), 5.0, f"o{i % k}") for m, k in ((1.0, 6), (3.0, 9)) for i in range(40)],
+                                "mark double, x double, log_subscribers double, owner string")
+    ask = spark.createDataFrame([(1, 2.0, 1.0, 5.0), (2, 2.0, 2.0, None)], "id int, value double, age_hours double, log_subscribers double")
+    assert {r.id: r.reference_owners for r in TB.midrank_percentile(ref, ask, "x", CFG).collect()} == {1: 6, 2: 9}
+
+
+def test_column_medians_are_exact_by_either_plan(spark):
+    from ebbtide.operators.skew import column_medians
+    d = spark.range(301).selectExpr("id % 3 AS g", "double(id * 7919 % 83) AS a", "CASE WHEN id % 4 = 0 THEN double(id) END AS b", "cast(null as double) AS c")
+    cols = {x: F.col(x) for x in "abc"}
+    get = lambda **k: sorted((r.g, r.feature, r.median) for r in column_medians(d, cols, ["g"], **k).collect())
+    pdf = d.toPandas()
+    want = sorted((g, x, float(v[x].median())) for g, v in pdf.groupby("g") for x in "ab")
+    assert get() == get(max_rows=5) == get(max_rows=1000) == want
+
+
 def test_digest_ignores_order_and_sees_changes(spark):
     d = spark.range(50).select("id", (F.col("id") / 7).alias("x"))
     dig = lambda x: TB.table_digest(x).first().digest
