@@ -271,14 +271,15 @@ def paired(spark, sf):
     return paired_delta_bootstrap(score_models(s), cut_lineage(concordance_draws(s, PANEL.draws, PANEL.seed)), [("m1", "m2")])
 
 
-INSIDE = F.col("low").isNotNull() & (F.col("low") <= F.col("point")) & (F.col("point") <= F.col("high"))
+def inside(point: str, low: str, high: str):
+    return F.coalesce((F.col(low) <= F.col(point)) & (F.col(point) <= F.col(high)), F.lit(False))
 
 
 @query("owner_bootstrap_point", """SELECT 'net_share' AS name, round(sum(l_extendedprice * (1 - l_discount)) / sum(l_extendedprice), 6) AS point, true AS inside
   FROM lineitem""")
 def owner_boot_point(spark, sf):
     """The estimate, which is exact, and whether its interval holds it."""
-    return owner_boot_total(spark, sf).select("name", "point", INSIDE.alias("inside"))
+    return owner_boot_total(spark, sf).select("name", "point", inside("point", "low", "high").alias("inside"))
 
 
 SCORES = pairs_sql("stk", "duration", "event", "predicted")[7:].replace("ON a.event", "ON a.model = b.model AND a.event")
@@ -289,8 +290,7 @@ MAE = """m AS (SELECT model, avg(abs(log10(greatest(duration, 1e-6)) - log10(gre
   SELECT model, c_index, round(mae, 6) AS mae_log10, true AS c_inside, true AS mae_inside FROM c JOIN m USING (model)""")
 def boot_ci_point(spark, sf):
     d = boot_ci(spark, sf)
-    held = lambda x, a, b: (F.col(a) <= F.col(x)) & (F.col(x) <= F.col(b))
-    return d.select("model", "c_index", "mae_log10", held("c_index", "c_low", "c_high").alias("c_inside"), held("mae_log10", "mae_low", "mae_high").alias("mae_inside"))
+    return d.select("model", "c_index", "mae_log10", inside("c_index", "c_low", "c_high").alias("c_inside"), inside("mae_log10", "mae_low", "mae_high").alias("mae_inside"))
 
 
 @query("paired_delta_point", f"""WITH {STACK}, {MAE}, c AS (SELECT a.model, {SCORES} GROUP BY a.model), s AS (SELECT * FROM c JOIN m USING (model))
@@ -298,8 +298,7 @@ def boot_ci_point(spark, sf):
   FROM s x, s y WHERE x.model = 'm1' AND y.model = 'm2'""")
 def paired_point(spark, sf):
     d = paired(spark, sf)
-    inside = (F.col("delta_c_low") <= F.col("delta_c_index")) & (F.col("delta_c_index") <= F.col("delta_c_high"))
-    return d.select("model", "baseline", "draws", "delta_mae_log10", inside.alias("inside"))
+    return d.select("model", "baseline", "draws", "delta_mae_log10", inside("delta_c_index", "delta_c_low", "delta_c_high").alias("inside"))
 
 
 MARK_CASE = "CASE " + " ".join(f"WHEN {m!r}::DOUBLE <= duration + {PANEL.tolerance} THEN {m!r}::DOUBLE" for m in reversed(PANEL.marks)) + f" ELSE {PANEL.marks[0]!r}::DOUBLE END"
