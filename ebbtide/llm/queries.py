@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from ebbtide.llm import chat, decontaminate, lm, minhash, mixing, negatives, pii, quality, secrets, sharding, topk, toxicity, whiten
 from ebbtide.llm.registry import ORACLES, QUERIES, query, table
 from ebbtide.llm.stage import prepare
@@ -124,8 +123,3 @@ def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_whitening")
 def whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten.whiten(table(prepare(spark), sf_dir, "embeddings"))
-
-
-@query("pipeline")
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)
