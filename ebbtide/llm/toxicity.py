@@ -19,6 +19,7 @@ import re
 import uuid
 from collections import Counter
 from itertools import groupby
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,8 @@ SYMBOL, NOISE, DOUBLE, GAP = 1.0, 6.0, 0.5, 0.5        # costs in the channel, a
 LETTER = 2.0                                           # for each letter that is read, so that short readings don't win by length
 CODES = 64                                             # letters a-z, other letters in 32 classes, everything else 0
 BEGINNINGS = (3, 4, 5, 6, 7)                              # lengths of word beginnings used as features
-FEATURES = 100_000                                     # size of the classifier: most frequent candidates, best weights
+MOST_WEIGHTS = 2_000_000                               # the classifier is sent to all tasks; more significant features than that end the job
+FILTER_BITS = 22                                       # of the filter by which clean texts skip features no toxic text has
 LEVEL = 0.1                                            # expected number of features that are significant by chance
 LEAST_WEIGHT = 1.1                                     # features less than three times as frequent don't count
 BIN = 0.25                                             # bins of the calibration, in logarithms
@@ -42,6 +44,7 @@ BROADCAST_LABELS = 2_000_000
 
 APART = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+])(?:[ ._*-](?:[^\W_]|[@$!|+])){3,}(?!\w)")
 STRETCHED = re.compile(r"(.)\1\1")
+MARKS = ".,;:?\"'"                                      # stripped by EDGES on either side, as is a trailing "!"
 EDGES = re.compile(r"^[^\w@$!|+(#*]+|[^\w@$+#*]+$")
 NOISY_EDGES = re.compile(r"^[@$!|+(#*%&]{2,}|[@$!|+(#*%&]{2,}$")
 HAS_LETTER = re.compile(r"[^\W\d_]")
@@ -128,6 +131,9 @@ class Restorer:
         self.logp, self.seen = logp.tolist(), {}
 
     def word(self, token: str) -> tuple[str, ...]:
+        plain = token.strip(MARKS).rstrip("!")
+        if plain.isalpha():                                     # the common case needs none of the patterns below
+            return (plain,) if not STRETCHED.search(plain) else tuple(decode(plain, self.logp).split())
         core = NOISY_EDGES.sub("", EDGES.sub("", token))
         if not HAS_LETTER.search(core):
             return ()
@@ -167,8 +173,18 @@ def _restorer(model) -> Restorer:
     return _restorers[name]
 
 
+def _cell(feature: str) -> int:
+    return crc32(feature.encode("utf-8", "replace")) & ((1 << FILTER_BITS) - 1)
+
+
+def _cells(batches):
+    """Filter cells of a task's features."""
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.array([_cell(f) for f in b.column(0).to_pylist()], np.int64)))], ["cell"])
+
+
 def _count(model, wanted=None):
-    """(feature, texts with it, occurrences): of all features, or of the `wanted` ones. A feature "" counts all words."""
+    """(feature, texts with it, occurrences): of all features, or of those whose cell is set in `wanted`. A feature "" counts all words."""
     def run(batches):
         mine, only, known = _restorer(model), wanted and wanted.value, {}
         texts, times = Counter(), Counter()
@@ -188,7 +204,7 @@ def _count(model, wanted=None):
                     if fs is None:
                         if len(known) >= CACHE:
                             known.clear()
-                        fs = known[w] = [f for f in features(w) if only is None or f in only]
+                        fs = known[w] = [f for f in features(w) if only is None or only[_cell(f)]]
                     for f in fs:
                         here[f] += k
                 here[""] = n
@@ -200,13 +216,13 @@ def _count(model, wanted=None):
     return run
 
 
-def gain(tox, clean, n_tox: int, n_clean: int):
+def gain_of(tox: Column, clean: Column, n_tox: int, n_clean: int) -> Column:
     """G statistic of a feature that is more frequent among toxic texts, else 0."""
-    n, has = n_tox + n_clean, tox + clean
-    term = lambda o, e: np.where(o > 0, o * np.log(np.maximum(o, 1e-9) / np.maximum(e, 1e-9)), 0.0)
+    n, has = float(n_tox + n_clean), tox + clean
+    term = lambda o, e: F.when(o > 0, o * F.log(F.greatest(o, F.lit(1e-9)) / F.greatest(e, F.lit(1e-9)))).otherwise(0.0)
     g = 2 * (term(tox, has * n_tox / n) + term(clean, has * n_clean / n)
              + term(n_tox - tox, (n - has) * n_tox / n) + term(n_clean - clean, (n - has) * n_clean / n))
-    return np.where(tox * n_clean > clean * n_tox, g, 0.0)
+    return F.when(tox * n_clean > clean * n_tox, g).otherwise(0.0)
 
 
 def fit_curve(x: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> np.ndarray:
@@ -276,15 +292,19 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     limit = 2 * np.log(max(1, found.count()) / LEVEL)
     # A feature in fewer toxic texts would not be significant even if no clean text had it.
     least = max(2, int(np.ceil(limit / (2 * np.log((n_tox + n_clean) / n_tox)))))
-    tox = {r[0]: r[1:] for r in found.filter((F.col("k") >= min(least, n_tox)) & (F.col("f") != "")).orderBy(F.desc("k"), "f").limit(FEATURES).collect()}
-    all_tox = found.filter("f = ''").first()[2]
-    clean = {r[0]: r[1:] for r in counted(0, _count(sent, spark.sparkContext.broadcast(set(tox)))).collect()}
-    all_clean = clean.pop("")[1]
-    names = list(tox)
-    x, y = (np.array([d.get(f, (0, 0)) for f in names], float).reshape(-1, 2) for d in (tox, clean))
-    good = gain(x[:, 0], y[:, 0], n_tox, n_clean) >= limit
-    weight = np.log((x[:, 1] + 0.5) / (all_tox + 1)) - np.log((y[:, 1] + 0.5) / (all_clean + 1))
-    model["weights"] = {f: float(w) for f, w, g in zip(names, weight, good) if g and w >= LEAST_WEIGHT}
+    tox = found.filter((F.col("k") >= min(least, n_tox)) & (F.col("f") != ""))
+    cells = np.zeros(1 << FILTER_BITS, bool)
+    cells[_cell("")] = True
+    cells[[r[0] for r in tox.select("f").mapInArrow(_cells, "cell long").distinct().collect()]] = True      # a number per cell at most
+    clean = counted(0, _count(sent, spark.sparkContext.broadcast(cells))).checkpoint()
+    all_tox, all_clean = (d.filter("f = ''").first()[2] for d in (found, clean))
+    both = tox.join(clean.select("f", F.col("k").alias("ck"), F.col("o").alias("co")), "f", "left").fillna(0, ["ck", "co"])
+    weight = F.log((F.col("o") + 0.5) / (all_tox + 1)) - F.log((F.col("co") + 0.5) / (all_clean + 1))
+    both = both.select("f", weight.alias("w"), gain_of(F.col("k"), F.col("ck"), n_tox, n_clean).alias("g"))
+    chosen = both.filter((F.col("g") >= limit) & (F.col("w") >= LEAST_WEIGHT)).select("f", "w").limit(MOST_WEIGHTS + 1).collect()
+    if len(chosen) > MOST_WEIGHTS:
+        raise RuntimeError(f"more than {MOST_WEIGHTS} significant features: raise LEAST_WEIGHT or lower LEVEL")
+    model["weights"] = {r[0]: float(r[1]) for r in chosen}
     return model
 
 
@@ -293,7 +313,7 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
     `labels` (key, label) are the training rows. Null and empty texts have no evidence and get the
     curve's value there, like clean texts. Repeated rows get equal scores; whole texts are read.
-    Without training rows every score is 0.5; an empty table gives an empty result.
+    Without training rows every score is 0.5, and with labels of one kind it is near that kind; an empty table gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, text, key, label))
     rows = docs.select(F.col(key), F.xxhash64(F.col(key), F.col(text)).alias("row"), _evidence(sent)(F.col(text)).alias("x"))
@@ -309,6 +329,13 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
 
 def reject(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", least: float = 0.5) -> DataFrame:
-    """`docs` without the rows that score `least` or more."""
-    bad = score(docs, labels, text, key, label).filter(F.col("__score") >= least).select(F.col("row").alias("__row")).distinct()
-    return docs.withColumn("__row", F.xxhash64(F.col(key), F.col(text))).join(bad, "__row", "left_anti").drop("__row")
+    """`docs` without the rows that score `least` or more.
+
+    Labels of one kind, or none, tell nothing apart: without both a toxic and a clean labelled document nothing is rejected.
+    """
+    kinds = docs.select(F.col(key).alias("__k")).join(_given(labels, key, label), "__k").select("__y").distinct().count()
+    if kinds < 2:
+        return docs
+    bad = score(docs, labels, text, key, label).filter(F.col("__score") >= least).select(F.col(key).alias("__k"), F.col("row").alias("__r")).distinct()
+    rows = docs.withColumn("__row", F.xxhash64(F.col(key), F.col(text)))
+    return rows.join(bad, (F.col("__row") == F.col("__r")) & F.col(key).eqNullSafe(F.col("__k")), "left_anti").drop("__row")

@@ -42,10 +42,14 @@ def test_toxicity_reads_through_obfuscation_and_holds_out(docs, toxic, prose):
     assert kept.columns == docs([]).columns and {1002, 1003, 1004} <= {r.doc_id for r in kept.collect()}
 
 
-def test_toxicity_without_labels_or_rows(docs, toxic):
+def test_toxicity_without_labels_or_rows(spark, docs, toxic):
     _, labels = toxic
     assert toxicity.score(docs([]), labels).count() == 0
     assert {r["__score"] for r in toxicity.score(docs(["a b", None]), labels.limit(0)).collect()} == {0.5}
+    # Nothing is rejected without labels, or with labels of one kind.
+    some = docs([(1, "a b"), (2, None), (None, "c"), (1, "a b")])
+    for given in (labels.limit(0), spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, toxic int"), spark.createDataFrame([(1, 0)], "doc_id long, toxic int")):
+        assert toxicity.reject(some, given).count() == 4
 
 
 def test_decoding():
