@@ -97,13 +97,12 @@ def _assign(index: Index, dim: int, kind: pa.DataType):
     return run
 
 
-def needed(lo, hi, found, k: int) -> float:
-    """Score that a row must reach to matter in one of the windows; found: (window, score, id), the k best of each."""
+def floors(lo, found, k: int) -> list[float]:
+    """Score that a row must reach to matter in each window; found: (window, score, id), the k best of each."""
     scores: dict[int, list[float]] = {}
     for f in found or ():
         scores.setdefault(f["w"], []).append(f["score"])
-    least = [min(scores[w]) if len(scores.get(w, ())) >= k else a for w, (a, b) in enumerate(zip(lo, hi)) if a <= b]
-    return min(least, default=float("inf"))
+    return [min(scores[w]) if len(scores.get(w, ())) >= k else a for w, a in enumerate(lo)]
 
 
 def _plan(sent, k: int, budget: int):
@@ -114,9 +113,11 @@ def _plan(sent, k: int, budget: int):
     def run(batches):
         index = sent.value
         for b in batches:
-            cells = []
+            cells, least = [], []
             for q, lo, hi, found, done in zip(*(b.column(c).to_pylist() for c in ("x", "lo", "hi", "found", "done"))):
-                need, mine, rows = needed(lo, hi, found, k), [], 0
+                least.append(floors(lo, found, k))
+                need = min((a for a, b in zip(least[-1], hi) if a <= b), default=float("inf"))
+                mine, rows = [], 0
                 if need < float("inf"):
                     for seen, (bound, cell) in enumerate(index.cells(np.array(q, float))):
                         if bound < need or rows >= budget:
@@ -125,7 +126,8 @@ def _plan(sent, k: int, budget: int):
                             mine.append(cell)
                             rows += int(index.rows[cell])
                 cells.append(mine)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells, pa.list_(pa.int32()))], [*b.schema.names, "cells"])
+            arrays = [pa.array(cells, pa.list_(pa.int32())), pa.array(least, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *arrays], [*b.schema.names, "cells", "least"])
     return run
 
 
@@ -183,8 +185,9 @@ def search(state: DataFrame, cells: DataFrame, sent, k: int, dim: int, same: boo
     state = state.withColumn("done", F.lit(0)).checkpoint()
     budget = FIRST_ROWS
     while True:
-        planned = state.mapInArrow(_plan(sent, k, budget), T.StructType([*state.schema, T.StructField("cells", T.ArrayType(T.IntegerType()))])).checkpoint()
-        asked = planned.select("id", "label", "x", "lo", "hi", F.explode("cells").alias("cell"))
+        planned = state.mapInArrow(_plan(sent, k, budget), T.StructType([*state.schema, T.StructField("cells", T.ArrayType(T.IntegerType())), T.StructField("least", T.ArrayType(T.DoubleType()))])).checkpoint()
+        # Only rows that reach a window's k-th score so far are worth sending back.
+        asked = planned.select("id", "label", "x", F.col("least").alias("lo"), "hi", F.explode("cells").alias("cell"))
         waiting = {r[0]: r[1] for r in asked.groupBy("cell").count().collect()}              # a row per cell at most
         if not waiting:
             return state
@@ -202,7 +205,7 @@ def search(state: DataFrame, cells: DataFrame, sent, k: int, dim: int, same: boo
         rank = F.row_number().over(W.partitionBy("qid", "w").orderBy(F.desc("score"), "id"))
         best = (hits.union(earlier).withColumn("rank", rank).filter(F.col("rank") <= k)
                 .groupBy(F.col("qid").alias("id")).agg(F.collect_list(F.struct("w", "score", F.col("id"))).alias("found")))
-        state = (planned.withColumn("done", F.col("done") + F.size("cells")).drop("found", "cells").join(best, "id", "left")
+        state = (planned.withColumn("done", F.col("done") + F.size("cells")).drop("found", "cells", "least").join(best, "id", "left")
                  .select("id", "label", "x", "lo", "hi", "found", "done").checkpoint())
         budget *= GROWTH
 
