@@ -116,7 +116,7 @@ def _mark(spark: SparkSession, path: str) -> None:
     fs.create(p, True).close()
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     fs, p = _path(spark, path)
     fs.delete(p, True)
 
@@ -132,7 +132,7 @@ def _done(spark: SparkSession, staging: str, batch: int) -> None:
     _mark(spark, f"{staging}/done-{batch}")
     for name in _names(spark, staging):
         if name.startswith("done-") and int(name[5:]) < batch:
-            _remove(spark, f"{staging}/{name}")
+            remove(spark, f"{staging}/{name}")
 
 
 def recover(spark: SparkSession, target: str, staging: str, schema, parts: tuple[str, ...], fmt: str = "parquet") -> None:
@@ -148,7 +148,7 @@ def recover(spark: SparkSession, target: str, staging: str, schema, parts: tuple
                 _publish(spark, stage, target, schema, fmt, parts)
                 if name[6:].isdigit():
                     _done(spark, staging, int(name[6:]))
-            _remove(spark, stage)
+            remove(spark, stage)
 
 
 def _touched(target: DataFrame, df: DataFrame, parts: tuple[str, ...]) -> DataFrame:
@@ -191,7 +191,7 @@ def merge_partitions(df: DataFrame, target: str, staging: str, keys: tuple[str,
     _publish(spark, stage, target, df.schema, fmt, parts)
     if batch is not None:
         _done(spark, staging, batch)
-    _remove(spark, stage)
+    remove(spark, stage)
 
 
 def write_bronze(df: DataFrame, root: str, kind: str, staging: str, batch: int | None = None) -> None:

@@ -34,7 +34,7 @@ def breaks(monkeypatch, name, when):
 
 
 @pytest.mark.parametrize("step,when", [("_mark", "before"), ("_mark", "after"), ("_publish", "before"), ("_publish", "after"), ("_done", "before"),
-                                       ("_done", "after"), ("_remove", "before")])
+                                       ("_done", "after"), ("remove", "before")])
 @pytest.mark.parametrize("keys", [("post_id",), None])
 def test_a_merge_broken_anywhere_is_finished_by_the_next(spark, tmp_path, monkeypatch, step, when, keys):
     target, staging = str(tmp_path / "t"), str(tmp_path / "s")
@@ -97,7 +97,7 @@ def test_a_stream_without_keys_appends_each_batch_once(spark, tmp_path, monkeypa
     for i in range(3):
         rows(spark, (f"p{i}", i, "1", "x")).coalesce(1).write.mode("append").parquet(path)
     run = lambda: T.stream_merge(T.stream_table(spark, path, 1), str(tmp_path / "t"), str(tmp_path / "m"), None, ("dt",))
-    breaks(monkeypatch, "_remove", "before")
+    breaks(monkeypatch, "remove", "before")
     with pytest.raises(Exception, match="Lost"):
         run()
     assert run().count() == 3 and run().count() == 3
