@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ebbtide.llm import decontaminate, minhash, mixing, sharding, toxicity
 from ebbtide.llm.stage import prepare
 from ebbtide.session import checkpoint_dir
+from ebbtide.sources.bronze import remove
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,15 +52,20 @@ def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_copies), ("decontamination", drop_leaks),
           ("mixing", mix_sources), ("sharding", deal_shards)]
-ORACLE_SQL = None       # scores, signatures and templates have no SQL; tests compare each stage with brute force
+ORACLE_SQL = None       # scores, signatures and templates have no SQL; tests plant cases for every stage
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; every stage is written to the shared folder and read again."""
+    """The rows of the last stage; every stage is written to the shared folder and read again.
+
+    A stage's folder goes when its successor is written; that of the last stage holds the result and stays.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = os.path.join(checkpoint_dir(spark), f"pipeline-{uuid.uuid4().hex}")
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}_{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if k:
+            remove(spark, f"{folder}/{k - 1}_{STAGES[k - 1][0]}")
     return docs
