@@ -16,6 +16,7 @@ WORDS = 5
 COVER = 0.5             # share of an item's windows that a document must hold
 CONSISTENT = 0.8        # share of the item's distinct slot values with one counterpart
 MOST_PLACEHOLDERS = 3   # windows with more of them say nothing about an item
+SENTENCE = 3            # tokens from which an item shorter than a window is also looked for among sentences and lines
 BROADCAST_WINDOWS = 500_000
 
 # Units that may follow a number.
@@ -99,24 +100,49 @@ def _verbatim(d: DataFrame, bare: DataFrame, words: int) -> DataFrame:
             .dropDuplicates(["row", "item_id"]))
 
 
+def _short(d: DataFrame, brief: DataFrame, words: int) -> DataFrame:
+    """(doc_id, row, item_id, windows, of, slots, agree): documents that are an item shorter than a window, with its values.
+
+    From SENTENCE tokens on, one sentence or line of a document will do. The item counts as one window.
+    """
+    items = brief.select("item_id", "tok")
+    items = F.broadcast(items) if items.count() <= BROADCAST_WINDOWS else items
+    parts = F.split("t", r"(?<=[.!?])\s++|[\r\n]++")
+    whole = d.select("doc_id", "row", "tok", F.lit(True).alias("whole"))
+    pieces = d.select("doc_id", "row", F.explode(F.array_distinct(parts)).alias("t")).select(
+        "doc_id", "row", _tokens(F.col("t")).alias("tok"), F.lit(False).alias("whole"))
+    held = whole.unionByName(pieces).filter(F.size("tok").between(1, words - 1) & (F.col("whole") | (F.size("tok") >= SENTENCE)))
+    slots = F.size(F.array_distinct(F.filter("tok", lambda x: x < "\u0005"))).cast("long")
+    one = F.lit(1).cast("long")
+    return (held.join(items, "tok").select("doc_id", "row", "item_id", one.alias("windows"), one.alias("of"), slots.alias("slots"), slots.alias("agree"))
+            .dropDuplicates(["row", "item_id"]))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, cover: float = COVER, consistent: float = CONSISTENT,
           text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """Pairs of document and benchmark item: key, row (hash of key and text), item_id, windows, of, slots, agree.
 
-    An item with fewer than `words` tokens, without text or id has no windows and never matches;
-    nor does a null or short text. An item whose windows all hold more than MOST_PLACEHOLDERS
-    placeholders matches with its own values only, as a whole. Items of equal text each match. Rows that share a key but not
+    `of` counts all different windows of an item, those with more than MOST_PLACEHOLDERS placeholders
+    too, though these are not looked for. An item of which they leave less than `cover` matches with
+    its own values only, as a whole. An item with fewer than `words` tokens matches a text, from SENTENCE
+    tokens on also a sentence or line, of the same tokens and values. An item without a token or id
+    never matches, nor does a null text. Items of equal text each match, and of texts that
+    share an item's id the one covered best is shown. Rows that share a key but not
     their text are told apart by `row`; repeated rows give one pair. Empty tables give no pairs.
     windows, slots and agree are those of the alignment that was kept.
     """
     row = F.xxhash64(F.col(key), F.col(text))
-    b = (benchmark.filter(F.col(item).isNotNull()).groupBy(F.col(item).alias("item_id"), F.col(item_text).alias("t")).agg(F.lit(1))
-         .select("item_id", _tokens(F.col("t")).alias("tok")))
+    # Texts that share an item's id are looked for one by one.
+    b = (benchmark.filter(F.col(item).isNotNull()).groupBy(F.col(item).alias("id"), F.col(item_text).alias("t")).agg(F.lit(1))
+         .select("id", F.xxhash64("id", "t").alias("item_id"), _tokens(F.col("t")).alias("tok")))
+    names = b.select("id", "item_id")
     b = b.withColumn("few", F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("tok") - words)), lambda i: F.size(
         F.filter(F.slice("tok", i + 1, words), lambda x: x < "\u0005")) <= MOST_PLACEHOLDERS)).withColumn("h", _windows("tok", words))
-    w = (b.select("item_id", F.posexplode(F.arrays_zip("h", "few")).alias("ipos", "x"))
-         .filter("x.few AND x.h IS NOT NULL").select("item_id", "ipos", F.col("x.h").alias("h")))
-    of = w.groupBy("item_id").agg(F.countDistinct("h").alias("of"))
+    every = b.select("item_id", F.posexplode(F.arrays_zip("h", "few")).alias("ipos", "x")).filter("x.h IS NOT NULL").select("item_id", "ipos", "x.h", "x.few")
+    kept, kept_places = F.countDistinct(F.expr("CASE WHEN few THEN h END")), F.sum(F.col("few").cast("long"))
+    of = (every.groupBy("item_id").agg(F.countDistinct("h").alias("of"), kept.alias("kept"), (kept_places / F.count(F.lit(1))).alias("places"))
+          .filter((F.col("kept") >= F.col("of") * cover) & (F.col("places") >= cover)).select("item_id", "of"))
+    w = every.filter("few").join(of, "item_id", "left_semi").select("item_id", "ipos", "h")
     n_windows = w.count()                                               # decides on the broadcast, not on the answer
     wanted = w.select("h").distinct()
     wanted = F.broadcast(wanted) if n_windows <= BROADCAST_WINDOWS else wanted
@@ -150,13 +176,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, cover: floa
             .groupBy("row", "item_id").agg(F.max(F.struct("windows", "agree", "slots")).alias("x")))
     out = pairs.select("doc_id", "row", "item_id", "of").join(best, ["row", "item_id"]).select(
         "doc_id", "row", "item_id", "x.windows", "of", "x.slots", "x.agree")
-    bare = b.filter((F.size("tok") >= words) & ~F.exists("few", lambda x: x))
+    bare = b.filter(F.size("tok") >= words).join(of, "item_id", "left_anti")
     if not bare.isEmpty():
-        out = out.unionByName(_verbatim(d, bare, words).join(out.select("row", "item_id"), ["row", "item_id"], "left_anti"))
-    return out.withColumnRenamed("doc_id", key)
+        out = out.unionByName(_verbatim(d, bare, words))
+    brief = b.filter(F.size("tok").between(1, words - 1))
+    if not brief.isEmpty():
+        out = out.unionByName(_short(d, brief, words))
+    names = F.broadcast(names) if names.count() <= BROADCAST_WINDOWS else names
+    best = F.max(F.struct((F.col("windows") / F.col("of")).alias("share"), "windows", "of", "slots", "agree")).alias("x")
+    out = out.join(names, "item_id").groupBy("doc_id", "row", F.col("id").alias("item_id")).agg(best)
+    return out.select(F.col("doc_id").alias(key), "row", "item_id", "x.windows", "x.of", "x.slots", "x.agree")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
     """`docs` without the rows that hold a benchmark item."""
-    found = leaks(docs, benchmark, text=text, key=key, **how).select(F.col("row").alias("__row")).distinct()
-    return docs.withColumn("__row", F.xxhash64(F.col(key), F.col(text))).join(found, "__row", "left_anti").drop("__row")
+    found = leaks(docs, benchmark, text=text, key=key, **how).select(F.col("row").alias("__found"), F.col(key).alias("__key")).distinct()
+    rows = docs.withColumn("__row", F.xxhash64(F.col(key), F.col(text)))
+    return rows.join(found, (F.col("__row") == F.col("__found")) & F.col(key).eqNullSafe(F.col("__key")), "left_anti").drop("__row")

@@ -123,9 +123,9 @@ def test_decontamination_finds_reworded_slots_and_leaves_the_rest(spark, docs, p
     texts = [same, "intro words here. " + changed + " and after that", prose(60, 1), prose(20, 2) + " " + prose(40, 50).upper().lower() + " " + prose(20, 3),
              "", None, "short one", prose(50, 4) + " " + " ".join(prose(40, 50).split()[:8]), mixed_up]
     got = decontaminate.leaks(docs(texts), bench).collect()
-    assert {(r.doc_id, r.item_id) for r in got if r.doc_id != 8} == {(0, 1), (1, 1), (3, 2), (3, 5)}
+    assert {(r.doc_id, r.item_id) for r in got if r.doc_id != 8} == {(0, 1), (1, 1), (3, 2), (3, 5), (6, 3)}
     kept = decontaminate.clean(docs(texts + [texts[2]]), bench)
-    assert {2, 4, 5, 6, 7} <= {r.doc_id for r in kept.collect()} and kept.columns == docs([]).columns
+    assert {2, 4, 5, 7} <= {r.doc_id for r in kept.collect()} and kept.columns == docs([]).columns
     assert decontaminate.leaks(docs([]), bench).count() == 0 and decontaminate.leaks(docs(texts), bench.limit(0)).count() == 0
 
 
@@ -169,6 +169,76 @@ def test_items_of_numbers_are_found_verbatim(spark, docs):
     assert {r.doc_id for r in decontaminate.clean(docs(texts), bench).collect()} == {2, 3, 4, 5, 6}
 
 
+def test_one_kept_window_is_no_leak(spark, docs):
+    items = ["What is 3 + 4 * 5 - 6 + 7 * 8 - 9", "take the a b 1 2 3 4 5 6 7 8 9 10 11 12"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = ["Nobody knows what is 12, 15, 18 in this old list of house numbers", items[0], "so take the a b 5 6 7 from here", "and " + items[1] + " here"]
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs(texts), bench).collect()} == {(1, 0), (3, 1)}
+
+
+def test_short_items_match_texts_and_sentences(spark, docs):
+    items = [(1, "What is 2 + 2?"), (2, "Yes"), (3, "Yes"), (4, "?!"), (5, "name the capital"), (5, BALLS), (6, "What is 2 + 3?")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = ["what is 2 + 2", "First of all. What is 2 + 2? That was easy.", "Know what is 2 + 2 for", "yes!", "Yes. No. Yes.", "one\nName the capital\r\ntwo", BALLS, "", None,
+             "?!", "What is 2 + 3?", "Name the capital. " + BALLS]
+    got = decontaminate.leaks(docs(texts + [(0, texts[0])]), bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(0, 1), (1, 1), (3, 2), (3, 3), (5, 5), (6, 5), (10, 6), (11, 5)]
+    assert all(r.windows == r.of for r in got)
+    assert {r.doc_id for r in decontaminate.clean(docs(texts), bench).collect()} == {2, 4, 7, 8, 9}
+
+
+def held(tok, item, cover=decontaminate.COVER, n=decontaminate.WORDS):
+    """Every item against every text in plain Python; tokens as `_tokens` gives them."""
+    kind = lambda x: x[0] if x < "\u0005" else x
+    wins = lambda t: [tuple(map(kind, t[i:i + n])) for i in range(len(t) - n + 1)]
+    few = lambda w: sum(x < "\u0005" for x in w) <= decontaminate.MOST_PLACEHOLDERS
+    mine, theirs = wins(item), wins(tok)
+    if not mine:
+        return bool(item) and tok == item
+    good = {w for w in mine if few(w)}
+    if len(good) < cover * len(set(mine)) or sum(map(few, mine)) < cover * len(mine):
+        return any(tok[i:i + len(item)] == item for i in range(len(tok)))
+    at = [(p, q) for p, w in enumerate(theirs) if w in good for q, v in enumerate(mine) if v == w]
+    shifts = Counter(p - q for p, q in at)
+    ways = [at] + [[x for x in at if x[0] - x[1] == s] for s in shifts]
+    chains, last = [], None
+    for p in sorted({p for p, _ in at}):
+        q = min((-shifts[p - q], p - q, q) for a, q in at if a == p)[2]
+        if last is None or q <= last:
+            chains.append([])
+        chains[-1].append((p, q))
+        last = q
+    for way in ways + chains:
+        seen = {}
+        for p, q in way:
+            for j in range(n):
+                if item[q + j] < "\u0005":
+                    seen.setdefault(item[q + j], set()).add(tok[p + j])
+        agree = sum(len(v) == 1 for v in seen.values())
+        if len({mine[q] for _, q in way}) >= cover * len(set(mine)) and agree >= decontaminate.CONSISTENT * len(seen):
+            return True
+    return False
+
+
+def test_leaks_are_those_of_brute_force(spark, docs):
+    rnd = random.Random(8)
+    word = lambda: rnd.choice(["so", "the", "cat", "sat", "on", "mat", "Anna", "Boris", "3", "7", "12 km", "9 kg", "5", "and", "saw"])
+    items = [" ".join(word() for _ in range(rnd.choice([2, 4, 6, 9, 14, 20]))) for _ in range(40)]
+    texts = []
+    for i in range(120):
+        t = rnd.choice(items).split()
+        for _ in range(rnd.choice([0, 0, 1, 2, 4])):                # words changed, put in or left out
+            k = rnd.randrange(len(t))
+            t[k:k + 1] = rnd.choice([[], [word()], [t[k], word()]])
+            t = t or ["so"]
+        texts.append(" ".join([word() for _ in range(rnd.choice([0, 0, 3]))] + t + (rnd.choice(items).split() if i % 4 == 0 else [])))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    tokens = lambda df, k: {r[0]: r[1] for r in df.select(k, decontaminate._tokens(F.col("text"))).collect()}
+    d, b = tokens(docs(texts), "doc_id"), tokens(bench, "item_id")
+    want = {(i, j) for i, t in d.items() for j, x in b.items() if held(t, x)}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs(texts), bench).collect()} == want and len(want) > 50
+
+
 def test_windows_joined_by_shuffle_give_the_same(spark, docs, prose, monkeypatch):
     bench = spark.createDataFrame([(i, prose(30, i)) for i in range(20)], "item_id long, text string")
     texts = [prose(20, 100 + i) + " " + prose(30, i % 25) for i in range(50)]
