@@ -1,7 +1,7 @@
 """Secrets in texts: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a long run of key characters with a digit in it or of capitals. Its features: length and kinds of
-characters, how often their kind changes, how likely its letters follow each other in the texts
+A candidate is a long run of key characters with a digit in it or of capitals, any value given to a name
+such as password, token or api_key, or the password in a URL. Its features: length and kinds of characters, how often their kind changes, how likely its letters follow each other in the texts
 at hand, how much of it dictionary words cover, the document's path, and the words around it.
 The forest (Spark ML) learns from labelled findings. Where nobody has labelled any, `seed_labels`
 marks the clear cases: published key formats and quoted assignments on one side, card
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,22 +25,57 @@ from ebbtide.llm.toxicity import CODES, character_model, code
 
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9]|[A-Z]{16})[A-Za-z0-9+/_-]{12,}={0,2}(?![A-Za-z0-9+/_-])")
 ASSIGNED = re.compile(r"([A-Za-z_]*(?:pass|secret|token|key|auth)[A-Za-z_]*)$", re.I)
+SEPARATOR = re.compile(r"[=:]++>?(?!//)[ \t]*+")
+VALUE = re.compile(r"\"([^\"\r\n]{4,})\"|'([^'\r\n]{4,})'|([^\s\"',;<>]{5,}[^\s\"',;<>.)\]}])")
+LOGIN = re.compile(r"://[^\s:/@]++:([^\s/@]++)@")
+LEAD = " \t\"'=:>"               # between a name and its value
 # Published key formats, without their place in a text.
 FORMATS = (r"AKIA[0-9A-Z]{16}", r"ASIA[0-9A-Z]{16}", r"gh[pousr]_[A-Za-z0-9]{36}", r"xox[baprs]-[A-Za-z0-9-]{10,}", r"AIza[A-Za-z0-9_-]{35}",
            r"sk_live_[A-Za-z0-9]{16,}", r"glpat-[A-Za-z0-9_-]{20}")
 FORMAT = re.compile("|".join(FORMATS))
 NEAR = 3                        # words on either side
 SLOTS = 16                      # hash slots of a word or path
-DICTIONARY = 5_000              # most frequent words of three letters and more
+DICTIONARY = 1e-5               # share of all words that makes one a dictionary word: at most 100,000 are
 TREES, DEPTH = 50, 8
 SAMPLE = 20_000                 # labelled findings that the forest is grown on
-FIELDS = ("length", "lower", "upper", "digit", "other", "changes", "distinct", "entropy", "letters", "covered", "quoted", "assigned")
+FIELDS = ("length", "lower", "upper", "digit", "other", "changes", "distinct", "entropy", "letters", "covered", "quoted", "assigned", "login")
 
 
-def dictionary(docs: DataFrame, text: str = "text") -> frozenset[str]:
-    """The most frequent words of all texts; their number is a parameter."""
+def dictionary(docs: DataFrame, text: str = "text", share: float = DICTIONARY) -> frozenset[str]:
+    """The words of three letters and more that make up at least `share` of all those words: 1 / share at most."""
     w = docs.select(F.explode(F.split(F.lower(F.col(text)), r"[^\p{L}]+")).alias("w")).filter(F.length("w") >= 3)
-    return frozenset(r[0] for r in w.groupBy("w").count().orderBy(F.desc("count"), "w").limit(DICTIONARY).select("w").collect())
+    counts = w.groupBy("w").count().checkpoint()
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    return frozenset(r[0] for r in counts.filter(F.col("count") >= share * total).select("w").collect())
+
+
+def proposals(t: str) -> list[tuple[int, int]]:
+    """Start and end of every candidate of a text, in order.
+
+    A run of key characters inside an assigned value or a URL's password is no candidate of its own,
+    unless that value holds blanks.
+    """
+    named, reach = set(), 0
+    for s in SEPARATOR.finditer(t):
+        if s.start() >= reach and ASSIGNED.search(t[max(0, s.start() - 60):s.start()].rstrip(LEAD)):
+            v = VALUE.match(t, s.end())
+            if v:
+                named.add(v.span(v.lastindex))
+                reach = v.end()
+    named |= {x.span(1) for x in LOGIN.finditer(t)}
+    return sorted(named | set(_apart(t, sorted(named))))
+
+
+def _apart(t: str, named: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Runs of key characters outside the values found by name."""
+    whole = [(a, b) for a, b in named if not re.search(r"\s", t[a:b])]
+    k, reach = 0, 0
+    for x in CANDIDATE.finditer(t):
+        while k < len(whole) and whole[k][0] <= x.start():
+            reach = max(reach, whole[k][1])
+            k += 1
+        if x.end() > reach:
+            yield x.span()
 
 
 def _kinds(s: str) -> np.ndarray:
@@ -48,7 +84,8 @@ def _kinds(s: str) -> np.ndarray:
 
 def covered(s: str, words) -> float:
     """Largest share of characters that words laid side by side can cover."""
-    s, best = s.lower(), [0] * (len(s) + 1)
+    s = s.lower()
+    best = [0] * (len(s) + 1)
     for i in range(1, len(s) + 1):
         best[i] = best[i - 1]
         for n in range(3, min(12, i) + 1):
@@ -63,16 +100,20 @@ def likelihood(s: str, logp) -> float:
     return sum(logp[(c[i - 2] * CODES + c[i - 1]) * CODES + c[i]] for i in range(2, len(c))) / (len(c) - 2)
 
 
+def _login(before: str, after: str) -> bool:
+    return after[:1] == "@" and bool(re.search(r"://[^\s:/@]+:$", before))
+
+
 def describe(value: str, before: str, after: str, logp, words) -> list[float]:
     """The numeric features, in the order of FIELDS."""
     k = _kinds(value)
     share = np.bincount(k, minlength=4) / len(k)
     _, n = np.unique(list(value), return_counts=True)
     p = n / n.sum()
-    lead = before.rstrip(" \"'=:")
+    lead = before.rstrip(LEAD)
     return [float(len(value)), *map(float, share), float((k[1:] != k[:-1]).mean()), len(n) / len(value), float(-(p * np.log2(p)).sum()),
             likelihood(value, logp), covered(value, words), float(before[-1:] in "\"'" and before != "" and after[:1] in "\"'" and after != ""),
-            float(before != lead and bool(ASSIGNED.search(lead)))]
+            float(before != lead and bool(ASSIGNED.search(lead))), float(_login(before, after))]
 
 
 def _slot(word: str) -> int:
@@ -93,12 +134,13 @@ def neighbours(before: str, after: str) -> list[float]:
 
 def seed_label(value: str, before: str, after: str) -> int | None:
     """1 for clear secrets, 0 for clear others, None for the rest."""
-    lead = before.rstrip(" \"'=:")
-    if FORMAT.fullmatch(value) or (before != lead and ASSIGNED.search(lead) and len(value) >= 16):
+    lead = before.rstrip(LEAD)
+    named = before != lead and bool(ASSIGNED.search(lead))
+    if FORMAT.fullmatch(value) or (named and len(value) >= 16 and not re.search(r"\s", value)) or (_login(before, after) and not value.isalpha()):
         return 1
-    if value.isdigit() or sum(c.isdigit() for c in value) <= 2:
+    if value.isdigit() or value.isalpha():
         return 0
-    return None
+    return 0 if not named and sum(c.isdigit() for c in value) <= 2 else None
 
 
 _tables: dict = {}
@@ -114,12 +156,12 @@ def _find(sent):
         for b in batches:
             out = [[] for _ in range(6)]
             for i, (path, t) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
-                for x in CANDIDATE.finditer(t or ""):
-                    value, before, after = x.group(), t[max(0, x.start() - 60):x.start()], t[x.end():x.end() + 60]
+                for start, end in proposals(t or ""):
+                    value, before, after = t[start:end], t[max(0, start - 60):start], t[end:end + 60]
                     label = seed_label(value, before, after)
                     where = [0.0] * SLOTS
                     where[_slot(path or "")] = 1.0
-                    for col, v in zip(out, (i, x.start(), x.end(), value, label, describe(value, before, after, logp, words)
+                    for col, v in zip(out, (i, start, end, value, label, describe(value, before, after, logp, words)
                                             + where + neighbours(before, after))):
                         col.append(v)
             take = pa.array(out[0], pa.int64())
@@ -153,7 +195,8 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, text: str = "text",
     `labelled` (key, start, label) are findings with known labels; without it the clear cases of
     the rows where `train_on` holds teach the forest. Null or empty texts have no candidates, null
     keys and paths are allowed, repeated rows give repeated findings, other columns are not
-    looked at. If either label is missing, every score is 0.5. An empty table gives no rows.
+    looked at. If either label is missing there is no forest: clear cases score their seed label, the
+    others are null and no secrets. An empty table gives no rows. Keys must be whole numbers.
     """
     found = candidates(docs, text, key, path).checkpoint()
     if labelled is not None:
@@ -163,7 +206,7 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, text: str = "text",
         taught = taught if train_on is None else taught.filter(train_on)
     forest = grow(taught.filter("label IS NOT NULL"))
     if forest is None:
-        out = found.withColumn("score", F.lit(0.5))
+        out = found.withColumn("score", F.col("seed").cast("double"))
     else:
         out = forest.transform(found.withColumn("features", array_to_vector("x"))).withColumn("score", vector_to_array("probability")[1])
-    return out.select(F.col("key").alias(key), "start", "end", "value", "score", (F.col("score") >= 0.5).alias("secret"))
+    return out.select(F.col("key").alias(key), "start", "end", "value", "score", F.coalesce(F.col("score") >= 0.5, F.lit(False)).alias("secret"))
