@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.llm.words import U, buffers, lowered, slices, word_hashes, word_spans
+from ebbtide.llm.words import U, buffers, hashed_spans, slices, word_hashes
 
 WORDS, ENDINGS = 96, 32         # size of the model
 CLASSES = WORDS + ENDINGS
@@ -25,7 +25,8 @@ SIDE, DIM = 2, 16
 OFFSETS = [o for o in range(-SIDE, SIDE + 1) if o]
 SHAPES = ((len(OFFSETS), CLASSES + 1, DIM), (DIM,), (DIM, CLASSES), (CLASSES,))
 EPOCHS, RATE, BATCH = 2, 0.05, 1024                # every epoch trains on all tokens
-CHUNK = 8192
+CHUNK = 1024                    # tokens scored at once; their class scores stay in a core's cache
+SLICE = 1 << 19                 # bytes of whole texts split at once
 FLUSH = 1_000_000
 GROUPS = 16
 CARRIED = 65_536                # words whose share of their class is sent to every task; the rest are joined
@@ -46,13 +47,10 @@ def start(seed: int = 7) -> np.ndarray:
     return np.concatenate([(rng.standard_normal(int(np.prod(s))) * (0.1 if len(s) > 1 else 0)).astype(np.float32) for s in SHAPES])
 
 
-def endings(d: np.ndarray, o: np.ndarray) -> np.ndarray:
+def endings(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Class of every word by its last two bytes."""
-    if not len(d):
-        return np.empty(0, np.int64)
-    start, end = word_spans(d, o)
-    low = lowered(d).astype(np.int64)
-    return WORDS + (low[end - 1] * 31 + np.where(end - start > 1, low[np.maximum(end - 2, 0)], 32)) % ENDINGS
+    low = low.astype(np.int16)
+    return WORDS + ((low[end - 1] * 31 + np.where(end - start > 1, low[np.maximum(end - 2, 0)], 32)) % ENDINGS).astype(np.int64)
 
 
 def _word_counts(batches):
@@ -71,9 +69,9 @@ def _word_counts(batches):
         data, offsets = buffers(b.column(0))
         for i, j in slices(offsets):
             d, o = data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
-            h, _ = word_hashes(d, o)
+            h, _, start, end, low = hashed_spans(d, o)
             u, first, n = np.unique(h, return_index=True, return_counts=True)
-            held.append((u, endings(d, o)[first], n))
+            held.append((u, endings(low, start[first], end[first]), n))
         if sum(len(x[0]) for x in held) > FLUSH:
             x = flush()
             if len(x[0]) > FLUSH // 2:
@@ -113,62 +111,108 @@ def shares(counts: DataFrame, vocab: np.ndarray) -> tuple[DataFrame, np.ndarray,
     return table.select("h", "lp"), -np.log(total + 1), (h[order], lp[order])
 
 
-def token_classes(column, vocab: np.ndarray):
-    """(classes of all tokens with two edges around every row, place of the tokens, first token of every row), slice by slice."""
+def _found(h: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether it is there, place in the sorted `words`) of every hash."""
+    if not len(words):
+        return np.zeros(len(h), bool), np.zeros(len(h), np.int64)
+    k = np.minimum(np.searchsorted(words, h), len(words) - 1)
+    return words[k] == h, k
+
+
+def _tokens(column, vocab: np.ndarray):
+    """As token_classes, with the hash and ending class of every token, and the slice's rows."""
     data, offsets = buffers(column)
-    for i, j in slices(offsets):
-        d, o = data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
-        h, at = word_hashes(d, o)
+    for i, j in slices(offsets, SLICE):
+        h, at, start, end, low = hashed_spans(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
         n = np.diff(at)
-        if len(h):
-            ids = endings(d, o)
-            if len(vocab):
-                k = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1)
-                ids = np.where(vocab[k] == h, k, ids)
-        else:
-            ids = np.empty(0, np.int64)
+        other = endings(low, start, end)
+        there, k = _found(h, vocab)
         place = np.arange(len(h)) + SIDE * (np.repeat(np.arange(len(n)), n) + 1)
-        out = np.full(len(h) + SIDE * (len(n) + 1), EDGE, np.int64)
-        out[place] = ids
-        yield out, place, at
+        out = np.full(len(h) + SIDE * (len(n) + 1), EDGE, np.int16)
+        out[place] = np.where(there, k, other)
+        yield out, place, at, h, other, (i, j)
+
+
+def token_classes(column, vocab: np.ndarray):
+    """(classes of all tokens with two edges around every row, place of the tokens, first token of every row), slice by slice."""
+    for ids, place, at, *_ in _tokens(column, vocab):
+        yield ids, place, at
+
 
+def _wide(p) -> np.ndarray:
+    """A row per class: its embeddings at all distances, side by side."""
+    return np.ascontiguousarray(p[0].transpose(1, 0, 2)).reshape(CLASSES + 1, -1)
 
-def _hidden(p, ids, place):
-    e, b = p[0], p[1]
-    h = b + e[0][ids[place + OFFSETS[0]]]
-    for k, o in enumerate(OFFSETS[1:], 1):
-        h = h + e[k][ids[place + o]]
-    return np.tanh(h)
+
+def _hidden(p, wide: np.ndarray, seg: np.ndarray) -> np.ndarray:
+    """The layer of all places of a run of classes but the first and last two, and a one."""
+    g, n = np.take(wide, seg, axis=0, mode="clip"), len(seg) - 2 * SIDE
+    out = np.ones((n, DIM + 1), np.float32)
+    h = out[:, :DIM]
+    h[:] = p[1]
+    for k, o in enumerate(OFFSETS):
+        h += g[SIDE + o:SIDE + o + n, k * DIM:(k + 1) * DIM]
+    np.tanh(h, out=h)
+    return out
+
+
+def _run(ids: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the classes from two before the first place to two behind the last, the rows of the places); edges in between are rows too."""
+    return ids[place[0] - SIDE:place[-1] + SIDE + 1], place - place[0]
 
 
 def log_probs(p, ids: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Log-probability of every token given its neighbours."""
-    out = np.empty(len(place), np.float32)
+    """Log-probability of every token given its neighbours; `place` are all tokens of a run of `ids`."""
+    out, wide, top = np.empty(len(place), np.float32), _wide(p), np.concatenate([p[2], p[3][None]])
     ones = np.ones(CLASSES, np.float32)
     for i in range(0, len(place), CHUNK):
         at = place[i:i + CHUNK]
-        z = _hidden(p, ids, at) @ p[2] + p[3]
-        own = z[np.arange(len(at)), ids[at]]
+        seg, row = _run(ids, at)
+        z = _hidden(p, wide, seg) @ top
+        own = z[row, ids[at]]
         np.exp(np.minimum(z, 60, out=z), out=z)
-        out[i:i + CHUNK] = own - np.log(z @ ones)
+        out[i:i + CHUNK] = own - np.log((z @ ones)[row])
     return out
 
 
 def train_step(p, memory, ids, place) -> None:
-    """One Adagrad step on a batch of tokens."""
-    h = _hidden(p, ids, place)
-    z = h @ p[2] + p[3]
-    z = np.exp(z - z.max(axis=1, keepdims=True))
-    z /= z.sum(axis=1, keepdims=True)
-    z[np.arange(len(place)), ids[place]] -= 1
-    z /= len(place)
-    dh = (z @ p[2].T) * (1 - h * h)
-    grads = [np.zeros_like(p[0]), dh.sum(axis=0), h.T @ z, z.sum(axis=0)]
+    """One Adagrad step on a batch of tokens, all those of a run of `ids`.
+
+    The softmax stays unscaled: its sums come out of the product that the gradient needs anyway,
+    and the targets' part is added per class.
+    """
+    seg, row = _run(ids, place)
+    h = _hidden(p, _wide(p), seg)
+    top = np.concatenate([p[2], p[3][None]])
+    e = h @ top
+    if np.abs(top).sum(axis=0).max() > 60:              # no score can be larger than this sum
+        np.minimum(e, 60, out=e)
+    np.exp(e, out=e)
+    back = np.zeros((CLASSES + 1, DIM + 1), np.float32)
+    back[:CLASSES, :DIM] = p[2].T
+    back[:CLASSES, DIM] = 1
+    r = e @ back[:CLASSES]
+    share = np.zeros((len(e), 1), np.float32)           # 0 for edges
+    share[row, 0] = 1 / r[row, DIM]
+    dh = r[:, :DIM] * share - np.take(back[:, :DIM], seg[SIDE:-SIDE], axis=0)
+    dh *= 1 - h[:, :DIM] ** 2
+    # What goes to a class: from its places as a neighbour, and as a target the layer itself.
+    m, size = len(e), len(OFFSETS) * DIM
+    d = np.zeros((len(seg), size + DIM + 2), np.float32)
     for k, o in enumerate(OFFSETS):
-        np.add.at(grads[0][k], ids[place + o], dh)
-    for x, m, g in zip(p, memory, grads):
-        m += g * g
-        x -= RATE * g / (np.sqrt(m) + 1e-6)
+        d[SIDE + o:SIDE + o + m, k * DIM:(k + 1) * DIM] = dh
+    d[SIDE:-SIDE, size:size + DIM + 1] = h
+    order = np.argsort(seg, kind="stable")
+    s = seg[order]
+    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    sums = np.zeros((CLASSES + 1, d.shape[1]), np.float32)
+    sums[s[first]] = np.add.reduceat(np.take(d, order, axis=0).view(np.complex64), first, axis=0).view(np.float32)    # adds two at a time
+    dtop = (h * share).T @ e - sums[:CLASSES, size:size + DIM + 1].T
+    grads = [sums[:, :size].reshape(CLASSES + 1, len(OFFSETS), DIM).transpose(1, 0, 2), dh.sum(axis=0), dtop[:DIM], dtop[DIM]]
+    for x, mem, g in zip(p, memory, grads):
+        g = g / np.float32(len(place))
+        mem += g * g
+        x -= RATE * g / (np.sqrt(mem) + 1e-6)
 
 
 def _learn(vocab: np.ndarray, weights: np.ndarray):
@@ -202,24 +246,15 @@ def train(docs: DataFrame, text: str = "text", epochs: int = EPOCHS, counts: Dat
     return vocab, weights
 
 
-def _carried(h: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place in `words`, whether it is there) of every hash."""
-    if not len(words):
-        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-    k = np.minimum(np.searchsorted(words, h), len(words) - 1)
-    return k, words[k] == h
-
-
 def _scores(sent):
     @F.arrow_udf("n long, total double")
     def run(texts: pa.Array) -> pa.Array:
         vocab, flat, words, share, _ = sent.value
         p, n, total = unpack(flat), [], []
-        data, offsets = buffers(texts)
-        for (ids, place, at), (i, j) in zip(token_classes(texts, vocab), slices(offsets)):
-            k, there = _carried(word_hashes(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])[0], words)
+        for ids, place, at, h, _, _ in _tokens(texts, vocab):
             each = log_probs(p, ids, place).astype(np.float64)
             if len(words):
+                there, k = _found(h, words)
                 each += np.where(there, share[k], 0)
             lp = np.concatenate([[0.0], np.cumsum(each)])
             n.append(np.diff(at))
@@ -234,15 +269,12 @@ def _rare(sent):
     def run(batches):
         vocab, _, words, _, unseen = sent.value
         for b in batches:
-            data, offsets = buffers(b.column(1))
             t = b.column(0).to_numpy(zero_copy_only=False)
-            for i, j in slices(offsets):
-                d, o = data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
-                h, at = word_hashes(d, o)
-                keep = ~(_carried(h, words)[1] | _carried(h, vocab)[1])
+            for ids, place, at, h, c, (i, j) in _tokens(b.column(1), vocab):
+                keep = (ids[place] >= WORDS) & ~_found(h, words)[0]
                 if not keep.any():
                     continue
-                of, h, c = np.repeat(np.arange(j - i), np.diff(at))[keep], h[keep], endings(d, o)[keep]
+                of, h, c = np.repeat(np.arange(j - i), np.diff(at))[keep], h[keep], c[keep]
                 order = np.lexsort((h, of))
                 of, h, c = of[order], h[order], c[order]
                 new = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (h[1:] != h[:-1])])

@@ -71,18 +71,24 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, A-Z lower-cased; first word of every row)."""
+def hashed_spans(data: np.ndarray, offsets: np.ndarray):
+    """(hash of every word, first word of every row, first byte and end of every word, lower-cased bytes)."""
     n = len(data)
     if n == 0:
-        return np.empty(0, U), np.zeros(len(offsets), np.int64)
+        none = np.empty(0, np.int64)
+        return np.empty(0, U), np.zeros(len(offsets), np.int64), none, none, data
     s, e = word_spans(data, offsets)
     data = lowered(data)
     up, down = _power(n)
     sums = np.zeros(n + 1, U)
     np.cumsum((data.astype(U) + U(1)) * up[:n], out=sums[1:])
     h = scramble((sums[e] - sums[s]) * down[s] + (e - s).astype(U) * ODD)
-    return h, np.searchsorted(s, offsets)
+    return h, np.searchsorted(s, offsets), s, e, data
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, A-Z lower-cased; first word of every row)."""
+    return hashed_spans(data, offsets)[:2]
 
 
 def shingle_hashes(h: np.ndarray, w: int) -> np.ndarray:
