@@ -147,12 +147,11 @@ def _wide(p) -> np.ndarray:
 def _hidden(p, wide: np.ndarray, seg: np.ndarray) -> np.ndarray:
     """The layer of all places of a run of classes but the first and last two, and a one."""
     g, n = np.take(wide, seg, axis=0, mode="clip"), len(seg) - 2 * SIDE
-    out = np.ones((n, DIM + 1), np.float32)
-    h = out[:, :DIM]
-    h[:] = p[1]
-    for k, o in enumerate(OFFSETS):
+    h = g[SIDE + OFFSETS[0]:SIDE + OFFSETS[0] + n, :DIM] + p[1]
+    for k, o in enumerate(OFFSETS[1:], 1):
         h += g[SIDE + o:SIDE + o + n, k * DIM:(k + 1) * DIM]
-    np.tanh(h, out=h)
+    out = np.ones((n, DIM + 1), np.float32)
+    out[:, :DIM] = np.tanh(h, out=h)
     return out
 
 
