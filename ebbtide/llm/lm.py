@@ -30,6 +30,7 @@ SLICE = 1 << 19                 # bytes of whole texts split at once
 FLUSH = 1_000_000
 GROUPS = 16
 CARRIED = 65_536                # words whose share of their class is sent to every task; the rest are joined
+STEPS = 16                      # of the counts of words, to a power of two
 BROADCAST_ROWS = 500_000
 
 
@@ -105,7 +106,13 @@ def shares(counts: DataFrame, vocab: np.ndarray) -> tuple[DataFrame, np.ndarray,
         total[c] = n
     of = F.element_at(F.array(*[F.lit(float(x)) for x in total]), (F.col("c") + 1).cast("int"))
     table = rest.select("h", "k", F.log(F.col("k") / of).alias("lp"))
-    some = table.orderBy(F.desc("k"), "h").limit(CARRIED).select("h", "lp").collect()
+    # As many of the highest steps of the counts as CARRIED holds: a row per step reaches the driver, then the words of these steps.
+    step, left, least = F.floor(F.log2("k") * STEPS).cast("int"), CARRIED, None
+    for b, n in sorted(table.groupBy(step).count().collect(), reverse=True):
+        if n > left:
+            break
+        left, least = left - n, b
+    some = table.filter(step >= least).select("h", "lp").collect() if least is not None else []
     h, lp = np.array([r[0] for r in some], np.int64).view(U), np.array([r[1] for r in some], float)
     order = np.argsort(h)
     return table.select("h", "lp"), -np.log(total + 1), (h[order], lp[order])
