@@ -17,7 +17,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ebbtide.llm.graph import components
@@ -246,9 +245,10 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
 
 def _links(vertices: DataFrame, base: DataFrame, words: int) -> DataFrame:
     """Confirmed links (a, b) between sets: enough of them to connect whatever is linked."""
-    by = W.partitionBy("key")
-    keys = (vertices.select("v", "sig").mapInArrow(_keys, "key long, v long")
-            .withColumns({"c": F.min("v").over(by), "k": F.count(F.lit(1)).over(by)}).filter("k > 1").checkpoint())
+    # Counts and centres combine before the shuffle, and adaptive execution splits the rows of a hot key in the join.
+    each = vertices.select("v", "sig").mapInArrow(_keys, "key long, v long")
+    heads = each.groupBy("key").agg(F.min("v").alias("c"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    keys = each.join(heads, "key").checkpoint()
     # A centre per key; each set is first compared with one centre, then with those that it is still apart from.
     stars = _near(keys.filter("v <> c").select(F.col("c").alias("a"), F.col("v").alias("b")).distinct(), vertices).checkpoint()
     sets = _built(stars, vertices, base, words)
