@@ -1,7 +1,8 @@
 """Median of everything an owner did before, at each point in time.
 
 Order statistics of all prefixes of a series come from a wavelet matrix over its ranks: a bit per
-level, and for every prefix at once the number of zeros decides on which side its median lies. An
+level, and for every prefix at once the number of zeros decides on which side its median lies; a task
+takes the owners it was dealt many at once, each a range of one such matrix. An
 owner with more rows than one task takes is cut along time; each piece then also
 receives the few earlier values that can still be its median. Those are found
 from counts per (piece, value bucket), so no piece sees the whole history.
@@ -10,7 +11,8 @@ from counts per (piece, value bucket), so no piece sees the whole history.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,9 +21,9 @@ from ebbtide.operators.skew import SEG, split_hot
 HISTORY_ROWS = 500_000
 
 
-def prefix_quantiles(ranks: np.ndarray, length: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """For each query the k-th smallest (from 0) of the first `length` entries of `ranks`, a permutation."""
-    out, left, right, k = np.zeros(len(k), np.int64), np.zeros(len(k), np.int64), length.copy(), k.copy()
+def range_quantiles(ranks: np.ndarray, left: np.ndarray, right: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """For each query the k-th smallest (from 0) of the entries `left` to `right` (exclusive) of `ranks`, a permutation."""
+    out = np.zeros(len(k), np.int64)
     for bit in range(max(1, int(len(ranks) - 1).bit_length()) - 1, -1, -1):
         one = (ranks >> bit) & 1
         zeros = np.concatenate(([0], np.cumsum(1 - one)))
@@ -34,33 +36,89 @@ def prefix_quantiles(ranks: np.ndarray, length: np.ndarray, k: np.ndarray) -> np
     return out
 
 
-def prior_medians(values: np.ndarray, before: np.ndarray, below: int, earlier: int) -> tuple[np.ndarray, np.ndarray]:
-    """(median of prior values, their number) ahead of each value; NaN entries add nothing, no prior value gives NaN.
+def prefix_quantiles(ranks: np.ndarray, length: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """For each query the k-th smallest (from 0) of the first `length` entries of `ranks`, a permutation."""
+    return range_quantiles(ranks, np.zeros(len(k), np.int64), length, k)
+
 
-    `before` holds the earlier values that matter, `below` how many
-    smaller ones were left out, `earlier` how many there were in all.
+def grouped_medians(values: np.ndarray, ctx: np.ndarray, starts: np.ndarray, below: np.ndarray, earlier: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(median of prior values, their number) ahead of each value, for many groups at once.
+
+    A group begins at each of `starts`, with its rows of `ctx` first: the earlier values that matter. `below` says, on
+    every row of a group, how many smaller ones were left out, `earlier` how many there were in all. NaN entries add
+    nothing, no prior value gives NaN.
     """
+    sizes = np.diff(np.append(starts, len(values)))
     known = ~np.isnan(values)
-    seen = np.cumsum(known) - known
-    n = earlier + seen
-    series = np.concatenate((before, values[known]))
-    out, ask = np.full(len(values), np.nan), np.flatnonzero(n > 0)
+    pos = np.cumsum(known) - known                                    # known rows before each row, over all groups
+    left = np.repeat(pos[starts], sizes)
+    c = np.cumsum(ctx & known)
+    inside = c - np.repeat(c[starts] - (ctx & known)[starts], sizes)  # those of the group's own context
+    n = earlier + pos - left - inside
+    series = values[known]
+    out, ask = np.full(len(values), np.nan), np.flatnonzero((n > 0) & ~ctx)
     if len(ask):
         order = np.argsort(series, kind="stable")
         ranks = np.empty(len(order), np.int64)
         ranks[order] = np.arange(len(order))
-        length, m = len(before) + seen[ask], n[ask]
-        lo, hi = (series[order[prefix_quantiles(ranks, length, k - below)]] for k in ((m - 1) // 2, m // 2))
+        m = n[ask]
+        lo, hi = (series[order[range_quantiles(ranks, left[ask], pos[ask], k - below[ask])]] for k in ((m - 1) // 2, m // 2))
         out[ask] = np.where(lo == hi, lo, (lo + hi) / 2.0)
     return out, n
 
 
-def _per_piece(pdf: pd.DataFrame) -> pd.DataFrame:
-    ctx = pdf["_ctx"].to_numpy(bool)
-    own = pdf[~ctx].sort_values(["_at", "entity"], kind="stable")
-    at = lambda c: int(own[c].iloc[0]) if len(own) else 0
-    median, n = prior_medians(own["v"].to_numpy(float), pdf.loc[ctx, "v"].to_numpy(float), at("_below"), at("_earlier"))
-    return pd.DataFrame({"entity": own["entity"].to_numpy(), "prior_median": median, "n_prior": n})
+def prior_medians(values: np.ndarray, before: np.ndarray, below: int, earlier: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for one group: `before` holds the earlier values that matter."""
+    k, n = len(before), len(before) + len(values)
+    if not n:
+        return np.empty(0), np.empty(0, np.int64)
+    median, seen = grouped_medians(np.concatenate((before, values)), np.arange(n) < k, np.zeros(1, np.int64), np.full(n, below), np.full(n, earlier))
+    return median[k:], seen[k:]
+
+
+CHUNK = 100_000     # rows of whole groups whose medians are taken at once
+
+
+def _per_pieces(tables):
+    """Medians of rows that come sorted by group, a group's context first; the last group of a chunk waits for the next."""
+    def done(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        num = lambda c: t.column(c).to_numpy()
+        ctx = num("_ctx").astype(bool)
+        median, n = grouped_medians(t.column("v").to_pandas().to_numpy(float), ctx, starts, num("_below"), num("_earlier"))
+        own = ~ctx
+        return pa.RecordBatch.from_arrays([t.column("entity").filter(pa.array(own)).combine_chunks(), pa.array(median[own], pa.float64(), from_pandas=True),
+                                           pa.array(n[own], pa.int64())], ["entity", "prior_median", "n_prior"])
+
+    def firsts(t: pa.Table) -> np.ndarray:
+        new = np.zeros(t.num_rows, bool)
+        new[:1] = True
+        for c in ("owner", "_t"):
+            x = t.column(c)
+            new[1:] |= pc.not_equal(x.slice(1), x.slice(0, t.num_rows - 1)).to_numpy()
+        return np.flatnonzero(new)
+
+    held, rows = [], 0
+    for b in tables:
+        held.append(b)
+        rows += b.num_rows
+        if rows < CHUNK:
+            continue
+        t = pa.Table.from_batches(held).combine_chunks()
+        starts = firsts(t)
+        if len(starts) > 1:
+            yield done(t.slice(0, starts[-1]), starts[:-1])
+            t = t.slice(starts[-1])
+        held, rows = t.to_batches(), 0                                # a long group waits for as many rows again
+    t = pa.Table.from_batches(held).combine_chunks() if held else None
+    if t is not None and t.num_rows:
+        yield done(t, firsts(t))
+
+
+def _medians(rows: DataFrame) -> DataFrame:
+    """Medians per (owner, _t): groups are dealt over tasks and sorted there, and a task takes many at once."""
+    rows = rows.select("owner", "_t", "entity", "_at", "v", "_ctx", "_below", "_earlier").repartition("owner", "_t")
+    rows = rows.sortWithinPartitions("owner", "_t", F.desc("_ctx"), "_at", F.asc_nulls_last("entity"))
+    return rows.mapInArrow(_per_pieces, "entity string, prior_median double, n_prior bigint")
 
 
 def prior_median(df: DataFrame, value: str, max_rows: int | None = None) -> DataFrame:
@@ -72,10 +130,9 @@ def prior_median(df: DataFrame, value: str, max_rows: int | None = None) -> Data
         "owner", "entity", F.unix_micros(F.col("published_at").cast("timestamp")).alias("_at"),
         F.col(value).cast("double").alias("v"))
     g = split_hot(r, ["owner"], "_at", max_rows)
-    out = "entity string, prior_median double, n_prior bigint"
-    plain = dict(_below=F.lit(0).cast("bigint"), _earlier=F.lit(0).cast("bigint"), _ctx=F.lit(False))
+    plain = dict(_t=F.lit(0), _below=F.lit(0).cast("bigint"), _earlier=F.lit(0).cast("bigint"), _ctx=F.lit(False))
     if not g.hot:
-        return g.df.withColumns(plain).groupBy("owner").applyInPandas(_per_piece, out)
+        return _medians(g.df.withColumns(plain))
 
     rows = g.df.withColumnRenamed(SEG, "_t")
     own = rows.withColumns({"_ctx": F.lit(False)})
@@ -108,4 +165,4 @@ def prior_median(df: DataFrame, value: str, max_rows: int | None = None) -> Data
            .select("owner", F.lit(None).cast("string").alias("entity"), F.lit(0).cast("bigint").alias("_at"),
                    "v", F.col("_to").alias("_t"), F.lit(True).alias("_ctx"),
                    F.lit(0).cast("bigint").alias("_below"), F.lit(0).cast("bigint").alias("_earlier")))
-    return own.unionByName(ctx).groupBy("owner", "_t").applyInPandas(_per_piece, out)
+    return _medians(own.unionByName(ctx))

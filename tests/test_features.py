@@ -142,3 +142,39 @@ def test_prior_medians_of_whole_arrays():
     earlier, v = np.sort(rng.random(101)), rng.random(12)
     got, seen = prior_medians(v, earlier[40:62], 40, 101)                # the values that can still be the median
     assert np.allclose(got, [np.median(np.concatenate((earlier, v[:i]))) for i in range(12)]) and seen[0] == 101
+
+
+def test_medians_of_many_owners_at_once(spark, monkeypatch):
+    """Whole tasks of owners in one pass, cut into chunks anywhere, give each owner's own medians; no call per owner."""
+    import numpy as np
+    from ebbtide.operators import history
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(1, 9, 60)
+    values, starts = rng.integers(0, 9, sizes.sum()).astype(float), np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    values[rng.random(len(values)) < 0.2] = np.nan
+    zero = np.zeros(len(values), np.int64)
+    got, seen = history.grouped_medians(values, np.zeros(len(values), bool), starts, zero, zero)
+    for a, n in zip(starts, sizes):
+        for i in range(a, a + n):
+            before = values[a:i][~np.isnan(values[a:i])]
+            assert seen[i] == len(before) and (np.isnan(got[i]) if not len(before) else got[i] == np.median(before))
+    monkeypatch.setattr(history, "CHUNK", 7)
+    base = dt.datetime(2024, 1, 1)
+    rows = [(f"o{g}", f"e{a + i:03d}", base + dt.timedelta(days=i), None if np.isnan(values[a + i]) else float(values[a + i]))
+            for g, (a, n) in enumerate(zip(starts, sizes)) for i in range(n)]
+    d = spark.createDataFrame(rows, "owner string, entity string, published_at timestamp, v double").unionByName(
+        spark.createDataFrame([(None, "x", base, 1.0), ("o0", "y", None, 1.0)], "owner string, entity string, published_at timestamp, v double"))
+    out = prior_median(d, "v")
+    assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+    have = {r.entity: (r.prior_median, r.n_prior) for r in out.collect()}
+    assert have == {f"e{i:03d}": (None if np.isnan(got[i]) else got[i], seen[i]) for i in range(len(values))}
+
+
+def test_pieces_are_bounded_by_their_number_not_by_a_small_limit(spark):
+    """A small limit of rows never makes a task for every few rows of a large table; without a limit the rows decide."""
+    from ebbtide.operators import skew
+    assert skew.n_pieces(36_000_000, 200) == skew.PIECES and skew.n_pieces(100, 30) == 4
+    assert skew.n_pieces(10_000 * skew.HOT_ROWS, 200) == skew.n_pieces(10_000 * skew.HOT_ROWS, skew.HOT_ROWS) == 10_000
+    g = skew.split_hot(spark.range(3000).select((F.col("id") % 2).alias("k"), F.col("id").alias("at")), ["k"], "at", 2)
+    rows = skew.running(g, ["at"], {"n": ("sum", F.lit(1))}).df.toPandas()
+    assert 50 < rows[skew.SEG].nunique() <= skew.PIECES and (rows.n == rows["at"] // 2 + 1).all()
