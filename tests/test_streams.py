@@ -228,3 +228,32 @@ def test_panel_state_is_forgotten_after_the_window(spark, tmp_path):
     assert {r.entity: (r.reading_count, r.scheduled_count) for r in T.latest(out, ["entity"]).collect()} == {"x": (2, 2), "y": (2, 2)}
     kept = spark.read.format("statestore").load(str(tmp_path / "run" / "checkpoint"))
     assert [r.key[0] for r in kept.select("key").collect()] == ["y"]
+
+
+def test_entities_and_sources_share_buckets(spark, tmp_path, monkeypatch):
+    """Handlers are called per bucket, not per entity; a name may be null; each entity keeps its own answer."""
+    from ebbtide.streaming import state
+    monkeypatch.setattr(state, "BUCKETS", 3)
+    df = readings(spark).withColumn("entity", F.when(F.col("seq") % 40 > 0, F.concat(F.lit("e"), F.col("seq") % 40)))
+    df = df.withColumn("reading_ts", F.timestamp_add("HOUR", F.col("age_hours").cast("int"), F.col("published_at")))
+    key = lambda rows: sorted(str(sorted(r.asDict().items())) for r in rows)
+    s = files(spark, df, str(tmp_path / "in"))
+    got = T.stream_decay_label(s, str(tmp_path / "run"), CFG, "seq").drop("final").collect()
+    assert key(got) == key(decay_label(df, CFG, "seq").collect()) and len(got) == 40
+    assert spark.read.format("statestore").load(str(tmp_path / "run" / "checkpoint")).count() <= 3
+    sessions = T.stream_sessions(files(spark, df.filter("entity IS NOT NULL").withColumn("source", F.col("entity")), str(tmp_path / "in2")), str(tmp_path / "run2"), 6, delay_hours=400.0)
+    minutes = df.filter("entity IS NOT NULL").select("entity", "reading_ts").distinct().groupBy("entity").count().collect()
+    assert {r.source: r["sum(minutes)"] for r in sessions.groupBy("source").sum("minutes").collect()} == {r.entity: r["count"] for r in minutes}
+    assert spark.read.format("statestore").load(str(tmp_path / "run2" / "checkpoint")).count() <= 3
+
+
+def test_a_delivery_of_many_rows_is_several_files_of_one_batch(spark, monkeypatch):
+    from checks import streams
+    rows = readings(spark).select("seq", "reading_ts").filter("seq < 300 OR seq = 399")
+    monkeypatch.setattr(streams, "FILE_ROWS", 10)
+    seen = []
+    q = (streams.deliver(spark, "many-files", rows, shuffled=True).writeStream.trigger(availableNow=True)
+         .foreachBatch(lambda b, i: seen.append((len(b.inputFiles()), sorted(r.seq for r in b.select("seq").collect())))).start())
+    q.awaitTermination()
+    assert len(seen) == 6 and [n for n, _ in seen] == [8] * 6 and seen[-1][1] == seen[1][1]
+    assert sorted(x for _, b in seen[:-1] for x in b) == sorted(r.seq for r in rows.collect())
