@@ -4,7 +4,7 @@ A pair (i, j) is comparable when i's event was seen and i's time comes first, a
 censored j at the same time included. It is concordant when i's prediction is the
 smaller one, and half so at equal predictions.
 
-A group of points that fits a task is counted there, by a merge tree in numpy. A larger one is
+A group of points that fits a task is counted there, by products of small matrices. A larger one is
 placed on a grid of time and prediction buckets: whole blocks of the grid are counted from cell
 totals, and what remains are pairs inside one time bucket or inside one prediction bucket. Each
 such bucket is a group again, counted or split by the same rule, until all fit. A value common enough to be
@@ -26,14 +26,20 @@ from ebbtide.session import cut_lineage
 LEAF_ROWS = 200_000     # points that one task counts
 FANOUT = 32             # buckets per axis of a split: at most 96 x 64 cells a group
 FEW_GROUPS = 1_000      # oversized groups whose bucket edges are sent to all tasks; beyond that they are joined
-AT_ONCE = 4_000_000     # weights of a block of draws
+AT_ONCE = 8_000_000     # weights of a block of draws
+
+TILE, FAN = 128, 64     # points whose pairs are counted by a matrix product; children of a block
 
 class PairCounts:
-    """Weighted counts over pairs with t_i < t_j, in O(n log^2 n) numpy passes.
+    """Weighted counts over pairs with t_i < t_j.
 
     Points must be distinct in (t, p). `less`, `equal` and `total` sum
     wi_i * wj_j over pairs by how p_i compares with p_j; weights with a second axis (draws) give
     a sum for each draw.
+
+    Points lie in order of time. Pairs inside a tile of them are counted by a product with the tile's 0/1 matrix. A block
+    of `FAN` tiles, then of `FAN` blocks, is put in order of prediction: pairs from different children are
+    counted by totals per (tile, child), and inside a tile by its matrix again. All sums are of whole numbers.
     """
 
     def __init__(self, t: np.ndarray, p: np.ndarray):
@@ -42,33 +48,49 @@ class PairCounts:
         # Descending p inside equal t: such pairs then add nothing to `less`.
         self.order = np.lexsort((-self.p, self.t))
         self.t, self.p = self.t[self.order], self.p[self.order]
-        self.levels = []
-        n, half = len(self.t), 1
-        idx = np.arange(n)
-        while half < n:
-            block, right = idx // (2 * half), (idx // half) % 2
-            o = np.lexsort((self.p, block))
-            b, q, r = block[o], self.p[o], right[o].astype(bool)
-            new_p = np.ones(n, bool)
-            new_p[1:] = (b[1:] != b[:-1]) | (q[1:] != q[:-1])
-            new_b = np.ones(n, bool)
-            new_b[1:] = b[1:] != b[:-1]
-            first_p = np.maximum.accumulate(np.where(new_p, idx, 0))
-            first_b = np.maximum.accumulate(np.where(new_b, idx, 0))
-            last_p = np.append(np.flatnonzero(new_p)[1:], n)[np.cumsum(new_p) - 1]
-            self.levels.append((o, r, first_b, first_p, last_p))
-            half *= 2
+        n = len(self.t)
+        by_p = np.lexsort((-np.arange(n), self.p))                    # equal predictions never rise along time
+        self.rank = np.arange(-(-n // TILE) * TILE)
+        self.rank[by_p] = np.arange(n)
+        pos, size, self.levels = np.arange(len(self.rank)), TILE, []
+        while size < n:
+            o = np.lexsort((self.rank, pos // (size * FAN)))
+            self.levels.append((o, o // size % FAN, size * FAN))
+            size *= FAN
+
+    def _below(self, wi: np.ndarray, wj: np.ndarray, key: np.ndarray, block: int = 0) -> np.ndarray:
+        """Sums over pairs of rows i before j with key_i < key_j, inside tiles, or inside blocks if the keys are children."""
+        earlier, kids, out, kind = np.tri(TILE, k=-1, dtype=bool), np.arange(FAN)[None, :, None], np.zeros(wi.shape[1]), wi.dtype
+        for s in range(0, len(key), TILE * FAN):
+            k, a, b = (x[s:s + TILE * FAN].reshape(-1, TILE, *x.shape[1:]) for x in (key, wi, wj))
+            out += np.multiply(b, ((k[:, :, None] > k[:, None, :]) & earlier).astype(kind) @ a, dtype=float).sum(axis=(0, 1))
+            if block:
+                carry = 0.0 if s % block == 0 else carry              # noqa: F821
+                below = (k[:, None, :] < kids).astype(kind) @ a
+                upto = np.cumsum(below, axis=0, dtype=float) + carry
+                out += ((upto - below) * ((k[:, None, :] == kids).astype(kind) @ b)).sum(axis=(0, 1))
+                carry = upto[-1]
+        return out
 
     def count(self, wi: np.ndarray, wj: np.ndarray) -> tuple:
         if wi.ndim == 1:
             return tuple(x[0] for x in self.count(wi[:, None], wj[:, None]))
-        wi, wj = wi[self.order].astype(float), wj[self.order].astype(float)
-        zero, less, equal = np.zeros((1, wi.shape[1])), np.zeros(wi.shape[1]), np.zeros(wi.shape[1])
-        for o, r, first_b, first_p, last_p in self.levels:
-            cum = np.concatenate((zero, np.cumsum(np.where(r[:, None], 0.0, wi[o]), axis=0)))
-            mine = np.where(r[:, None], wj[o], 0.0)
-            less += (mine * (cum[first_p] - cum[first_b])).sum(axis=0)
-            equal += (mine * (cum[last_p] - cum[first_p])).sum(axis=0)
+        n, draws = wi.shape
+        fill = ((0, len(self.rank) - n), (0, 0))
+        # A tile's sums of small whole numbers are exact in single precision.
+        kind = np.float32 if max(wi.max(initial=0), wj.max(initial=0)) * TILE < 1 << 24 else np.float64
+        wi, wj = np.pad(wi[self.order].astype(kind), fill), np.pad(wj[self.order].astype(kind), fill)
+        less = self._below(wi, wj, self.rank)
+        for o, child, block in self.levels:
+            less += self._below(wi[o], wj[o], child, block)
+        wi, wj, zero, equal = wi[:n].astype(float), wj[:n].astype(float), np.zeros((1, draws)), np.zeros(draws)
+        o = np.argsort(self.p, kind="stable")
+        p = self.p[o]
+        tied = np.append(p[1:] == p[:-1], False) | np.append(False, p[1:] == p[:-1])
+        if tied.any():
+            o, p = o[tied], p[tied]
+            cum = np.concatenate((zero, np.cumsum(wi[o], axis=0)))
+            equal = (wj[o] * (cum[:-1] - cum[np.searchsorted(p, p, side="left")])).sum(axis=0)
         before = np.concatenate((zero, np.cumsum(wi, axis=0)))
         start = np.searchsorted(self.t, self.t, side="left")
         return less, equal, (wj * before[start]).sum(axis=0)

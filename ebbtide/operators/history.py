@@ -12,10 +12,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ebbtide.operators.chunks import whole_groups
 from ebbtide.operators.skew import SEG, split_hot
 
 HISTORY_ROWS = 500_000
@@ -76,49 +76,21 @@ def prior_medians(values: np.ndarray, before: np.ndarray, below: int, earlier: i
     return median[k:], seen[k:]
 
 
-CHUNK = 100_000     # rows of whole groups whose medians are taken at once
-
-
-def _per_pieces(tables):
-    """Medians of rows that come sorted by group, a group's context first; the last group of a chunk waits for the next."""
-    def done(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-        num = lambda c: t.column(c).to_numpy()
-        ctx = num("_ctx").astype(bool)
-        median, n = grouped_medians(t.column("v").to_pandas().to_numpy(float), ctx, starts, num("_below"), num("_earlier"))
-        own = ~ctx
-        return pa.RecordBatch.from_arrays([t.column("entity").filter(pa.array(own)).combine_chunks(), pa.array(median[own], pa.float64(), from_pandas=True),
-                                           pa.array(n[own], pa.int64())], ["entity", "prior_median", "n_prior"])
-
-    def firsts(t: pa.Table) -> np.ndarray:
-        new = np.zeros(t.num_rows, bool)
-        new[:1] = True
-        for c in ("owner", "_t"):
-            x = t.column(c)
-            new[1:] |= pc.not_equal(x.slice(1), x.slice(0, t.num_rows - 1)).to_numpy()
-        return np.flatnonzero(new)
-
-    held, rows = [], 0
-    for b in tables:
-        held.append(b)
-        rows += b.num_rows
-        if rows < CHUNK:
-            continue
-        t = pa.Table.from_batches(held).combine_chunks()
-        starts = firsts(t)
-        if len(starts) > 1:
-            yield done(t.slice(0, starts[-1]), starts[:-1])
-            t = t.slice(starts[-1])
-        held, rows = t.to_batches(), 0                                # a long group waits for as many rows again
-    t = pa.Table.from_batches(held).combine_chunks() if held else None
-    if t is not None and t.num_rows:
-        yield done(t, firsts(t))
+def _per_pieces(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+    """Medians of groups that come with their context first."""
+    num = lambda c: t.column(c).to_numpy()
+    ctx = num("_ctx").astype(bool)
+    median, n = grouped_medians(t.column("v").to_pandas().to_numpy(float), ctx, starts, num("_below"), num("_earlier"))
+    own = ~ctx
+    return pa.RecordBatch.from_arrays([t.column("entity").filter(pa.array(own)).combine_chunks(), pa.array(median[own], pa.float64(), from_pandas=True),
+                                       pa.array(n[own], pa.int64())], ["entity", "prior_median", "n_prior"])
 
 
 def _medians(rows: DataFrame) -> DataFrame:
     """Medians per (owner, _t): groups are dealt over tasks and sorted there, and a task takes many at once."""
     rows = rows.select("owner", "_t", "entity", "_at", "v", "_ctx", "_below", "_earlier").repartition("owner", "_t")
     rows = rows.sortWithinPartitions("owner", "_t", F.desc("_ctx"), "_at", F.asc_nulls_last("entity"))
-    return rows.mapInArrow(_per_pieces, "entity string, prior_median double, n_prior bigint")
+    return rows.mapInArrow(whole_groups(_per_pieces, ["owner", "_t"]), "entity string, prior_median double, n_prior bigint")
 
 
 def prior_median(df: DataFrame, value: str, max_rows: int | None = None) -> DataFrame:

@@ -147,7 +147,7 @@ def test_prior_medians_of_whole_arrays():
 def test_medians_of_many_owners_at_once(spark, monkeypatch):
     """Whole tasks of owners in one pass, cut into chunks anywhere, give each owner's own medians; no call per owner."""
     import numpy as np
-    from ebbtide.operators import history
+    from ebbtide.operators import chunks, history
     rng = np.random.default_rng(5)
     sizes = rng.integers(1, 9, 60)
     values, starts = rng.integers(0, 9, sizes.sum()).astype(float), np.concatenate(([0], np.cumsum(sizes)[:-1]))
@@ -158,7 +158,7 @@ def test_medians_of_many_owners_at_once(spark, monkeypatch):
         for i in range(a, a + n):
             before = values[a:i][~np.isnan(values[a:i])]
             assert seen[i] == len(before) and (np.isnan(got[i]) if not len(before) else got[i] == np.median(before))
-    monkeypatch.setattr(history, "CHUNK", 7)
+    monkeypatch.setattr(chunks, "CHUNK", 7)
     base = dt.datetime(2024, 1, 1)
     rows = [(f"o{g}", f"e{a + i:03d}", base + dt.timedelta(days=i), None if np.isnan(values[a + i]) else float(values[a + i]))
             for g, (a, n) in enumerate(zip(starts, sizes)) for i in range(n)]

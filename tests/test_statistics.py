@@ -287,3 +287,22 @@ def test_draws_over_many_buckets_add_up_to_the_owners(spark, monkeypatch):
     seen = w.agg(F.count("*").alias("k"), F.sum(F.col("w") * F.col("w")).alias("s")).first()
     assert seen.k / 60_000 == pytest.approx(1 - np.exp(-1), abs=0.01) and seen.s / 60_000 == pytest.approx(2.0, abs=0.05)
     assert replace(CFG, draws=5).draws == 5
+
+
+def test_pair_counts_across_tiles_and_blocks():
+    """Pairs inside a tile, inside a block of tiles and across blocks, with ties in both and any draws; few passes."""
+    import numpy as np
+    from ebbtide.operators import concordance as C
+    rng = np.random.default_rng(8)
+    for n, vals in ((1, 5), (130, 40), (3000, 70), (9000, 10 ** 6)):
+        at = np.unique(rng.integers(0, vals, (n, 2)), axis=0)
+        t, p = rng.permutation(at).T
+        wi, wj = rng.integers(0, 4, (2, len(t), 2))
+        k = C.PairCounts(t, p)
+        assert len(k.levels) <= 2
+        less, equal, total = k.count(wi, wj)
+        first = t[:, None] < t[None, :]
+        for got, m in ((less, first & (p[:, None] < p[None, :])), (equal, first & (p[:, None] == p[None, :])), (total, first)):
+            assert got.tolist() == [float(wi[:, i] @ (m.astype(float) @ wj[:, i])) for i in range(2)]
+    big = k.count(wi * 10 ** 6, wj)                                    # beyond single precision
+    assert (big[0] == less * 10 ** 6).all()

@@ -251,9 +251,10 @@ def test_a_delivery_of_many_rows_is_several_files_of_one_batch(spark, monkeypatc
     from checks import streams
     rows = readings(spark).select("seq", "reading_ts").filter("seq < 300 OR seq = 399")
     monkeypatch.setattr(streams, "FILE_ROWS", 10)
-    seen = []
+    seen, asked, plain = [], [], T.stream_table
+    monkeypatch.setattr(streams.T, "stream_table", lambda s, path, files_per_trigger: asked.append((len(s.read.parquet(path).inputFiles()), files_per_trigger)) or plain(s, path, files_per_trigger))
     q = (streams.deliver(spark, "many-files", rows, shuffled=True).writeStream.trigger(availableNow=True)
-         .foreachBatch(lambda b, i: seen.append((len(b.inputFiles()), sorted(r.seq for r in b.select("seq").collect())))).start())
+         .foreachBatch(lambda b, i: seen.append(sorted(r.seq for r in b.select("seq").collect()))).start())
     q.awaitTermination()
-    assert len(seen) == 6 and [n for n, _ in seen] == [8] * 6 and seen[-1][1] == seen[1][1]
-    assert sorted(x for _, b in seen[:-1] for x in b) == sorted(r.seq for r in rows.collect())
+    assert asked == [(48, 8)] and len(seen) == 6 and seen[-1] == seen[1]
+    assert sorted(x for b in seen[:-1] for x in b) == sorted(r.seq for r in rows.collect())
