@@ -26,6 +26,7 @@ from ebbtide.session import cut_lineage
 LEAF_ROWS = 200_000     # points that one task counts
 FANOUT = 32             # buckets per axis of a split: at most 96 x 64 cells a group
 FEW_GROUPS = 1_000      # oversized groups whose bucket edges are sent to all tasks; beyond that they are joined
+SLICE = 200             # draws that one task counts; a group's points go to each of its slices, with that part of their weights
 AT_ONCE = 8_000_000     # weights of a block of draws
 
 TILE, FAN = 128, 64     # points whose pairs are counted by a matrix product; children of a block
@@ -116,27 +117,26 @@ def _matrix(column, draws: int, kind) -> np.ndarray:
 _OUT = "top string, draw int, pairs double, less double, equal double"
 
 
-def _result(top, pairs, less, equal) -> pa.Table:
+def _result(top, pairs, less, equal, first: int = 0) -> pa.Table:
     n = len(less)
-    return pa.table({"top": pa.array([top] * n, pa.string()), "draw": pa.array(np.arange(n, dtype=np.int32)),
+    return pa.table({"top": pa.array([top] * n, pa.string()), "draw": pa.array(np.arange(first, first + n, dtype=np.int32)),
                      **{k: pa.array(np.asarray(v, float)) for k, v in (("pairs", pairs), ("less", less), ("equal", equal))}})
 
 
-def _leaf(draws: int):
-    """All pairs of one group of points."""
-    def run(table: pa.Table) -> pa.Table:
-        t, c, p, e, n = (table.column(x).to_numpy() for x in ("t", "c", "p", "e", "n"))
-        w, r = _matrix(table.column("w"), draws, np.uint8), _ranks(t, c)
-        o = np.lexsort((p, r))
-        new = np.ones(len(o), bool)
-        new[1:] = (r[o][1:] != r[o][:-1]) | (p[o][1:] != p[o][:-1])
-        starts = np.flatnonzero(new)
-        k = PairCounts(r[o][starts], p[o][starts])
-        step = max(1, AT_ONCE // len(o))
-        parts = [k.count(_summed(w[o, a:a + step] * e[o, None], starts), _summed(w[o, a:a + step] * n[o, None], starts)) for a in range(0, draws, step)]
-        less, equal, pairs = (np.concatenate([x[i] for x in parts]) for i in range(3))
-        return _result(table.column("top")[0].as_py(), pairs * table.column("full")[0].as_py(), less, equal)
-    return run
+def _leaf(table: pa.Table) -> pa.Table:
+    """All pairs of one group of points, in a slice of the draws that begins with `at`."""
+    t, c, p, e, n = (table.column(x).to_numpy() for x in ("t", "c", "p", "e", "n"))
+    draws = len(table.column("w")[0].as_py())
+    w, r = _matrix(table.column("w"), draws, np.uint8), _ranks(t, c)
+    o = np.lexsort((p, r))
+    new = np.ones(len(o), bool)
+    new[1:] = (r[o][1:] != r[o][:-1]) | (p[o][1:] != p[o][:-1])
+    starts = np.flatnonzero(new)
+    k = PairCounts(r[o][starts], p[o][starts])
+    step = max(1, AT_ONCE // len(o))
+    parts = [k.count(_summed(w[o, a:a + step] * e[o, None], starts), _summed(w[o, a:a + step] * n[o, None], starts)) for a in range(0, draws, step)]
+    less, equal, pairs = (np.concatenate([x[i] for x in parts]) for i in range(3))
+    return _result(table.column("top")[0].as_py(), pairs * table.column("full")[0].as_py(), less, equal, table.column("at")[0].as_py())
 
 
 def _cells(draws: int):
@@ -210,7 +210,9 @@ def pair_sums(points: DataFrame, draws: int = 1, buckets: int | None = None) ->
         groups = sizes.count()
         few = F.broadcast(sizes) if groups <= FEW_GROUPS else sizes
         rest = work if not groups else work.join(few, "g", "left_anti")
-        parts.append(rest.select(columns).groupBy("g").applyInArrow(_leaf(draws), _OUT))
+        sliced = rest.select(columns).withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(SLICE))))
+        sliced = sliced.withColumn("w", F.substr("w", F.col("at") + 1, F.lit(SLICE)))
+        parts.append(sliced.groupBy("g", "at").applyInArrow(_leaf, _OUT))
         if not groups:
             break
         d = cut_lineage(_split(work.join(few, "g", "left_semi"), groups, max(2, fanout)))
