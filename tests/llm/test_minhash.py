@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from ebbtide.llm import minhash
+from ebbtide.llm import graph, minhash
 from ebbtide.llm.graph import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -99,3 +99,21 @@ def test_components_of_a_long_path(spark, docs):
     links = spark.createDataFrame([(i + 1, i) for i in range(300)] + [(900, 901), (5, 5), (None, 3)], "a long, b long")
     got = dict(components(links).collect())
     assert all(got[i] == 0 for i in range(301)) and got[900] == got[901] == 900
+
+
+def test_few_links_make_few_tasks(spark, docs, monkeypatch):
+    docs([])
+    links = spark.createDataFrame([(i + 1, i) for i in range(200)] + [(900, 901)], "a long, b long")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "20")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        few = components(links)
+        assert few.rdd.getNumPartitions() <= graph.FEW_TASKS                # each task of each round writes files
+        monkeypatch.setattr(graph, "TASK_ROWS", 10)
+        many = components(links)
+        assert many.rdd.getNumPartitions() == 20
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert dict(few.collect()) == dict(many.collect()) == {**{i: 0 for i in range(201)}, 900: 900, 901: 900}
