@@ -130,19 +130,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, cover: floa
     share an item's id the one covered best is shown. Rows that share a key but not
     their text are told apart by `row`; repeated rows give one pair. Empty tables give no pairs.
     windows, slots and agree are those of the alignment that was kept.
+
+    Steps are cut by checkpoints, so that no plan repeats an earlier one: the driver holds every plan of
+    a job and plans it again after each of its stages.
     """
     row = F.xxhash64(F.col(key), F.col(text))
     # Texts that share an item's id are looked for one by one.
     b = (benchmark.filter(F.col(item).isNotNull()).groupBy(F.col(item).alias("id"), F.col(item_text).alias("t")).agg(F.lit(1))
-         .select("id", F.xxhash64("id", "t").alias("item_id"), _tokens(F.col("t")).alias("tok")))
+         .select("id", F.xxhash64("id", "t").alias("item_id"), _tokens(F.col("t")).alias("tok")).checkpoint())
     names = b.select("id", "item_id")
-    b = b.withColumn("few", F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("tok") - words)), lambda i: F.size(
+    windows = b.withColumn("few", F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("tok") - words)), lambda i: F.size(
         F.filter(F.slice("tok", i + 1, words), lambda x: x < "\u0005")) <= MOST_PLACEHOLDERS)).withColumn("h", _windows("tok", words))
-    every = b.select("item_id", F.posexplode(F.arrays_zip("h", "few")).alias("ipos", "x")).filter("x.h IS NOT NULL").select("item_id", "ipos", "x.h", "x.few")
+    every = windows.select("item_id", F.posexplode(F.arrays_zip("h", "few")).alias("ipos", "x")).filter("x.h IS NOT NULL").select("item_id", "ipos", "x.h", "x.few").checkpoint()
     kept, kept_places = F.countDistinct(F.expr("CASE WHEN few THEN h END")), F.sum(F.col("few").cast("long"))
     of = (every.groupBy("item_id").agg(F.countDistinct("h").alias("of"), kept.alias("kept"), (kept_places / F.count(F.lit(1))).alias("places"))
-          .filter((F.col("kept") >= F.col("of") * cover) & (F.col("places") >= cover)).select("item_id", "of"))
-    w = every.filter("few").join(of, "item_id", "left_semi").select("item_id", "ipos", "h")
+          .filter((F.col("kept") >= F.col("of") * cover) & (F.col("places") >= cover)).select("item_id", "of").checkpoint())
+    w = every.filter("few").join(of, "item_id", "left_semi").select("item_id", "ipos", "h").checkpoint()
     n_windows = w.count()                                               # decides on the broadcast, not on the answer
     wanted = w.select("h").distinct()
     wanted = F.broadcast(wanted) if n_windows <= BROADCAST_WINDOWS else wanted
@@ -162,9 +165,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, cover: floa
     dslots = _slots(texts.select("row", _tokens(F.col("t")).alias("tok")), ["row"], "tok", "p", "dv")
     islots = _slots(b, ["item_id"], "tok", "q", "iv")
     spread = F.explode(F.sequence(F.lit(0), F.lit(words - 1)))
-    here = hits.join(w, "h").join(pairs.select("row", "item_id"), ["row", "item_id"]).select("row", "item_id", "h", "pos", "ipos")
+    here = hits.join(w, "h").join(pairs.select("row", "item_id"), ["row", "item_id"]).select("row", "item_id", "h", "pos", "ipos").checkpoint()
     at = _alignments(here).checkpoint()
-    covered = at.groupBy("row", "item_id", "kind", "n").agg(F.countDistinct("h").alias("windows")).join(of, "item_id").filter(F.col("windows") >= F.col("of") * cover)
+    covered = at.groupBy("row", "item_id", "kind", "n").agg(F.countDistinct("h").alias("windows")).join(of, "item_id").filter(F.col("windows") >= F.col("of") * cover).checkpoint()
     matched = (at.join(covered.select("row", "item_id", "kind", "n"), ["row", "item_id", "kind", "n"]).select("row", "item_id", "kind", "n", "pos", "ipos", spread.alias("j"))
                .select("row", "item_id", "kind", "n", (F.col("pos") + F.col("j")).alias("p"), (F.col("ipos") + F.col("j")).alias("q"))
                .join(islots, ["item_id", "q"]).join(dslots, ["row", "p"])
@@ -175,13 +178,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, cover: floa
             .filter(F.col("agree") >= F.col("slots") * consistent)
             .groupBy("row", "item_id").agg(F.max(F.struct("windows", "agree", "slots")).alias("x")))
     out = pairs.select("doc_id", "row", "item_id", "of").join(best, ["row", "item_id"]).select(
-        "doc_id", "row", "item_id", "x.windows", "of", "x.slots", "x.agree")
-    bare = b.filter(F.size("tok") >= words).join(of, "item_id", "left_anti")
+        "doc_id", "row", "item_id", "x.windows", "of", "x.slots", "x.agree").checkpoint()
+    bare = b.filter(F.size("tok") >= words).join(of, "item_id", "left_anti").checkpoint()
     if not bare.isEmpty():
-        out = out.unionByName(_verbatim(d, bare, words))
+        out = out.unionByName(_verbatim(d, bare, words).checkpoint())
     brief = b.filter(F.size("tok").between(1, words - 1))
     if not brief.isEmpty():
-        out = out.unionByName(_short(d, brief, words))
+        out = out.unionByName(_short(d, brief, words).checkpoint())
     names = F.broadcast(names) if names.count() <= BROADCAST_WINDOWS else names
     best = F.max(F.struct((F.col("windows") / F.col("of")).alias("share"), "windows", "of", "slots", "agree")).alias("x")
     out = out.join(names, "item_id").groupBy("doc_id", "row", F.col("id").alias("item_id")).agg(best)
@@ -190,6 +193,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, cover: floa
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
     """`docs` without the rows that hold a benchmark item."""
-    found = leaks(docs, benchmark, text=text, key=key, **how).select(F.col("row").alias("__found"), F.col(key).alias("__key")).distinct()
+    found = leaks(docs, benchmark, text=text, key=key, **how).select(F.col("row").alias("__found"), F.col(key).alias("__key")).distinct().checkpoint()
     rows = docs.withColumn("__row", F.xxhash64(F.col(key), F.col(text)))
     return rows.join(found, (F.col("__row") == F.col("__found")) & F.col(key).eqNullSafe(F.col("__key")), "left_anti").drop("__row")

@@ -129,6 +129,15 @@ def test_decontamination_finds_reworded_slots_and_leaves_the_rest(spark, docs, p
     assert decontaminate.leaks(docs([]), bench).count() == 0 and decontaminate.leaks(docs(texts), bench.limit(0)).count() == 0
 
 
+def test_plans_do_not_repeat_earlier_steps(spark, docs):
+    items = ["Compute 48 / 6 + 7 * 2 - 5 + 9", TRAIN, "How many balls?"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    kept = decontaminate.clean(docs([f"First. {t} And on." for t in items] + ["nothing here"]), bench)
+    plan = kept._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("HashAggregate") == 0 and plan.count("Join") == 1      # the driver holds and replans what a plan repeats
+    assert {r.doc_id for r in kept.collect()} == {3}
+
+
 def test_slot_consistency(spark, docs):
     text = "then {0} gave seven things to {1} because {0} liked {1} more than {0} liked the others there"
     bench = spark.createDataFrame([(1, "So " + text.format("Anna", "Boris"))], "item_id long, text string")
