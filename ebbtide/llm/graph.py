@@ -19,7 +19,8 @@ def components(links: DataFrame) -> DataFrame:
     count of labels that changed. Null ends are ignored; no links give no rows.
 
     Every task of a step writes files for the next shuffle and for its checkpoint, so a step has
-    no more tasks than the links need; with many links it has as many as the shuffle.
+    no more tasks than the links need; with many links it has as many as the shuffle. A round is two
+    jobs without a repeated step, for the driver holds every plan and plans it again after each stage.
     """
     e = links.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b")
     e = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
@@ -30,10 +31,9 @@ def components(links: DataFrame) -> DataFrame:
         # The smallest label next to each vertex, told to the vertex and to its root.
         near = (e.join(label.select(F.col("id").alias("b"), F.col("comp").alias("to")), "b").coalesce(tasks)
                 .groupBy("a").agg(F.min("to").alias("to")).join(label.select(F.col("id").alias("a"), "comp"), "a").coalesce(tasks))
-        hooks = near.select(F.col("a").alias("id"), "to").unionByName(near.select(F.col("comp").alias("id"), "to"))
-        best = hooks.groupBy("id").agg(F.min("to").alias("to"))
-        new = label.join(best, "id", "left").select("id", F.col("comp").alias("old"), F.least("comp", "to").alias("comp")).coalesce(tasks)
-        new = (new.join(new.select(F.col("id").alias("comp"), F.col("comp").alias("up")), "comp", "left")
+        best = near.select(F.explode(F.array("a", "comp")).alias("id"), "to").groupBy("id").agg(F.min("to").alias("to"))
+        hooked = label.join(best, "id", "left").select("id", F.col("comp").alias("old"), F.least("comp", "to").alias("comp")).coalesce(tasks).checkpoint()
+        new = (hooked.join(hooked.select(F.col("id").alias("comp"), F.col("comp").alias("up")), "comp", "left")
                .select("id", "old", F.least("comp", "up").alias("comp"))).coalesce(tasks).checkpoint()
         changed = new.filter("comp <> old").limit(1).count()
         label = new.select("id", "comp")

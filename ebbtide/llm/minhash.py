@@ -252,9 +252,9 @@ def _links(vertices: DataFrame, base: DataFrame, words: int) -> DataFrame:
     # A centre per key; each set is first compared with one centre, then with those that it is still apart from.
     stars = _near(keys.filter("v <> c").select(F.col("c").alias("a"), F.col("v").alias("b")).distinct(), vertices).checkpoint()
     sets = _built(stars, vertices, base, words)
-    one = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    one = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").checkpoint()
     links = _verified(one, sets)
-    more = _apart(stars.join(one, ["a", "b"], "left_anti"), components(links))
+    more = _apart(stars.join(one, ["a", "b"], "left_anti"), components(links)).checkpoint()
     links = links.unionByName(_verified(more, sets))
     comp = components(links)
     # What is left: partners in different components, none of them a centre. A pair belongs to the
@@ -309,10 +309,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, text: str = "text", key: st
 
 def keep_one(docs: DataFrame, words: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row of each group of near duplicates: the one with the smallest key. Rows without words or key stay."""
-    found = near_duplicates(docs, words, text, key).select(F.col(key).alias("__id"), "kept")
+    found = near_duplicates(docs, words, text, key).select(F.col(key).alias("__id"), "kept").checkpoint()
     drop = found.filter("NOT kept").select("__id").distinct()
     docs = docs.withColumn("__id", F.col(key))
     left = docs.join(drop, "__id", "left_anti")
     again = found.filter("kept AND __id IS NOT NULL").groupBy("__id").count().filter("count > 1").select("__id").checkpoint()
+    if again.isEmpty():
+        return left.drop("__id")
     once = left.join(again, "__id", "left_anti")
     return once.unionByName(left.join(again, "__id", "left_semi").dropDuplicates(["__id"])).drop("__id")

@@ -117,3 +117,30 @@ def test_few_links_make_few_tasks(spark, docs, monkeypatch):
         for k, v in kept.items():
             spark.conf.set(k, v)
     assert dict(few.collect()) == dict(many.collect()) == {**{i: 0 for i in range(201)}, 900: 900, 901: 900}
+
+
+@pytest.fixture
+def joins(spark, monkeypatch):
+    """Number of joins in the plan of every checkpoint made from now on."""
+    seen, kind = [], type(spark.range(1))
+    made = kind.checkpoint
+
+    def noted(self, *a, **b):
+        seen.append(self._jdf.queryExecution().sparkPlan().toString().count("Join "))
+        return made(self, *a, **b)
+    monkeypatch.setattr(kind, "checkpoint", noted)
+    return seen
+
+
+def test_a_round_of_the_search_repeats_no_step(spark, docs, joins):
+    docs([])
+    links = spark.createDataFrame([(i + 1, i) for i in range(20)], "a long, b long")
+    assert {r.comp for r in components(links).collect()} == {0}
+    assert max(joins) <= 3                          # the driver holds and replans what a plan repeats
+
+
+def test_near_copies_are_dropped_without_repeated_plans(docs, prose, joins):
+    near = [prose(60, 1) + f" end{i}" for i in range(5)]
+    kept = minhash.keep_one(docs(near + [prose(60, 2), None]))
+    assert kept._jdf.queryExecution().sparkPlan().toString().count("Join ") == 1 and max(joins) <= 6
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 5, 6]
