@@ -260,11 +260,15 @@ def _links(vertices: DataFrame, base: DataFrame, words: int) -> DataFrame:
     # What is left: partners in different components, none of them a centre. A pair belongs to the
     # first key that it shares. Rows without such a partner go first; sets are sent for the rest only,
     # and a tile returns no more links than it has components.
-    told = keys.filter("k > 2").join(comp.withColumnRenamed("id", "v"), "v", "left").withColumn("comp", F.coalesce("comp", "v"))
-    told = told.join(vertices.select("v", "n"), "v")
-    mixed = told.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.sum("n").alias("all")).filter("x <> y").select("key", "all")
+    def told(some, *of):
+        named = some.join(comp.withColumnRenamed("id", "v"), "v", "left").withColumn("comp", F.coalesce("comp", "v"))
+        return named.join(vertices.select("v", *of), "v")
+
+    shared = keys.filter("k > 2")
+    mixed = (told(shared, "n").groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.sum("n").alias("all"))
+             .filter("x <> y").select("key", "all").checkpoint())
     tile = ["key", "i", "j"]
-    rows = (told.join(mixed, "key").join(vertices.select("v", "sig"), "v")
+    rows = (told(shared.join(mixed, "key"), "n", "sig")
             .withColumn("t", F.ceil(F.greatest(F.col("k") * 2 / TILE, F.col("all") * 16 / TILE_BYTES)).cast("int"))
             .withColumn("mine", F.expr("int(pmod(xxhash64(v), t))")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
             .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
