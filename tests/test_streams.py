@@ -258,3 +258,21 @@ def test_a_delivery_of_many_rows_is_several_files_of_one_batch(spark, monkeypatc
     q.awaitTermination()
     assert asked == [(48, 8)] and len(seen) == 6 and seen[-1] == seen[1]
     assert sorted(x for b in seen[:-1] for x in b) == sorted(r.seq for r in rows.collect())
+
+
+def test_panel_state_is_kept_per_bucket(spark, tmp_path, monkeypatch):
+    """Entities share a state row and a handler call; each keeps its own numbers, and is forgotten by itself."""
+    from ebbtide.streaming import state
+    monkeypatch.setattr(state, "PANEL_BUCKETS", 1, raising=False)
+    df = readings(spark).withColumn("entity", F.when(F.col("seq") % 40 > 0, F.concat(F.when(F.col("seq") % 2 == 0, "e").otherwise("f"), F.col("seq") % 40)))
+    out = T.available_now(T.stream_panel_state(files(spark, df, str(tmp_path / "in")), CFG), str(tmp_path / "run"), "update")
+    got = {r.entity: (r.reading_count, r.scheduled_count, r.last_reading_at) for r in T.latest(out, ["entity"]).collect()}
+    want = {r.entity: (r.n, r.s, r.m) for r in df.groupBy("entity").agg(
+        F.count("*").alias("n"), F.count_if(F.col("age_hours") >= CFG.first_mark_opens).alias("s"), F.max("reading_ts").alias("m")).collect()}
+    assert got == want and len(got) == 40
+    assert spark.read.format("statestore").load(str(tmp_path / "run" / "checkpoint")).count() <= 3      # names with e, with f, null
+    s = stream_of(spark, str(tmp_path / "in2"), label_rows(spark, ("x1", 0, 1, 1), ("x2", 50, 1, 1)), label_rows(spark, ("x3", 60, 1, 1)), label_rows(spark, ("x2", 50, 300, 2)))
+    out = T.available_now(T.stream_panel_state(s, PanelConfig()), str(tmp_path / "run2"), "update")
+    assert {r.entity: (r.reading_count, r.scheduled_count) for r in T.latest(out, ["entity"]).collect()} == {"x1": (1, 1), "x2": (2, 2), "x3": (1, 1)}
+    kept = spark.read.format("statestore").load(str(tmp_path / "run2" / "checkpoint")).collect()
+    assert [sorted(r.value.asDict(True)["groupState"]["names"]) for r in kept] == [["x2", "x3"]]
