@@ -169,6 +169,7 @@ class HazardForest:
     min_leaf: int = 5
     max_depth: int = 8
     seed: int = 4177
+    alone: bool = True              # its rows are held with a weight per tree: no second forest beside it
 
     def fit(self, train: DataFrame, profile: Profile | None = None):
         profile = profile or Profile.of(train, self.features)

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import nullcontext
+from functools import reduce
+from threading import Lock
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from ebbtide.config import INSTANT_COLUMNS, PanelConfig
 from ebbtide.functions import scalars as S
@@ -45,23 +51,30 @@ def assert_no_owner_leakage(folded: DataFrame) -> DataFrame:
 def grouped_cv(models: list, frame: DataFrame, k: int = 5) -> DataFrame:
     """Stacked out-of-fold predictions of every model.
 
-    `frame` is read once per model and fold, so pass a materialised table.
-    Predictions that are not positive numbers become the training fold's median.
+    `frame` is read once, the folded table once per model and fold. Folds are fitted side by side, for a boosted
+    model is a long row of small jobs; models marked `alone` (forests, which hold their rows
+    for all trees at once) one at a time. Predictions that are not positive numbers become the training fold's median.
     """
-    folded = assert_no_owner_leakage(frame.join(group_folds(frame, k), "owner"))
+    folded = assert_no_owner_leakage(cut_lineage(frame.join(group_folds(frame, k), "owner")))
     folds = sorted(r[0] for r in folded.select("fold").distinct().collect())       # at most k values
-    out = None
-    for f in folds:
+    turn = Lock()
+
+    def fit(f: int) -> list[DataFrame]:
         train, test = folded.filter(F.col("fold") != f), folded.filter(F.col("fold") == f)
         profile = Profile.of(train, [c for m in models for c in m.features])      # shared by all models
         fallback = profile.median_duration
+        out = []
         for m in models:
-            p = m.fit(train, profile).predict(test)
+            with turn if getattr(m, "alone", False) else nullcontext():
+                p = m.fit(train, profile).predict(test)
             good = S.finite("predicted")
-            p = p.select("fold", "entity", "owner", "duration", "event", F.lit(m.name).alias("model"),
-                         F.when(good > 0, good).otherwise(F.lit(fallback)).alias("predicted"))
-            out = p if out is None else out.unionByName(p)
-    return out
+            out.append(p.select("fold", "entity", "owner", "duration", "event", F.lit(m.name).alias("model"),
+                                F.when(good > 0, good).otherwise(F.lit(fallback)).alias("predicted")))
+        return out
+
+    with ThreadPoolExecutor(max(len(folds), 1)) as pool:
+        parts = [p for fitted in pool.map(inheritable_thread_target(frame.sparkSession)(fit), folds) for p in fitted]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def held_out_owner_predictions(train: DataFrame, test: DataFrame, cfg: PanelConfig = PanelConfig(),

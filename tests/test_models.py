@@ -112,3 +112,52 @@ def test_curves_decrease(planted):
     m = MS.HazardForest(FEATURES, list(CFG.marks), trees=10).fit(planted)
     for r in m.curve(planted).limit(50).collect():
         assert all(a >= b for a, b in zip(r.curve, r.curve[1:])) and 0 <= r.curve[-1] <= r.curve[0] <= 1
+
+
+def test_the_registered_evaluation_runs_in_full(monkeypatch):
+    """No parameter of the query cuts the work: folds, draws, trees and rounds are those of the study."""
+    import inspect
+    from types import SimpleNamespace
+
+    from checks import evaluation
+    full, seen = inspect.signature(evaluation.E.evaluate), {}
+
+    def record(*args, **kwargs):
+        given = full.bind(*args, **kwargs)
+        given.apply_defaults()
+        seen.update(given.arguments)
+        return SimpleNamespace(scores="scores")
+
+    monkeypatch.setattr(evaluation, "staged", lambda spark, sf: SimpleNamespace(frame="frame"))
+    monkeypatch.setattr(evaluation.E, "evaluate", record)
+    assert evaluation.evaluate(None, "sf") == "scores"
+    assert (seen["frame"], seen["models"], seen["trees"], seen["rounds"]) == ("frame", None, 300, 200)
+    assert (seen["cfg"].draws, seen["cfg"].folds) == (2000, 5)
+
+
+def test_folds_fitted_side_by_side_are_those_fitted_alone(planted):
+    """Every fold is predicted by models of the other folds; no two models marked `alone` are fitted at once."""
+    import threading
+    import time
+    busy, most = [], []
+
+    class Alone(MS.LogLinear):
+        alone = True
+
+        def fit(self, train, profile=None):
+            busy.append(threading.get_ident())
+            most.append(len(busy))
+            time.sleep(0.2)
+            m = super().fit(train, profile)
+            busy.pop()
+            return m
+
+    got = grouped_cv([Alone(FEATURES), MS.ConstantLifetime(5.0)], planted, 3)
+    assert max(most) == 1 and len(most) == 3
+    mine = {r.entity: (r.fold, r.predicted) for r in got.filter("model = 'loglinear_uncensored'").collect()}
+    folds = planted.join(group_folds(planted, 3), "owner").cache()
+    for f in range(3):
+        m = MS.LogLinear(FEATURES).fit(folds.filter(F.col("fold") != f))
+        for r in m.predict(folds.filter(F.col("fold") == f)).collect():
+            assert mine[r.entity][0] == f and mine[r.entity][1] == pytest.approx(r.predicted, rel=1e-6)
+    assert len(mine) == 600 and got.filter("model = 'constant_48h' AND predicted = 5.0").count() == 600
